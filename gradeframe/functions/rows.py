@@ -1,8 +1,10 @@
 """Row selection helpers shared by the operators."""
 
+import json
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -21,6 +23,18 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return top_k(df, keys, order, 1)
 
 
+def literal_table(spark: SparkSession, schema: str, rows: Sequence[Sequence]) -> DataFrame:
+    """A small table written in code. Its size is known to the planner, so joins with it need no shuffle."""
+    names = [part.strip().split(" ")[0] for part in _top_level(schema)]
+    text = json.dumps([dict(zip(names, r)) for r in rows], ensure_ascii=False)
+    typed = F.from_json(F.lit(text), f"array<struct<{', '.join(p.strip().replace(' ', ':', 1) for p in _top_level(schema))}>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(typed))
+
+
+def _top_level(schema: str) -> list[str]:
+    return re.split(r",(?![^<>]*>)", schema)
+
+
 def require_clean(problems: DataFrame, what: str, show: int = 20) -> None:
     """Raise when a problem table has rows. The only action behind a gate; shows at most ``show`` rows."""
     found = problems.limit(show).collect()

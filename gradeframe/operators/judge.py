@@ -185,10 +185,15 @@ def quote_at(text: Column, signal: Column) -> Column:
     """
 
     def cut(at: Column) -> Column:
-        rest = X.piece(text, at + F.length(signal), F.length(text))
-        sentence = X.strip(F.concat(signal, F.regexp_extract(rest, _SENTENCE, 0)))
+        # canonical text has no two spaces in a row, so this window decides every quote exactly
+        window = X.piece(text, at, F.length(signal) + K.QUOTE_MAX_LEN + 2)
+
+        def sentence(w: Column) -> Column:
+            rest = F.substring(w, F.length(signal) + 1, F.lit(K.QUOTE_MAX_LEN + 2))
+            return X.strip(F.concat(signal, F.regexp_extract(rest, _SENTENCE, 0)))
+
         padded = X.strip(X.piece(text, at, F.lit(K.QUOTE_MIN_LEN + 20)))
-        fitted = X.bind(sentence, lambda q: F.when(F.length(q) < K.QUOTE_MIN_LEN, padded).when(
+        fitted = X.bind(X.bind(window, sentence), lambda q: F.when(F.length(q) < K.QUOTE_MIN_LEN, padded).when(
             F.length(q) > K.QUOTE_MAX_LEN, X.strip(F.left(q, F.lit(K.QUOTE_MAX_LEN)))).otherwise(q))
         return F.when(at < 0, "").otherwise(fitted)
 
@@ -244,7 +249,7 @@ def rule_judge(texts: DataFrame, rubric: DataFrame) -> DataFrame:
     rows = with_rubric(texts, rubric)
     judged = rows.select("report_id", *keep, F.transform(
         "items", lambda it: rule_judgement(F.coalesce(F.col("full_text"), F.lit("")), it)).alias("_j"))
-    return judged.select("report_id", *keep, F.inline("_j")).withColumns(
+    return judged.select("report_id", *keep, F.inline_outer("_j")).withColumns(
         {"needs_review": F.lit(True), "system_error": F.lit(""), "dropped_quotes": no_quotes()})
 
 
@@ -305,25 +310,23 @@ def audit_results(results: DataFrame, judgements: DataFrame, rubric: DataFrame,
 
     Checks: every quote verbatim, total = sum, rule-engine rows flagged, item known, score within its maximum.
     """
-    limits = _item_limits(rubric)
-    orphan = judgements.join(limits, "item_id", "left_anti").select(*KEY, F.lit("unknown_item").alias("problem"))
-    over = judgements.join(limits, "item_id").where(
-        F.col("score") > F.col("max_score") + F.lit(0.01).cast(SCORE)).select(*KEY, F.lit("over_maximum").alias("problem"))
+    stored = results.select("report_id", "total", "engine")
+    rows = (judgements.join(_item_limits(rubric), "item_id", "left")
+            .join(stored.select("report_id", "engine"), "report_id", "left"))
+    checks = [
+        F.when(F.col("max_score").isNull(), "unknown_item"),
+        F.when(F.col("score") > F.col("max_score") + F.lit(0.01).cast(SCORE), "over_maximum"),
+        F.when(~F.col("needs_review") & (F.col("engine") == "rule"), "rule_row_not_flagged")]
+    if texts is not None:
+        rows = with_texts(rows, texts)
+        text = F.coalesce("full_text", F.lit(""))
+        checks.append(F.when(F.exists("evidence", lambda q: (q != "") & ~F.contains(text, q)), "quote_not_in_text"))
+    per_row = rows.select(*KEY, F.explode(F.array_compact(F.array(*checks))).alias("problem"))
     sums = judgements.groupBy("report_id").agg(F.sum("score").alias("_sum"))
-    wrong = results.join(sums, "report_id", "left").where(
+    wrong = stored.join(sums, "report_id", "left").where(
         F.abs(F.col("total") - F.coalesce("_sum", F.lit(0))) > F.lit(0.05).cast(SCORE)).select(
         "report_id", F.lit("").alias("item_id"), F.lit("total_is_not_sum").alias("problem"))
-    silent = judgements.where(~F.col("needs_review")).join(
-        results.where(F.col("engine") == "rule").select("report_id"), "report_id", "left_semi").select(
-        *KEY, F.lit("rule_row_not_flagged").alias("problem"))
-    found = orphan.unionByName(over).unionByName(wrong).unionByName(silent)
-    if texts is None:
-        return found
-    quoted = with_texts(judgements.where(F.size("evidence") > 0).select(*KEY, "evidence"), texts)
-    text = F.coalesce("full_text", F.lit(""))
-    loose = quoted.where(F.exists("evidence", lambda q: (q != "") & ~F.contains(text, q))).select(
-        *KEY, F.lit("quote_not_in_text").alias("problem"))
-    return found.unionByName(loose)
+    return per_row.unionByName(wrong)
 
 
 def as_records(judgements: DataFrame, rubric: DataFrame, results: DataFrame) -> DataFrame:

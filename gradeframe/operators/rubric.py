@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import SCORE
-from ..functions.rows import top_k
+from ..functions.rows import literal_table, top_k
 
 RUBRIC_SCHEMA = ("rubric_id string, ord int, item_id string, name string, criteria string, max_score double, "
                  "positive_signals array<string>, negative_signals array<string>")
@@ -15,7 +15,7 @@ def default_rubric(spark: SparkSession, rubric_id: str = "default") -> DataFrame
     """The fixed five items, 100 points together."""
     rows = [(rubric_id, i, item, name, criteria, float(top), list(signals), [])
             for i, (item, name, criteria, top, signals) in enumerate(K.DEFAULT_RUBRIC, 1)]
-    return spark.createDataFrame(rows, RUBRIC_SCHEMA)
+    return literal_table(spark, RUBRIC_SCHEMA, rows)
 
 
 def _finite_positive(c: Column) -> Column:

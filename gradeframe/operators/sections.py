@@ -123,9 +123,12 @@ def section_array(text: Column, chunk_size: int = K.CHUNK_SIZE) -> Column:
 
 
 def explode_sections(df: DataFrame, sections: str = "sections") -> DataFrame:
-    """One row per section, numbered from 0 in order."""
+    """One row per section, numbered from 0 in order.
+
+    The outer form keeps the planner from testing the array in a filter first, which would build it twice.
+    """
     keep = [c for c in df.columns if c != sections]
-    return (df.select(*keep, F.posexplode(sections).alias("section_ord", "_s"))
+    return (df.select(*keep, F.posexplode_outer(sections).alias("section_ord", "_s")).where("section_ord is not null")
             .select(*keep, "section_ord", F.col("_s.id").alias("section_id"), "_s.title", "_s.level", "_s.text",
                     "_s.char_start", "_s.char_end"))
 
@@ -202,9 +205,9 @@ def recall_sections(parsed: DataFrame, rubric: DataFrame, k: int = K.RECALL_TOP_
     picked = with_rubric(parsed, rubric).select(
         "report_id", "sections", F.explode("items").alias("item"))
     picked = picked.select("report_id", F.col("item.item_id").alias("item_id"), "sections",
-                           F.posexplode(recall_array(F.col("sections"), F.col("item.positive_signals"), k))
+                           F.posexplode_outer(recall_array(F.col("sections"), F.col("item.positive_signals"), k))
                            .alias("rank", "section_ord"))
-    return picked.select("report_id", "item_id", (F.col("rank") + 1).alias("rank"), "section_ord",
+    return picked.where("rank is not null").select("report_id", "item_id", (F.col("rank") + 1).alias("rank"), "section_ord",
                          F.get("sections", F.col("section_ord"))["id"].alias("section_id"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numbers import SCORE
-from ..functions.rows import spread
+from ..functions.rows import literal_table, spread
+from ..operators.rubric import RUBRIC_SCHEMA
 
 ITEM_MAX = (15, 20, 25, 20, 20, 10, 10)
 SIGNALS = {
@@ -171,9 +172,7 @@ class Tables:
         """Five items of signal words; a literal table of five rows."""
         rows = [("signals", i + 1, item, f"Item {i + 1}", f"criteria {i + 1}", float(ITEM_MAX[i]), list(s), [])
                 for i, (item, s) in enumerate(SIGNALS.items())]
-        return self.spark.createDataFrame(
-            rows, "rubric_id string, ord int, item_id string, name string, criteria string, max_score double, "
-                  "positive_signals array<string>, negative_signals array<string>")
+        return literal_table(self.spark, RUBRIC_SCHEMA, rows)
 
 
 # ---- the same views in SQL ---------------------------------------------------------
@@ -226,7 +225,7 @@ attempts AS (
 VERIFIED = """split_ AS (
   SELECT *, list_filter(evidence, lambda q: length(q) BETWEEN 6 AND 200 AND contains(full_text, q)) AS good,
          list_filter(evidence, lambda q: NOT (length(q) BETWEEN 6 AND 200 AND contains(full_text, q))) AS bad
-  FROM attempts),
+  FROM (SELECT * REPLACE (list_transform(evidence, lambda q: trim(q)) AS evidence) FROM attempts)),
 verified AS (
   SELECT * EXCLUDE (good, bad), verdict = 'miss' OR len(good) > 0 AS valid,
          CASE WHEN verdict = 'miss' THEN CAST([] AS VARCHAR[]) ELSE good END AS kept,
@@ -285,11 +284,22 @@ newest AS (
 accepted AS (
   SELECT f.report_id, f.item_id, f.score_c AS original_c, n.new_c, n.reason
   FROM newest n JOIN firsts f USING (report_id, item_id) WHERE n.new_c <> f.score_c)"""
-# canonical text: whitespace, dots between digits and spelled-out runs never both occur in these tables
-TEXTS = r"""texts AS (
+# canonical text: whitespace runs, then runs of 4 or more single characters joined, then dots between digits
+TEXTS = r"""ws AS (SELECT doc_id, source, lang, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS w FROM documents),
+spelled AS (
+  SELECT *, string_split_regex(w, RUN) AS pieces, regexp_extract_all(w, RUN) AS runs FROM ws),
+joined AS (
+  SELECT *, CASE WHEN len(runs) = 0 THEN w ELSE array_to_string(list_transform(range(1, len(pieces) + 1), lambda i:
+    pieces[i] || CASE WHEN runs[i] IS NULL THEN ''
+      WHEN regexp_matches(regexp_extract(runs[i], CORE), '[A-Z]') AND NOT regexp_matches(regexp_extract(runs[i], CORE), '[a-z]')
+        THEN runs[i]
+      ELSE replace(runs[i], regexp_extract(runs[i], CORE), replace(regexp_extract(runs[i], CORE), ' ', '')) END), '') END AS t
+  FROM spelled),
+texts AS (
   SELECT doc_id AS report_id, source AS class_id, lang AS course, text AS raw_text,
-         trim(regexp_replace(text, '\s+', ' ', 'g')) AS full_text
-  FROM documents)"""
+         regexp_replace(regexp_replace(t, DOT, '\1.\2', 'g'), DOT, '\1.\2', 'g') AS full_text
+  FROM joined)""".replace("RUN", r"'(?:^|[^0-9A-Za-z])[0-9A-Za-z](?: [0-9A-Za-z]){3,}(?:[^0-9A-Za-z]|$)'").replace(
+    "CORE", r"'[0-9A-Za-z](?: [0-9A-Za-z]){3,}'").replace("DOT", r"'(\d)[ \t]*\.[ \t]*(\d)'")
 
 
 def with_(*ctes: str) -> str:
