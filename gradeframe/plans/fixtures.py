@@ -284,22 +284,30 @@ newest AS (
 accepted AS (
   SELECT f.report_id, f.item_id, f.score_c AS original_c, n.new_c, n.reason
   FROM newest n JOIN firsts f USING (report_id, item_id) WHERE n.new_c <> f.score_c)"""
-# canonical text: whitespace runs, then runs of 4 or more single characters joined, then dots between digits
-TEXTS = r"""ws AS (SELECT doc_id, source, lang, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS w FROM documents),
-spelled AS (
-  SELECT *, string_split_regex(w, RUN) AS pieces, regexp_extract_all(w, RUN) AS runs FROM ws),
-joined AS (
+_RUN = r"'(?:^|[^0-9A-Za-z])[0-9A-Za-z](?: [0-9A-Za-z]){3,}(?:[^0-9A-Za-z]|$)'"
+_CORE = r"'[0-9A-Za-z](?: [0-9A-Za-z]){3,}'"
+_DOT = r"'(\d)[ \t]*\.[ \t]*(\d)'"
+
+
+def canonical_cte(name: str, source: str, columns: str) -> str:
+    """CTEs ending in ``name``: ``columns`` of ``source`` plus full_text, the canonical form of its ``raw_text``.
+
+    Whitespace runs, then runs of 4 or more single characters joined, then dots between digits.
+    """
+    core = f"regexp_extract(runs[i], {_CORE})"
+    return rf"""{name}_ws AS (SELECT *, trim(regexp_replace(raw_text, '\s+', ' ', 'g')) AS w FROM {source}),
+{name}_runs AS (SELECT *, string_split_regex(w, {_RUN}) AS pieces, regexp_extract_all(w, {_RUN}) AS runs FROM {name}_ws),
+{name}_joined AS (
   SELECT *, CASE WHEN len(runs) = 0 THEN w ELSE array_to_string(list_transform(range(1, len(pieces) + 1), lambda i:
     pieces[i] || CASE WHEN runs[i] IS NULL THEN ''
-      WHEN regexp_matches(regexp_extract(runs[i], CORE), '[A-Z]') AND NOT regexp_matches(regexp_extract(runs[i], CORE), '[a-z]')
-        THEN runs[i]
-      ELSE replace(runs[i], regexp_extract(runs[i], CORE), replace(regexp_extract(runs[i], CORE), ' ', '')) END), '') END AS t
-  FROM spelled),
-texts AS (
-  SELECT doc_id AS report_id, source AS class_id, lang AS course, text AS raw_text,
-         regexp_replace(regexp_replace(t, DOT, '\1.\2', 'g'), DOT, '\1.\2', 'g') AS full_text
-  FROM joined)""".replace("RUN", r"'(?:^|[^0-9A-Za-z])[0-9A-Za-z](?: [0-9A-Za-z]){3,}(?:[^0-9A-Za-z]|$)'").replace(
-    "CORE", r"'[0-9A-Za-z](?: [0-9A-Za-z]){3,}'").replace("DOT", r"'(\d)[ \t]*\.[ \t]*(\d)'")
+      WHEN regexp_matches({core}, '[A-Z]') AND NOT regexp_matches({core}, '[a-z]') THEN runs[i]
+      ELSE replace(runs[i], {core}, replace({core}, ' ', '')) END), '') END AS t FROM {name}_runs),
+{name} AS (
+  SELECT {columns}, regexp_replace(regexp_replace(t, {_DOT}, '\1.\2', 'g'), {_DOT}, '\1.\2', 'g') AS full_text FROM {name}_joined)"""
+
+
+TEXTS = "docs AS (SELECT doc_id AS report_id, source AS class_id, lang AS course, text AS raw_text FROM documents),\n" + (
+    canonical_cte("texts", "docs", "report_id, class_id, course, raw_text"))
 
 
 def with_(*ctes: str) -> str:
