@@ -9,10 +9,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import CHECK_ITEMS, GENERAL, MISSING, PASSED, UNTESTED, WEAK
 from ..functions import text as X
 from ..functions.numbers import SCORE
-from ..functions.rows import literal_table, spread
+from ..functions.rows import first_row, literal_table, spread
+from ..functions.text import words
+from ..operators.history import append_history
 from ..operators.rubric import RUBRIC_SCHEMA
+from ..operators.sections import parse_reports
+from ..operators.transcripts import IMAGES
 
 ITEM_MAX = (15, 20, 25, 20, 20, 10, 10)
 SIGNALS = {
@@ -24,6 +29,9 @@ SIGNALS = {
 }
 
 
+BODY = "We measure one quantity and compare it with the accepted value in the table below"
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -167,6 +175,71 @@ class Tables:
             F.when((key + F.col("k")) % 5 == 0, " ").otherwise("checked by hand").alias("reason"),
             (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("k")).alias("created_at"))
 
+    # ---- lab reports: documents with the parts a health check looks for --------------
+    @cached_property
+    def lab(self) -> DataFrame:
+        r = F.col("report_id")
+        extra = [F.when(condition, text) for condition, text in (
+            (r % 2 == 0, f"objective\n{BODY}"), (r % 3 == 0, f"principle\n{BODY}"), (r % 4 < 3, "procedure step"),
+            (r % 5 != 0, "1. take 5 kg and 12.50 mm"), (r % 5 != 0, "2) wait 3.5 s 4.25 s 1.125 s"),
+            (r % 5 == 1, "(3) heat to 80 K"), (r % 3 == 1, "Table 1 data"), (r % 3 == 1, "12 13 14"),
+            (r % 3 == 1, "1, 2"), (r % 6 == 1, "3 4"), (r % 7 < 5, "Figure 2 the setup"), (r % 7 == 1, "see Fig 3"),
+            (r % 2 == 1, "[1] Book [2] Book [3] Book"), (r % 4 == 1, "https://example.org/a"), (r % 6 == 0, f"conclusion\n{BODY}"))]
+        spiked = F.concat("raw_text", F.lit("\n"), F.concat_ws("\n", *extra))
+        return parse_reports(self.reports.withColumns({"raw_text": spiked, "profile": F.lit(GENERAL)}), keep_raw=True)
+
+    # ---- health check items and history (events) ------------------------------------
+    @cached_property
+    def check_items(self) -> DataFrame:
+        """One row per (user, item): the last event of each of the twelve items; a third of the items untested."""
+        e = self.raw("events")
+        n = F.col("event_id")
+        items = e.select(
+            F.col("user_id").alias("check_id"), words(list(CHECK_ITEMS))[(n % 12).cast("int")].alias("item"),
+            n.alias("seq"), (n % 2).alias("version"),
+            F.least(F.lit(100), F.floor(F.col("value"))).cast("decimal(9,1)").alias("score"),
+            words((UNTESTED, PASSED, WEAK, MISSING, PASSED))[(n % 5).cast("int")].alias("status"))
+        return first_row(items, ["check_id", "item", "version"], [F.desc("seq")])
+
+    @cached_property
+    def payload(self) -> DataFrame:
+        """Model answers of health checks: clamped, unknown and overlong values included."""
+        n = F.col("event_id")
+        issue = F.struct(F.col("props").alias("problem"), F.lit("").alias("location"),
+                         F.when(n % 2 == 0, "较大").otherwise("huge").alias("impact"),
+                         F.repeat(F.lit("improve "), (n % 9).cast("int")).alias("direction"))
+        return self.raw("events").where("event_id % 20 = 0").select(
+            F.col("user_id").alias("check_id"),
+            words(("原理阐述", "数据处理与计算", "误差分析", "没有的项", "结论与讨论"))[
+                F.array_position(words(("view", "signup", "error", "purchase", "click")), F.col("event_type")).cast("int") - 1]
+            .alias("item"), n.alias("seq"), F.floor(F.col("value")).cast("double").alias("score"),
+            F.when(n % 3 == 0, "unknown").otherwise(PASSED).alias("status"), F.array_repeat(issue, (n % 6).cast("int")).alias("issues"))
+
+    @cached_property
+    def history(self) -> DataFrame:
+        """A visitor's space per ten users, an archive per user; times cut to the hour so that instants repeat."""
+        user = F.col("user_id")
+        sid = F.when(user % 30 == 7, "NOT-HEX!").otherwise(F.lpad(F.hex((user / 10).cast("int")), 8, "0"))
+        base = self.raw("events").select(
+            F.lower(sid).alias("sid"), F.concat(F.lit("report "), user.cast("string")).alias("name"),
+            F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("saved_at"), F.col("event_id").alias("entry_id"),
+            F.least(F.lit(100), F.floor(F.col("value"))).cast("bigint").alias("total"))
+        return append_history(base)
+
+    # ---- page transcripts (conversations) -------------------------------------------
+    @cached_property
+    def pages(self) -> DataFrame:
+        turn, conv = F.col("turn"), F.col("conv_id")
+        image = F.array(F.struct(F.when(conv % 2 == 0, " TABLE ").otherwise("hologram").alias("kind"),
+                                 F.concat(F.lit(" "), F.left("text", F.lit(12))).alias("caption"),
+                                 F.when(conv % 3 == 0, "x = 1").otherwise("").alias("content")))
+        return self.raw("conversations").select(
+            conv.alias("report_id"), (turn + 1).cast("int").alias("page_no"),
+            F.when(turn % 4 == 3, "").otherwise(F.col("text")).alias("text"),
+            F.when((turn + conv) % 3 == 0, image).otherwise(F.array().cast(IMAGES)).alias("images"),
+            F.lit(True).alias("legible"), F.when(F.col("role") == "system", "blurred").otherwise("").alias("notes"),
+            F.when(turn % 5 == 4, "timeout").otherwise("").alias("error"), (F.col("role") == "user").alias("cached"))
+
     @cached_property
     def rubric(self) -> DataFrame:
         """Five items of signal words; a literal table of five rows."""
@@ -310,5 +383,33 @@ TEXTS = "docs AS (SELECT doc_id AS report_id, source AS class_id, lang AS course
     canonical_cte("texts", "docs", "report_id, class_id, course, raw_text"))
 
 
+LAB = f"""lab AS (
+  SELECT doc_id, text || chr(10) || concat_ws(chr(10), CASE WHEN doc_id % 2 = 0 THEN 'objective' || chr(10) || '{BODY}' END,
+    CASE WHEN doc_id % 3 = 0 THEN 'principle' || chr(10) || '{BODY}' END, CASE WHEN doc_id % 4 < 3 THEN 'procedure step' END,
+    CASE WHEN doc_id % 5 <> 0 THEN '1. take 5 kg and 12.50 mm' END,
+    CASE WHEN doc_id % 5 <> 0 THEN '2) wait 3.5 s 4.25 s 1.125 s' END,
+    CASE WHEN doc_id % 5 = 1 THEN '(3) heat to 80 K' END, CASE WHEN doc_id % 3 = 1 THEN 'Table 1 data' END,
+    CASE WHEN doc_id % 3 = 1 THEN '12 13 14' END, CASE WHEN doc_id % 3 = 1 THEN '1, 2' END,
+    CASE WHEN doc_id % 6 = 1 THEN '3 4' END, CASE WHEN doc_id % 7 < 5 THEN 'Figure 2 the setup' END,
+    CASE WHEN doc_id % 7 = 1 THEN 'see Fig 3' END, CASE WHEN doc_id % 2 = 1 THEN '[1] Book [2] Book [3] Book' END,
+    CASE WHEN doc_id % 4 = 1 THEN 'https://example.org/a' END, CASE WHEN doc_id % 6 = 0 THEN 'conclusion' || chr(10) || '{BODY}' END) AS text
+  FROM documents)"""
+ITEM_LIST = "[" + ", ".join(f"'{name}'" for name in CHECK_ITEMS) + "]"
+WEIGHT_LIST = "[" + ", ".join(str(w) for w, _ in CHECK_ITEMS.values()) + "]"
+CHECKS = f"""raw_items AS (
+  SELECT user_id AS check_id, CAST(event_id % 12 AS INTEGER) + 1 AS item_ord, {ITEM_LIST}[event_id % 12 + 1] AS item,
+         {WEIGHT_LIST}[event_id % 12 + 1] AS weight, event_id AS seq, event_id % 2 AS version,
+         least(100, CAST(floor(value) AS BIGINT)) AS score,
+         ['未检测', '通过', '偏弱', '缺失', '通过'][event_id % 5 + 1] AS status FROM events),
+items AS (
+  SELECT * FROM raw_items QUALIFY row_number() OVER (PARTITION BY check_id, item, version ORDER BY seq DESC) = 1)"""
+HISTORY = """hist AS (
+  SELECT CASE WHEN user_id % 30 = 7 THEN 'not-hex!' ELSE lower(lpad(to_hex(user_id // 10), 8, '0')) END AS sid,
+         'report ' || user_id AS name, 'report' || user_id AS archive_key, date_trunc('hour', ts) AS saved_at,
+         event_id AS entry_id, least(100, CAST(floor(value) AS BIGINT)) AS total FROM events),
+history AS (
+  SELECT *, row_number() OVER (PARTITION BY sid, archive_key, saved_at ORDER BY entry_id) AS seq FROM hist)"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"

@@ -373,3 +373,18 @@ FROM attempts a JOIN (SELECT report_id, count(*) FILTER (system_error <> '') AS
 GROUP BY a.report_id""")
 def j21(t):
     return J.run_info(t.attempts, _resolved(t), t.texts)
+
+
+@query("e1_weak_items_of_texts", OFFLINE.rstrip() + """,
+per_item AS (
+  SELECT class_id, item_id, ord, count(*) AS counted, count(*) FILTER (verdict <> 'hit') AS weak,
+         CAST(sum(score_d) AS BIGINT) / 10.0 / count(*) AS avg_score
+  FROM graded GROUP BY ALL)
+SELECT class_id, item_id, weak, counted, weak / counted AS weak_ratio, avg_score,
+       row_number() OVER (PARTITION BY class_id ORDER BY weak / counted DESC, ord) AS weak_rank
+FROM per_item""")
+def e1(t):
+    """Texts to ranked weak spots: canonical text, rule engine, item statistics per class, rank."""
+    judged = _rule(t).withColumns({"pos": F.col("item_ord"), "item_name": F.col("item_id")})
+    return C.rank_weak_items(C.class_item_stats(judged)).select(
+        "class_id", "item_id", "weak", "counted", "weak_ratio", "avg_score", "weak_rank")
