@@ -23,6 +23,15 @@ def first_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return top_k(df, keys, order, 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    A one-element generator: filters and projections above it keep reading the result. A plain column
+    of a costly expression would be copied into every filter and lambda that mentions it.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def literal_table(spark: SparkSession, schema: str, rows: Sequence[Sequence]) -> DataFrame:
     """A small table written in code. Its size is known to the planner, so joins with it need no shuffle."""
     names = [part.strip().split(" ")[0] for part in _top_level(schema)]

@@ -118,3 +118,19 @@ def lines_of(c: Column) -> Column:
     """Split at every kind of line break; a final break does not open another line."""
     return bind(F.split(c, LINE_BREAK, -1),
                 lambda ls: F.when(F.get(ls, F.size(ls) - 1) == "", F.slice(ls, 1, F.size(ls) - 1)).otherwise(ls))
+
+
+def fold_case(c: Column) -> Column:
+    """Lower case, with the letters a case-insensitive regex also takes for s, k and i."""
+    return F.lower(F.translate(c, "\u017f\u212a\u0131\u0130", "skii"))
+
+
+def has_anchor(text: Column, anchors: Sequence[str]) -> Column:
+    """Whether any of the literal strings occurs; no anchors means always.
+
+    A substring search is some hundred times cheaper than a Unicode regex, so it goes first.
+    """
+    found = F.lit(not anchors)
+    for a in anchors:
+        found = found | F.contains(text, F.lit(a))
+    return found

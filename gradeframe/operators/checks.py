@@ -97,12 +97,13 @@ def slots_by_line(text: Column, vocab: Column, found: Column) -> Column:
 
 def map_slots(reports: DataFrame, by_line: bool = True) -> DataFrame:
     """Add ``slots``: eight bodies in slot order, NULL where the report has no such part."""
-    vocab = F.col("_vocab")
-    out = reports.withColumn("_vocab", vocabulary(F.col("profile"))).withColumn(
-        "slots", slots_by_title(F.col("sections"), vocab))
-    if by_line:
-        out = out.withColumn("slots", slots_by_line(F.col("raw_text"), vocab, F.col("slots")))
-    return out.drop("_vocab")
+    # sections and words are bound: a planner that copies their expressions into the per-slot lambda
+    # would cut the report into sections once per slot
+    def slots(vocab: Column) -> Column:
+        titled = X.bind(F.col("sections"), lambda ss: slots_by_title(ss, vocab))
+        return X.bind(titled, lambda found: slots_by_line(F.col("raw_text"), vocab, found)) if by_line else titled
+
+    return reports.withColumn("slots", X.bind(vocabulary(F.col("profile")), slots))
 
 
 def slot_rows(mapped: DataFrame) -> DataFrame:

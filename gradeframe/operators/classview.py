@@ -36,33 +36,40 @@ def first_judgement(details: DataFrame) -> DataFrame:
 
 def countable(details: DataFrame, exclude_recall_miss: bool = False) -> DataFrame:
     """Drop what is not the student's doing: system errors, optionally misses of keyword-recall reports."""
-    kept = details.where(F.coalesce("system_error", F.lit("")) == "")
+    return details.where(counts_for_student(exclude_recall_miss))
+
+
+def counts_for_student(exclude_recall_miss: bool = False) -> Column:
+    ok = F.coalesce("system_error", F.lit("")) == ""
     if exclude_recall_miss:
-        kept = kept.where(~((F.col("verdict") == "miss") & (F.col("coverage") == "retrieved")))
-    return kept
+        ok = ok & ~((F.col("verdict") == "miss") & (F.col("coverage") == "retrieved"))
+    return ok
 
 
 def class_item_stats(details: DataFrame, exclude_recall_miss: bool = False) -> DataFrame:
     """Counts, ratios and scores per (class, item); items nobody could be counted on stay with zeros."""
-    judged = countable(first_judgement(details), exclude_recall_miss)
-    has_max = F.col("max_score").isNotNull()
+    # the first judgement of every (report, item) also holds the first sighting of every item,
+    # so dictionary and figures come out of one pass over the details
+    ok = counts_for_student(exclude_recall_miss)
+    has_max = ok & F.col("max_score").isNotNull()
     scored = F.when(has_max, F.coalesce("score", F.lit(0)))
-    hit, partial = F.count_if(F.col("verdict") == "hit"), F.count_if(F.col("verdict") == "partial")
-    per_item = judged.groupBy("class_id", "item_id").agg(
-        F.count("*").alias("counted"), hit.alias("hit"), partial.alias("partial"),
-        F.sum(scored).alias("score_sum"), F.sum(F.col("max_score")).alias("max_sum"),
-        mean(scored).alias("avg_score"),
-        F.min_by("max_score", F.when(has_max, F.col("report_id"))).alias("max_score"),
-        F.count_if("needs_review").alias("needs_review"))
-    joined = class_items(details).join(per_item, ["class_id", "item_id"], "left")
-    n, h, p = (F.coalesce(F.col(c), F.lit(0)) for c in ("counted", "hit", "partial"))
-    return joined.select(
-        "class_id", "item_ord", "item_id", "item_name", n.alias("counted"), h.alias("hit"), p.alias("partial"),
-        (n - h - p).alias("miss"), (n - h).alias("weak"),
-        F.coalesce(ratio(n - h, n), F.lit(0.0)).alias("weak_ratio"),
-        F.coalesce(ratio(n - h - p, n), F.lit(0.0)).alias("miss_ratio"),
-        "avg_score", "max_score", ratio(F.col("score_sum"), F.col("max_sum")).alias("avg_ratio"),
-        F.coalesce("needs_review", F.lit(0)).alias("needs_review"))
+    n, h = F.count_if(ok), F.count_if(ok & (F.col("verdict") == "hit"))
+    p = F.count_if(ok & (F.col("verdict") == "partial"))
+    per_item = first_judgement(details).groupBy("class_id", "item_id").agg(
+        F.min(F.struct("report_id", "pos", F.coalesce("item_name", "item_id").alias("item_name"))).alias("first"),
+        n.alias("counted"), h.alias("hit"), p.alias("partial"),
+        F.sum(scored).alias("score_sum"), F.sum(F.when(has_max, F.col("max_score"))).alias("max_sum"),
+        mean(scored).alias("avg_score"), F.min_by("max_score", F.when(has_max, F.col("report_id"))).alias("max_score"),
+        F.count_if(ok & F.col("needs_review")).alias("needs_review"))
+    order = Window.partitionBy("class_id").orderBy("first.report_id", "first.pos", "item_id")
+    counted, weak = F.col("counted"), F.col("counted") - F.col("hit")
+    miss = weak - F.col("partial")
+    return per_item.select(
+        "class_id", F.row_number().over(order).alias("item_ord"), "item_id", F.col("first.item_name").alias("item_name"),
+        "counted", "hit", "partial", miss.alias("miss"), weak.alias("weak"),
+        F.coalesce(ratio(weak, counted), F.lit(0.0)).alias("weak_ratio"),
+        F.coalesce(ratio(miss, counted), F.lit(0.0)).alias("miss_ratio"),
+        "avg_score", "max_score", ratio(F.col("score_sum"), F.col("max_sum")).alias("avg_ratio"), "needs_review")
 
 
 def class_totals(results: DataFrame, stats: DataFrame | None = None) -> DataFrame:

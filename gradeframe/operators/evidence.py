@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
-from .sections import injection_columns
+from ..functions.rows import once
+from .sections import injection_labels, injection_snippet, section_at
 
 KEY = ["report_id", "item_id"]
 
@@ -59,9 +60,7 @@ def attach_locations(judgements: DataFrame, parsed: DataFrame) -> DataFrame:
 
     def place(q: Column) -> Column:
         def inside(at: Column) -> Column:
-            holder = F.filter("sections", lambda s: (s["char_start"] <= at) & (at < s["char_end"]))
-            return F.struct(F.coalesce(F.get(holder, F.lit(0))["id"], F.lit("")).alias("section_id"),
-                            q.alias("quote"), at.alias("char_start"))
+            return F.struct(section_at(F.col("sections"), at).alias("section_id"), q.alias("quote"), at.alias("char_start"))
         return X.bind(F.coalesce(X.find(F.col("full_text"), q), F.lit(-1)), inside)
 
     return joined.withColumn("evidence", F.transform("evidence", place)).drop("full_text", "sections")
@@ -87,9 +86,9 @@ def flag_injection(judgements: DataFrame, texts: DataFrame, distance: int = K.IN
 
     Only reports with such a phrase take part in the join.
     """
-    labels, snippet = injection_columns(F.col("full_text"))
-    suspicious = (texts.select("report_id", "full_text", labels.alias("_labels")).where(F.size("_labels") > 0)
-                  .select("report_id", "full_text", snippet.alias("_snippet"))
+    text = F.col("full_text")
+    suspicious = (once(texts.select("report_id", "full_text"), "_labels", injection_labels(text)).where(F.size("_labels") > 0)
+                  .select("report_id", "full_text", injection_snippet(text).alias("_snippet"))
                   .select("report_id", "full_text", X.find(F.col("full_text"), F.col("_snippet")).alias("_near")))
     joined = judgements.join(suspicious, "report_id", "left")
 

@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 
-_PII = tuple((label, X.unicode_regex(p), to) for label, p, to in K.PII_PATTERNS)
+_PII = tuple((label, X.unicode_regex(p), to, K.PII_ANCHORS.get(label, ())) for label, p, to in K.PII_PATTERNS)
 _HYGIENE = tuple((label, X.unicode_regex(p)) for label, p in K.HYGIENE_PATTERNS)
 _SECRET = X.unicode_regex(K.SECRET_SHAPE)
 
 
+def _count(text: Column, pattern: str, anchors: Sequence[str]) -> Column:
+    return F.when(X.has_anchor(text, anchors), F.regexp_count(text, F.lit(pattern))).otherwise(0)
+
+
+def looks_private(text: Column, label: str, pattern: str) -> Column:
+    """Whether a personal-data pattern occurs, with its cheap anchor first."""
+    return X.has_anchor(text, K.PII_ANCHORS.get(label, ())) & text.rlike(X.unicode_regex(pattern))
+
+
 def squeeze(c: Column) -> Column:
     """3 and more blanks become 2, 4 and more line breaks become 3."""
     return F.regexp_replace(F.regexp_replace(c, "[ \t]{3,}", "  "), "\n{4,}", "\n\n\n")
@@ -26,9 +35,9 @@ def redact(df: DataFrame, text: str = "raw_text", names: Sequence[str] = ()) ->
     """
     out = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
     counters = []
-    for i, (label, pattern, to) in enumerate(_PII):
-        out = out.withColumns({f"_n{i}": F.regexp_count("_t", F.lit(pattern)),
-                               "_t": F.regexp_replace("_t", pattern, to)})
+    for i, (label, pattern, to, anchors) in enumerate(_PII):
+        out = out.withColumn(f"_n{i}", _count(F.col("_t"), pattern, anchors))
+        out = out.withColumn("_t", F.when(F.col(f"_n{i}") > 0, F.regexp_replace("_t", pattern, to)).otherwise(F.col("_t")))
         counters.append((label, f"_n{i}"))
     out = out.withColumns(dict(zip(("_t", "_names"), _names_replaced(F.col("_t"), names))))
     counters.append(("known_names", "_names"))
@@ -55,8 +64,8 @@ def redact_names(df: DataFrame, names: Sequence[str], text: str = "raw_text") ->
 
 def residual_pii(df: DataFrame, text: str = "redacted") -> DataFrame:
     """(report_id, checker, n): what still looks like personal data; own placeholders do not count."""
-    counts = F.array(*[F.struct(F.lit(label).alias("checker"), F.regexp_count(
-        F.col(text), F.lit(X.unicode_regex(p))).alias("n")) for label, p in K.RESIDUAL_CHECKERS])
+    counts = F.array(*[F.struct(F.lit(label).alias("checker"), _count(
+        F.col(text), X.unicode_regex(p), K.PII_ANCHORS.get(label, ())).alias("n")) for label, p in K.RESIDUAL_CHECKERS])
     return df.select("report_id", F.inline_outer(counts)).where("n > 0")
 
 
@@ -177,7 +186,7 @@ def check_public(cases: DataFrame, cap: int = K.PUBLIC_CAP) -> DataFrame:
     text = F.coalesce("public_text", F.lit(""))
     problems = [F.when(~F.coalesce("is_public", F.lit(False)), "not_marked_public"),
                 F.when(F.length(text) > cap, "over_size_cap")]
-    problems += [F.when(text.rlike(X.unicode_regex(p)), label) for label, p in K.PUBLIC_CHECKERS]
+    problems += [F.when(looks_private(text, label, p), label) for label, p in K.PUBLIC_CHECKERS]
     return cases.select("report_id", F.explode_outer(F.array_compact(F.array(*problems))).alias("problem")).where(
         "problem is not null")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
+from ..functions.rows import once
 
 SECTION = "struct<id:string,title:string,level:int,text:string,char_start:int,char_end:int>"
 _HEADING = "|".join(f"(?:{X.unicode_regex(p)})" for p in K.HEADING_PATTERNS)
@@ -161,7 +162,7 @@ def parse_reports(reports: DataFrame, keep_raw: bool = False) -> DataFrame:
         return X.bind(X.canonical(raw), located)
 
     parsed = X.bind(X.normalize_newlines(F.col("raw_text")), both)
-    out = reports.select(*others, parsed.alias("_p")).select(
+    out = once(reports, "_p", parsed).select(
         *others, F.col("_p.raw").alias("raw_text"), F.col("_p.full").alias("full_text"), "_p.sections")
     return out if keep_raw else out.drop("raw_text")
 
@@ -242,30 +243,39 @@ def locate_quotes(quotes: DataFrame, parsed: DataFrame) -> DataFrame:
     joined = quotes.join(parsed.select("report_id", "full_text", "sections"), "report_id", "left")
     pos = F.coalesce(X.find(F.col("full_text"), F.col("quote")), F.lit(-1))
     joined = joined.withColumn("char_start", pos)
-    at = F.col("char_start")
-    holder = F.filter("sections", lambda s: (s["char_start"] <= at) & (at < s["char_end"]))
-    return joined.withColumn("section_id", F.coalesce(F.get(holder, F.lit(0))["id"], F.lit(""))).drop(
-        "full_text", "sections")
+    return joined.withColumn("section_id", section_at(F.col("sections"), F.col("char_start"))).drop("full_text", "sections")
 
 
-_INJECTION = tuple((r"(?iUd)" + p, label) for p, label in K.INJECTION_PATTERNS)
+def section_at(sections: Column, position: Column) -> Column:
+    """Id of the first section that holds a position; '' when none does."""
+    return X.bind(position, lambda at: F.coalesce(F.get(F.filter(
+        sections, lambda s: (s["char_start"] <= at) & (at < s["char_end"])), F.lit(0))["id"], F.lit("")))
 
 
-def injection_columns(text: Column) -> tuple[Column, Column]:
-    """(labels of the patterns found, snippet around the first hit of the first pattern found)."""
-    labels = F.array_compact(F.array(*[F.when(text.rlike(p), label) for p, label in _INJECTION]))
+_INJECTION = tuple(
+    (r"(?iUd)" + p, label, anchors) for (p, label), anchors in zip(K.INJECTION_PATTERNS, K.INJECTION_ANCHORS))
+
+
+def injection_labels(text: Column) -> Column:
+    """Labels of the manipulation patterns found; a pattern runs only where one of its anchors occurs."""
+    return X.bind(X.fold_case(text), lambda folded: F.array_compact(F.array(*[
+        F.when(X.has_anchor(folded, anchors) & text.rlike(p), label) for p, label, anchors in _INJECTION])))
+
+
+def injection_snippet(text: Column) -> Column:
+    """Text around the first hit of the first pattern found; meant for the few texts that have one."""
     snippet = F.lit("")
-    for pattern, _ in reversed(_INJECTION):
+    for pattern, _, _ in reversed(_INJECTION):
         at = F.regexp_instr(text, F.lit(pattern)) - 1
         hit = F.regexp_extract(text, pattern, 0)
         start = F.greatest(at - K.INJECTION_SNIPPET_PAD, F.lit(0))
         around = X.piece(text, start, at + F.length(hit) + K.INJECTION_SNIPPET_PAD - start)
         snippet = F.when(text.rlike(pattern), around).otherwise(snippet)
-    return labels, snippet
+    return snippet
 
 
 def detect_injection(parsed: DataFrame) -> DataFrame:
     """(report_id, labels, snippet) for reports with at least one manipulation phrase."""
-    labels, snippet = injection_columns(F.col("full_text"))
-    found = parsed.select("report_id", "full_text", labels.alias("labels")).where(F.size("labels") > 0)
-    return found.select("report_id", "labels", snippet.alias("snippet"))
+    text = F.col("full_text")
+    found = once(parsed.select("report_id", "full_text"), "labels", injection_labels(text)).where(F.size("labels") > 0)
+    return found.select("report_id", "labels", injection_snippet(text).alias("snippet"))

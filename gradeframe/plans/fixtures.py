@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import CHECK_ITEMS, GENERAL, MISSING, PASSED, UNTESTED, WEAK
 from ..functions import text as X
 from ..functions.numbers import SCORE
-from ..functions.rows import first_row, literal_table, spread
+from ..functions.rows import first_row, literal_table, once, spread
 from ..functions.text import words
 from ..operators.history import append_history
 from ..operators.rubric import RUBRIC_SCHEMA
@@ -94,8 +94,7 @@ class Tables:
     @cached_property
     def texts(self) -> DataFrame:
         """Canonical texts without sections, for operators that need no lines."""
-        return self.reports.select("report_id", "class_id", "course", "rubric_id",
-                                   X.canonical(F.col("raw_text")).alias("full_text"))
+        return once(self.reports, "full_text", X.canonical(F.col("raw_text"))).drop("raw_text")
 
     @cached_property
     def attempts(self) -> DataFrame:

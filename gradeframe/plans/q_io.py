@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import classview as C
 from ..operators import model_json as MJ
+from ..operators.redact import looks_private
 from ..session import scratch
 from ..sources import readers, sinks
 from ..streaming import intake
@@ -207,8 +208,8 @@ SELECT CAST(report_id AS VARCHAR) AS report_id, report_id = 1 AS is_default FROM
 def s12(t):
     from ..constants import PUBLIC_CHECKERS
     private = F.lit(False)
-    for _, pattern in PUBLIC_CHECKERS:
-        private = private | F.col("full_text").rlike(X.unicode_regex(pattern))
+    for label, pattern in PUBLIC_CHECKERS:
+        private = private | looks_private(F.col("full_text"), label, pattern)
     cases = t.texts.where(~private).select(
         F.col("report_id").cast("string").alias("report_id"), F.left("full_text", F.lit(6000)).alias("public_text"),
         F.lit(True).alias("is_public"))
