@@ -15,8 +15,14 @@ from .evidence import KEY, flag, is_traceable, no_quotes, with_texts
 from .sections import coverage_of, with_rubric
 
 
-def _item_limits(rubric: DataFrame) -> DataFrame:
-    return rubric.select("item_id", F.col("max_score").cast(SCORE).alias("max_score"))
+def _join_rubric(rows: DataFrame, rubric: DataFrame, how: str, *columns: Column) -> DataFrame:
+    """Meet the rubric on item_id, and on rubric_id too when the rows carry one (many rubrics at once)."""
+    keys = ["rubric_id", "item_id"] if "rubric_id" in rows.columns else ["item_id"]
+    return rows.join(rubric.select(*keys, *columns), keys, how)
+
+
+def _max(name: str = "max_score") -> Column:
+    return F.col("max_score").cast(SCORE).alias(name)
 
 
 def normalize_judgements(raw: DataFrame, rubric: DataFrame) -> DataFrame:
@@ -24,7 +30,7 @@ def normalize_judgements(raw: DataFrame, rubric: DataFrame) -> DataFrame:
 
     Contradictions between verdict and score are marked for review, the score is never bent to fit.
     """
-    j = raw.join(_item_limits(rubric), "item_id", "left")
+    j = _join_rubric(raw, rubric, "left", _max())
     top = F.coalesce(F.nullif("max_score", F.lit(0).cast(SCORE)), F.lit(100).cast(SCORE))
     legal = F.coalesce(F.col("verdict").isin(*K.VERDICTS), F.lit(False))
     confidence, score = (F.col(c).cast("string") for c in ("confidence", "score"))
@@ -101,7 +107,7 @@ def consistency_guard(first: DataFrame, second: DataFrame, rubric: DataFrame,
     """
     s = second.select(*KEY, F.struct("verdict", "score", "valid", F.coalesce("error", F.lit("")).alias("error"))
                       .alias("_second"))
-    j = first.join(_item_limits(rubric), "item_id", "left").join(s, KEY, "left")
+    j = _join_rubric(first, rubric, "left", _max()).join(s, KEY, "left")
     certain = (F.col("confidence") >= threshold) & (F.col("verdict") == "hit") & ~F.col("needs_review")
     t = F.col("_second")
     failed = t.isNull() | (t["error"] != "")
@@ -158,8 +164,8 @@ def apply_overrides(judgements: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def export_rows(effective: DataFrame, rubric: DataFrame) -> DataFrame:
     """One row per rubric item and one total row per report (item_ord 0 sorts it last on display)."""
-    names = rubric.select("item_id", F.col("ord").alias("item_ord"), "name", F.col("max_score").cast(SCORE).alias("top"))
-    lines = effective.join(names, "item_id").select(
+    named = _join_rubric(effective, rubric, "inner", F.col("ord").alias("item_ord"), F.col("name"), _max("top"))
+    lines = named.select(
         "report_id", "item_ord", "name", "verdict", F.col("score").alias("ai_score"), "final_score", "top",
         F.when(F.col("needs_review"), "yes").otherwise("").alias("needs_review"),
         F.coalesce("system_error", F.lit("")).alias("system_error"),
@@ -255,8 +261,8 @@ def rule_judge(texts: DataFrame, rubric: DataFrame) -> DataFrame:
 
 def lost_points(judgements: DataFrame, rubric: DataFrame, k: int = 3) -> DataFrame:
     """The k items that cost a report most, among those not fully reached."""
-    items = rubric.select("item_id", "ord", "name", F.col("max_score").cast(SCORE).alias("top"))
-    weak = judgements.where(F.col("verdict").isin(*K.WEAK_VERDICTS)).select(*KEY, "verdict", "score").join(items, "item_id")
+    weak = _join_rubric(judgements.where(F.col("verdict").isin(*K.WEAK_VERDICTS)), rubric, "inner",
+                        F.col("ord"), F.col("name"), _max("top"))
     weak = weak.withColumn("lost", (F.col("top") - F.col("score")).cast(SCORE))
     return top_k(weak, ["report_id"], [F.desc("lost"), F.col("ord")], k, "rank").select(
         "report_id", "rank", "item_id", "name", "verdict", "lost")
@@ -264,8 +270,7 @@ def lost_points(judgements: DataFrame, rubric: DataFrame, k: int = 3) -> DataFra
 
 def rule_feedback(judgements: DataFrame, rubric: DataFrame) -> DataFrame:
     """(report_id, not_full, missing, suggestions): up to 3 missing and 2 partial items, in rubric order."""
-    items = rubric.select("item_id", "ord", "name")
-    weak = judgements.where(F.col("verdict") != "hit").select(*KEY, "verdict").join(items, "item_id")
+    weak = _join_rubric(judgements.where(F.col("verdict") != "hit"), rubric, "inner", F.col("ord"))
     # a report has at most one row per rubric item here
     per_report = weak.groupBy("report_id").agg(
         F.count("*").alias("not_full"), F.count_if(F.col("verdict") == "miss").alias("missing"),
@@ -311,7 +316,7 @@ def audit_results(results: DataFrame, judgements: DataFrame, rubric: DataFrame,
     Checks: every quote verbatim, total = sum, rule-engine rows flagged, item known, score within its maximum.
     """
     stored = results.select("report_id", "total", "engine")
-    rows = (judgements.join(_item_limits(rubric), "item_id", "left")
+    rows = (_join_rubric(judgements, rubric, "left", _max())
             .join(stored.select("report_id", "engine"), "report_id", "left"))
     checks = [
         F.when(F.col("max_score").isNull(), "unknown_item"),
@@ -334,8 +339,7 @@ def as_records(judgements: DataFrame, rubric: DataFrame, results: DataFrame) ->
 
     The nested list of a report holds one entry per rubric item (first judgement wins before nesting).
     """
-    items = rubric.select("item_id", "ord", "name", F.col("max_score").cast(SCORE).alias("max"))
-    rows = judgements.join(items, "item_id", "left")
+    rows = _join_rubric(judgements, rubric, "left", F.col("ord"), F.col("name"), _max("max"))
     detail = F.struct(
         F.coalesce("ord", F.lit(0)).alias("ord"), F.col("item_id").alias("id"),
         F.coalesce("name", "item_id").alias("name"), "verdict", F.col("score").alias("s"), "max", "confidence",

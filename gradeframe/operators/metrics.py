@@ -100,19 +100,25 @@ def compare_totals(gold: DataFrame, results: DataFrame) -> DataFrame:
         "status", F.when(F.col("ai").isNull(), "not_evaluated").otherwise("compared"))
 
 
+def _mae_columns(tolerance: int = 5) -> list[Column]:
+    gap = F.abs("diff")
+    return [F.count("diff").alias("n"), mean(gap).alias("mae"),
+            ratio(100 * F.count_if(gap <= tolerance), F.count("diff")).alias("within")]
+
+
+def _pearson_column() -> Column:
+    return pearson_of(as_units(F.col("gold"), 100), as_units(F.col("ai"), 100)).alias("pearson")
+
+
 def mae_within(compared: DataFrame, tolerance: int = 5) -> DataFrame:
     """(batch_id, n, mae, within): mean absolute difference and share within the tolerance."""
-    gap = F.abs("diff")
-    return compared.groupBy("batch_id").agg(
-        F.count("diff").alias("n"), mean(gap).alias("mae"),
-        ratio(100 * F.count_if(gap <= tolerance), F.count("diff")).alias("within"))
+    return compared.groupBy("batch_id").agg(*_mae_columns(tolerance))
 
 
 def pearson(compared: DataFrame) -> DataFrame:
     """(batch_id, n, pearson): NULL for fewer than 3 pairs or a constant side."""
-    x, y = as_units(F.col("gold"), 100), as_units(F.col("ai"), 100)
-    both = x.isNotNull() & y.isNotNull()
-    return compared.groupBy("batch_id").agg(F.count_if(both).alias("n"), pearson_of(x, y).alias("pearson"))
+    both = F.col("gold").isNotNull() & F.col("ai").isNotNull()
+    return compared.groupBy("batch_id").agg(F.count_if(both).alias("n"), _pearson_column())
 
 
 def item_agreement(gold_items: DataFrame, judgements: DataFrame) -> DataFrame:
@@ -151,23 +157,30 @@ def cost_and_review(judgements: DataFrame, results: DataFrame) -> DataFrame:
     return per_item.join(per_report, "batch_id", "full")
 
 
+def _discrimination_columns(t: Column) -> list[Column]:
+    perfect = F.count_if(t >= K.PERFECT_SCORE)
+    return [F.max(t).cast("double").alias("max"), F.min(t).cast("double").alias("min"),
+            (F.max(t) - F.min(t)).cast("double").alias("range"), pop_stddev(as_units(t, 10), 10).alias("stdev"),
+            perfect.alias("perfect_count"), ratio(100 * perfect, F.count(t)).alias("perfect_ratio")]
+
+
 def discrimination(results: DataFrame, total: str = "total") -> DataFrame:
     """(batch_id, n, max, min, range, stdev, perfect_count, perfect_ratio)."""
     t = F.col(total)
-    perfect = F.count_if(t >= K.PERFECT_SCORE)
-    return results.groupBy("batch_id").agg(
-        F.count(t).alias("n"), F.max(t).cast("double").alias("max"), F.min(t).cast("double").alias("min"),
-        (F.max(t) - F.min(t)).cast("double").alias("range"), pop_stddev(as_units(t, 10), 10).alias("stdev"),
-        perfect.alias("perfect_count"), ratio(100 * perfect, F.count(t)).alias("perfect_ratio"))
+    return results.groupBy("batch_id").agg(F.count(t).alias("n"), *_discrimination_columns(t))
 
 
 def benchmark_report(compared: DataFrame, agreement: DataFrame, cost: DataFrame,
                      trace: DataFrame | None = None) -> DataFrame:
-    """One row per batch with every metric; all inputs are already one row per batch."""
-    evaluated = compared.where(F.col("status") == "compared").withColumn("total", F.col("ai"))
-    out = mae_within(evaluated).withColumnRenamed("n", "reports")
-    missing = compared.groupBy("batch_id").agg(F.count_if(F.col("ai").isNull()).alias("not_evaluated"))
-    for part in (missing, pearson(evaluated).drop("n"), agreement, cost, discrimination(evaluated).drop("n"), trace):
+    """One row per batch with every metric.
+
+    All report-level figures come from one aggregate over the comparison; the other inputs are already
+    one row per batch.
+    """
+    out = compared.groupBy("batch_id").agg(
+        *_mae_columns(), _pearson_column(), F.count_if(F.col("ai").isNull()).alias("not_evaluated"),
+        *_discrimination_columns(F.col("ai"))).withColumnRenamed("n", "reports")
+    for part in (agreement, cost, trace):
         if part is not None:
             out = out.join(part, "batch_id", "left")
     return out

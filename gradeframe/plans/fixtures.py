@@ -29,6 +29,7 @@ SIGNALS = {
 }
 
 
+COURSES = ("en", "fr", "de", "es")
 BODY = "We measure one quantity and compare it with the accepted value in the table below"
 
 
@@ -89,7 +90,7 @@ class Tables:
         docs = spread(self.raw("documents").select("doc_id", "text", "lang", "source"), "doc_id")
         return docs.select(F.col("doc_id").alias("report_id"), F.col("text").alias("raw_text"),
                            F.col("lang").alias("course"), F.col("source").alias("class_id"),
-                           F.lit("signals").alias("rubric_id"))
+                           F.when(F.col("lang").isin(*COURSES), F.col("lang")).otherwise(COURSES[0]).alias("rubric_id"))
 
     @cached_property
     def texts(self) -> DataFrame:
@@ -241,11 +242,16 @@ class Tables:
 
     @cached_property
     def rubric(self) -> DataFrame:
-        """Five items of signal words; a literal table of five rows."""
-        rows = [("signals", i + 1, item, f"Item {i + 1}", f"criteria {i + 1}", float(ITEM_MAX[i]), list(s), [])
-                for i, (item, s) in enumerate(SIGNALS.items())]
+        """Five items of signal words for each course; a literal table of twenty rows."""
+        rows = [(course, i + 1, item, f"Item {i + 1}", f"criteria {i + 1}", float(ITEM_MAX[i]), list(s), [])
+                for course in COURSES for i, (item, s) in enumerate(SIGNALS.items())]
         return literal_table(self.spark, RUBRIC_SCHEMA, rows)
 
+    @cached_property
+    def one_rubric(self) -> DataFrame:
+        """The five items of one course, for judgements that carry no rubric_id."""
+        return self.rubric.where(F.col("rubric_id") == COURSES[0])
+
 
 # ---- the same views in SQL ---------------------------------------------------------
 DETAILS = """details AS (

@@ -108,7 +108,7 @@ def j2(t):
             (F.col("score") * F.when(pos % 7 == 0, 9).otherwise(1)).cast("string")).alias("score"),
         F.when(pos % 17 == 0, "high").when(pos % 5 == 0, "5").otherwise(F.col("confidence").cast("string")).alias("confidence"),
         F.array().cast("array<string>").alias("evidence"))
-    out = J.normalize_judgements(raw, t.rubric)
+    out = J.normalize_judgements(raw, t.one_rubric)
     return _joined(_doubles(out, "score"), "notes").select(
         "report_id", "item_id", "pos", "verdict", "score", "confidence", "needs_review", "notes")
 
@@ -315,7 +315,7 @@ SELECT report_id, count(*) AS not_full, count(*) FILTER (verdict = 'miss') AS mi
                 '') AS suggestions
 FROM weak GROUP BY report_id""")
 def j18(t):
-    return _joined(J.rule_feedback(_rule(t), t.rubric), "suggestions")
+    return _joined(J.rule_feedback(_rule(t), t.one_rubric), "suggestions")
 
 
 @query("j18_lost_points", with_(DETAILS, FIRST, LIMITS_SQL) + """
@@ -336,7 +336,7 @@ UNION ALL SELECT r.report_id, '', 'total_is_not_sum' FROM results r LEFT JOIN su
 UNION ALL SELECT f.report_id, item_id, 'rule_row_not_flagged' FROM firsts f JOIN results r USING (report_id)
           WHERE NOT needs_review AND engine = 'rule'""")
 def j19(t):
-    rubric = t.rubric.withColumn("max_score", F.lit(15.0))
+    rubric = t.one_rubric.withColumn("max_score", F.lit(15.0))
     return J.audit_results(t.results, _first(t).drop("max_score"), rubric)
 
 
@@ -347,7 +347,7 @@ def j19b(t):
     judged = _rule(t).withColumn("evidence", F.when(
         F.col("report_id") % 4 == 0, F.transform("evidence", lambda q: F.concat(q, F.lit("#altered#")))).otherwise(F.col("evidence")))
     totals = J.report_totals(judged).withColumn("engine", F.lit("rule"))
-    return J.audit_results(totals, judged.drop("max_score"), t.rubric, t.texts)
+    return J.audit_results(totals, judged.drop("max_score"), t.one_rubric, t.texts)
 
 
 @query("j20_as_records", with_(DETAILS, FIRST, RESULTS, LIMITS_SQL) + """

@@ -65,7 +65,7 @@ UNION ALL SELECT 'excluded', CAST(report_id AS VARCHAR), '', '' FROM state WHERE
 UNION ALL SELECT 'problem', CAST(report_id AS VARCHAR), item_id, problem FROM marked WHERE problem IS NOT NULL
 UNION ALL SELECT 'problem', CAST(report_id AS VARCHAR), '', 'partly_filled' FROM state WHERE filled BETWEEN 1 AND 4""")
 def m1(t):
-    got = M.import_gold(t.sheet, t.rubric)
+    got = M.import_gold(t.sheet, t.one_rubric)
     items = got.items.select(F.lit("item").alias("kind"), "report_id", "item_id", F.concat_ws(
         " ", F.col("score").cast("int").cast("string"), "verdict").alias("info"))
     excluded = got.excluded.select(F.lit("excluded").alias("kind"), "report_id", F.lit("").alias("item_id"),

@@ -1,5 +1,8 @@
 """Text preparation, rubric, redaction and clipping queries on documents, pages and part."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -9,7 +12,7 @@ from ..operators import redact as R
 from ..operators import rubric as B
 from ..operators import sections as S
 from .catalog import query
-from .fixtures import ATTEMPTS, TEXTS, canonical_cte, with_
+from .fixtures import ATTEMPTS, COURSES, TEXTS, canonical_cte, with_
 from .q_judge import RUBRIC_SQL, SPIKED, _spiked
 
 WS = "chr(32) || chr(9) || chr(10) || chr(13)"
@@ -254,7 +257,8 @@ def b3(t):
 WITH r(item_id, top) AS (VALUES ('r1', 15), ('r2', 20), ('r3', 25), ('r4', 20), ('r5', 20))
 SELECT source AS class_id, item_id, CAST(top AS DOUBLE) AS max_score, count(*) AS misses FROM documents CROSS JOIN r GROUP BY ALL""")
 def b4(t):
-    judged = J.rule_judge(t.texts.withColumn("rubric_id", F.lit("default")), B.default_rubric(t.spark))
+    rubric = reduce(DataFrame.unionByName, [B.default_rubric(t.spark, course) for course in COURSES])
+    judged = J.rule_judge(t.texts, rubric)
     return _doubles(judged.where("verdict = 'miss'").groupBy("class_id", "item_id", "max_score").agg(
         F.count("*").alias("misses")), "max_score")
 
