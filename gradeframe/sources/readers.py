@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..functions.numbers import SCORE
+from ..functions.rows import once
 
 _DETAIL = ("struct<id:string,name:string,verdict:string,v:string,s:string,max:string,confidence:string,"
            "needs_review:boolean,system_error:string,evidence:array<string>,dropped:array<string>>")
@@ -49,13 +50,17 @@ def read_graded_batches(spark: SparkSession, path: str, one_per_line: bool = Fal
     """
     docs = _documents(spark, path, one_per_line)
     bare = F.startswith(F.ltrim("value"), F.lit("["))
-    parsed = docs.select(
-        "file", "modified_at", F.when(~bare, F.from_json("value", BATCH_SCHEMA)).alias("b"),
-        F.when(bare, F.from_json("value", f"array<{_REPORT}>")).alias("list"))
-    filled = [F.when(F.size(c) > 0, c) for c in (F.col("b.results"), F.col("b.reports"), F.col("b.details"), F.col("list"))]
-    rows = parsed.select("file", "modified_at", F.col("b.created_at").alias("created_at"), F.col("b.engine").alias("engine"),
-                         F.coalesce(F.nullif("b.config.course", F.lit("")), "b.course", F.lit("")).alias("course"),
-                         F.coalesce(*filled).alias("reports"))
+
+    def content(p: Column) -> Column:
+        b = p["b"]
+        filled = [F.when(F.size(c) > 0, c) for c in (b["results"], b["reports"], b["details"], p["list"])]
+        return F.struct(b["created_at"].alias("created_at"), b["engine"].alias("engine"),
+                        F.coalesce(F.nullif(b["config"]["course"], F.lit("")), b["course"], F.lit("")).alias("course"),
+                        F.coalesce(*filled).alias("reports"))
+
+    document = F.struct(F.when(~bare, F.from_json("value", BATCH_SCHEMA)).alias("b"),
+                        F.when(bare, F.from_json("value", f"array<{_REPORT}>")).alias("list"))
+    rows = once(docs, "_c", X.bind(document, content)).select("file", "modified_at", "_c.*")
     usable = rows.where(F.exists("reports", lambda r: F.size(r["details"]) > 0))
     one = usable.select("file", "modified_at", "created_at", "engine", "course",
                         F.posexplode_outer("reports").alias("report_ord", "r"))
@@ -88,7 +93,7 @@ def read_preset_results(spark: SparkSession, path: str, one_per_line: bool = Fal
     wrapped = F.from_json("value", f"_meta struct<engine:string,full_text:string,source_file:string>, "
                                    f"engine string, full_text string, result struct<{_colon(_RESULT)}>")
     flat = F.from_json("value", _RESULT)
-    rows = docs.select("file", wrapped.alias("w"), flat.alias("f")).select(
+    rows = once(docs, "_d", F.struct(wrapped.alias("w"), flat.alias("f"))).select("file", "_d.w", "_d.f").select(
         "file", F.coalesce("w._meta.engine", "w.engine").alias("engine"),
         F.coalesce("w._meta.full_text", "w.full_text").alias("full_text"), F.coalesce("w.result", "f").alias("r"))
     return rows.where(F.col("r.judgements").isNotNull()).select(
