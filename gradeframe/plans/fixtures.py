@@ -49,7 +49,9 @@ class Tables:
         return self.raw("lineitem").select(
             F.concat(F.lit("c"), F.pmod("l_orderkey", F.lit(25)).cast("string")).alias("class_id"),
             F.col("l_orderkey").alias("report_id"),
-            (F.col("l_partkey") * 10000000 + F.col("l_suppkey")).alias("pos"),
+            # part, then price and supplier: tells apart equal (order, line, part, supplier) rows
+            (F.col("l_partkey") * 10000000 + F.pmod(
+                F.round(F.col("l_extendedprice") * 100).cast("bigint") * 31 + F.col("l_suppkey"), F.lit(10000000))).alias("pos"),
             F.concat(F.lit("r"), n.cast("string")).alias("item_id"),
             F.concat(F.lit("Item "), n.cast("string")).alias("item_name"),
             F.when(F.col("l_returnflag") == "R", "hit").when(F.col("l_returnflag") == "A", "partial")
@@ -256,7 +258,7 @@ class Tables:
 # ---- the same views in SQL ---------------------------------------------------------
 DETAILS = """details AS (
   SELECT 'c' || (l_orderkey % 25) AS class_id, l_orderkey AS report_id,
-         l_partkey * 10000000 + l_suppkey AS pos, 'r' || l_linenumber AS item_id,
+         l_partkey * 10000000 + (CAST(round(l_extendedprice * 100) AS BIGINT) * 31 + l_suppkey) % 10000000 AS pos, 'r' || l_linenumber AS item_id,
          'Item ' || l_linenumber AS item_name,
          CASE l_returnflag WHEN 'R' THEN 'hit' WHEN 'A' THEN 'partial' ELSE 'miss' END AS verdict,
          CAST(l_quantity AS BIGINT) * 2 * [15,20,25,20,20,10,10][l_linenumber] AS score_c,
