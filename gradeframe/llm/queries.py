@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import mixing, quality, simhash
+from . import mixing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,14 @@ def op1(docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs)
 
 
+@_query("op4_tokens", "documents")
+def op4(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Written, read back and digested."""
+    import public_tokenizers
+
+    return tokens.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @_query("op5_mix", "documents")
 def op5(docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(docs)
