@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeframe.llm import mixing, quality, simhash, tokens
+from gradeframe.llm import decontam, mixing, quality, simhash, tokens
 from gradeframe.llm.graph import staged
 from gradeframe.session import tune
 
@@ -18,6 +18,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(docs)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no test item of ``benchmark``."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources meet their target weights."""
     return mixing.mix_documents(docs)
@@ -28,7 +33,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality_stage), ("simhash near-dedup", dedup_stage), ("source mixing", mixing_stage), ("token output", token_stage)]
+STAGES = [("quality rules", quality_stage), ("simhash near-dedup", dedup_stage), ("benchmark decontamination", decontamination_stage),
+          ("source mixing", mixing_stage), ("token output", token_stage)]
 
 #: SQL states neither the rolling-hash rules nor the graph closure, the Newton steps or the tokenizer.
 ORACLE_SQL = None

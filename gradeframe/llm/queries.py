@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import mixing, quality, simhash, tokens
+from . import decontam, mixing, quality, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,26 @@ def op5(docs: DataFrame, sf_dir: str) -> DataFrame:
 def op6(docs: DataFrame, sf_dir: str) -> DataFrame:
     """The measures and verdict of every document."""
     return quality.quality_measures(docs)
+
+
+_CONTAINMENT = """
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, trim(lower(coalesce(text, '')), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents
+  UNION ALL
+  SELECT 'i', item_id, trim(lower(coalesce(text, '')), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) FROM benchmark),
+words AS (SELECT side, id, t, string_split_regex(t, '[\\x20\\x09-\\x0D]+') AS w FROM texts WHERE t <> ''),
+shingles AS (
+  SELECT DISTINCT side, id, t, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words)),
+sized AS (SELECT *, count(*) OVER (PARTITION BY id, t) AS size FROM shingles WHERE side = 'i')
+SELECT d.id AS doc_id, q.id AS item_id, count(*) AS n_shared, q.size AS n_shingles
+FROM shingles d JOIN sized q ON d.s = q.s WHERE d.side = 'd'
+GROUP BY d.id, d.t, q.id, q.t, q.size HAVING count(*) >= 0.8 * q.size - 1e-9
+"""
+
+
+@_query("op7_decontaminate", "documents", _CONTAINMENT)
+def op7(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with each test item that it contains."""
+    items = docs.sparkSession.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.contained_items(docs, items).drop("row")
