@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import decontam, mixing, quality, simhash, tokens
+from . import decontam, mixing, quality, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,27 @@ def op7(docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with each test item that it contains."""
     items = docs.sparkSession.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontam.contained_items(docs, items).drop("row")
+
+
+_RULES = """
+WITH rules(r_verdict, r_host, r_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+urls AS (
+  SELECT page_id, path,
+         translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)),
+fits AS (
+  SELECT host, path, arg_max(r_host || r_path, length(r_host || r_path) * 1000 + length(r_host)) AS rule,
+         arg_max(r_verdict, length(r_host || r_path) * 1000 + length(r_host)) AS r_verdict
+  FROM (SELECT DISTINCT host, path FROM urls) JOIN rules
+    ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+  GROUP BY host, path)
+SELECT page_id, urls.host, urls.path, rule, coalesce(r_verdict, 'allow') AS verdict
+FROM urls LEFT JOIN fits ON urls.host = fits.host AND urls.path = fits.path
+"""
+
+
+@_query("op8_urls", "pages", _RULES)
+def op8(pages: DataFrame, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judge_urls(pages, urls.rule_table(pages.sparkSession))
