@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import decontam, mixing, quality, simhash, tokens, urls
+from . import decontam, mixing, quality, secrets, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,12 @@ def op1(docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(docs)
 
 
+@_query("op2_secrets", "documents")
+def op2(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All secret spans of every document."""
+    return secrets.secret_digests(docs)
+
+
 @_query("op4_tokens", "documents")
 def op4(docs: DataFrame, sf_dir: str) -> DataFrame:
     """Written, read back and digested."""
