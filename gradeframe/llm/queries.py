@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import decontam, mixing, quality, secrets, simhash, tokens, urls
+from . import bloomlm, decontam, mixing, quality, secrets, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,9 @@ FROM urls LEFT JOIN fits ON urls.host = fits.host AND urls.path = fits.path
 def op8(pages: DataFrame, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     return urls.judge_urls(pages, urls.rule_table(pages.sparkSession))
+
+
+@_query("op9_lm", "documents")
+def op9(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
+    return bloomlm.score_texts(docs)
