@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bloomlm, decontam, mixing, quality, secrets, simhash, tokens, urls
+from . import bloomlm, decontam, lines, mixing, quality, secrets, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,9 @@ def op8(pages: DataFrame, sf_dir: str) -> DataFrame:
 def op9(docs: DataFrame, sf_dir: str) -> DataFrame:
     """Base and model scores of every document."""
     return bloomlm.score_texts(docs)
+
+
+@_query("op10_lines", "documents")
+def op10(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removed lines of every document."""
+    return lines.line_report(docs)
