@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bloomlm, decontam, lines, mixing, quality, secrets, simhash, tokens, urls
+from . import bloomlm, decontam, lines, mixing, paragraphs, quality, secrets, simhash, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,12 @@ def op2(docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(docs)
 
 
+@_query("op3_passages", "documents")
+def op3(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document."""
+    return paragraphs.repeated_passages(docs)
+
+
 @_query("op4_tokens", "documents")
 def op4(docs: DataFrame, sf_dir: str) -> DataFrame:
     """Written, read back and digested."""
