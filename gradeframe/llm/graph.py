@@ -20,6 +20,14 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node of its component.
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import once
 from ..functions.text import bind
-from .graph import components, staged
+from .graph import components, spare, staged
 
 RADIUS, SIMILARITY, BITS = 3, 0.8, 64
 #: Digits of the counters, by the most words that they can count; longer lines take the last.
@@ -161,7 +161,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the removed lines taken out of the texts, all columns kept. ``docs`` must be a table (a scan), whose rows are
     numbered alike each time it is read."""
     gone = line_groups(docs, **options).where("removed").groupBy("text_no").agg(F.collect_set("pos").alias("_gone"))
-    met = docs.withColumn("_no", F.monotonically_increasing_id()).join(gone, F.col("_no") == gone["text_no"], "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n")).alias("text")
-    return met.select(*[text if c == "text" else docs[c] for c in docs.columns])
+    number = spare(docs, "_no")
+    mine = docs.withColumn(number, F.monotonically_increasing_id())
+    met = mine.join(gone, mine[number] == gone["text_no"], "left")
+    kept = F.filter(F.split(mine["text"], "\n", -1), lambda line, k: ~F.array_contains(gone["_gone"], k))
+    text = F.when(gone["_gone"].isNull(), mine["text"]).otherwise(F.array_join(kept, "\n")).alias("text")
+    return met.select(*[text if c == "text" else mine[c] for c in docs.columns])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import staged
+from .graph import spare, staged
 from .words import runs
 
 WEIGHTS = (3, 1, 2)
@@ -105,16 +105,15 @@ def _rate(tilt: Column, cap: int) -> Column:
     return cap / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), tilt))))
 
 
-def round_along(size: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """Copies of n equal rows each: every row gets its rate rounded down or up, so that the words taken so far stay as close
-    to the words due as the size at hand allows. Sizes descend, so the last misses are those of the smallest documents."""
-    low = np.floor(rate)
+def round_along(size: np.ndarray, n: np.ndarray, rate: np.ndarray, cap: int = CAP) -> np.ndarray:
+    """Copies of n equal rows each: the whole number, at most ``cap`` per row, that brings the words taken so far closest to the
+    words due. Sizes descend, so what a long document misses is made up by shorter ones and the last misses are small."""
     total, due = np.zeros(len(size), np.int64), 0.0
     for i in range(len(size)):
         words = max(int(size[i]), 1)
         due += rate[i] * n[i] * words
-        copies = min(max(round(due / words), int(low[i]) * n[i]), int(np.ceil(rate[i])) * n[i])
-        total[i], due = copies, due - copies * words
+        total[i] = min(max(round(due / words), 0), cap * n[i])
+        due -= total[i] * words
     return total
 
 
@@ -137,7 +136,7 @@ def mix_rates(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
 
     def take(group):
         group = group.sort_values(["size", "row"], ascending=[False, True], kind="stable")
-        group["total"] = round_along(group["size"].to_numpy(), group["n"].to_numpy(), group["rate"].to_numpy())
+        group["total"] = round_along(group["size"].to_numpy(), group["n"].to_numpy(), group["rate"].to_numpy(), cap)
         return group.drop(columns="_part")
 
     out = ", ".join(f"{c} {kinds[c]}" for c in rated.columns if c != "_part")
@@ -163,9 +162,9 @@ def mix_taken(docs: DataFrame, **options) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix: each row of ``docs`` as often as its copies say (0, 1 or 2 times), columns unchanged. Texts are shuffled once."""
     named = mix_rates(docs, **options).where("total > 0").select(F.col("row").alias("_named"), "total", F.col("n").alias("_n"))
-    mine = docs.withColumn("_row", row_key())
-    mine = mine.withColumn("_k", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    met = mine.join(named, F.col("_row") == F.col("_named"))
-    each = F.floor(F.col("total") / F.col("_n")) + (F.col("_k") <= F.col("total") % F.col("_n")).cast("long")
-    return met.where(each > 0).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), each))).select(
-        *[mine[c] for c in docs.columns])
+    row, k, copy = (spare(docs, c) for c in ("_row", "_k", "_copy"))
+    mine = docs.withColumn(row, row_key())
+    mine = mine.withColumn(k, F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    met = mine.join(named, mine[row] == named["_named"])
+    each = F.floor(named["total"] / named["_n"]) + (mine[k] <= named["total"] % named["_n"]).cast("long")
+    return met.where(each > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), each))).select(*[mine[c] for c in docs.columns])

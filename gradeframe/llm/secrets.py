@@ -158,6 +158,9 @@ def secret_digests(docs: DataFrame, **options) -> DataFrame:
         return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", F.get(named, m["kind"]), m["start"], m["stop"])), ",")
 
     found = F.col("found")
-    counts = [F.size(F.filter(found, lambda m, k=k: m["kind"] == k)).cast("long").alias(f"n_{p.kind}") for k, p in enumerate(BASE)]
+    def number_of(kind: int) -> Column:
+        return F.size(F.filter(found, lambda m: m["kind"] == kind)).cast("long")
+
+    counts = [number_of(k).alias(f"n_{p.kind}") for k, p in enumerate(BASE)]
     base = F.filter(found, lambda m: m["kind"] < len(BASE))
     return secret_spans(docs, **options).select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(found).alias("spans"))

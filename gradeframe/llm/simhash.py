@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components, staged
+from .graph import components, spare, staged
 from .words import LOWER, buffers
 
 SEED, SHINGLE, BITS = 42, 3, 64
@@ -207,7 +207,8 @@ def simhash_dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
     can be named; they stay. Texts are shuffled once, by doc_id.
     """
     keep = simhash_components(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_kept"), "left_semi")
+    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
+    row = spare(docs, "_row")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    kept = kept.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
     return kept.unionByName(docs.where("doc_id IS NULL"))
