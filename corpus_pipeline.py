@@ -14,8 +14,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.simhash_dedup(docs)
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return simhash.simhash_dedup(docs, simhash.NEAR_COPY)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """SimHash near-duplicates found by bit-sliced comparison.
 
-Fingerprint: lower-cased (A-Z) words, 3-word shingles with repeats (fewer words: the whole sequence; none: zero), XXH64
-with seed 42 of each; a bit is set if it is set in over half of the hashes. Fingerprints link at ``radius`` or fewer
-differing bits, and documents of linked fingerprints form one component.
-
-Candidates: a fingerprint is cut into ``radius + 2`` pieces; two fingerprints within the radius agree on two pieces at
-least, so all links are inside the buckets of some pair of pieces. A bucket is compared with bit planes: bit k of 64
+Fingerprint: lower-cased (A-Z) words, shingles of ``shingle`` words with repeats (fewer words: the whole sequence; none: zero),
+XXH64 of each with seed 42 for the first 64 bits and 43, 44, ... for further ones; a bit is set if it is set in over half of
+the hashes. Fingerprints link at ``radius`` or fewer differing bits, and documents of linked fingerprints form one component.
+
+Candidates for a small radius: a fingerprint is cut into ``radius + 2`` pieces; two fingerprints within the radius agree on
+two pieces at least, so all links are inside the buckets of some pair of pieces. For a radius that is a good part of all bits no such
+cut is selective; there, ``tables`` keys of ``key_bits`` bits each are drawn, and a pair at distance d of n bits shares one with
+a chance of 1 - (1 - (1 - d / n) ** key_bits) ** tables. A bucket is compared with bit planes: bit k of 64
 fingerprints is one machine word, a query's distances to all 64 grow at once in carry-save counters, and a block of 64 is
 abandoned as soon as each lane is beyond the radius. Buckets over ``tile`` rows are cut into tiles, which are compared
 in pairs by different tasks. Only the edges of a spanning forest leave a task, never all pairs.
@@ -15,83 +17,114 @@ texts; repeated rows and repeated or null doc_ids give a row each; extra columns
 and kept by ``simhash_dedup``; an empty table gives an empty result; texts are read whole.
 """
 
+import random
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, spare, staged
 from .words import LOWER, buffers
 
-SEED, SHINGLE, BITS = 42, 3, 64
+SEED = 42
 _TABLE = LOWER.tobytes()
 
 
-def fingerprint(text: bytes) -> int:
+class Likeness(NamedTuple):
+    """What a fingerprint is made of, how far two may differ, and how candidates meet (tables 0: pairs of pieces, which miss none)."""
+
+    shingle: int = 3
+    longs: int = 1
+    radius: int = 3
+    tables: int = 0
+    key_bits: int = 0
+
+
+#: Near copies: Jaccard similarity 0.8 of five-word shingles is an angle of 27 degrees, 19 of 128 bits on average (s.d. 4).
+NEAR_COPY = Likeness(shingle=5, longs=2, radius=24, tables=40, key_bits=14)
+
+
+def fingerprint(text: bytes, shingle: int = 3, longs: int = 1) -> np.ndarray:
+    """The bits as unsigned 64-bit integers."""
     words = text.translate(_TABLE).split()
     if not words:
-        return 0
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE))))
-    one = xxhash.xxh64_intdigest
-    h = np.fromiter((one(s, SEED) for s in shingles), np.uint64)
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long), one row per document."""
+        return np.zeros(longs, np.uint64)
+    shingles = [b" ".join(words)] if len(words) < shingle else [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))]
+    one, out = xxhash.xxh64_intdigest, []
+    for seed in range(SEED, SEED + longs):
+        h = np.fromiter((one(s, seed) for s in shingles), np.uint64, len(shingles))
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return np.array(out, np.uint64)
+
+
+def _names(longs: int) -> list[str]:
+    return [f"f{k}" for k in range(longs)]
+
+
+def fingerprints(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """doc_id and f0, f1, ...: the bits as signed longs, one row per document."""
+    names = _names(like.longs)
+
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            raw = data.tobytes()
-            fp = np.fromiter((fingerprint(raw[a:b]) for a, b in zip(at[:-1], at[1:])), np.uint64, len(at) - 1)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+            fps = np.zeros((len(at) - 1, like.longs), np.uint64)
+            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                fps[k] = fingerprint(data[a:b].tobytes(), like.shingle, like.longs)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {
+                c: pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k, c in enumerate(names)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in names))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: word w of row k holds bit k of fingerprints 64 w .. 64 w + 63."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.concatenate((bits, np.zeros((-len(bits) % 64, BITS), np.uint8)))
+    """Bit planes of rows of longs: word w of plane k holds bit k of fingerprints 64 w .. 64 w + 63."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+    bits = np.concatenate((bits, np.zeros((-len(bits) % 64, bits.shape[1]), np.uint8)))
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def within(plane: np.ndarray, query: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For cells (query fingerprint, block of 64 lanes): the cells with a lane within the radius, and their lane masks.
+def within(plane: np.ndarray, fps: np.ndarray, row: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For cells (query row, block of 64 lanes): the cells with a lane within the radius, and their lane masks.
 
     Distances are counted in ``radius.bit_length()`` bit-sliced counters; a carry out of the top one marks a lane as beyond
     for good. After every eighth plane the cells whose lanes are all beyond are abandoned.
     """
     width = radius.bit_length()
-    live = np.arange(len(query))
-    count = [np.zeros(len(query), np.uint64) for _ in range(width)]
-    beyond = np.zeros(len(query), np.uint64)
-    for k in range(BITS):
-        carry = plane[k, block] ^ -((query >> np.uint64(k)) & np.uint64(1))
+    live = np.arange(len(row))
+    count = [np.zeros(len(row), np.uint64) for _ in range(width)]
+    beyond = np.zeros(len(row), np.uint64)
+    for k in range(len(plane)):
+        if k % 64 == 0:
+            query = fps[row, k // 64]
+        carry = plane[k, block] ^ -((query >> np.uint64(k % 64)) & np.uint64(1))
         for j in range(width):
             count[j], carry = count[j] ^ carry, count[j] & carry
         beyond |= carry
         if k % 8 == 7:
-            stay = beyond != ~np.uint64(0)
+            stay = (beyond | _over(count, radius)) != ~np.uint64(0)
             if not stay.all():
-                live, query, block, beyond = live[stay], query[stay], block[stay], beyond[stay]
+                live, row, query, block, beyond = live[stay], row[stay], query[stay], block[stay], beyond[stay]
                 count = [c[stay] for c in count]
-    over, equal = np.zeros(len(live), np.uint64), np.full(len(live), ~np.uint64(0))
-    for j in reversed(range(width)):
+    mask = ~(beyond | _over(count, radius))
+    return live[mask != 0], mask[mask != 0]
+
+
+def _over(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose counter is above the radius."""
+    over, equal = np.zeros(len(count[0]), np.uint64), np.full(len(count[0]), ~np.uint64(0))
+    for j in reversed(range(len(count))):
         if radius >> j & 1:
-            equal &= count[j]
+            equal = equal & count[j]
         else:
             over |= equal & count[j]
-            equal &= ~count[j]
-    mask = ~(beyond | over)
-    return live[mask != 0], mask[mask != 0]
+            equal = equal & ~count[j]
+    return over
 
 
 def _forest(n: int, pairs) -> np.ndarray:
@@ -111,7 +144,7 @@ def _forest(n: int, pairs) -> np.ndarray:
 
 
 def bucket_edges(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: int, cells: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges among the fingerprints of each bucket; rows are sorted by group.
+    """Spanning edges (pairs of row numbers) among the fingerprints of each bucket; rows are sorted by group.
 
     side: 0 and 1 are compared with each other only (two tiles of one bucket), 2 with all of the group.
     """
@@ -128,7 +161,7 @@ def bucket_edges(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: i
             cell = np.arange(at, min(at + cells, int(total[-1])))
             row = np.searchsorted(total, cell, side="right") - 1
             block = first[row] + cell - total[row]
-            hit, mask = within(plane, fps[row], block, radius)
+            hit, mask = within(plane, fps, row, block, radius)
             lane = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             which, k = np.nonzero(lane)
             a, b = row[hit[which]], block[hit[which]] * 64 + k
@@ -139,19 +172,22 @@ def bucket_edges(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: i
 
     root = _forest(n, linked())
     moved = np.flatnonzero(root != rows)
-    return fps[moved], fps[root[moved]]
+    return moved, root[moved]
+
 
+def _edges_of(longs: int, radius: int):
+    names = _names(longs)
 
-def _edges_of(radius: int):
     def run(batches):
         held: list[pa.RecordBatch] = []
 
         def out(table: pa.Table):
-            fp = table.column("fp").to_numpy().view(np.uint64)
+            fps = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("part", "key", "tile")])
-            group = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(fp) else np.zeros(0, int)
-            a, b = bucket_edges(fp, table.column("side").to_numpy(), group, radius)
-            return pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+            group = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(fps) else np.zeros(0, int)
+            a, b = bucket_edges(fps, table.column("side").to_numpy(), group, radius)
+            node = table.column("id").to_numpy()
+            return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
         for batch in batches:                       # a bucket may go on in the next batch
             held.append(batch)
@@ -168,45 +204,64 @@ def _edges_of(radius: int):
     return run
 
 
-def near_edges(fps: DataFrame, radius: int = 3, tile: int = 1 << 15) -> DataFrame:
-    """Edges (a, b) that connect all distinct values ``fp`` within the radius (not all pairs: a forest per bucket)."""
-    n = radius + 2
-    edge = [BITS * k // n for k in range(n + 1)]
-    piece = [F.shiftrightunsigned("fp", edge[k]).bitwiseAND((1 << (edge[k + 1] - edge[k])) - 1) for k in range(n)]
-    keys = [F.struct(F.lit(i).alias("part"), (F.shiftleft(piece[p], edge[q + 1] - edge[q]) + piece[q]).alias("key"))
-            for i, (p, q) in enumerate(combinations(range(n), 2))]
-    cells = fps.select("fp", F.inline(F.array(*keys)))
+def _bucket_keys(like: Likeness) -> list[Column]:
+    bits = 64 * like.longs
+    if not like.tables:
+        if like.longs > 1:
+            raise ValueError("pieces are cut from one long; name tables and key_bits for longer fingerprints")
+        n = like.radius + 2
+        edge = [bits * k // n for k in range(n + 1)]
+        piece = [F.shiftrightunsigned("f0", edge[k]).bitwiseAND((1 << (edge[k + 1] - edge[k])) - 1) for k in range(n)]
+        return [F.shiftleft(piece[p], edge[q + 1] - edge[q]) + piece[q] for p, q in combinations(range(n), 2)]
+    rng, keys = random.Random(bits), []
+    for _ in range(like.tables):
+        masks = [0] * like.longs
+        for bit in rng.sample(range(bits), like.key_bits):
+            masks[bit // 64] |= 1 << bit % 64
+        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+        keys.append(F.xxhash64(*[F.col(c).bitwiseAND(F.lit(m).cast("long")) for c, m in zip(_names(like.longs), signed)]))
+    return keys
+
+
+def near_edges(fps: DataFrame, like: Likeness = Likeness(), tile: int = 1 << 15) -> DataFrame:
+    """Edges (a, b) of ids that connect all distinct rows (id, f0, f1, ...) within the radius (a forest per bucket, not all pairs)."""
+    names = _names(like.longs)
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), k.alias("key")) for i, k in enumerate(_bucket_keys(like))])
+    cells = fps.select("id", *names, F.inline(keys))
     size = cells.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile).cast("int")
     placed = cells.join(size, ["part", "key"]).withColumn("tiles", tiles).withColumn(
-        "own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int"))
-    tiled = placed.select("fp", "part", "key", "own", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+        "own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int"))
+    tiled = placed.select("id", *names, "part", "key", "own", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     dealt = tiled.select(
-        "fp", "part", "key", (lo * F.col("tiles").cast("long") + hi).alias("tile"),
+        "id", *names, "part", "key", (lo * F.col("tiles").cast("long") + hi).alias("tile"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
-    return dealt.repartition("part", "key", "tile").sortWithinPartitions("part", "key", "tile").mapInArrow(_edges_of(radius), "a long, b long")
-
-
-def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of all documents linked directly or not."""
-    fps, _ = staged(fingerprints(docs), "simhash")
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(near_edges(firsts.select("fp"), radius), "simhash-links")
-    rooted = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return dealt.repartition("part", "key", "tile").sortWithinPartitions("part", "key", "tile").mapInArrow(
+        _edges_of(like.longs, like.radius), "a long, b long")
+
+
+def simhash_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits per long) and component_id, the smallest doc_id of all documents linked directly or not."""
+    names = _names(like.longs)
+    fps, _ = staged(fingerprints(docs, like), "simhash")
+    key = F.col("f0") if like.longs == 1 else F.xxhash64(*names)
+    firsts = fps.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("id", key)
+    roots = components(near_edges(firsts.select("id", *names), like), "simhash-links")
+    rooted = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    named = rooted.join(least, "root").select("id", "component_id")
+    digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)])
+    return fps.withColumn("id", key).join(named, "id").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
+def simhash_dedup(docs: DataFrame, like: Likeness = NEAR_COPY) -> DataFrame:
     """The rows of ``docs`` with one document of each component, the one with the smallest doc_id.
 
     Rows that repeat a doc_id are one document: the one with the least text hash stays. Of documents without a doc_id none
     can be named; they stay. Texts are shuffled once, by doc_id.
     """
-    keep = simhash_components(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    keep = simhash_components(docs, like).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
     row = spare(docs, "_row")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

@@ -61,7 +61,8 @@ def family(seed, n=120):
 @pytest.mark.parametrize("radius", [1, 2, 3, 5])
 def test_bit_sliced_buckets(radius):
     fps = np.array(family(radius), np.uint64)
-    a, b = simhash.bucket_edges(fps, np.full(len(fps), 2), np.zeros(len(fps), int), radius, cells=97)
+    a, b = simhash.bucket_edges(fps[:, None], np.full(len(fps), 2), np.zeros(len(fps), int), radius, cells=97)
+    a, b = fps[a], fps[b]
     want = closure([int(f) for f in fps], radius)
     got = {int(f): int(f) for f in fps}
 
@@ -81,8 +82,8 @@ def test_tiles_lose_no_link(spark):
     rng = random.Random(1)
     base = rng.getrandbits(64)
     fps = sorted({base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)} | set(family(9, 40)))
-    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    edges = simhash.near_edges(spark.createDataFrame(signed, "fp long"), 3, tile=16)
+    signed = [(f - (1 << 64) if f >> 63 else f,) * 2 for f in fps]
+    edges = simhash.near_edges(spark.createDataFrame(signed, "id long, f0 long"), tile=16)
     from gradeframe.llm.graph import components
     got = {r.node % (1 << 64): r.root % (1 << 64) for r in components(edges).collect()}
     want = closure(fps, 3)
@@ -93,8 +94,30 @@ def test_tiles_lose_no_link(spark):
 def test_dedup_keeps_one_of_each(docs, empty):
     kept = simhash.simhash_dedup(docs)
     assert kept.columns == docs.columns
-    comps = simhash.simhash_components(docs).where("doc_id IS NOT NULL").select("component_id").distinct()
+    comps = simhash.simhash_components(docs, simhash.NEAR_COPY).where("doc_id IS NOT NULL").select("component_id").distinct()
     named = kept.where("doc_id IS NOT NULL")
     assert sorted(r[0] for r in named.select("doc_id").collect()) == sorted(r[0] for r in comps.collect())
     assert kept.where("doc_id IS NULL").count() == 2
     assert simhash.simhash_components(empty).count() == 0 and simhash.simhash_dedup(empty).count() == 0
+
+
+def test_near_copies_are_found(spark, table):
+    """Edited copies whose five-word shingles have Jaccard similarity 0.8: nine in ten at least share a component with their
+    original, and unrelated texts never do."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(900)]
+    rows, pairs, number = [], [], 0
+    for _ in range(150):
+        base = [rng.choice(vocab) for _ in range(rng.randint(80, 500))]
+        rows.append((number, " ".join(base)))
+        near = list(base)
+        for k in rng.sample(range(len(near)), max(1, len(near) // 48)):
+            near[k] = rng.choice(vocab)
+        rows.append((number + 1, " ".join(near)))
+        sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (base, near)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            pairs.append((number, number + 1))
+        number += 2
+    comp = {r.doc_id: r.component_id for r in simhash.simhash_components(table(rows, "doc_id long, text string"), simhash.NEAR_COPY).collect()}
+    assert len(pairs) > 80 and sum(comp[a] == comp[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(c in (d, d - d % 2) for d, c in comp.items())
