@@ -50,9 +50,3 @@ def require_clean(problems: DataFrame, what: str, show: int = 20) -> None:
     if found:
         listed = "; ".join(str(r.asDict()) for r in found)
         raise ValueError(f"{what}: {listed}")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give text-heavy row work enough tasks when the input has fewer files than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2, key) if len(df.inputFiles()) < cores else df

@@ -4,7 +4,7 @@ Model outputs arrive as tables; no model is called. Keys are (report_id, item_id
 ``score`` is an exact decimal.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -16,8 +16,16 @@ from .sections import coverage_of, with_rubric
 
 
 def _join_rubric(rows: DataFrame, rubric: DataFrame, how: str, *columns: Column) -> DataFrame:
-    """Meet the rubric on item_id, and on rubric_id too when the rows carry one (many rubrics at once)."""
+    """Meet the rubric on item_id, and on rubric_id too when the rows carry one (many rubrics at once).
+
+    Rows without a rubric_id can only meet one rubric: an item that several rubrics have stops the job.
+    """
     keys = ["rubric_id", "item_id"] if "rubric_id" in rows.columns else ["item_id"]
+    if "rubric_id" not in rows.columns and "rubric_id" in rubric.columns:
+        same = Window.partitionBy("item_id")
+        sole = F.min("rubric_id").over(same).eqNullSafe(F.max("rubric_id").over(same))
+        rubric = rubric.withColumn("item_id", F.when(sole, F.col("item_id")).otherwise(
+            F.raise_error(F.lit("rows without rubric_id, but several rubrics have this item"))))
     return rows.join(rubric.select(*keys, *columns), keys, how)
 
 
@@ -249,14 +257,16 @@ def rule_judge(texts: DataFrame, rubric: DataFrame) -> DataFrame:
     """Rule judgements of every report for every item of its rubric; all need review.
 
     The rubric travels as an array on the report row, so the text is scanned in place and only
-    the small result rows are multiplied.
+    the small result rows are multiplied. A report whose rubric is unknown or empty has one row without
+    an item and the system error ``no_rubric``.
     """
-    keep = [c for c in ("class_id", "batch_id") if c in texts.columns]
+    keep = ["rubric_id"] + [c for c in ("class_id", "batch_id") if c in texts.columns]
     rows = with_rubric(texts, rubric)
     judged = rows.select("report_id", *keep, F.transform(
         "items", lambda it: rule_judgement(F.coalesce(F.col("full_text"), F.lit("")), it)).alias("_j"))
     return judged.select("report_id", *keep, F.inline_outer("_j")).withColumns(
-        {"needs_review": F.lit(True), "system_error": F.lit(""), "dropped_quotes": no_quotes()})
+        {"needs_review": F.lit(True), "system_error": F.when(F.col("item_id").isNull(), "no_rubric").otherwise(""),
+         "dropped_quotes": no_quotes()})
 
 
 def lost_points(judgements: DataFrame, rubric: DataFrame, k: int = 3) -> DataFrame:
@@ -287,14 +297,17 @@ def rule_feedback(judgements: DataFrame, rubric: DataFrame) -> DataFrame:
 def grade_offline(texts: DataFrame, rubric: DataFrame) -> DataFrame:
     """Whole offline grading, one row per report, without any shuffle of judgement rows.
 
-    Judgements, total, feedback counts, coverage and the text hash are all computed on the report row.
+    Judgements, total, feedback counts, coverage and the text hash are all computed on the report row. A report whose
+    rubric is unknown or empty has no judgements, no total and ``total_incomplete``.
     """
     rows = with_rubric(texts, rubric)
-    keep = [c for c in ("class_id", "batch_id") if c in texts.columns]
+    keep = ["rubric_id"] + [c for c in ("class_id", "batch_id") if c in texts.columns]
     text = F.coalesce(F.col("full_text"), F.lit(""))
     judged = rows.select("report_id", *keep, F.length(text).alias("chars"),
                          F.left(F.sha2(text, 256), F.lit(16)).alias("report_hash"),
-                         F.transform("items", lambda it: rule_judgement(text, it)).alias("judgements"))
+                         F.transform(F.coalesce("items", F.array().cast(rows.schema["items"].dataType)),
+                                     lambda it: rule_judgement(text, it)).alias("judgements"))
+    graded = F.size("judgements") > 0
     zero = F.lit(0).cast("decimal(12,2)")
     total = F.aggregate("judgements", zero, lambda acc, j: (acc + j["score"]).cast("decimal(12,2)"))
     weak = F.filter("judgements", lambda j: j["verdict"] != "hit")
@@ -304,7 +317,7 @@ def grade_offline(texts: DataFrame, rubric: DataFrame) -> DataFrame:
         F.transform(F.slice(missing, 1, 3), lambda j: F.concat(F.lit("missing:"), j["item_id"])),
         F.transform(F.slice(partial, 1, 2), lambda j: F.concat(F.lit("partial:"), j["item_id"])))
     return judged.select("report_id", *keep, "chars", "report_hash", coverage_of(F.col("chars")).alias("coverage"),
-                         F.bround(total, 1).alias("total"), F.lit(False).alias("total_incomplete"),
+                         F.when(graded, F.bround(total, 1)).alias("total"), (~graded).alias("total_incomplete"),
                          F.size(weak).alias("not_full"), F.size(missing).alias("missing"),
                          suggestions.alias("suggestions"), "judgements")
 

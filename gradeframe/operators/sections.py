@@ -214,28 +214,39 @@ def recall_sections(parsed: DataFrame, rubric: DataFrame, k: int = K.RECALL_TOP_
 
 def build_context(parsed: DataFrame, rubric: DataFrame, k: int = K.RECALL_TOP_K,
                   per_section: int = K.RECALL_SECTION_CHARS, limit: int = K.FULL_TEXT_LIMIT) -> DataFrame:
-    """The text a judge sees per report and item: everything when it fits, else the recalled sections."""
-    rows = with_rubric(parsed, rubric).select("report_id", "full_text", "sections", F.explode("items").alias("item"))
+    """The text a judge sees per report and item: everything when it fits, else the recalled sections.
+
+    ``limit``, ``k`` and ``per_section`` are the published bounds; ``truncated`` says whether anything of the report is missing
+    from the context and ``left_out`` how many of its sections are. A report without a rubric has one row without an item.
+    """
+    rows = with_rubric(parsed, rubric).select("report_id", "full_text", "sections", F.explode_outer("items").alias("item"))
     fits = F.length("full_text") <= limit
+    signals = F.coalesce(F.col("item.positive_signals"), F.array().cast("array<string>"))
 
     def part(o: Column) -> Column:
         s = F.get(F.col("sections"), o)
         return F.concat(F.lit("["), s["id"], F.lit("] "), s["title"], F.lit("\n"),
                         F.left(s["text"], F.lit(per_section)))
 
-    recalled = F.array_join(F.transform(
-        recall_array(F.col("sections"), F.col("item.positive_signals"), k), part), "\n\n")
-    return rows.select("report_id", F.col("item.item_id").alias("item_id"), fits.alias("is_full"),
-                       F.when(fits, F.col("full_text")).otherwise(recalled).alias("context"))
+    chosen = once(rows, "_chosen", F.when(~fits, recall_array(F.col("sections"), signals, k)))
+    recalled = F.array_join(F.transform("_chosen", part), "\n\n")
+    left_out = F.when(fits, 0).otherwise(F.size("sections") - F.size("_chosen"))
+    cut = F.exists("_chosen", lambda o: F.length(F.get(F.col("sections"), o)["text"]) > per_section)
+    return chosen.select("report_id", F.col("item.item_id").alias("item_id"), fits.alias("is_full"),
+                         F.when(fits, F.col("full_text")).otherwise(recalled).alias("context"),
+                         (~fits & ((left_out > 0) | F.coalesce(cut, F.lit(False)))).alias("truncated"), left_out.alias("left_out"))
 
 
 def with_rubric(reports: DataFrame, rubric: DataFrame) -> DataFrame:
-    """Attach each report's rubric as an array of at most 12 items (equi join on rubric_id)."""
-    nested = (rubric.where(F.col("ord") <= K.MAX_RUBRIC_ITEMS).groupBy("rubric_id").agg(
+    """Attach each report's rubric as an array of all its items, by rubric_id; NULL where there is no such rubric.
+
+    No item is cut here: ``normalize_rubrics`` is the one place that shortens a rubric, by rank and with new maxima.
+    """
+    nested = (rubric.groupBy("rubric_id").agg(
         F.array_sort(F.collect_list(F.struct(
             "ord", "item_id", "name", "criteria", F.col("max_score").cast("decimal(9,2)").alias("max_score"),
             "positive_signals", "negative_signals"))).alias("items")))
-    return reports.join(nested, "rubric_id")
+    return reports.join(nested, "rubric_id", "left")
 
 
 def locate_quotes(quotes: DataFrame, parsed: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import CHECK_ITEMS, GENERAL, MISSING, PASSED, UNTESTED, WEAK
 from ..functions import text as X
 from ..functions.numbers import SCORE
-from ..functions.rows import first_row, literal_table, once, spread
+from ..functions.rows import first_row, literal_table, once
 from ..functions.text import words
 from ..operators.history import append_history
 from ..operators.rubric import RUBRIC_SCHEMA
@@ -89,7 +89,7 @@ class Tables:
     # ---- report texts (documents) --------------------------------------------------
     @cached_property
     def reports(self) -> DataFrame:
-        docs = spread(self.raw("documents").select("doc_id", "text", "lang", "source"), "doc_id")
+        docs = self.raw("documents").select("doc_id", "text", "lang", "source")
         return docs.select(F.col("doc_id").alias("report_id"), F.col("text").alias("raw_text"),
                            F.col("lang").alias("course"), F.col("source").alias("class_id"),
                            F.when(F.col("lang").isin(*COURSES), F.col("lang")).otherwise(COURSES[0]).alias("rubric_id"))

@@ -138,12 +138,12 @@ def s7b(t):
     return sinks.list_batches(runs).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-CELL = "CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' ELSE '' END || left(text, 50)"
+CELL = "CASE doc_id % 5 WHEN 0 THEN '=' WHEN 1 THEN '+' WHEN 2 THEN '-' WHEN 3 THEN '@' ELSE '' END || text"
 
 
 def _cells(t):
     lead = F.array(*[F.lit(c) for c in ("=", "+", "-", "@", "")])[F.pmod("report_id", F.lit(5)).cast("int")]
-    return t.reports.select("report_id", F.concat(lead, F.left("raw_text", F.lit(50))).alias("cell"))
+    return t.reports.select("report_id", F.concat(lead, "raw_text").alias("cell"))
 
 
 @query("s8_csv_safe", f"""
@@ -220,7 +220,7 @@ def s12(t):
 
 # ---- model output strings ----------------------------------------------------------
 @query("j1_parse_model_json", with_(TEXTS, """cut AS (
-  SELECT report_id, regexp_replace(left(full_text, 60), '["\\\\]', '', 'g') AS words FROM texts)""") + r"""
+  SELECT report_id, regexp_replace(full_text, '["\\\\]', '', 'g') AS words FROM texts)""") + r"""
 SELECT report_id, CASE WHEN report_id % 6 = 2 THEN 'he wrote "results" and ' || words
                        WHEN report_id % 6 = 4 THEN words || chr(10) || 'next line'
                        WHEN report_id % 6 = 3 THEN rtrim(words) ELSE words END AS reason,
@@ -228,7 +228,7 @@ SELECT report_id, CASE WHEN report_id % 6 = 2 THEN 'he wrote "results" and ' ||
 FROM cut""")
 def j1(t):
     """Valid, fenced, bare-quoted, cut-off, raw-newline and chatty answers derived from the texts."""
-    words = F.regexp_replace(F.left("full_text", F.lit(60)), r'["\\]', "")
+    words = F.regexp_replace("full_text", r'["\\]', "")
     kind = F.pmod("report_id", F.lit(6))
     ok = F.concat(F.lit('{"score":7,"reason":"'), "words", F.lit('"}'))
     raw = (F.when(kind == 1, F.concat(F.lit("```json\n"), ok, F.lit("\n```")))

@@ -248,9 +248,9 @@ def b2(t):
 
 
 @query("b3_rubric_hash", """
-SELECT doc_id AS report_id, left(sha256(lang || '||' || left(text, 200)), 16) AS source_hash FROM documents""")
+SELECT doc_id AS report_id, left(sha256(lang || '||' || text), 16) AS source_hash FROM documents""")
 def b3(t):
-    return t.reports.select("report_id", B.rubric_hash(F.col("course"), F.left("raw_text", F.lit(200))).alias("source_hash"))
+    return t.reports.select("report_id", B.rubric_hash(F.col("course"), F.col("raw_text")).alias("source_hash"))
 
 
 @query("b4_default_rubric", """
@@ -420,7 +420,7 @@ def r9(t):
 
 
 @query("r10_safe_name", r"""
-SELECT doc_id AS report_id, coalesce(nullif(left(trim(regexp_replace(left(text, 90), '[^0-9A-Za-z一-鿿_\-]+', '', 'g'), '-_'), 60), ''),
+SELECT doc_id AS report_id, coalesce(nullif(left(trim(regexp_replace(text, '[^0-9A-Za-z一-鿿_\-]+', '', 'g'), '-_'), 60), ''),
        '未命名报告') AS name FROM documents""")
 def r10(t):
-    return t.reports.select("report_id", R.safe_name(F.left("raw_text", F.lit(90))).alias("name"))
+    return t.reports.select("report_id", R.safe_name(F.col("raw_text")).alias("name"))
