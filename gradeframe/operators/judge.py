@@ -79,13 +79,18 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
     """One judgement per (report, item) from verified attempts 1 and 2.
 
     First when valid, else second when valid, else a clean miss that keeps the first attempt's
-    quotes as dropped; a failed call is a system error, never the student's miss.
+    quotes as dropped; a failed call is a system error, never the student's miss. ``reason`` goes along where attempts have
+    one. Of repeated attempts the one with the least ``pos`` counts (without that column the least by content).
     """
+    reason = F.coalesce("reason", F.lit("")) if "reason" in attempts.columns else F.lit("")
     fields = F.struct("verdict", "score", F.col("confidence").alias("confidence"), "evidence", "dropped_quotes",
-                      "needs_review", "valid", F.coalesce("error", F.lit("")).alias("error"))
-    both = attempts.groupBy(*KEY).agg(
-        F.max(F.when(F.col("attempt_no") == 1, fields)).alias("a"),
-        F.max(F.when(F.col("attempt_no") == 2, fields)).alias("b"))
+                      "needs_review", "valid", F.coalesce("error", F.lit("")).alias("error"), reason.alias("reason"))
+    place = F.col("pos") if "pos" in attempts.columns else F.xxhash64("verdict", "score", "confidence", "evidence", "error")
+
+    def attempt(number: int) -> Column:
+        return F.min_by(fields, F.when(F.col("attempt_no") == number, place))
+
+    both = attempts.groupBy(*KEY).agg(attempt(1).alias("a"), attempt(2).alias("b"))
     a, b = F.col("a"), F.col("b")
     b_failed = b.isNotNull() & (b["error"] != "")
     outcome = (F.when(a.isNull(), "system_error").when(a["error"] != "", "system_error")
@@ -104,7 +109,8 @@ def resolve_attempts(attempts: DataFrame) -> DataFrame:
         F.coalesce("c.evidence", no_quotes()).alias("evidence"),
         F.coalesce("c.dropped_quotes", F.when(degraded, a["dropped_quotes"]), no_quotes()).alias("dropped_quotes"),
         F.coalesce("c.needs_review", F.lit(True)).alias("needs_review"),
-        F.when(failed, error).otherwise("").alias("system_error"))
+        F.when(failed, error).otherwise("").alias("system_error"),
+        F.coalesce("c.reason", F.when(degraded, a["reason"]), F.lit("")).alias("reason"))
 
 
 def consistency_guard(first: DataFrame, second: DataFrame, rubric: DataFrame,
@@ -178,12 +184,15 @@ def export_rows(effective: DataFrame, rubric: DataFrame) -> DataFrame:
         F.when(F.col("needs_review"), "yes").otherwise("").alias("needs_review"),
         F.coalesce("system_error", F.lit("")).alias("system_error"),
         F.coalesce("override_reason", F.lit("")).alias("override_reason"),
+        (F.col("confidence") if "confidence" in effective.columns else F.lit(None)).cast("double").alias("confidence"),
+        (F.coalesce("reason", F.lit("")) if "reason" in effective.columns else F.lit("")).alias("reason"),
         F.array_join("evidence", " | ").alias("evidence"))
     totals = lines.groupBy("report_id").agg(
         F.sum("ai_score").cast(SCORE).alias("ai_score"), F.sum("final_score").cast(SCORE).alias("final_score")).select(
         "report_id", F.lit(0).alias("item_ord"), F.lit("total").alias("name"), F.lit("").alias("verdict"),
         "ai_score", "final_score", F.lit(100).cast(SCORE).alias("top"), F.lit("").alias("needs_review"),
-        F.lit("").alias("system_error"), F.lit("").alias("override_reason"), F.lit("").alias("evidence"))
+        F.lit("").alias("system_error"), F.lit("").alias("override_reason"), F.lit(None).cast("double").alias("confidence"),
+        F.lit("").alias("reason"), F.lit("").alias("evidence"))
     return lines.unionByName(totals)
 
 

@@ -59,7 +59,7 @@ def s2(t):
     path = scratch(t.spark, "batches")
     _batch_lines(t).select("line").write.text(path)
     batches = readers.read_graded_batches(t.spark, path, one_per_line=True)
-    rows = readers.batch_details(batches, "course").join(batches.select("report_id", "total"), "report_id")
+    rows = readers.batch_details(batches, "course")
     return _doubles(rows, "score", "max_score", "total").select(
         "report_id", F.col("class_id").alias("course"), "item_id", "verdict", "score", "max_score", "needs_review",
         "system_error", F.coalesce("total", F.lit(-1.0)).alias("total"))
@@ -192,15 +192,24 @@ def s10(t):
 
 
 @query("s11_history_bundle", with_(HISTORY) + """
-SELECT sid, name, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at, count(*) AS n, CAST(sum(total) AS DOUBLE) AS total
-FROM history WHERE total <> 13 GROUP BY 1, 2, 3""")
+SELECT sid, name, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at, CAST(entry_id AS VARCHAR) AS report_id, CAST(total AS DOUBLE) AS total,
+       unnest(['item ' || entry_id % 7, 'said "twice"']) AS item, CAST(total / 2 AS DOUBLE) AS score, 'ok' AS status,
+       'issue ' || entry_id || '|so' AS issues
+FROM history WHERE total <> 13""")
 def s11(t):
     path = scratch(t.spark, "bundle")
     # a total of 13 stands for an entry whose result cannot be read back
-    sinks.write_bundle(t.history.withColumn("total", F.when(F.col("total") != 13, F.col("total"))), path)
-    back = readers.import_bundle(t.spark, path)
-    return back.groupBy("sid", "name", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss").alias("saved_at")).agg(
-        F.count("*").alias("n"), F.sum("total").alias("total"))
+    e = F.col("entry_id").cast("string")
+    issues = F.array(*[F.struct(p.alias("problem"), F.lit("l").alias("location"), F.lit("i").alias("impact"), F.lit("d").alias("direction"))
+                       for p in (F.concat(F.lit("issue "), e), F.lit("so"))])
+    items = F.array(*[F.struct(n.alias("name"), (F.col("total") / 2).alias("score"), F.lit("ok").alias("status"), issues.alias("issues"))
+                      for n in (F.concat(F.lit("item "), (F.col("entry_id") % 7).cast("string")), F.lit('said "twice"'))])
+    full = t.history.withColumns({"report_id": F.col("entry_id"), "items": items})
+    sinks.write_bundle(full.withColumn("total", F.when(F.col("total") != 13, F.col("total"))), path)
+    back = readers.import_bundle(t.spark, path).withColumn("i", F.explode("items"))
+    return back.select("sid", "name", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss").alias("saved_at"), "report_id", "total",
+                       F.col("i.name").alias("item"), "i.score", "i.status",
+                       F.array_join(F.transform("i.issues", lambda x: x["problem"]), "|").alias("issues"))
 
 
 @query("s12_write_public_cases", with_(TEXTS) + rf"""

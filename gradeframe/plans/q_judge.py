@@ -268,13 +268,13 @@ def j13(t):
 @query("j14_export_rows", with_(DETAILS, FIRST, OVERRIDES, LIMITS_SQL, """lines AS (
   SELECT f.report_id, l.item_ord, f.item_name AS name, verdict, score_c AS ai, coalesce(new_c, score_c) AS fin,
          f.max_c AS top, CASE WHEN needs_review THEN 'yes' ELSE '' END AS needs_review, system_error,
-         coalesce(a.reason, '') AS override_reason
+         coalesce(a.reason, '') AS override_reason, conf_c / 100.0 AS confidence, 'given by ' || verdict AS reason
   FROM firsts f JOIN limits l USING (item_id) LEFT JOIN accepted a USING (report_id, item_id))""") + """
 SELECT report_id, item_ord, name, verdict, ai / 100.0 AS ai_score, fin / 100.0 AS final_score, top / 100.0 AS top,
-       needs_review, system_error, override_reason FROM lines
-UNION ALL SELECT report_id, 0, 'total', '', sum(ai) / 100.0, sum(fin) / 100.0, 100.0, '', '', '' FROM lines GROUP BY report_id""")
+       needs_review, system_error, override_reason, confidence, reason FROM lines
+UNION ALL SELECT report_id, 0, 'total', '', sum(ai) / 100.0, sum(fin) / 100.0, 100.0, '', '', '', NULL, '' FROM lines GROUP BY report_id""")
 def j14(t):
-    first = _first(t)
+    first = _first(t).withColumn("reason", F.concat(F.lit("given by "), "verdict"))
     rows = J.effective_scores(first, J.accepted_overrides(first, t.overrides)).drop("max_score")
     return _doubles(J.export_rows(rows, _limits(t)), "ai_score", "final_score", "top").drop("evidence")
 

@@ -1,5 +1,7 @@
 """Readers: report texts, graded batches, preset results, score sheets, seal records, history bundles, uploads."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions.numbers import SCORE
 from ..functions.rows import once
+from .sinks import CHECK_RESULT
 
 _DETAIL = ("struct<id:string,name:string,verdict:string,v:string,s:string,max:string,confidence:string,"
            "needs_review:boolean,system_error:string,evidence:array<string>,dropped:array<string>>")
@@ -27,12 +30,18 @@ def valid_utf8(c: Column) -> Column:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """One row per .txt / .md file below ``path``: (report_id, path, raw_text)."""
+    """One row per .txt / .md file below ``path``: (report_id, name, path, raw_text).
+
+    The id is the file's place below ``path``, without the suffix .txt; others keep theirs. So files of one name in two
+    folders, and ``r.txt`` beside ``r.md``, stay apart. ``name`` is the bare file name for display.
+    """
+    root = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", path).rstrip("/"))
     files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}")
-             .text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"),
-                                                F.col("_metadata.file_name").alias("_name")))
-    return files.select(F.regexp_replace("_name", r"\.[^.]*$", "").alias("report_id"), "path",
-                        X.normalize_newlines(valid_utf8(F.col("value"))).alias("raw_text"))
+             .text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
+    below = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), f"^.*?{root}/", "")
+    return files.select(
+        F.regexp_replace(below, r"\.txt$", "").alias("report_id"), F.regexp_extract(below, r"([^/]*)\.[^./]*$", 1).alias("name"), "path",
+        X.normalize_newlines(valid_utf8(F.col("value"))).alias("raw_text"))
 
 
 def _documents(spark: SparkSession, path: str, one_per_line: bool) -> DataFrame:
@@ -75,10 +84,10 @@ def read_graded_batches(spark: SparkSession, path: str, one_per_line: bool = Fal
 
 def batch_details(batches: DataFrame, class_key: str = "file") -> DataFrame:
     """Judgement rows of read batches in the shape the class view takes."""
-    rows = batches.select(F.col(class_key).alias("class_id"), "report_id", "coverage",
+    rows = batches.select(F.col(class_key).alias("class_id"), "report_id", "report_ord", "course", "total", "coverage",
                           F.posexplode_outer("details").alias("pos", "d")).where("d.id is not null")
     return rows.select(
-        "class_id", "report_id", "coverage", "pos", F.col("d.id").alias("item_id"), F.coalesce("d.name", "d.id").alias("item_name"),
+        "class_id", "report_id", "report_ord", "course", "total", "coverage", "pos", F.col("d.id").alias("item_id"), F.coalesce("d.name", "d.id").alias("item_name"),
         F.coalesce("d.verdict", "d.v").alias("verdict"), F.col("d.s").try_cast(SCORE).alias("score"),
         F.col("d.max").try_cast(SCORE).alias("max_score"), F.col("d.confidence").try_cast("double").alias("confidence"),
         F.coalesce("d.needs_review", F.lit(False)).alias("needs_review"),
@@ -149,27 +158,43 @@ def admit_files(files: DataFrame) -> DataFrame:
     return files.select("path", ext.alias("extension"), reason.alias("reason")).withColumn("admitted", F.col("reason") == "")
 
 
-BUNDLE_ITEM = "struct<name:string,saved_at:string,result:struct<report_id:string,total:double,items:array<struct<name:string,score:double,status:string>>>>"
+BUNDLE_ITEM = f"struct<name:string,saved_at:string,result:struct<report_id:string,total:double,items:{CHECK_RESULT}>>"
+
+
+def _bundle_items(spark: SparkSession, path: str, whole_documents: bool) -> DataFrame:
+    """(file, sid, i): every item of the bundles, NULL where a document or line could not be read at all."""
+    docs = spark.read.text(path, wholetext=whole_documents).select(F.col("_metadata.file_path").alias("file"), "value").where(
+        F.trim("value") != "")
+    bare = F.startswith(F.ltrim("value"), F.lit("["))
+    parsed = docs.select("file", F.when(~bare, F.from_json("value", f"sid string, item {BUNDLE_ITEM}, items array<{BUNDLE_ITEM}>")).alias("d"),
+                         F.when(bare, F.from_json("value", f"array<{BUNDLE_ITEM}>")).alias("list"))
+    return parsed.select("file", "d.sid", F.explode_outer(F.coalesce("list", "d.items", F.array("d.item"))).alias("i"))
 
 
-def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """History entries of exported bundles: one item per line, or whole documents with an ``items`` list.
+def read_bundle(spark: SparkSession, path: str, whole_documents: bool = False) -> DataFrame:
+    """History entries of exported bundles with their whole results: sid, name, saved_at, report_id, total and items.
 
-    Items without a readable result are skipped; the original save time is kept.
+    By default each line is an entry or a document of its own, so files of any size are split. ``whole_documents`` reads each
+    file as one document, indented or not: an object with ``items``, or a bare list. Items without a readable result are
+    listed by ``rejected_bundle_items``; the original save time is kept.
     """
-    docs = spark.read.text(path).select("value")
-    parsed = docs.select(F.from_json("value", f"sid string, item {BUNDLE_ITEM}, items array<{BUNDLE_ITEM}>").alias("d"))
-    items = parsed.select("d.sid", F.explode_outer(F.when(F.col("d.items").isNotNull(), F.col("d.items"))
-                                                   .otherwise(F.array("d.item"))).alias("i"))
-    return items.where(F.col("i.result").isNotNull() & F.col("i.result.total").isNotNull()).select(
+    items = _bundle_items(spark, path, whole_documents)
+    return items.where(F.col("i.result.total").isNotNull()).select(
         "sid", F.coalesce("i.name", F.lit("未命名报告")).alias("name"),
-        F.col("i.saved_at").try_cast("timestamp").alias("saved_at"), F.col("i.result.total").alias("total"),
-        F.col("i.result.items").alias("items"))
+        F.col("i.saved_at").try_cast("timestamp").alias("saved_at"), F.coalesce("i.result.report_id", F.lit("")).alias("report_id"),
+        F.col("i.result.total").alias("total"), F.col("i.result.items").alias("items"))
+
+
+def rejected_bundle_items(spark: SparkSession, path: str, whole_documents: bool = False) -> DataFrame:
+    """(file, sid, name, reason) of everything that ``read_bundle`` cannot take."""
+    items = _bundle_items(spark, path, whole_documents).where(F.col("i.result.total").isNull())
+    reason = F.when(F.col("i").isNull(), "unreadable").when(F.col("i.result").isNull(), "no_result").otherwise("no_total")
+    return items.select("file", "sid", F.col("i.name").alias("name"), reason.alias("reason"))
 
 
-def import_bundle(spark: SparkSession, path: str) -> DataFrame:
+def import_bundle(spark: SparkSession, path: str, whole_documents: bool = False) -> DataFrame:
     """Like ``read_bundle``, but a bundle without a single valid item is an error."""
-    rows = read_bundle(spark, path)
+    rows = read_bundle(spark, path, whole_documents)
     if rows.isEmpty():
         raise ValueError("no readable history entry in the bundle")
     return rows

@@ -11,6 +11,10 @@ from .. import constants as K
 from ..functions.rows import require_clean
 from ..operators.redact import check_public
 
+#: A stored check result inside a history entry.
+CHECK_RESULT = ("array<struct<name:string,score:double,status:string,"
+                "issues:array<struct<problem:string,location:string,impact:string,direction:string>>>>")
+
 
 def write_batch(details: DataFrame, path: str, batch_id: str, created_at: str, partial: bool = False,
                 force_latest: bool = False) -> None:
@@ -79,10 +83,15 @@ def write_class_json(lines: DataFrame, path: str) -> None:
 
 
 def export_bundle(history: DataFrame) -> DataFrame:
-    """(sid, line): one JSON line per entry in a versioned envelope with the original save time."""
-    item = F.struct("name", F.date_format("saved_at", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("saved_at"),
-                    F.struct(F.lit("").alias("report_id"), F.col("total").cast("double").alias("total"),
-                             F.array().cast("array<struct<name:string,score:double,status:string>>").alias("items")).alias("result"))
+    """(sid, line): one JSON line per entry in a versioned envelope with the original save time and the whole stored result.
+
+    ``report_id`` and ``items`` (name, score, status and issues of each check) are taken along where the history has them.
+    """
+    held = set(history.columns)
+    items = F.col("items").cast(CHECK_RESULT) if "items" in held else F.array().cast(CHECK_RESULT)
+    item = F.struct("name", F.date_format("saved_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("saved_at"),
+                    F.struct((F.col("report_id").cast("string") if "report_id" in held else F.lit("")).alias("report_id"),
+                             F.col("total").cast("double").alias("total"), items.alias("items")).alias("result"))
     envelope = F.struct(F.lit("check-history").alias("format"), F.lit(1).alias("version"), "sid", item.alias("item"))
     return history.select("sid", F.to_json(envelope).alias("line"))
 
@@ -92,11 +101,25 @@ def write_bundle(history: DataFrame, path: str) -> None:
 
 
 def write_public_cases(cases: DataFrame, path: str, default_id: str | None = None) -> None:
-    """Gate first, then the cases, then the manifest of their ids (sorted); any problem blocks the write."""
-    require_clean(check_public(cases), "cases must not be published")
-    cases.write.mode("errorifexists").json(f"{path}/cases")
-    written = cases.sparkSession.read.schema("report_id string").json(f"{path}/cases")
-    manifest(written, default_id).write.mode("errorifexists").json(f"{path}/manifest")
+    """Write the cases to a staging folder, check what was written, then publish it and the manifest of its ids (sorted).
+
+    The gate sees the very rows that would be published. Any problem leaves neither cases nor manifest behind.
+    """
+    spark, staging = cases.sparkSession, f"{path.rstrip('/')}-staging"
+    cases.write.mode("errorifexists").json(staging)
+    written = spark.read.schema(cases.schema).json(staging)
+    where, done = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staging, f"{path}/cases"))
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        require_clean(check_public(written), "cases must not be published")
+    except ValueError:
+        store.delete(where, True)
+        raise
+    store.mkdirs(done.getParent())
+    if store.exists(done) or not store.rename(where, done):
+        store.delete(where, True)
+        raise ValueError(f"{path}/cases exists already")
+    manifest(spark.read.schema("report_id string").json(f"{path}/cases"), default_id).write.mode("errorifexists").json(f"{path}/manifest")
 
 
 def manifest(cases: DataFrame, default_id: str | None = None) -> DataFrame:

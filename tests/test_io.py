@@ -65,7 +65,7 @@ def test_read_reports(spark, tmp_path):
     (tmp_path / "b.md").write_text("x", encoding="utf-8")
     (tmp_path / "c.pdf").write_text("no", encoding="utf-8")
     got = {r.report_id: r.raw_text for r in readers.read_reports(spark, str(tmp_path)).collect()}
-    assert got == {"a": "一 二\n三", "b": "x"}
+    assert got == {"a": "一 二\n三", "b.md": "x"}
 
 
 def test_graded_batches_tolerate_old_shapes(spark, tmp_path):
@@ -123,3 +123,33 @@ def test_stream_equals_batch(spark, tmp_path):
     streamed = {r.window_start: r.counted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {r.window_start: r.counted for r in intake.stream_class_stats(rows).collect()}
     assert streamed and all(batch[k] == v for k, v in streamed.items()) and len(batch) - len(streamed) <= 1
+
+
+def test_reports_of_one_name_stay_apart(spark, tmp_path):
+    for folder, name in (("x", "r.txt"), ("y", "r.txt"), ("y", "r.md"), ("y", "a b+ü.txt")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / name).write_text(folder, encoding="utf-8")
+    got = readers.read_reports(spark, str(tmp_path)).collect()
+    assert {(r.report_id, r.name) for r in got} == {("x/r", "r"), ("y/r", "r"), ("y/r.md", "r"), ("y/a b+ü", "a b+ü")}
+
+
+def test_bundle_layouts(spark, tmp_path):
+    """An indented document and a bare list carry whole results; what cannot be read is listed."""
+    entry = {"name": "n", "saved_at": "2024-02-03T04:05:06", "result": {"report_id": "q", "total": 55, "items": [
+        {"name": "i", "score": 5, "status": "ok", "issues": [{"problem": "p", "location": "l", "impact": "m", "direction": "d"}]}]}}
+    bad = [{"name": "x", "result": {"items": []}}, {"name": "y"}]
+    for k, doc in enumerate(({"sid": "abcdef01", "items": [entry, *bad]}, [entry, *bad])):
+        (tmp_path / f"{k}.json").write_text(json.dumps(doc, indent=2), encoding="utf-8")
+        got = readers.import_bundle(spark, str(tmp_path / f"{k}.json"), whole_documents=True).collect()
+        assert [(r.report_id, r.total, r["items"][0].issues[0].direction, str(r.saved_at)) for r in got] == [("q", 55.0, "d", "2024-02-03 04:05:06")]
+        out = readers.rejected_bundle_items(spark, str(tmp_path / f"{k}.json"), whole_documents=True).collect()
+        assert {(r.name, r.reason) for r in out} == {("x", "no_total"), ("y", "no_result")}
+
+
+def test_public_cases_are_checked_as_written(spark, tmp_path):
+    cases = spark.createDataFrame([("a", "text", True), ("b", "mail me@example.org", True)], "report_id string, public_text string, is_public boolean")
+    with pytest.raises(ValueError):
+        sinks.write_public_cases(cases, str(tmp_path / "p"))
+    assert not (tmp_path / "p" / "manifest").exists() and not (tmp_path / "p" / "cases").exists()
+    sinks.write_public_cases(cases.limit(1), str(tmp_path / "p"), "a")
+    assert [r.report_id for r in spark.read.json(str(tmp_path / "p" / "manifest")).collect()] == ["a"]

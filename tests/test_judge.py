@@ -138,3 +138,31 @@ def test_rubric_rules(spark):
     assert {r.problem for r in strict.collect()} == {"total_is_not_100"}
     import hashlib
     assert spark.range(1).select(rubric_hash(F.lit("c"), F.lit("raw"))).first()[0] == hashlib.sha256(b"c||raw").hexdigest()[:16]
+
+
+def test_reports_without_rubric_and_long_rubrics(spark):
+    """Thirteen items with gapped places all count, a report without a rubric has a row of its own, and feedback meets its own rubric."""
+    rubric = spark.createDataFrame(
+        [(rid, 10 * k, f"r{k}", f"Item {k}", "c", float(top), [f"signal{k}"], []) for rid, n, top in (("a", 13, 5), ("b", 3, 30)) for k in range(1, n + 1)],
+        RUBRIC_SCHEMA)
+    reports = spark.createDataFrame([(1, "a", "signal1 and more text here."), (2, "b", "nothing"), (3, "zz", "text"), (4, None, "text")],
+                                    "report_id int, rubric_id string, full_text string")
+    judged = J.rule_judge(reports, rubric)
+    count = {r.report_id: r["count"] for r in judged.groupBy("report_id").count().collect()}
+    assert count == {1: 13, 2: 3, 3: 1, 4: 1}
+    lost = judged.where("item_id IS NULL").collect()
+    assert {(r.report_id, r.system_error) for r in lost} == {(3, "no_rubric"), (4, "no_rubric")}
+    graded = {r.report_id: r for r in J.grade_offline(reports, rubric).collect()}
+    assert [graded[k].total_incomplete for k in (1, 2, 3, 4)] == [False, False, True, True] and graded[3].total is None
+    assert len(graded[1].judgements) == 13
+    feedback = {r.report_id: r.not_full for r in J.rule_feedback(judged, rubric).collect()}
+    assert feedback[2] == 3 and feedback[1] in (12, 13)
+    with pytest.raises(Exception, match="several rubrics"):
+        J.rule_feedback(judged.drop("rubric_id"), rubric).collect()
+
+
+def test_attempts_keep_reason_and_order(spark):
+    rows = [(*row(verdict="hit", evidence=["取款金额超过余额时方法返回"]), "because", 2), (*row(verdict="miss"), "first", 1)]
+    attempts = EV.verify_judgements(spark.createDataFrame(rows, ATTEMPT + ", reason string, pos int"), texts(spark))
+    got = J.resolve_attempts(attempts).first()
+    assert (got.verdict, got.reason) == ("miss", "first")
