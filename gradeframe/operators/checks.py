@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..functions.numbers import clamp, ratio
-from ..functions.rows import first_row, literal_table
+from ..functions.rows import first_row, literal_table, once
 
 RULE_ITEMS = [k for k, (_, e) in K.CHECK_ITEMS.items() if e == "rule"]
 AI_ITEMS = [k for k, (_, e) in K.CHECK_ITEMS.items() if e == "ai"]
@@ -79,7 +79,7 @@ def _body_after(lines: Column, at: Column, stop_words: Column) -> Column:
 def slots_by_line(text: Column, vocab: Column, found: Column) -> Column:
     """Fill the slots titles did not give: first 2-30 character line with a word, then the text below it."""
 
-    def fill(lines: Column) -> Column:
+    def fill(lines: Column, stop_words: Column) -> Column:
         short = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), X.strip(line).alias("s"))),
                          lambda c: F.length(c["s"]).between(2, K.HEADING_MAX_CHARS))
 
@@ -87,12 +87,13 @@ def slots_by_line(text: Column, vocab: Column, found: Column) -> Column:
             def one(body: Column, kw: Column) -> Column:
                 first = F.get(F.filter(cand, lambda c: X.contains_any(c["s"], kw)), F.lit(0))
                 return F.when(body.isNotNull(), body).otherwise(X.bind(first, lambda hit: F.when(
-                    hit.isNotNull(), _body_after(lines, hit["i"], F.flatten(vocab)))))
+                    hit.isNotNull(), _body_after(lines, hit["i"], stop_words))))
             return F.zip_with(found, vocab, one)
 
         return X.bind(short, with_candidates)
 
-    return X.bind(X.lines_of(text), fill)
+    # both bound once: the fold below a heading asks for the words at every line
+    return X.bind(X.lines_of(text), lambda lines: X.bind(F.flatten(vocab), lambda stop_words: fill(lines, stop_words)))
 
 
 def map_slots(reports: DataFrame, by_line: bool = True) -> DataFrame:
@@ -292,21 +293,35 @@ def rule_check(reports: DataFrame) -> DataFrame:
 def profile_matrix(reports: DataFrame) -> DataFrame:
     """(report_id, one total per profile, distinct_totals): does the discipline change the outcome?
 
-    The row is multiplied by the five fixed profiles; totals are exact because all rule scores are integers.
+    What no profile changes is scored once per report: precision, figures and references, and the table, step and unit rules
+    of all profiles but the computing one. Each profile then adds its slots, structure and purpose on the same row, the
+    computing one also its own three rules. Nothing is multiplied or shuffled; totals are exact because all rule scores are integers.
     """
-    each = reports.drop("profile").withColumn("profile", F.explode_outer(X.words(K.PROFILES)))
-    weights = F.from_json(F.lit(json.dumps({k: w for k, (w, _) in K.CHECK_ITEMS.items()}, ensure_ascii=False)), "map<string,int>")
-    scored = map_slots(each).select("report_id", "profile", rule_items(F.col("raw_text")).alias("items"))
-
-    def total(items: Column) -> Column:
-        top = F.aggregate(items, F.lit(0.0), lambda a, i: a + i["score"] * F.element_at(weights, i["item"]))
-        all_ = F.aggregate(items, F.lit(0), lambda a, i: a + F.element_at(weights, i["item"]))
-        return F.round(ratio(top, all_), 1)
-
-    per = scored.select("report_id", "profile", total(F.col("items")).alias("total"))
-    return per.groupBy("report_id").agg(
-        *[F.max(F.when(F.col("profile") == p, F.col("total"))).alias(f"p{i}") for i, p in enumerate(K.PROFILES, 1)],
-        F.count_distinct("total").alias("distinct_totals"))
+    text, blank = F.col("raw_text"), X.strip(F.coalesce("raw_text", F.lit(""))) == ""
+
+    def scores(items: list[Column]) -> Column:
+        return F.struct(*[i["score"].alias(f"s{k}") for k, i in enumerate(items)])
+
+    def weighted(names: list[str], column: str) -> Column:
+        return sum((F.col(column)[f"s{k}"] * K.CHECK_ITEMS[name][0] for k, name in enumerate(names)), F.lit(0.0))
+
+    fixed, varied, own = ["有效数字", "图表规范", "引用与格式"], ["步骤可复现性", "原始数据表", "单位与量纲"], ["结构与完整性", "实验目的"]
+    every = sum(K.CHECK_ITEMS[name][0] for name in RULE_ITEMS)
+    rows = reports.drop("profile").withColumns({"profile": F.lit(K.GENERAL), "slots": F.array().cast("array<string>")})
+    rows = once(rows, "_fixed", X.bind(X.lines_of(text), lambda ls: scores([check_digits(ls), check_figures(ls), check_references(text)])))
+    rows = once(rows, "_varied", X.bind(X.lines_of(text), lambda ls: scores([check_steps(text, ls), check_data(text, ls), check_units(text)])))
+    totals = []
+    for i, profile in enumerate(K.PROFILES, 1):
+        rows = map_slots(rows.drop("slots").withColumn("profile", F.lit(profile)))
+        rows = once(rows, f"_own{i}", X.bind(X.lines_of(text), lambda ls: scores([check_structure(), check_purpose(ls)])))
+        varied_here = "_varied"
+        if profile == K.COMPUTING:
+            varied_here = "_computing"
+            rows = once(rows, varied_here, X.bind(X.lines_of(text), lambda ls: scores([check_steps(text, ls), check_data(text, ls), check_units(text)])))
+        top = weighted(own, f"_own{i}") + weighted(varied, varied_here) + weighted(fixed, "_fixed")
+        totals.append(F.when(blank, 0.0).otherwise(F.round(ratio(top, F.lit(every)), 1)).alias(f"p{i}"))
+    each = rows.select("report_id", *totals)
+    return each.withColumn("distinct_totals", F.size(F.array_distinct(F.array(*[f"p{i}" for i in range(1, len(K.PROFILES) + 1)]))).cast("long"))
 
 
 # ---- model items, totals, comparisons ----------------------------------------------

@@ -77,7 +77,34 @@ def k2(t):
     return C.slot_rows(_mapped(t))
 
 
-@query("k3_map_slots_by_line")
+_AND = f"PARTITION BY c.report_id, c.slot ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND"
+ALL_WORDS = [w for words in K.PROFILE_KEYWORDS[K.GENERAL] for w in words]
+# slots that no title gave: the first short line with a word, then the lines below it up to the next heading
+BY_LINE = MAPPED.rstrip() + f""",
+cut_lines AS (SELECT doc_id AS report_id, string_split(text, chr(10)) AS x FROM lab),
+text_lines AS (SELECT report_id, i, x[i] AS line, trim(x[i], {WS}) AS s FROM (
+  SELECT report_id, x, unnest(range(1, len(x) + 1 - CAST(x[len(x)] = '' AS INTEGER))) AS i FROM cut_lines)),
+cand AS (
+  SELECT l.report_id, v.slot_ord, v.slot, min(l.i) AS at FROM text_lines l JOIN vocab v
+    ON length(l.s) BETWEEN 2 AND {K.HEADING_MAX_CHARS} AND len(list_filter(v.ws, lambda w: contains(l.s, w))) > 0
+  WHERE NOT EXISTS (SELECT 1 FROM slots t WHERE t.report_id = l.report_id AND t.slot = v.slot) GROUP BY 1, 2, 3),
+below AS (
+  SELECT c.report_id, c.slot, l.i, CASE WHEN l.s = '' THEN '' ELSE l.line END AS line,
+         (length(l.s) BETWEEN 2 AND {K.HEADING_MAX_CHARS} AND NOT contains('{K.LINE_HEADING_BAD_END}', right(l.s, 1))
+          AND (coalesce(max(CAST(l.s <> '' AS INTEGER)) OVER ({_AND} 1 PRECEDING), 0) = 1
+               OR len(list_filter({ALL_WORDS!r}, lambda w: contains(l.s, w))) > 0))
+         OR coalesce(sum(length(l.s)) OVER ({_AND} 1 PRECEDING), 0) >= 2000 AS ends
+  FROM cand c JOIN text_lines l ON l.report_id = c.report_id AND l.i > c.at AND l.i <= c.at + 40),
+above_end AS (
+  SELECT * FROM (SELECT *, bool_or(ends) OVER (PARTITION BY report_id, slot ORDER BY i) AS over_ FROM below) WHERE NOT over_),
+slot_bodies AS (SELECT report_id, slot, string_agg(line, chr(10) ORDER BY i) AS body FROM above_end GROUP BY 1, 2),
+every_slot AS (
+  SELECT report_id, slot, body FROM slots UNION ALL
+  SELECT c.report_id, c.slot, coalesce(b.body, '') FROM cand c LEFT JOIN slot_bodies b ON b.report_id = c.report_id AND b.slot = c.slot)
+"""
+
+
+@query("k3_map_slots_by_line", BY_LINE + "SELECT report_id, slot, body FROM every_slot")
 def k3(t):
     return C.slot_rows(C.map_slots(t.lab))
 
@@ -187,11 +214,42 @@ def k12(t):
     return out.select("report_id", "item", "status", F.get("issues", F.lit(0))["problem"].alias("problem"))
 
 
-@query("k13_rule_check")
+GRADED = "CASE WHEN score = 100 THEN '通过' WHEN score > 0 THEN '偏弱' ELSE '缺失' END"
+
+
+@query("k13_rule_check", BY_LINE.rstrip() + ",\n" + LINE_SQL + rf""",
+filled AS (
+  SELECT d.doc_id AS report_id, count(s.slot) AS n, coalesce(max(length(trim(s.body, {WS}))) FILTER (s.slot = '实验目的'), 0) AS purpose
+  FROM documents d LEFT JOIN every_slot s ON s.report_id = d.doc_id GROUP BY 1),
+per_line AS (
+  SELECT report_id, count(*) FILTER (regexp_matches(line, '{STEP_RE}')) AS steps, sum(len(regexp_extract_all(line, '{K.FIGURE_PATTERN}'))) AS figures,
+         count(*) FILTER (regexp_matches(line, '{K.FIGURE_PATTERN}') AND length(trim(regexp_replace(
+           regexp_extract(line, '.*(?:图|表|截图|Fig(?:ure)?|Table)\s*\d+(.*)$', 1), '^[\s:：·、.、\-—]*', ''), {WS})) < 2) AS bare FROM ls GROUP BY 1),
+spaced AS (SELECT report_id, regexp_replace(line, '([^\p{{L}}\p{{N}}_.])', '', 'g') AS line FROM ls),
+nums AS (SELECT report_id, regexp_extract_all(line, '(?:^|[^\p{{L}}\p{{N}}_.])(\d+\.\d+)(?:{NW}|$)', 1) AS ns FROM spaced),
+places AS (
+  SELECT report_id, len(list_distinct(flatten(list(list_transform(ns, lambda n: length(split_part(n, '.', 2)))) FILTER (len(ns) >= 2)))) AS p
+  FROM nums GROUP BY 1),
+whole AS (
+  SELECT doc_id AS report_id, len(regexp_extract_all(text, '{re2(K.UNIT_PATTERN)}')) AS units, len(regexp_extract_all(text, '{K.TABLE_HINT_PATTERN}')) AS marks,
+         len(regexp_extract_all(text, '\d+[\s	,，]+\d+')) AS rows_, len(regexp_extract_all(text, '\[\d+\]')) AS refs,
+         len(regexp_extract_all(text, '{K.CITE_PATTERN}')) AS cites FROM lab),
+m AS (SELECT * FROM whole JOIN filled USING (report_id) JOIN per_line USING (report_id) LEFT JOIN places USING (report_id)),
+scored AS (
+  SELECT report_id, '结构与完整性' AS item, round_even(n / 8 * 100, 0) AS score FROM m
+  UNION ALL SELECT report_id, '实验目的', CASE WHEN purpose >= 80 THEN 100 WHEN purpose >= 30 THEN 60 ELSE 0 END FROM m
+  UNION ALL SELECT report_id, '步骤可复现性', CASE WHEN steps >= 3 AND units >= 3 THEN 100 WHEN steps >= 1 AND units >= 1 THEN 65
+                                              WHEN steps > 0 OR units > 0 THEN 40 ELSE 0 END FROM m
+  UNION ALL SELECT report_id, '原始数据表', CASE WHEN marks > 0 AND rows_ >= 3 THEN 100 WHEN rows_ >= 1 OR marks > 0 THEN 55 ELSE 0 END FROM m
+  UNION ALL SELECT report_id, '有效数字', CASE WHEN coalesce(p, 0) > 2 THEN 55 ELSE 100 END FROM m
+  UNION ALL SELECT report_id, '单位与量纲', CASE WHEN units >= 5 THEN 100 WHEN units >= 1 THEN 60 ELSE 20 END FROM m
+  UNION ALL SELECT report_id, '图表规范', CASE WHEN figures > 0 AND bare = 0 THEN 100 WHEN figures > 0 THEN 50 ELSE 0 END FROM m
+  UNION ALL SELECT report_id, '引用与格式', CASE WHEN refs >= 3 OR (refs >= 1 AND cites > 0) THEN 100 WHEN refs > 0 OR cites > 0 THEN 60 ELSE 0 END FROM m)
+SELECT report_id, item, CAST(score AS DOUBLE) AS score,
+       CASE item WHEN '结构与完整性' THEN CASE WHEN n >= 7 THEN '通过' WHEN n >= 4 THEN '偏弱' ELSE '缺失' END ELSE {GRADED} END AS status
+FROM scored JOIN filled USING (report_id)""")
 def k13(t):
-    return C.rule_check(t.lab).select(
-        "report_id", "item", "score", "status",
-        F.coalesce(F.get("issues", F.lit(0))["problem"], F.lit("")).alias("problem"))
+    return C.rule_check(t.lab).select("report_id", "item", "score", "status")
 
 
 @query("k14_sanitize_checks", f"""
