@@ -214,14 +214,7 @@ def k12(t):
     return out.select("report_id", "item", "status", F.get("issues", F.lit(0))["problem"].alias("problem"))
 
 
-GRADED = "CASE WHEN score = 100 THEN '通过' WHEN score > 0 THEN '偏弱' ELSE '缺失' END"
-
-
-@query("k13_rule_check", BY_LINE.rstrip() + ",\n" + LINE_SQL + rf""",
-filled AS (
-  SELECT d.doc_id AS report_id, count(s.slot) AS n, coalesce(max(length(trim(s.body, {WS}))) FILTER (s.slot = '实验目的'), 0) AS purpose
-  FROM documents d LEFT JOIN every_slot s ON s.report_id = d.doc_id GROUP BY 1),
-per_line AS (
+RULE_COUNTS = rf"""per_line AS (
   SELECT report_id, count(*) FILTER (regexp_matches(line, '{STEP_RE}')) AS steps, sum(len(regexp_extract_all(line, '{K.FIGURE_PATTERN}'))) AS figures,
          count(*) FILTER (regexp_matches(line, '{K.FIGURE_PATTERN}') AND length(trim(regexp_replace(
            regexp_extract(line, '.*(?:图|表|截图|Fig(?:ure)?|Table)\s*\d+(.*)$', 1), '^[\s:：·、.、\-—]*', ''), {WS})) < 2) AS bare FROM ls GROUP BY 1),
@@ -233,7 +226,15 @@ places AS (
 whole AS (
   SELECT doc_id AS report_id, len(regexp_extract_all(text, '{re2(K.UNIT_PATTERN)}')) AS units, len(regexp_extract_all(text, '{K.TABLE_HINT_PATTERN}')) AS marks,
          len(regexp_extract_all(text, '\d+[\s	,，]+\d+')) AS rows_, len(regexp_extract_all(text, '\[\d+\]')) AS refs,
-         len(regexp_extract_all(text, '{K.CITE_PATTERN}')) AS cites FROM lab),
+         len(regexp_extract_all(text, '{K.CITE_PATTERN}')) AS cites FROM lab)"""
+GRADED = "CASE WHEN score = 100 THEN '通过' WHEN score > 0 THEN '偏弱' ELSE '缺失' END"
+
+
+@query("k13_rule_check", BY_LINE.rstrip() + ",\n" + LINE_SQL + rf""",
+filled AS (
+  SELECT d.doc_id AS report_id, count(s.slot) AS n, coalesce(max(length(trim(s.body, {WS}))) FILTER (s.slot = '实验目的'), 0) AS purpose
+  FROM documents d LEFT JOIN every_slot s ON s.report_id = d.doc_id GROUP BY 1),
+""" + RULE_COUNTS + rf""",
 m AS (SELECT * FROM whole JOIN filled USING (report_id) JOIN per_line USING (report_id) LEFT JOIN places USING (report_id)),
 scored AS (
   SELECT report_id, '结构与完整性' AS item, round_even(n / 8 * 100, 0) AS score FROM m
@@ -332,7 +333,52 @@ def k19(t):
         "check_id", "item", F.coalesce(F.col("old_score").cast("double"), F.lit(-1.0)).alias("old_score"), "score", "mark", "gain")
 
 
-@query("k20_profile_matrix")
+def _of_profile(profile: str, tag: str) -> str:
+    """The slot statements again with the words of another profile, every name ending in ``tag``."""
+    words = K.PROFILE_KEYWORDS.get(profile, K.PROFILE_KEYWORDS[K.GENERAL])
+    vocab = "vocab(slot_ord, slot, ws) AS (VALUES " + ", ".join(
+        f"({i}, '{slot}', {list(w)!r})" for i, (slot, w) in enumerate(zip(K.SECTION_SLOTS, words))) + ")"
+    below = BY_LINE[BY_LINE.index("cand AS ("):].replace(repr(ALL_WORDS), repr([w for ws in words for w in ws]))
+    text = ",\n".join((vocab, SLOTS, below.rstrip()))
+    for name in ("vocab", "hits", "slots", "cand", "below", "above_end", "slot_bodies", "every_slot"):
+        text = re.sub(rf"(?<![A-Za-z_.'$]){name}(?![A-Za-z_'.])", name + tag, text)
+        text = re.sub(rf"(?<![A-Za-z_'$]){name}(?=\.)", name + tag, text)
+    return text
+
+
+WEIGHT = {name: weight for name, (weight, _) in K.CHECK_ITEMS.items()}
+PER_PROFILE = "\nUNION ALL ".join(f"""SELECT {i} AS no, d.doc_id AS report_id, count(s.slot) AS n,
+  coalesce(max(length(trim(s.body, {WS}))) FILTER (s.slot = '实验目的'), 0) AS purpose,
+  coalesce(max(trim(s.body, {WS})) FILTER (s.slot = '原始数据表'), '') AS output
+FROM documents d LEFT JOIN every_slot_p{i} s ON s.report_id = d.doc_id GROUP BY d.doc_id""" for i in range(1, len(K.PROFILES) + 1))
+
+
+@query("k20_profile_matrix", BY_LINE[:BY_LINE.index("cand AS (")].rstrip() + "\n" + ",\n".join(
+    _of_profile(profile, f"_p{i}") for i, profile in enumerate(K.PROFILES, 1)) + ",\n" + LINE_SQL + f""",
+per_profile AS ({PER_PROFILE}),
+""" + RULE_COUNTS + rf""",
+computing AS (
+  SELECT doc_id AS report_id, len(regexp_extract_all(text, '{re2(K.COMPUTING_PARAM_PATTERN)}')) AS params,
+         len(regexp_extract_all(text, '{re2(K.COMPUTING_QUANT_PATTERN)}')) AS quants FROM lab),
+mm AS (
+  SELECT *, CASE WHEN no = {K.PROFILES.index(K.COMPUTING) + 1} THEN params ELSE units END AS p_, CASE WHEN no = {K.PROFILES.index(K.COMPUTING) + 1} THEN quants ELSE units END AS u_,
+         length(output) AS o_n, len(regexp_extract_all(output, '\d')) AS o_digits,
+         CASE WHEN output = '' THEN 0 ELSE len(list_filter(string_split(output, chr(10)), lambda l: trim(l, {WS}) <> '')) END AS o_rows
+  FROM whole JOIN per_profile USING (report_id) JOIN per_line USING (report_id) JOIN computing USING (report_id) LEFT JOIN places USING (report_id)),
+totals AS (
+  SELECT report_id, no, round((
+    {WEIGHT['结构与完整性']} * round_even(n / 8 * 100, 0) + {WEIGHT['实验目的']} * CASE WHEN purpose >= 80 THEN 100 WHEN purpose >= 30 THEN 60 ELSE 0 END
+    + {WEIGHT['步骤可复现性']} * CASE WHEN steps >= 3 AND p_ >= 3 THEN 100 WHEN steps >= 1 AND p_ >= 1 THEN 65 WHEN steps > 0 OR p_ > 0 THEN 40 ELSE 0 END
+    + {WEIGHT['原始数据表']} * CASE WHEN no = {K.PROFILES.index(K.COMPUTING) + 1}
+        THEN CASE WHEN o_n >= 80 OR o_digits >= 20 OR o_rows >= 6 THEN 100 WHEN o_n >= 30 OR o_digits >= 5 OR o_rows >= 2 THEN 70 WHEN o_n > 0 THEN 25 ELSE 0 END
+        ELSE CASE WHEN marks > 0 AND rows_ >= 3 THEN 100 WHEN rows_ >= 1 OR marks > 0 THEN 55 ELSE 0 END END
+    + {WEIGHT['有效数字']} * CASE WHEN coalesce(p, 0) > 2 THEN 55 ELSE 100 END
+    + {WEIGHT['单位与量纲']} * CASE WHEN u_ >= 5 THEN 100 WHEN u_ >= 1 THEN 60 ELSE 20 END
+    + {WEIGHT['图表规范']} * CASE WHEN figures > 0 AND bare = 0 THEN 100 WHEN figures > 0 THEN 50 ELSE 0 END
+    + {WEIGHT['引用与格式']} * CASE WHEN refs >= 3 OR (refs >= 1 AND cites > 0) THEN 100 WHEN refs > 0 OR cites > 0 THEN 60 ELSE 0 END
+  ) / {sum(WEIGHT[i] for i in C.RULE_ITEMS)}::DOUBLE, 1) AS total FROM mm)
+SELECT report_id, """ + ", ".join(f"max(total) FILTER (no = {i}) AS p{i}" for i in range(1, len(K.PROFILES) + 1)) + """,
+       count(DISTINCT total) AS distinct_totals FROM totals GROUP BY report_id""")
 def k20(t):
     return C.profile_matrix(t.lab.select("report_id", "raw_text", "sections"))
 
