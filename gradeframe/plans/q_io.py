@@ -300,8 +300,8 @@ def w1b(t):
 @query("w2_daily_quota", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS session_id, count(*) AS used,
        greatest(3 - count(*), 0) AS remaining, count(*) >= 3 AS exhausted
-FROM events WHERE event_type <> 'view' GROUP BY 1, 2""")
+FROM events GROUP BY 1, 2""")
 def w2(t):
-    calls = t.raw("events").where("event_type <> 'view'").select(
+    calls = t.raw("events").select(
         F.col("ts").cast("timestamp").alias("event_time"), F.col("user_id").alias("session_id"))
     return intake.daily_quota(calls, 3).withColumn("day", F.date_format("day", "yyyy-MM-dd"))

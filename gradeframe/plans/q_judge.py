@@ -77,11 +77,11 @@ def _joined(df, *names):
 
 
 @query("j2_normalize_judgements", with_(DETAILS, """raw AS (
-  SELECT report_id, item_id, pos, max_c,
+  SELECT report_id, item_id, pos, CASE WHEN item_id > 'r5' THEN 10000 ELSE max_c END AS max_c,
          CASE WHEN pos % 11 = 0 THEN 'unsure' ELSE verdict END AS verdict,
          CASE WHEN pos % 13 = 0 THEN NULL ELSE score_c * (CASE WHEN pos % 7 = 0 THEN 9 ELSE 1 END) END AS score_c,
          CASE WHEN pos % 17 = 0 THEN NULL WHEN pos % 5 = 0 THEN 500 ELSE conf_c END AS conf_c
-  FROM details WHERE item_id <= 'r5'),
+  FROM details),
 legal AS (
   SELECT *, verdict IN ('hit', 'partial', 'miss') AS ok,
          CASE WHEN verdict IN ('hit', 'partial', 'miss') THEN verdict ELSE 'partial' END AS v,
@@ -101,7 +101,7 @@ SELECT report_id, item_id, pos, v AS verdict, s / 100.0 AS score,
 FROM banded""")
 def j2(t):
     pos = F.col("pos")
-    raw = t.details.where("item_id <= 'r5'").select(
+    raw = t.details.select(
         "report_id", "item_id", "pos",
         F.when(pos % 11 == 0, "unsure").otherwise(F.col("verdict")).alias("verdict"),
         F.when(pos % 13 == 0, "n/a").otherwise(
