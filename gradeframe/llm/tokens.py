@@ -30,15 +30,18 @@ BLOCK, CHECKPOINT = 1 << 18, 128
 
 _LEAD2, _LEAD34 = np.zeros(256, bool), np.zeros(256, bool)
 _LEAD2[0xC3:0xE0], _LEAD34[0xE4:0xF5] = True, True          # first bytes of characters that are surely not white space
-_PLAIN = np.zeros(256, bool)
+_PLAIN, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[0x21:0x7F] = ~np.array([chr(c).isalnum() for c in range(0x21, 0x7F)])
 
 
-def segments(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(t: Texts, marks: np.ndarray = _MARK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text number of pieces that a byte-level tokenizer encodes independently of their neighbours.
 
     Its pattern always ends a piece before a single space, and around any other single white space character, if the
-    characters on both sides are not white space. Where that is not certain from the bytes there is no cut.
+    characters on both sides are not white space, and between a letter and a mark. Where that is not certain from the bytes
+    (letters are those of ASCII and Latin-1) there is no cut, nor before a mark that is not among ``marks``.
     """
     d = t.data
     at = np.flatnonzero(t.space[1:-1]) + 1 if len(d) > 2 else np.zeros(0, np.int64)
@@ -49,8 +52,13 @@ def segments(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     tail = (before >= 0x80) & (before < 0xC0) & (_LEAD2[back[0]] | (_LEAD34[back[1]] & (back[1] < 0xF0)) | (back[2] >= 0xF0))
     after = d[at + 1]
     at = at[(_PLAIN[before] | tail) & (_PLAIN[after] | _LEAD2[after] | _LEAD34[after])]
-    filled = np.flatnonzero(np.diff(t.offsets))
-    start = np.unique(np.concatenate((t.offsets[filled], at, at[d[at] != 32] + 1)))
+    mark = np.flatnonzero(marks[d])
+    mark = mark[mark > 0]
+    last, lead = d[mark - 1], d[np.maximum(mark - 2, 0)]
+    mark = mark[_LETTER[last] | (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]
+    cut = np.zeros(len(d) + 1, bool)
+    cut[t.offsets[:-1]] = cut[at] = cut[at[d[at] != 32] + 1] = cut[mark] = True
+    start = np.flatnonzero(cut[:-1])
     end = np.append(start[1:], len(d)) if len(start) else start
     return start, end, np.searchsorted(t.offsets, start, side="right") - 1
 
@@ -61,17 +69,21 @@ class Encoder:
     The cache has a fixed number of slots, and its store of ids starts anew when full, so memory is bounded.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID, slots: int = 1 << 21, store: int = 1 << 23):
+    def __init__(self, path: str, end_id: int = END_ID, slots: int = 1 << 22, store: int = 1 << 25):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.slots, self.most = Tokenizer.from_file(path), end_id, slots, store
+        self.marks = _MARK.copy()               # without those that stand after a letter inside a special token
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            raw = token.content.encode()
+            self.marks[[b for a, b in zip(raw, raw[1:]) if _LETTER[a] or a >= 0x80]] = False
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self):
         self.key = np.zeros(self.slots, np.uint64)
-        self.at, self.n = np.zeros(self.slots, np.int64), np.full(self.slots, -1, np.int32)
+        self.at, self.n = np.zeros(self.slots, np.int32), np.full(self.slots, -1, np.int32)
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _keep(self, ids: np.ndarray) -> int:
@@ -94,10 +106,10 @@ class Encoder:
         """All ids of a run of texts with an end id after each, and the number of ids of each text."""
         if self.used > self.most:
             self._clear()
-        start, end, owner = segments(t)
+        start, end, owner = segments(t, self.marks)
         key = t.hashes(start, end)
         slot = (key & np.uint64(self.slots - 1)).astype(np.int64)
-        at, n = self.at[slot], self.n[slot].astype(np.int64)
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
         miss = np.flatnonzero((self.key[slot] != key) | (n < 0))
         if len(miss):
             fresh, first, inverse = np.unique(key[miss], return_index=True, return_inverse=True)
