@@ -1,9 +1,10 @@
 """Repeated passages: paragraph MinHash with exact verification, and content-defined pieces for what stands inside paragraphs.
 
 A paragraph is a line. Its MinHash signature over five-word shingles is cut into BANDS bands of ROWS values, which finds pairs of
-Jaccard similarity 0.8 with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS > 0.999. In a band's bucket every paragraph is verified
-against one head; those that fail are verified against all of the bucket, so a bucket of copies costs no more than its
-size and no found pair is lost. Verified pairs form components, the classes.
+Jaccard similarity 0.8 with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS > 0.999. The distinct paragraphs of a bucket meet in one
+task with their shingles, where products of 0/1 matrices give the exact similarity of all of them at once; only the edges of a
+spanning forest leave it. Buckets over TILE paragraphs are cut into tiles that are compared in pairs by different tasks.
+The forests' components are the classes.
 
 A passage pasted into the middle of different lines is no paragraph. So texts are cut a second time into pieces of REACH + 1
 words or more, each beginning where the hash of two words is least among its neighbours up to REACH words away: cuts depend on
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, staged
-from .words import Texts, mix, runs
+from .words import Texts, forest, mix, runs, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 2
+#: Most paragraphs of a bucket that one task compares with each other.
+TILE = 2048
 REACH = 4
 MIN_PASSAGE = 20
 
@@ -143,28 +146,73 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(gather, "unit long, shingles array<int>")
 
 
-def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) that connect all paragraphs found near each other."""
+def similar_rows(flat: np.ndarray, at: np.ndarray, side: np.ndarray, similarity: float, width: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges (row numbers) among sets of Jaccard similarity ``similarity`` or more; set i is flat[at[i]:at[i + 1]].
+
+    side: 0 and 1 are compared with each other only, 2 with every row.
+    """
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(size)), size)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    both = np.zeros((len(size), len(size)), np.float32)
+    for lo in range(0, int(shared.sum()), width):
+        here = (column >= lo) & (column < lo + width)
+        ones = np.zeros((len(size), min(width, int(shared.sum()) - lo)), np.float32)
+        ones[owner[here], column[here] - lo] = 1
+        both += ones @ ones.T
+
+    def linked():
+        for lo in range(0, len(size), 256):
+            part = both[lo: lo + 256]
+            a, b = np.nonzero(part >= similarity * (size[lo: lo + 256, None] + size - part) - 1e-6)
+            a += lo
+            ok = (b > a) & ((side[a] == 2) | (side[a] != side[b]))
+            yield a[ok], b[ok]
+
+    root = forest(len(size), linked())
+    moved = np.flatnonzero(root != np.arange(len(size)))
+    return moved, root[moved]
+
+
+def _links_of(similarity: float):
+    def run(batches):
+        for table in whole_groups(batches, ("band", "key", "tile")):
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("band", "key", "tile")])
+            cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+            unit, side, sets = table.column("unit").to_numpy(), table.column("side").to_numpy(), table.column("shingles").combine_chunks()
+            flat, at = sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if hi - lo > 1:
+                    x, y = similar_rows(flat[at[lo]: at[hi]], at[lo: hi + 1] - at[lo], side[lo:hi], similarity)
+                    a.append(unit[lo + x])
+                    b.append(unit[lo + y])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
+
+    return run
+
+
+def near_paragraphs(docs: DataFrame, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) of spanning forests: they connect, directly or through others, all paragraphs of the similarity that share a
+    bucket, and no others."""
     cells = bands(docs).distinct()
-    heads = cells.groupBy("band", "key").agg(F.min("unit").alias("head"), F.max("unit").alias("last")).where("head <> last").drop("last")
-    members, _ = staged(cells.join(heads, ["band", "key"]).where("unit <> head"), "paragraph-buckets")
-    pairs, _ = staged(members.select(F.col("unit").alias("a"), F.col("head").alias("b")).distinct(), "paragraph-pairs")
-    wanted = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
+    size = cells.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members, _ = staged(cells.join(size, ["band", "key"]), "paragraph-buckets")
+    wanted = members.select("unit").distinct()
     sets, _ = staged(shingle_sets(docs).join(wanted, "unit", "left_semi").groupBy("unit").agg(F.any_value("shingles").alias("shingles")), "paragraph-sets")
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        a = sets.select(F.col("unit").alias("a"), F.col("shingles").alias("sa"))
-        b = sets.select(F.col("unit").alias("b"), F.col("shingles").alias("sb"))
-        met = candidates.join(a, "a").join(b, "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return met.select("a", "b", (shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).alias("alike"))
-
-    tested, _ = staged(verified(pairs), "paragraph-tested")
-    failed = tested.where("NOT alike").select(F.col("a").alias("unit"), F.col("b").alias("head"))
-    other = members.select("band", "key", F.col("unit").alias("unit2"))
-    again = members.join(failed, ["unit", "head"]).select("band", "key", "unit").join(other, ["band", "key"]).where("unit <> unit2").select(
-        F.least("unit", "unit2").alias("a"), F.greatest("unit", "unit2").alias("b")).distinct()
-    return tested.where("alike").select("a", "b").unionByName(verified(again).where("alike").select("a", "b"))
+    placed = members.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).withColumn(
+        "own", F.pmod(F.xxhash64("unit", F.lit(7)), F.col("tiles")).cast("int"))
+    tiled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    dealt = tiled.select(
+        "unit", "band", "key", (lo * F.col("tiles").cast("long") + hi).alias("tile"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
+    return dealt.join(sets, "unit").repartition("band", "key", "tile").sortWithinPartitions("band", "key", "tile").mapInArrow(
+        _links_of(similarity), "a long, b long")
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_PASSAGE) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, spare, staged
-from .words import LOWER, buffers
+from .words import LOWER, buffers, forest, whole_groups
 
 SEED = 42
 _TABLE = LOWER.tobytes()
@@ -127,22 +127,6 @@ def _over(count: list[np.ndarray], radius: int) -> np.ndarray:
     return over
 
 
-def _forest(n: int, pairs) -> np.ndarray:
-    """Smallest member reachable, over pairs of arrays (a, b) that come one after another."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while True:
-            x, y = root[a], root[b]
-            apart = x != y
-            if not apart.any():
-                break
-            a, b = a[apart], b[apart]
-            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
-            while (up := root[root] != root).any():
-                root[up] = root[root][up]
-    return root
-
-
 def bucket_edges(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: int, cells: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Spanning edges (pairs of row numbers) among the fingerprints of each bucket; rows are sorted by group.
 
@@ -170,7 +154,7 @@ def bucket_edges(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: i
             ok = (side[a] == 2) | (side[a] != side[b])
             yield a[ok], b[ok]
 
-    root = _forest(n, linked())
+    root = forest(n, linked())
     moved = np.flatnonzero(root != rows)
     return moved, root[moved]
 
@@ -179,27 +163,13 @@ def _edges_of(longs: int, radius: int):
     names = _names(longs)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def out(table: pa.Table):
+        for table in whole_groups(batches, ("part", "key", "tile")):
             fps = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("part", "key", "tile")])
-            group = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0)))) if len(fps) else np.zeros(0, int)
+            group = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))))
             a, b = bucket_edges(fps, table.column("side").to_numpy(), group, radius)
             node = table.column("id").to_numpy()
-            return pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
-
-        for batch in batches:                       # a bucket may go on in the next batch
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            key = [table.column(c).to_numpy() for c in ("part", "key", "tile")]
-            change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key]))
-            if len(change):
-                cut = int(change[-1]) + 1
-                yield out(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield out(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
     return run
 

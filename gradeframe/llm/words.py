@@ -144,3 +144,36 @@ def repeated(keys: np.ndarray, later_only: bool = False) -> np.ndarray:
     if not later_only:
         flags[order[:-1]] |= same
     return flags
+
+
+def forest(n: int, pairs) -> np.ndarray:
+    """Smallest member reachable, over pairs of arrays (a, b) that come one after another."""
+    root = np.arange(n)
+    for a, b in pairs:
+        while True:
+            x, y = root[a], root[b]
+            apart = x != y
+            if not apart.any():
+                break
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (up := root[root] != root).any():
+                root[up] = root[root][up]
+    return root
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of batches sorted by ``columns`` in tables that never part the rows of one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        keys = [pa.Table.from_batches(held).column(c).to_numpy() for c in columns]
+        change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        if len(change):
+            table, cut = pa.Table.from_batches(held), int(change[-1]) + 1
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)

@@ -67,21 +67,28 @@ def test_near_paragraphs_against_all_pairs(table):
             unit[r.doc_id] = r.unit
     sets = {unit[d]: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for d, w in ((d, t.split()) for d, t in enumerate(lines))}
     jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    links = [(r.a, r.b) for r in paragraphs.near_paragraphs(df).collect()]
-    assert all(jaccard(a, b) >= 0.8 - 1e-9 for a, b in links)
-    root = {u: u for u in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        u, v = sorted((find(a), find(b)))
-        root[v] = u
     ids = sorted(sets)
     pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if jaccard(a, b) >= 0.8]
-    assert len(pairs) > 20 and sum(find(a) == find(b) for a, b in pairs) >= 0.99 * len(pairs)
+
+    def closure(edges):
+        root = {u: u for u in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            u, v = sorted((find(a), find(b)))
+            root[v] = u
+        return find
+
+    want = closure(pairs)
+    for tile in (2048, 2):                  # with tiles of two, buckets are cut and compared in pairs of tiles
+        links = [(r.a, r.b) for r in paragraphs.near_paragraphs(df, tile=tile).collect()]
+        got = closure(links)
+        assert all(want(a) == want(b) for a, b in links)
+        assert len(pairs) > 20 and sum(got(a) == got(b) for a, b in pairs) >= 0.99 * len(pairs)
 
 
 def test_odd_rows(docs, empty):
