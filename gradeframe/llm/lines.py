@@ -1,18 +1,20 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Lines are normalised (lower case, only letters and digits, single spaces); equal normal forms are one distinct line. Each has a
-64-bit SimHash of its words, counted in bit-sliced counters: one long per binary digit holds that digit of all 64 counts. Two
+Lines are normalised (lower case, ASCII marks and blanks become single spaces); equal normal forms are one distinct line. Each has a
+64-bit SimHash of its words: bit j is set if more than half of the words' hashes have it. The 64 counts of a line are kept in 22
+longs, three counters of 21 bits in each, so that a word adds to all of them with 22 additions. Two
 distinct lines link if their SimHashes differ in RADIUS bits or fewer and the edit similarity of their word sequences
 (1 - word edits / words of the longer one) reaches SIMILARITY. Of all lines in one connected group the first stays.
 
 Candidates meet in pigeonhole blocks: a SimHash is cut into RADIUS + 2 pieces, and values within the radius agree on two of
-them. In a block every line is compared with the block's most frequent line; only lines that are far from it are compared
-with the rest, and so are lines that are near it but fail the edit test. So a block of a thousand variants of one line costs about
-a thousand comparisons, and no link is lost: two lines that both pass with the common one are in its group anyway.
+them. In a block every value is compared with the block's least one; only values that are far from it are compared
+with the rest, and so are values whose lines are near it but fail the edit test. So a block of a thousand variants of one line costs
+about a thousand comparisons, and no link is lost: two lines that both pass with the common one are in its group anyway.
 
-Edge cases: null and empty texts have no lines; lines without a letter or digit are never removed and never counted; texts are
+Edge cases: null and empty texts have no lines; lines of marks and blanks alone are never removed and never counted; texts are
 ordered by doc_id (nulls first) and lines by number, so ties between equal lines go to the first text; repeated rows are texts
-of their own; extra columns are kept by ``dedup_lines`` and otherwise ignored; an empty table gives an empty result.
+of their own; extra columns are kept by ``dedup_lines`` and otherwise ignored; an empty table gives an empty result. A line may
+have up to two million words.
 """
 
 from itertools import combinations
@@ -21,66 +23,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import once
-from ..functions.text import bind
 from .graph import components, spare, staged
 
 RADIUS, SIMILARITY, BITS = 3, 0.8, 64
-#: Digits of the counters, by the most words that they can count; longer lines take the last.
-DIGITS = (5, 8, 12, 24)
+LANE = 21
+_LANES = 1 | 1 << LANE | 1 << 2 * LANE
+#: One character per word for the edit test; unlike words share one once in 20 480 times.
+_ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 20480)))
 
 
 def line_words(line: Column) -> Column:
-    """Words of the normal form: runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Words of the normal form in lower case: runs of characters other than ASCII marks, blanks and control characters."""
+    return F.array_remove(F.split(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
-def _majority(hashes: Column, n: Column, digits: int) -> Column:
-    """Bits that are set in more than half of the hashes, for up to 2 ** digits - 1 of them."""
-    names = [f"d{j}" for j in range(digits)]
+def bit_counts(h: Column) -> list[Column]:
+    """Sums of the bits of a hash column: long k counts bits k, k + 21 and k + 42, the last one bit 63."""
+    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(_LANES if k < LANE else 1)).alias(f"c{k}") for k in range(LANE + 1)]
 
-    def add(acc: Column, x: Column) -> Column:
-        carry, out = x, []
-        for name in names:
-            out.append(acc[name].bitwiseXOR(carry).alias(name))
-            carry = carry.bitwiseAND(acc[name])
-        return F.struct(*out)
 
-    def over_half(acc: Column) -> Column:
-        half, equal, more = F.shiftright(n, 1), F.lit(-1).cast("long"), F.lit(0).cast("long")
-        for j in reversed(range(digits)):
-            bit = -F.shiftright(half, j).bitwiseAND(1).cast("long")
-            more = more.bitwiseOR(equal.bitwiseAND(acc[names[j]]).bitwiseAND(F.bitwise_not(bit)))
-            equal = equal.bitwiseAND(F.bitwise_not(acc[names[j]].bitwiseXOR(bit)))
-        return more
+def majority() -> Column:
+    """The bits whose count is over half of ``n``."""
+    out = F.lit(0).cast("long")
+    for bit in range(BITS):
+        k, lane = (bit % LANE, bit // LANE) if bit < 3 * LANE else (LANE, 0)
+        count = F.shiftrightunsigned(f"c{k}", LANE * lane).bitwiseAND((1 << LANE) - 1)
+        out = out.bitwiseOR(F.shiftleft((2 * count > F.col("n")).cast("long"), bit))
+    return out
 
-    return F.aggregate(hashes, F.struct(*[F.lit(0).cast("long").alias(name) for name in names]), add, over_half)
 
-
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words as a long."""
-    def choose(h: Column) -> Column:
-        n = F.size(h)
-        out = None
-        for digits in DIGITS[:-1]:
-            one = _majority(h, n, digits)
-            out = F.when(n < 1 << digits, one) if out is None else out.when(n < 1 << digits, one)
-        return out.otherwise(_majority(h, n, DIGITS[-1]))
-
-    return bind(F.transform(words, lambda w: F.xxhash64(w)), choose)
+def symbols(words: Column) -> Column:
+    """One character per word, so that string edits are word edits."""
+    letters = F.split(F.lit(_ALPHABET), "")
+    return F.array_join(F.transform(words, lambda w: F.get(letters, F.pmod(F.xxhash64(w), F.lit(20480)).cast("int"))), "")
 
 
-def symbols(words: Column) -> Column:
-    """One character per word, so that string edits are word edits (unlike words share a character once in 20 480 times)."""
-    code = F.transform(words, lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(20480))))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+def _lines_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, pos and words of each line with a word."""
+    lines = docs.select(*columns, F.posexplode(F.split("text", "\n", -1)).alias("pos", "said"))
+    return once(lines, "words", line_words(F.col("said"))).where(F.size("words") > 0).select(*columns, "pos", "words")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """text_no, doc_id, pos, line (64-bit hash of the normal form) and sim of every line with a word."""
     texts = docs.select(F.monotonically_increasing_id().alias("text_no"), "doc_id", "text")
-    lines = texts.select("text_no", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "words_in"))
-    worded = once(lines, "words", line_words(F.col("words_in"))).where(F.size("words") > 0)
-    return worded.select("text_no", "doc_id", "pos", F.xxhash64(F.array_join("words", " ")).alias("line"), simhash(F.col("words")).alias("sim"))
+    # the hash of a line is made before its words become rows, not once for each of them
+    hashed = once(_lines_of(texts, "text_no", "doc_id"), "line", F.xxhash64(F.array_join("words", " ")))
+    said = hashed.select("text_no", "doc_id", "pos", "line", F.explode("words").alias("word"))
+    counted = said.groupBy("text_no", "doc_id", "pos", "line").agg(F.count("*").alias("n"), *bit_counts(F.xxhash64("word")))
+    return counted.select("text_no", "doc_id", "pos", "line", majority().alias("sim"))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -88,28 +79,35 @@ def _apart(a: str, b: str) -> Column:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect all distinct ``lines`` (line, sim, n) near each other, verified on the lines of ``docs``."""
+    """Links (a, b) that connect all distinct ``lines`` (line, sim) near each other, verified on the lines of ``docs``."""
     count = radius + 2
     edge = [BITS * k // count for k in range(count + 1)]
     piece = [F.shiftrightunsigned("sim", edge[k]).bitwiseAND((1 << (edge[k + 1] - edge[k])) - 1) for k in range(count)]
-    keys = [F.struct(F.lit(i).alias("part"), (F.shiftleft(piece[p], edge[q + 1] - edge[q]) + piece[q]).alias("key"))
+    keys = [F.lit(i << 32).cast("long") + F.shiftleft(piece[p], edge[q + 1] - edge[q]) + piece[q]
             for i, (p, q) in enumerate(combinations(range(count), 2))]
-    cells = lines.select("line", "sim", "n", F.inline(F.array(*keys)))
-    heads = cells.groupBy("part", "key").agg(F.max(F.struct("n", "line", "sim")).alias("head"), F.count("*").alias("m")).where("m > 1")
-    members = cells.join(heads, ["part", "key"]).where(F.col("line") != F.col("head.line")).select(
-        "part", "key", "line", "sim", F.col("head.line").alias("head"), F.col("head.sim").alias("head_sim"))
-    members, _ = staged(members.withColumn("near", _apart("sim", "head_sim") <= radius), "line-blocks")
-    other = members.select("part", "key", F.col("line").alias("line2"), F.col("sim").alias("sim2"), F.col("near").alias("near2"))
+    # blocks of SimHash values: each value once, whatever number of lines has it
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = lines.select("sim").distinct().select("sim", F.explode(F.array(*keys)).alias("key")).repartition(parts, "key")
+    heads = cells.groupBy("key").agg(F.min("sim").alias("head"), F.max("sim").alias("last")).where("head <> last").drop("last")
+    members, _ = staged(cells.join(heads, "key").where("sim <> head").withColumn("near", _apart("sim", "head") <= radius), "line-blocks")
+    other = members.select("key", F.col("sim").alias("sim2"), F.col("near").alias("near2"))
     close = _apart("sim", "sim2") <= radius
-    to_head = members.where("near").select(F.col("line").alias("a"), F.col("head").alias("b"))
-    rest = members.where("NOT near").join(other, ["part", "key"]).where(close & (F.col("near2") | (F.col("line") < F.col("line2"))))
-    pairs, _ = staged(to_head.unionByName(rest.select(F.col("line").alias("a"), F.col("line2").alias("b"))).distinct(), "line-pairs")
-
-    # words of the lines that have a candidate; equal lines are fetched once
-    wanted = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
-    said = docs.select(F.explode(F.split("text", "\n", -1)).alias("said"))
-    words = once(said, "words", line_words(F.col("said"))).where(F.size("words") > 0)
-    spelled = words.select(F.xxhash64(F.array_join("words", " ")).alias("line"), symbols(F.col("words")).alias("spelled"))
+    to_head = members.where("near").select(F.col("sim").alias("a"), F.col("head").alias("b"))
+    rest = members.where("NOT near").join(other, "key").where(close & (F.col("near2") | (F.col("sim") < F.col("sim2"))))
+    near, _ = staged(to_head.unionByName(rest.select(F.col("sim").alias("a"), F.col("sim2").alias("b"))).distinct(), "near-values")
+
+    # one line stands for each value; lines of one value are compared with it
+    speaker = lines.groupBy("sim").agg(F.min("line").alias("speaker"))
+    same = lines.join(speaker, "sim").where("line <> speaker").select(F.col("line").alias("a"), F.col("speaker").alias("b"))
+    apart = near.join(speaker.withColumnsRenamed({"sim": "a", "speaker": "la"}), "a").join(
+        speaker.withColumnsRenamed({"sim": "b", "speaker": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    pairs, _ = staged(same.unionByName(apart), "line-pairs")
+
+    # words of the lines of all values that have a candidate; equal lines are fetched once
+    held = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
+    values = lines.join(held, "line", "left_semi").select("sim").distinct()
+    wanted = lines.join(values, "sim", "left_semi").select("line")
+    spelled = _lines_of(docs).select(F.xxhash64(F.array_join("words", " ")).alias("line"), symbols(F.col("words")).alias("spelled"))
     texts, _ = staged(spelled.join(wanted, "line", "left_semi").groupBy("line").agg(F.any_value("spelled").alias("spelled")), "line-words")
 
     def verified(candidates: DataFrame) -> DataFrame:
@@ -117,35 +115,35 @@ def near_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, similari
         b = texts.select(F.col("line").alias("b"), F.col("spelled").alias("sb"))
         met = candidates.join(a, "a").join(b, "b")
         allowed = F.floor((1 - similarity) * F.greatest(F.length("sa"), F.length("sb")) + 1e-9).cast("int")
-        # a shorter string than the longer one less the allowed edits cannot pass
-        alike = (F.abs(F.length("sa") - F.length("sb")) <= allowed) & (_within(F.col("sa"), F.col("sb"), allowed))
+        # lengths further apart than the allowed edits settle it without the distance
+        alike = (F.abs(F.length("sa") - F.length("sb")) <= allowed) & (F.levenshtein("sa", "sb") <= allowed)
         return met.select("a", "b", alike.alias("alike"))
 
     tested, _ = staged(verified(pairs), "line-tested")
-    failed = tested.where("NOT alike").select(F.col("a").alias("line"), F.col("b").alias("head"))
-    again = members.where("near").join(failed, ["line", "head"]).select("part", "key", "line", "sim").join(
-        other.where("near2"), ["part", "key"]).where(close & (F.col("line") != F.col("line2")))
-    again = again.select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
+    # values with a line that failed: all their lines against all lines of all values near them
+    sims = lines.select("line", "sim")
+    failed = tested.where("NOT alike").select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    mixed = sims.join(failed, sims["line"] == failed["a"], "left_semi").select("sim").distinct()
+    cell = members.select("key", "sim").unionByName(members.select("key", F.col("head").alias("sim")).distinct())
+    around = cell.join(mixed, "sim", "left_semi").join(cell.withColumnRenamed("sim", "sim2"), "key").where(close).select("sim", "sim2").unionByName(
+        mixed.select("sim", F.col("sim").alias("sim2"))).distinct()
+    again = around.join(sims, "sim").join(sims.withColumnsRenamed({"line": "line2", "sim": "sim2"}), "sim2").where("line <> line2").select(
+        F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
     return tested.where("alike").select("a", "b").unionByName(verified(again).where("alike").select("a", "b"))
 
 
-def _within(a: Column, b: Column, most: Column) -> Column:
-    """Whether the edit distance is at most ``most``, which differs from row to row."""
-    return F.levenshtein(a, b) <= most
-
-
 def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """text_no, doc_id, pos, line, group_id (least line hash of its group) and removed, for every line with a word."""
     said, _ = staged(occurrences(docs), "lines")
-    lines, _ = staged(said.groupBy("line").agg(F.max("sim").alias("sim"), F.count("*").alias("n"),
-                                               F.min(F.struct("doc_id", "text_no", "pos")).alias("first")), "distinct-lines")
-    roots = components(near_lines(docs, lines.drop("first"), radius, similarity), "line-links")
+    lines, _ = staged(said.groupBy("line").agg(F.max("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
+    roots = components(near_lines(docs, lines.drop("n"), radius, similarity), "line-links")
     grouped, _ = staged(lines.join(roots.withColumnRenamed("node", "line"), "line", "left").select(
-        "line", "n", "first", F.coalesce("root", "line").alias("group_id")), "line-groups")
-    whole = grouped.groupBy("group_id").agg(F.sum("n").alias("said"), F.min("first").alias("first")).where("said > 1")
-    many = grouped.select("line", "group_id").join(whole, "group_id")
-    marked = said.join(many, "line", "left")
+        "line", "n", F.coalesce("root", "line").alias("group_id")), "line-groups")
+    whole = grouped.groupBy("group_id").agg(F.sum("n").alias("said")).where("said > 1")
+    many, _ = staged(grouped.join(whole, "group_id").select("line", "group_id"), "repeated-lines")
     here = F.struct("doc_id", "text_no", "pos")
+    first = said.join(many, "line").groupBy("group_id").agg(F.min(here).alias("first"))
+    marked = said.join(many.join(first, "group_id"), "line", "left")
     return marked.select("text_no", "doc_id", "pos", "line", F.coalesce("group_id", "line").alias("group_id"),
                          (F.col("first").isNotNull() & ~here.eqNullSafe(F.col("first"))).alias("removed"))
 

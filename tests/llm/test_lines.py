@@ -5,7 +5,7 @@ import xxhash
 
 from gradeframe.llm import lines
 
-WORDS = re.compile(r"[^\W_]+")
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def norm(line):
