@@ -12,8 +12,12 @@ fingerprints is one machine word, a query's distances to all 64 grow at once in
 abandoned as soon as each lane is beyond the radius. Buckets over ``tile`` rows are cut into tiles, which are compared
 in pairs by different tasks. Only the edges of a spanning forest leave a task, never all pairs.
 
+Where ``similarity`` is set, the links are candidates only. The distinct texts (word sequences) of a group of linked fingerprints
+meet with their shingle sets, and those of Jaccard similarity ``similarity`` or more are linked, whatever their distance; the
+components are those of these links. A group over BLOCK_TEXTS texts or BLOCK_SHINGLES shingles is cut into tiles that meet in pairs.
+
 Edge cases: null and empty texts have fingerprint zero and link like any other; equal fingerprints link whatever the
-texts; repeated rows and repeated or null doc_ids give a row each; extra columns are ignored by ``simhash_components``
+texts, unless ``similarity`` is set (there, texts without words are one text); repeated rows and repeated or null doc_ids give a row each; extra columns are ignored by ``simhash_components``
 and kept by ``simhash_dedup``; an empty table gives an empty result; texts are read whole.
 """
 
@@ -35,25 +39,36 @@ _TABLE = LOWER.tobytes()
 
 
 class Likeness(NamedTuple):
-    """What a fingerprint is made of, how far two may differ, and how candidates meet (tables 0: pairs of pieces, which miss none)."""
+    """What a fingerprint is made of, how far two may differ, how candidates meet (tables 0: pairs of pieces, which miss none), and
+    the Jaccard similarity of shingles that a link must have (0: the distance alone decides)."""
 
     shingle: int = 3
     longs: int = 1
     radius: int = 3
     tables: int = 0
     key_bits: int = 0
+    similarity: float = 0.0
 
 
-#: Near copies: Jaccard similarity 0.8 of five-word shingles is an angle of 27 degrees, 19 of 128 bits on average (s.d. 4).
-NEAR_COPY = Likeness(shingle=5, longs=2, radius=24, tables=40, key_bits=14)
+#: Near copies: Jaccard similarity 0.8 of five-word shingles is an angle of 27 degrees, 19 of 128 bits on average (s.d. 4). The radius
+#: is for candidates, nearly three deviations beyond that; the exact similarity decides.
+NEAR_COPY = Likeness(shingle=5, longs=2, radius=30, tables=64, key_bits=14, similarity=0.8)
+#: Most texts and shingles of a tile in which exact similarities are taken.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
-def fingerprint(text: bytes, shingle: int = 3, longs: int = 1) -> np.ndarray:
-    """The bits as unsigned 64-bit integers."""
+def shingled(text: bytes, shingle: int) -> tuple[list[bytes], list[bytes]]:
+    """Words and shingles of a text."""
     words = text.translate(_TABLE).split()
-    if not words:
+    if len(words) < shingle:
+        return words, [b" ".join(words)] if words else []
+    return words, [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))]
+
+
+def fingerprint(shingles: list[bytes], longs: int = 1) -> np.ndarray:
+    """The bits as unsigned 64-bit integers."""
+    if not shingles:
         return np.zeros(longs, np.uint64)
-    shingles = [b" ".join(words)] if len(words) < shingle else [b" ".join(w) for w in zip(*(words[k:] for k in range(shingle)))]
     one, out = xxhash.xxh64_intdigest, []
     for seed in range(SEED, SEED + longs):
         h = np.fromiter((one(s, seed) for s in shingles), np.uint64, len(shingles))
@@ -67,19 +82,30 @@ def _names(longs: int) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """doc_id and f0, f1, ...: the bits as signed longs, one row per document."""
+    """doc_id, row (hash of doc_id and text) and f0, f1, ...: the bits as signed longs, one row per document. Where links are to be
+    verified also said, the hash of the words, and n_shingles."""
     names = _names(like.longs)
 
     def run(batches):
         for batch in batches:
             data, at = buffers(batch.column("text"))
             fps = np.zeros((len(at) - 1, like.longs), np.uint64)
+            said, size = np.zeros(len(fps), np.uint64), np.zeros(len(fps), np.int64)
             for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                fps[k] = fingerprint(data[a:b].tobytes(), like.shingle, like.longs)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {
-                c: pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k, c in enumerate(names)})
+                words, shingles = shingled(data[a:b].tobytes(), like.shingle)
+                fps[k] = fingerprint(shingles, like.longs)
+                if like.similarity and words:
+                    said[k], size[k] = xxhash.xxh64_intdigest(b" ".join(words), SEED), len(shingles)
+            out = {"doc_id": batch.column("doc_id"), "row": batch.column("row")} | {
+                c: pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k, c in enumerate(names)}
+            yield pa.RecordBatch.from_pydict(out | ({"said": pa.array(said.view(np.int64)), "n_shingles": pa.array(size)} if like.similarity else {}))
+
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, row long, " + ", ".join(f"{c} long" for c in names)
+    return docs.select("doc_id", row_key(), "text").mapInArrow(run, schema + (", said long, n_shingles long" if like.similarity else ""))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in names))
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -211,18 +237,99 @@ def near_edges(fps: DataFrame, like: Likeness = Likeness(), tile: int = 1 << 15)
         _edges_of(like.longs, like.radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits per long) and component_id, the smallest doc_id of all documents linked directly or not."""
+def alike_rows(flat: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row numbers) that connect all sets of Jaccard similarity ``similarity`` or more; set i is flat[at[i]:at[i + 1]].
+
+    A row is compared with all others at once. Rows are taken until those not taken are in one component, so that copies of one
+    text need one step.
+    """
+    size, root, untaken = np.diff(at), np.arange(len(at) - 1), np.ones(len(at) - 1, bool)
+    values, column = np.unique(flat, return_inverse=True)
+    mark, a, b = np.zeros(len(values), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        left = np.flatnonzero(untaken)
+        roots, times = np.unique(root[left], return_counts=True)
+        if len(roots) < 2:
+            return np.concatenate(a), np.concatenate(b)
+        i = left[root[left] != roots[times.argmax()]][0]
+        untaken[i] = False
+        mark[column[at[i]: at[i + 1]]] = True
+        total = np.concatenate(([0], np.cumsum(mark[column])))
+        mark[column[at[i]: at[i + 1]]] = False
+        shared = total[at[1:]] - total[at[:-1]]
+        near = np.flatnonzero((shared > 0) & (shared >= similarity * (size[i] + size - shared) - 1e-9) & (root != root[i]))
+        a.append(np.full(len(near), i))
+        b.append(near)
+        root[np.isin(root, root[near])] = root[i]
+
+
+def _verified_of(similarity: float):
+    def run(batches):
+        for table in whole_groups(batches, ("block", "tile")):
+            key = np.stack([table.column(c).to_numpy() for c in ("block", "tile")])
+            cut = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]))
+            said = table.column("said").to_numpy()
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                sets = table.column("shingles").slice(lo, hi - lo).combine_chunks()
+                flat, at = sets.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
+                a, b = alike_rows(flat, at, similarity)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(said[lo + a]), "b": pa.array(said[lo + b])})
+
+    return run
+
+
+def _sets_of(shingle: int):
+    def run(batches):
+        for batch in batches:
+            data, at = buffers(batch.column("text"))
+            sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingled(data[a:b].tobytes(), shingle)[1]), np.uint64)).view(np.int64)
+                    for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("said", "block", "own", "tiles")} | {
+                "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))})
+
+    return run
+
+
+def verified_edges(docs: DataFrame, fps: DataFrame, blocks: DataFrame, like: Likeness,
+                   texts: int = BLOCK_TEXTS, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges (a, b) of ``said`` that connect all texts of one block (id, block) whose shingles are similar enough."""
+    nodes = fps.groupBy("said").agg(F.min("row").alias("row"), F.any_value("id").alias("id"), F.max("n_shingles").alias("n_shingles"))
+    blocked = nodes.join(blocks, "id", "left").withColumn("block", F.coalesce("block", "id"))
+    size = blocked.groupBy("block").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("total")).where("n > 1")
+    tiles = F.greatest(F.ceil(F.col("n") / texts), F.ceil(F.col("total") / shingles)).cast("int")
+    wanted, _ = staged(blocked.join(size, "block").withColumn("tiles", tiles).select(
+        "row", "said", "block", "tiles", F.pmod(F.xxhash64("said", F.lit(7)), "tiles").cast("int").alias("own")), "near-copy-blocks")
+    sets = docs.select(row_key(), "text").join(wanted, "row").select("text", "said", "block", "own", "tiles").mapInArrow(
+        _sets_of(like.shingle), "said long, block long, own int, tiles int, shingles array<long>")
+    # tiles meet in pairs; the pairs also hold what is inside a tile
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("tiles = 1 OR own <> other")
+    tile = F.least("own", "other") * F.col("tiles").cast("long") + F.greatest("own", "other")
+    return met.select("said", "shingles", "block", tile.alias("tile")).repartition("block", "tile").sortWithinPartitions("block", "tile").mapInArrow(
+        _verified_of(like.similarity), "a long, b long")
+
+
+def _grouped(docs: DataFrame, like: Likeness) -> DataFrame:
+    """doc_id, row, the bits, and root and component_id of every document's component."""
     names = _names(like.longs)
     fps, _ = staged(fingerprints(docs, like), "simhash")
     key = F.col("f0") if like.longs == 1 else F.xxhash64(*names)
+    fps = fps.withColumn("id", key)
     firsts = fps.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("id", key)
     roots = components(near_edges(firsts.select("id", *names), like), "simhash-links")
-    rooted = firsts.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    node = "id"
+    if like.similarity:
+        node, firsts = "said", fps.groupBy("said").agg(F.min("doc_id").alias("first"))
+        roots = components(verified_edges(docs, fps, roots.select(F.col("node").alias("id"), F.col("root").alias("block")), like), "near-copy-links")
+    rooted = firsts.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("id", "component_id")
-    digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(names)])
-    return fps.withColumn("id", key).join(named, "id").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return fps.join(rooted.join(least, "root").select(node, "root", "component_id"), node)
+
+
+def simhash_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits per long) and component_id, the smallest doc_id of all documents linked directly or not."""
+    digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in reversed(_names(like.longs))])
+    return _grouped(docs, like).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, like: Likeness = NEAR_COPY) -> DataFrame:

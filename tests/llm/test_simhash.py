@@ -121,3 +121,54 @@ def test_near_copies_are_found(spark, table):
     comp = {r.doc_id: r.component_id for r in simhash.simhash_components(table(rows, "doc_id long, text string"), simhash.NEAR_COPY).collect()}
     assert len(pairs) > 80 and sum(comp[a] == comp[b] for a, b in pairs) >= 0.9 * len(pairs)
     assert all(c in (d, d - d % 2) for d, c in comp.items())
+
+
+def near_family(rng, vocab, n, share):
+    """A text and an edited copy of it, and the Jaccard similarity of their five-word shingles."""
+    base = [rng.choice(vocab) for _ in range(n)]
+    near = list(base)
+    for k in rng.sample(range(n), max(1, round(n * share))):
+        near[k] = rng.choice(vocab)
+    sets = [{tuple(w[k:k + 5]) for k in range(n - 4)} for w in (base, near)]
+    return " ".join(base), " ".join(near), len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_links_are_verified(table):
+    """Pairs of Jaccard similarity 0.6 to 0.95: those under 0.8 are never linked, those from 0.8 up nearly always."""
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(900)]
+    rows, near, far = [], [], []
+    for k in range(500):
+        a, b, j = near_family(rng, vocab, rng.randint(150, 400), rng.uniform(0.01, 0.055))
+        if 0.6 <= j <= 0.95:
+            (near if j >= 0.8 else far).append((2 * k, 2 * k + 1))
+            rows += [(2 * k, a), (2 * k + 1, b)]
+    comp = {r.doc_id: r.component_id for r in simhash.simhash_components(table(rows, "doc_id long, text string"), simhash.NEAR_COPY).collect()}
+    assert len(near) > 80 and len(far) > 80
+    assert not [p for p in far if comp[p[0]] == comp[p[1]]]
+    assert sum(comp[a] == comp[b] for a, b in near) >= 0.97 * len(near)
+
+
+def test_exact_links_whatever_the_tiles(table, monkeypatch):
+    """Families around one text, with links between their members only: components equal those of all pairs, in one tile or many."""
+    rng = random.Random(13)
+    vocab = [f"w{i}" for i in range(900)]
+    base = [rng.choice(vocab) for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for k in rng.sample(range(200), rng.randint(0, 5)):
+            t[k] = rng.choice(vocab)
+        texts.append(t)
+    sets = [{tuple(w[k:k + 5]) for k in range(196)} for w in texts]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {i: min(k for k in range(60) if root[k] == root[i]) for i in range(60)}
+    assert len(set(want.values())) > 1
+    t = table([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for most in (1024, 16):
+        monkeypatch.setattr(simhash.verified_edges, "__defaults__", (most, 1 << 20))
+        assert {r.doc_id: r.component_id for r in simhash.simhash_components(t, simhash.NEAR_COPY).collect()} == want
