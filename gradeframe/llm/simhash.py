@@ -333,14 +333,16 @@ def simhash_components(docs: DataFrame, like: Likeness = Likeness()) -> DataFram
 
 
 def simhash_dedup(docs: DataFrame, like: Likeness = NEAR_COPY) -> DataFrame:
-    """The rows of ``docs`` with one document of each component, the one with the smallest doc_id.
+    """The rows of ``docs`` with one row of each component: of those with the smallest doc_id, the one with the least hash of
+    doc_id and text.
 
-    Rows that repeat a doc_id are one document: the one with the least text hash stays. Of documents without a doc_id none
-    can be named; they stay. Texts are shuffled once, by doc_id.
+    Rows that share a doc_id and differ in their texts are documents of their own. Of documents without a doc_id none can be
+    named; they stay. Texts are shuffled once, by that hash.
     """
-    keep = simhash_components(docs, like).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
-    row = spare(docs, "_row")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row)
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    least = _grouped(docs, like).where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    kept, number = spare(docs, "_kept"), spare(docs, "_number")
+    mine = docs.withColumn(kept, row_key())
+    keep = least.select(F.col("least.row").alias(kept))
+    order = Window.partitionBy(kept).orderBy(kept)
+    one = mine.join(keep, kept, "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -172,3 +172,13 @@ def test_exact_links_whatever_the_tiles(table, monkeypatch):
     for most in (1024, 16):
         monkeypatch.setattr(simhash.verified_edges, "__defaults__", (most, 1 << 20))
         assert {r.doc_id: r.component_id for r in simhash.simhash_components(t, simhash.NEAR_COPY).collect()} == want
+
+
+def test_rows_of_one_id_with_unlike_texts(table):
+    """Each group keeps one row, also where rows of one doc_id are in different groups; repeated rows are one."""
+    rng = random.Random(14)
+    vocab = [f"w{i}" for i in range(900)]
+    a, b, c = (" ".join(rng.choice(vocab) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, b + " "), (2, c), (3, c), (0, a)]
+    got = sorted((r.doc_id, r.text) for r in simhash.simhash_dedup(table(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(0, a), (1, b), (2, c)])
