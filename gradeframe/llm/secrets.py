@@ -3,7 +3,8 @@
 Patterns find assignments, access keys and long hex strings. On top of them a sliding window of WINDOW characters runs over
 candidate strings of each character class; the Shannon entropy of the window follows from counts that change by one character
 in and one out per step. Where windows reach the class's limit, the stretch from the first of them to the end of the last is
-a span of its own kind, unless the candidate is on the allow-list.
+a span of its own kind. A candidate ends where something on the allow-list begins, and the next one begins behind its first
+character; so what is random beside a placeholder is scanned like any other string.
 
 Spans count code points, ends exclusive. Of each kind they are found from the left without overlap; matches that are too
 short are dropped after matching, with the text that they used. Edge cases: a null text is the empty text; repeated rows and
@@ -12,6 +13,7 @@ columns are ignored; an empty table gives an empty result.
 """
 
 import math
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -28,13 +30,6 @@ class Pattern(NamedTuple):
     least: int
 
 
-class Charset(NamedTuple):
-    kind: str
-    regex: str      # candidate strings: runs of the class of WINDOW characters or more
-    bits: float     # entropy limit of a window
-    needs: tuple[str, ...]
-
-
 WINDOW = 24
 #: Fixed patterns, in the order of kinds.
 BASE = (
@@ -42,13 +37,34 @@ BASE = (
     Pattern("access", r"(AKIA[A-Z0-9]+)", 1, 18),
     Pattern("hex", r"([0-9a-f]+)", 1, 16),
 )
-#: Words of prose stay below these limits: 24 characters of random hex have about 3.4 bits each, of random base64 4.3.
+#: Known not to be secrets: placeholders and runs of the alphabet or of one character. One group at most is in all of them.
+ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme", r"(?i)01234567|abcdefgh", r"(.)\1{7,}")
+
+
+class Charset(NamedTuple):
+    kind: str
+    chars: str      # a class of characters, in brackets
+    bits: float     # entropy limit of a window
+    needs: tuple[str, ...]
+
+    def candidates(self, allowed: tuple[str, ...]) -> str:
+        """Runs of the class of WINDOW characters or more in which nothing on the allow-list begins."""
+        cut = "|".join(re.sub(r"^\(\?i\)(.*)$", r"(?i:\1)", p) for p in allowed)
+        return f"(?={self.chars}{{{WINDOW}}})(?:" + (f"(?!{cut})" if cut else "") + f"{self.chars}){{{WINDOW},}}+"
+
+    @property
+    def regex(self) -> str:
+        return self.candidates(ALLOWED)
+
+
+#: Words of prose stay below these limits: 24 characters of random hex have about 3.4 bits each, of random base64 4.3, of random
+#: base32 and of random lower case and digits about 4.1. Letters beyond F tell the last two from hex.
 CHARSETS = (
-    Charset("entropy_hex", r"([0-9A-Fa-f]{24,})", 3.1, ("[0-9]", "[A-Fa-f]")),
-    Charset("entropy_base64", r"([A-Za-z0-9+/_-]{24,})", 4.0, ("[0-9]", "[A-Z]", "[a-z]")),
+    Charset("entropy_hex", "[0-9A-Fa-f]", 3.1, ("[0-9]", "[A-Fa-f]")),
+    Charset("entropy_base64", "[A-Za-z0-9+/_-]", 4.0, ("[0-9]", "[A-Z]", "[a-z]")),
+    Charset("entropy_lower", "[a-z0-9]", 3.7, ("[0-9]", "[g-z]")),
+    Charset("entropy_upper", "[A-Z0-9]", 3.7, ("[0-9]", "[G-Z]")),
 )
-#: Candidates that are known not to be secrets: placeholders and runs of the alphabet.
-ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme", r"(?i)01234567|abcdefgh", r"(.)\1{7,}")
 
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -123,18 +139,18 @@ def _entropy(text: Column, c: Charset, number: int, allowed: tuple[str, ...], wi
         test = F.lit(True)
         for needed in c.needs:
             test = test & s.rlike(needed)
-        for pattern in allowed:
-            test = test & ~s.rlike(pattern)
         return test
 
+    regex = c.candidates(allowed)
+
     def spans(hits: Column) -> Column:
-        placed = F.zip_with(hits, _starts(text, c.regex, hits), lambda h, s: F.struct(h.alias("h"), s.alias("s")))
+        placed = F.zip_with(hits, _starts(text, regex, hits), lambda h, s: F.struct(h.alias("h"), s.alias("s")))
         hot = F.transform(F.filter(placed, lambda m: suspicious(m["h"])),
                           lambda m: F.struct(m["s"].alias("s"), hot_stretch(m["h"], c.bits, window).alias("x")))
         return F.transform(F.filter(hot, lambda m: m["x"]["start"] >= 0), lambda m: F.struct(
             (m["s"] + m["x"]["start"]).alias("start"), F.lit(number).alias("kind"), (m["s"] + m["x"]["stop"]).alias("stop")))
 
-    found = bind(F.regexp_extract_all(text, F.lit(c.regex), F.lit(0)), lambda hits: F.when(F.exists(hits, suspicious), spans(hits)))
+    found = bind(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda hits: F.when(F.exists(hits, suspicious), spans(hits)))
     return F.coalesce(found.cast(_SPAN), F.array().cast(_SPAN))
 
 

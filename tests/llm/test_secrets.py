@@ -53,3 +53,20 @@ def test_spans_and_digests(table, docs, empty):
 def test_no_python_on_the_plan(docs):
     plan = secrets.secret_digests(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_harmless_parts_hide_nothing_else(table):
+    """A placeholder or a run of one character suppresses itself only, and tokens without upper or lower case are scanned."""
+    key, low, b32 = "4eC39HqLyjWDarjtT1zdp7dcQ9wXv2Kb", "k3v9q0zt7hwx2m5rj8yb1npl6gsu4dcf", "KRUGS4ZANFZSAYJAONSWG4TFOQ7V2XMB"
+    texts = ["/sample/path/" + key, key + "AAAAAAAAAAAAAAAA" + key, "x " + low + " y", "x " + b32 + " y",
+             "example/sample/dummy/placeholder/changeme", "A" * 200, "0123456789abcdefghijklmnop0123456789"]
+    rows = secrets.secret_digests(table(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s.startswith("entropy")] for r in rows}
+
+    def covered(d, at, stop):
+        return any(int(a) <= at and stop <= int(b) for _, a, b in spans[d])
+
+    assert covered(0, 13, 13 + len(key))
+    assert covered(1, 0, len(key)) and covered(1, len(key) + 16, 2 * len(key) + 16)
+    assert spans[2] == [["entropy_lower", "2", "34"]] and spans[3] == [["entropy_upper", "2", "34"]]
+    assert not spans[4] and not spans[5] and not spans[6]
