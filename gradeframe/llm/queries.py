@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import bloomlm, decontam, lines, mixing, paragraphs, quality, secrets, simhash, tokens, urls
+from . import bloomlm, bpe, decontam, lines, mixing, paragraphs, phrases, quality, secrets, simhash, tokens, urls, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,54 @@ def op9(docs: DataFrame, sf_dir: str) -> DataFrame:
 def op10(docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removed lines of every document."""
     return lines.line_report(docs)
+
+
+@_query("op11_bpe", "documents")
+def op11(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    import public_tokenizers
+
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+_COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+grams AS (
+  SELECT lang, w[i:i + d - 1] AS p, count(*) AS a
+  FROM (SELECT lang, w, i, unnest([1, 2, 3, 4, 5]) AS d FROM places) WHERE i + d - 1 <= len(w)
+  GROUP BY ALL HAVING count(*) >= 100),
+absorbed AS (
+  SELECT DISTINCT short.lang, short.p
+  FROM (SELECT lang, a, p[1:len(p) - 1] AS part FROM grams UNION ALL SELECT lang, a, p[2:len(p)] FROM grams) longer
+  JOIN grams short ON short.lang = longer.lang AND short.p = longer.part WHERE 100 * longer.a >= 100 * short.a),
+cuts AS (
+  SELECT c.lang, c.p, c.a, n, k, l.a AS l, r.a AS r,
+         (1000::HUGEINT * c.a::HUGEINT * n::HUGEINT) // (l.a::HUGEINT * r.a::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM grams WHERE len(p) > 1) c
+  JOIN grams l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN grams r ON r.lang = c.lang AND r.p = c.p[k + 1:len(c.p)]
+  JOIN totals t ON t.lang = c.lang
+  WHERE NOT EXISTS (SELECT 1 FROM absorbed x WHERE x.lang = c.lang AND x.p = c.p)),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank FROM lowest)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@_query("op12_phrases", "documents", _COLLOCATIONS)
+def op12(docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The leading collocations of every language."""
+    return phrases.collocations(docs)
+
+
+@_query("op13_whiten", "embeddings")
+def op13(rows: DataFrame, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whiten.whitened_components(rows)
