@@ -30,8 +30,8 @@ from .words import CHUNK, Texts, buffers, mix
 
 #: Longest pre-token that the cache keeps, its slots, and the ids that it stores before it starts anew.
 SHORT, SLOTS, STORE = 64, 1 << 21, 1 << 24
-#: Keys to a bucket of the perfect hash, and displacements tried at a time.
-BUCKET, TRIES = 4, 32
+#: Keys to a bucket of the perfect hash.
+BUCKET = 4
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -106,36 +106,39 @@ class PerfectHash:
     def _slot(keys: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
         return ((mix(keys + d.astype(np.uint64) * _STEP) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
+    @staticmethod
+    def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+        return (mix(keys ^ _STEP) % np.uint64(buckets)).astype(np.int64)
+
     @classmethod
     def build(cls, keys: np.ndarray) -> "PerfectHash":
         n = len(keys)
         if len(np.unique(keys)) != n:
             raise ValueError("keys of the perfect hash are not distinct")
         buckets = max(1, n // BUCKET)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        bucket = cls._bucket(keys, buckets)
         order = np.argsort(bucket, kind="stable")
         sizes = np.bincount(bucket, minlength=buckets)
         ends = np.cumsum(sizes)
         displacement, taken = np.zeros(buckets, np.int64), np.zeros(n, bool)
-        for b in np.argsort(-sizes, kind="stable").tolist():
-            if sizes[b] < 2:
-                break
-            own, d = keys[order[ends[b] - sizes[b]: ends[b]]], 0
-            while True:
-                slots = cls._slot(own[None, :], np.arange(d, d + TRIES)[:, None], n)
-                free = ~taken[slots].any(axis=1)
-                free[free] = (np.diff(np.sort(slots[free], axis=1), axis=1) > 0).all(axis=1)
-                if free.any():
-                    break
-                d += TRIES
-            displacement[b] = d + int(free.argmax())
-            taken[slots[free.argmax()]] = True
+        for size in sorted(set(sizes[sizes > 1].tolist()), reverse=True):
+            todo, d = np.flatnonzero(sizes == size), 0
+            own = keys[order[ends[todo][:, None] - np.arange(size, 0, -1)]]
+            while len(todo):
+                # all buckets of a size try a displacement at once; of two that claim a slot the first has it
+                slots = cls._slot(own, np.array(d), n)
+                fits = ~taken[slots].any(axis=1) & (np.diff(np.sort(slots, axis=1), axis=1) > 0).all(axis=1)
+                _, first = np.unique(slots[fits], return_index=True)
+                fits[fits] = np.bincount(first // size, minlength=int(fits.sum())) == size
+                displacement[todo[fits]] = d
+                taken[slots[fits]] = True
+                todo, own, d = todo[~fits], own[~fits], d + 1
         alone = np.flatnonzero(sizes == 1)
         displacement[alone] = -1 - np.flatnonzero(~taken)[: len(alone)]
         return cls(displacement, n)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        d = self.displacement[(keys % np.uint64(len(self.displacement))).astype(np.int64)]
+        d = self.displacement[self._bucket(keys, len(self.displacement))]
         return np.where(d < 0, -1 - d, self._slot(keys, np.maximum(d, 0), self.n))
 
 

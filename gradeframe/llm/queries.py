@@ -133,7 +133,7 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM pieces),
+worded AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
 totals AS (SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang),
 places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
 grams AS (
