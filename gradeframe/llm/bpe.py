@@ -30,6 +30,8 @@ from .words import CHUNK, Texts, buffers, mix
 
 #: Longest pre-token that the cache keeps, its slots, and the ids that it stores before it starts anew.
 SHORT, SLOTS, STORE = 64, 1 << 21, 1 << 24
+#: Ids decoded at a time (one longer text is decoded at once).
+DECODED = 1 << 18
 #: Keys to a bucket of the perfect hash.
 BUCKET = 4
 
@@ -324,14 +326,18 @@ def decode_ids(encoded: DataFrame, vocabulary) -> DataFrame:
     kept = [c for c in encoded.columns if c != "ids"]
 
     def run(batches):
-        for batch in batches:
-            lists = batch.column("ids")
-            ids = lists.flatten().to_numpy()
-            data, size = vocabulary.value.decode(ids)
-            n = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
-            decoded = pa.Array.from_buffers(pa.large_binary(), len(lists), [lists.is_valid().buffers()[1], pa.py_buffer(ends), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], decoded.cast(pa.binary())], names=[*kept, "decoded"])
+        for whole in batches:
+            n = np.nan_to_num(whole.column("ids").value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            total, lo = np.concatenate(([0], np.cumsum(n))), 0
+            while lo < whole.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(total, total[lo] + DECODED, side="right")) - 1)
+                batch, lists = whole.slice(lo, hi - lo), whole.column("ids").slice(lo, hi - lo)
+                data, size = vocabulary.value.decode(lists.flatten().to_numpy())
+                ends = np.concatenate(([0], np.cumsum(size)))[total[lo: hi + 1] - total[lo]]
+                valid = pa.array(lists.is_valid().to_numpy(zero_copy_only=False), pa.bool_()).buffers()[1]
+                decoded = pa.Array.from_buffers(pa.large_binary(), hi - lo, [valid, pa.py_buffer(ends), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], decoded.cast(pa.binary())], names=[*kept, "decoded"])
+                lo = hi
 
     fields = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "ids")
     return encoded.select(*[f"`{c}`" for c in kept], "ids").mapInArrow(run, f"{fields}, decoded binary")
