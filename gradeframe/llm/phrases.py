@@ -1,10 +1,10 @@
 """Phrase collocations: contiguous word sequences that occur far more often than their parts would by chance.
 
-Counting comes first, and only what can be frequent is counted as text. One pass counts words by hash, a second counts pairs
-of frequent words; what reaches the least count enters a bit filter (no frequent word or pair is ever missed, a few others
-slip through). A third pass counts the text of frequent words and pairs and of longer sequences all of whose pairs pass;
-counts are exact, the filters only save work. A filter has at most MAX_BITS: beyond that it lets more through, which costs
-time and never a result. Every phrase inside a frequent phrase is frequent, so the counted table holds all the parts needed.
+Counting comes first, and only what can be frequent is counted as text. Passes over the texts count words, pairs and triples by
+hash, a sequence only if its parts are frequent; what reaches the least count enters a bit filter (nothing frequent is ever
+missed, a few others slip through). The last pass counts the text of what passes, and of longer sequences all of whose triples
+pass; counts are exact, the filters only save work. A filter has at most MAX_BITS: beyond that it lets more through, which
+costs time and never a result. Every phrase inside a frequent phrase is frequent, so the counted table holds all parts needed.
 
 Scores need the counts of each phrase's beginnings and ends. The count stream is sorted twice over the cluster, once by words
 (a phrase follows its beginnings) and once by words from the last to the first (a phrase follows its ends). Walking down
@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import staged
+from .graph import discard, staged
 from .words import CHUNK, LOWER, Texts, buffers, mix
 
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 #: Words that a task gathers before it hands on their distinct counts.
 WINDOW = 1 << 20
 MAX_BITS, BITS_PER_ENTRY = 1 << 28, 16
+#: Sequences of up to so many words are counted by hash first; each such pass saves the text of what is not frequent.
+FILTERED = 3
 UNKNOWN = "und"
 
 _BREAK = np.uint8(10)
@@ -152,78 +154,67 @@ def _tally(h: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"h": pa.array(each[part].view(np.int64)), "c": pa.array(c[part])})
 
 
-def _frequent(texts: DataFrame, function, least: int) -> DataFrame:
-    return texts.mapInArrow(function, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
-
-
-def _places(g: Gathered, words: Passing) -> np.ndarray:
-    """Where a pair of words that pass starts."""
-    ok = words(g.hash)
-    return np.flatnonzero(g.follows[:-1] & ok[:-1] & ok[1:])
+def _sequences(g: Gathered, filters: list, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and hashes of the sequences of 1, 2, ... ``longest`` words; a sequence comes only if both its parts of one word
+    less pass the filter of their length (those beyond the last filter: all their parts of that length)."""
+    at, h = np.arange(len(g.hash)), g.hash
+    for n in range(1, longest + 1):
+        if n > 1:
+            inside = at + n - 1 < len(g.hash)
+            at, h = at[inside], h[inside]
+            ok = begins[at + 1] & g.follows[at + n - 2]
+            at = at[ok]
+            h = g.longer(h[ok], at, n)
+        yield at, h
+        if n <= len(filters):
+            ok = Passing(filters[n - 1])(h)
+            at, h = at[ok], h[ok]
+        begins = np.zeros(len(g.hash) + 1, bool)                        # where a sequence of n words that counts starts
+        begins[at] = True
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, max_bits: int = MAX_BITS) -> DataFrame:
-    """(lang, phrase, depth, c): every sequence of 1 to ``longest`` words that occurs ``least`` times or more in its language."""
+    """(lang, phrase, depth, c): every sequence of 1 to ``longest`` words that occurs ``least`` times or more in its language,
+    and with depth 0 the empty phrase, which counts all words of the language."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
+    filters: list = []
 
-    def words(batches):
-        for g in gather(batches):
-            yield from _tally(g.hash)
-
-    known = spark.sparkContext.broadcast(passing(_frequent(texts, words, least), max_bits).bits)
+    def hashes(n, shared):
+        def count(batches):
+            for g in gather(batches):
+                *_, (_, h) = _sequences(g, [f.value for f in shared], n)
+                yield from _tally(h)
 
-    def pairs(batches):
-        for g in gather(batches):
-            at = _places(g, Passing(known.value))
-            yield from _tally(g.longer(g.hash[at], at, 2))
+        return count
 
-    paired = spark.sparkContext.broadcast(passing(_frequent(texts, pairs, least), max_bits).bits) if longest > 1 else None
+    for n in range(1, min(longest, FILTERED) + 1):
+        counted = texts.mapInArrow(hashes(n, list(filters)), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        frequent, path = staged(counted.where(F.col("c") >= least).select("h"), "phrase-hashes")
+        filters.append(spark.sparkContext.broadcast(passing(frequent, max_bits).bits))
+        discard(spark, path)
 
     def phrases(batches):
+        bits = [f.value for f in filters]
         for g in gather(batches):
-            at, h = np.flatnonzero(Passing(known.value)(g.hash)), None
-            found = []
-            for n in range(1, longest + 1):
-                if n == 1:
-                    h = g.hash[at]
-                elif n == 2:
-                    at = _places(g, Passing(known.value))
-                    h = g.longer(g.hash[at], at, 2)
-                    ok = Passing(paired.value)(h)
-                    at, h = at[ok], h[ok]
-                    pair = np.zeros(len(g.hash) + 1, bool)              # where a frequent pair starts
-                    pair[at] = True
-                else:
-                    ok = pair[np.minimum(at + n - 2, len(g.hash))]
+            total = np.bincount(g.lang, minlength=len(g.langs))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(g.langs, pa.string()), "phrase": pa.array([""] * len(g.langs)),
+                                              "depth": pa.array(np.zeros(len(g.langs), np.int32)), "c": pa.array(total)})
+            for n, (at, h) in enumerate(_sequences(g, bits, longest), 1):
+                if n <= len(bits):
+                    ok = Passing(bits[n - 1])(h)
                     at, h = at[ok], h[ok]
-                    h = g.longer(h, at, n)
-                if not len(at):
-                    break
                 _, first, c = np.unique(h, return_index=True, return_counts=True)
-                found.append((at[first], np.full(len(first), n), c))
-            if not found:
-                continue
-            place, n, c = map(np.concatenate, zip(*found))
-            for lo in range(0, len(place), 1 << 15):
-                part = slice(lo, lo + (1 << 15))
-                lang = pa.DictionaryArray.from_arrays(pa.array(g.lang[place[part]]), pa.array(g.langs, pa.string())).cast(pa.string())
-                yield pa.RecordBatch.from_pydict({"lang": lang, "phrase": g.texts(place[part], n[part]), "depth": pa.array(n[part].astype(np.int32)),
-                                                  "c": pa.array(c[part])})
+                place = at[first]
+                for lo in range(0, len(place), 1 << 15):
+                    some = place[lo: lo + (1 << 15)]
+                    depth = np.full(len(some), n, np.int32)
+                    lang = pa.DictionaryArray.from_arrays(pa.array(g.lang[some]), pa.array(g.langs, pa.string())).cast(pa.string())
+                    yield pa.RecordBatch.from_pydict({"lang": lang, "phrase": g.texts(some, depth), "depth": pa.array(depth),
+                                                      "c": pa.array(c[lo: lo + (1 << 15)])})
 
     counted = texts.mapInArrow(phrases, "lang string, phrase string, depth int, c long")
-    return counted.groupBy("lang", "phrase", "depth").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-
-
-def word_totals(docs: DataFrame) -> DataFrame:
-    """(lang, n): all words of each language."""
-    def count(batches):
-        for g in gather(batches):
-            n = np.bincount(g.lang, minlength=len(g.langs))
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(g.langs, pa.string()), "n": pa.array(n)})
-
-    texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
-    return texts.mapInArrow(count, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    return counted.groupBy("lang", "phrase", "depth").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("depth") == 0))
 
 
 def _walk(longest: int):
@@ -281,6 +272,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
                  max_bits: int = MAX_BITS) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n and score (floor of 1000 a n / (l r) at the lowest cut)."""
     counts, _ = staged(phrase_counts(docs, least, longest, max_bits), "phrase-counts")
+    totals, counts = counts.where("depth = 0").select("lang", F.col("c").alias("n")), counts.where("depth > 0")
     starts = part_counts(counts, False, longest).where("depth > 1").withColumnRenamed("parts", "starts")
     ends = part_counts(counts, True, longest).where("depth > 1").select("lang", "phrase", F.col("parts").alias("ends"))
     both, _ = staged(starts.hint("merge").join(ends, ["lang", "phrase"]), "phrase-parts")
@@ -289,7 +281,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     absorbed = longer.where(F.expr(f"100 * c >= {share} * starts[depth - 2]")).select("lang", F.expr("array_join(slice(words, 1, depth - 1), ' ')").alias("phrase"))
     absorbed = absorbed.unionByName(longer.where(F.expr(f"100 * c >= {share} * ends[depth - 2]")).select(
         "lang", F.expr("array_join(slice(words, 2, depth - 1), ' ')").alias("phrase"))).distinct()
-    kept = both.hint("merge").join(absorbed, ["lang", "phrase"], "left_anti").join(word_totals(docs), "lang")
+    kept = both.hint("merge").join(absorbed, ["lang", "phrase"], "left_anti").join(totals, "lang")
     flat = kept.withColumn("cut", lowest_cut()).select(
         "lang", "phrase", F.col("c").alias("a"), F.expr("starts[cut.k - 1]").alias("l"), F.expr("ends[depth - cut.k - 1]").alias("r"), "n", "cut.score")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
