@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
+from ..functions.rows import once
 
 _PII = tuple((label, X.unicode_regex(p), to, K.PII_ANCHORS.get(label, ())) for label, p, to in K.PII_PATTERNS)
 _HYGIENE = tuple((label, X.unicode_regex(p)) for label, p in K.HYGIENE_PATTERNS)
@@ -145,21 +146,22 @@ def merge_intervals(spans: Column) -> Column:
     return F.aggregate(spans, F.array().cast("array<struct<a:int,b:int>>"), step)
 
 
+def evidence_spans(text: Column, quotes: Column, window: int = K.CLIP_WINDOW) -> Column:
+    """Merged intervals around every located quote of one text, as array work on the row."""
+    placed = F.transform(F.array_distinct(F.filter(quotes, lambda q: F.length(q) >= K.QUOTE_MIN_LEN)), lambda q: F.struct(
+        X.find(text, q).alias("pos"), F.length(q).alias("len")))
+    spans = F.transform(F.filter(placed, lambda p: p["pos"] >= 0), lambda p: F.struct(
+        F.greatest(p["pos"] - window, F.lit(0)).cast("int").alias("a"), F.least(p["pos"] + p["len"] + window, F.length(text)).cast("int").alias("b")))
+    return X.bind(F.array_sort(spans), merge_intervals)
+
+
 def evidence_windows(texts: DataFrame, quotes: DataFrame, window: int = K.CLIP_WINDOW) -> DataFrame:
-    """(report_id, full_text, spans): merged intervals around every located quote, per report.
+    """(report_id, full_text, spans): merged intervals around every located quote, per report; NULL without quotes.
 
-    Spans are reduced to one per start before they are gathered, so a report never gathers more spans
-    than it has characters, however many quotes claim it.
+    The distinct quotes of a report meet its text once. They are those of its judged items, so the rubric bounds their number.
     """
-    placed = quotes.join(texts.select("report_id", "full_text"), "report_id").select(
-        "report_id", X.find(F.col("full_text"), F.col("quote")).alias("pos"),
-        F.length("quote").alias("len"), F.length("full_text").alias("n"))
-    spans = placed.where((F.col("pos") >= 0) & (F.col("len") >= K.QUOTE_MIN_LEN)).select(
-        "report_id", F.greatest(F.col("pos") - window, F.lit(0)).alias("a"),
-        F.least(F.col("pos") + F.col("len") + window, F.col("n")).alias("b"))
-    widest = spans.groupBy("report_id", "a").agg(F.max("b").alias("b"))
-    gathered = widest.groupBy("report_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_s"))
-    return texts.join(gathered, "report_id", "left").withColumn("spans", merge_intervals(F.col("_s"))).drop("_s")
+    gathered = quotes.select("report_id", "quote").distinct().groupBy("report_id").agg(F.collect_list("quote").alias("_q"))
+    return once(texts.join(gathered, "report_id", "left"), "spans", evidence_spans(F.col("full_text"), F.col("_q"), window)).drop("_q")
 
 
 def clip_public_text(texts: DataFrame, quotes: DataFrame, window: int = K.CLIP_WINDOW,

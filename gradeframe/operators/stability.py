@@ -60,16 +60,16 @@ def total_spread(run_totals: DataFrame) -> DataFrame:
         F.max_by("n", "total").alias("at_max"))
 
 
-def stability_gate(run_totals: DataFrame, quotes: DataFrame, threshold: float = K.STABILITY_GATE) -> DataFrame:
-    """(report_id, valid_rate, quote_rate, passed).
+def quote_rates(quotes: DataFrame) -> DataFrame:
+    """(report_id, quote_rate) of quotes with ``matched`` (verbatim in the report); here only the minimum length counts."""
+    ok = F.col("matched") & (F.length("quote") >= K.QUOTE_MIN_LEN)
+    return quotes.groupBy("report_id").agg(ratio(F.count_if(ok), F.count("*")).alias("quote_rate"))
+
 
-    ``quotes`` carries ``matched`` (verbatim in the report); here only the minimum length counts.
-    """
+def stability_gate(run_totals: DataFrame, rates: DataFrame, threshold: float = K.STABILITY_GATE) -> DataFrame:
+    """(report_id, valid_rate, quote_rate, passed); ``rates`` come from ``quote_rates`` here or of the evidence chain."""
     runs = run_totals.groupBy("report_id").agg(
         ratio(F.count_if(F.coalesce("error", F.lit("")) == ""), F.count("*")).alias("valid_rate"))
-    ok = F.col("matched") & (F.length("quote") >= K.QUOTE_MIN_LEN)
-    rate = quotes.groupBy("report_id").agg(ratio(F.count_if(ok), F.count("*")).alias("quote_rate"))
-    joined = runs.join(rate, "report_id", "left").withColumn("quote_rate", F.coalesce("quote_rate", F.lit(0.0)))
+    joined = runs.join(rates, "report_id", "left").withColumn("quote_rate", F.coalesce("quote_rate", F.lit(0.0)))
     return joined.withColumn(
         "passed", (F.col("valid_rate") >= threshold) & (F.col("quote_rate") >= threshold))
-

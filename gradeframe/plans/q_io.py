@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import classview as C
 from ..operators import model_json as MJ
-from ..operators.redact import looks_private
+from ..operators.redact import clip_public_text, looks_private
 from ..session import scratch
 from ..sources import readers, sinks
 from ..streaming import intake
@@ -219,9 +219,8 @@ def s12(t):
     private = F.lit(False)
     for label, pattern in PUBLIC_CHECKERS:
         private = private | looks_private(F.col("full_text"), label, pattern)
-    cases = t.texts.where(~private).select(
-        F.col("report_id").cast("string").alias("report_id"), F.left("full_text", F.lit(6000)).alias("public_text"),
-        F.lit(True).alias("is_public"))
+    quotes = t.attempts.select("report_id", F.explode("evidence").alias("quote"))
+    cases = clip_public_text(t.texts.where(~private), quotes).withColumn("report_id", F.col("report_id").cast("string"))
     path = scratch(t.spark, "public")
     sinks.write_public_cases(cases, path, default_id="1")
     return t.spark.read.schema("report_id string, is_default boolean").json(f"{path}/manifest")

@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import chain as CH
 from ..operators import classview as C
 from ..operators import evidence as EV
 from ..operators import judge as J
+from ..functions import text as X
 from ..functions.rows import literal_table
 from ..operators import sections as S
+from ..sources import tables
 from .catalog import query
 from .fixtures import (ATTEMPTS, DETAILS, FIRST, ITEM_MAX, OVERRIDES, RESOLVED, RESULTS, SIGNALS, TEXTS, VERIFIED,
                        with_)
@@ -142,9 +145,7 @@ def j5(t):
 SELECT report_id, item_id, q AS quote, strpos(full_text, q) - 1 AS char_start
 FROM (SELECT report_id, item_id, full_text, unnest(evidence) AS q FROM resolved)""")
 def j6(t):
-    placed = EV.attach_locations(_resolved(t), S.parse_reports(t.reports))
-    return placed.select("report_id", "item_id", F.inline("evidence")).select(
-        "report_id", "item_id", "quote", "char_start")
+    return CH.located(CH.judge_reports(S.parse_reports(t.reports), t.attempts)).select("report_id", "item_id", "quote", "char_start")
 
 
 GUARD = """pass1 AS (SELECT * FROM firsts),
@@ -203,14 +204,18 @@ FROM resolved r LEFT JOIN (
          AND abs(strpos(spiked_text, q) - 1 - near) < 800)) > 0 AS hit
   FROM resolved r JOIN near_ USING (report_id)) USING (report_id, item_id)""")
 def j8(t):
-    out = EV.flag_injection(_resolved(t), _spiked(t))
-    return out.select("report_id", "item_id", "needs_review",
-                      F.array_contains("review_reasons", "evidence_near_manipulation").alias("near_phrase"))
-
-
-# a sole quote is shared where two items of a document point at the same benchmark or text position
-SHARED = """sole AS (
-  SELECT report_id, item_id, left(evidence[1], 2) AS q FROM resolved WHERE verdict <> 'miss' AND len(evidence) = 1),
+    judged = CH.judge_reports(_spiked(t), t.attempts)
+    return CH.judgement_rows(CH.with_injection_flags(judged)).select(
+        "report_id", "item_id", "needs_review", F.array_contains("review_reasons", "evidence_near_manipulation").alias("near_phrase"))
+
+
+# answers copy one passage of the text into every item of each third report, so whole quotes are shared there
+SHARED = """copied AS (
+  SELECT * REPLACE (CASE WHEN report_id % 3 = 0 THEN list_transform(evidence, lambda q: trim(substr(
+           full_text, CAST(1 + (report_id * 7) % greatest(length(full_text) - 40, 1) AS BIGINT), 40))) ELSE evidence END AS evidence)
+  FROM resolved),
+sole AS (
+  SELECT report_id, item_id, evidence[1] AS q FROM copied WHERE verdict <> 'miss' AND len(evidence) = 1),
 owners AS (
   SELECT report_id, q, string_agg(item_id, '|' ORDER BY item_id) AS ids, count(*) AS n FROM sole GROUP BY ALL)"""
 
@@ -221,9 +226,12 @@ SELECT r.report_id, r.item_id, r.needs_review OR coalesce(o.n > 1, false) AS nee
 FROM resolved r LEFT JOIN sole s USING (report_id, item_id)
 LEFT JOIN owners o ON o.report_id = s.report_id AND o.q = s.q""")
 def j9(t):
-    short = _resolved(t).withColumn("evidence", F.transform("evidence", lambda q: F.left(q, F.lit(2))))
-    return _joined(EV.flag_reused_evidence(short), "shared_with").select(
-        "report_id", "item_id", "needs_review", "shared_with")
+    text, r = F.col("full_text"), F.col("report_id")
+    passage = X.strip(X.piece(text, F.pmod(r * 7, F.greatest(F.length(text) - 40, F.lit(1))), F.lit(40)))
+    judged = CH.judge_reports(t.texts, t.attempts)
+    copied = F.transform("judgements", lambda j: j.withField("evidence", F.transform(j["evidence"], lambda q: passage)))
+    judged = judged.withColumn("judgements", F.when(r % 3 == 0, copied).otherwise(F.col("judgements")))
+    return _joined(CH.judgement_rows(CH.with_reuse_flags(judged)), "shared_with").select("report_id", "item_id", "needs_review", "shared_with")
 
 
 @query("j10_flag_recall_miss", RESOLVE + """
@@ -231,8 +239,9 @@ SELECT report_id, item_id, verdict, needs_review OR (length(full_text) > 3000 AN
          AS needs_review
 FROM resolved""")
 def j10(t):
-    inspected = t.texts.select("report_id", S.coverage_of(F.length("full_text"), 3000).alias("coverage"))
-    return EV.flag_recall_miss(_resolved(t), inspected).select("report_id", "item_id", "verdict", "needs_review")
+    judged = CH.judge_reports(t.texts, t.attempts)
+    flagged = CH.with_recall_flags(judged, S.coverage_of(F.length("full_text"), 3000))
+    return CH.judgement_rows(flagged).select("report_id", "item_id", "verdict", "needs_review")
 
 
 @query("j11_report_totals", with_(DETAILS, FIRST) + """
@@ -372,7 +381,22 @@ SELECT a.report_id, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, co
 FROM attempts a JOIN (SELECT report_id, count(*) FILTER (system_error <> '') AS n FROM resolved GROUP BY 1) e USING (report_id)
 GROUP BY a.report_id""")
 def j21(t):
-    return J.run_info(t.attempts, _resolved(t), t.texts)
+    return CH.run_info(CH.judge_reports(t.texts, t.attempts))
+
+
+@query("s13_text_table", RESOLVE.rstrip() + """,
+judged AS (
+  SELECT report_id, CAST(count(*) AS BIGINT) AS items, sum(score_c) / 100.0 AS total, CAST(sum(len(evidence)) AS BIGINT) AS quotes
+  FROM resolved GROUP BY report_id)
+SELECT report_id, length(t.full_text) AS chars, items, total, quotes FROM judged JOIN texts t USING (report_id)""")
+def s13(t):
+    """Answers judged against texts that lie in a bucketed table."""
+    name = tables.write_text_table(t.texts, tables.buckets_for(tables.text_bytes(t.reports, "raw_text"), 8 << 20))
+    judged = CH.judge_reports(tables.read_text_table(t.spark, name), t.attempts)
+    total = F.aggregate("judgements", F.lit(0).cast("decimal(19,2)"), lambda s, j: (s + j["score"]).cast("decimal(19,2)"))
+    quotes = F.aggregate("judgements", F.lit(0).cast("bigint"), lambda s, j: s + F.size(j["evidence"]))
+    return judged.select("report_id", F.length("full_text").alias("chars"), F.size("judgements").cast("bigint").alias("items"),
+                         total.cast("double").alias("total"), quotes.alias("quotes"))
 
 
 @query("e1_weak_items_of_texts", OFFLINE.rstrip() + """,

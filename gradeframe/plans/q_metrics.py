@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import chain as CH
 from ..operators import classview as C
 from ..operators import evidence as EV
 from ..operators import judge as J
@@ -298,9 +299,7 @@ SELECT report_id, valid_rate, coalesce(quote_rate, 0) AS quote_rate,
        valid_rate >= 0.9 AND coalesce(quote_rate, 0) >= 0.9 AS passed
 FROM valid LEFT JOIN rates USING (report_id)""")
 def p5(t):
-    quotes = t.attempts.select("report_id", F.explode("evidence").alias("quote"))
-    matched = EV.with_texts(quotes, t.texts).select("report_id", "quote", F.contains("full_text", "quote").alias("matched"))
-    return P.stability_gate(t.runs, matched)
+    return P.stability_gate(t.runs, CH.quote_rates(t.texts, t.attempts))
 
 
 @query("p6_failed_runs", with_(RUNS) + """
