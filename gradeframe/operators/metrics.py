@@ -5,7 +5,7 @@ Every function groups by ``batch_id`` so that many batches are measured in one p
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -16,6 +16,7 @@ from .evidence import is_traceable
 
 class GoldImport(NamedTuple):
     items: DataFrame      # report_id, item_id, score, verdict, evidence, note: complete reports only
+    totals: DataFrame     # report_id, total: complete reports, rounded to one decimal
     excluded: DataFrame   # report_id: deliberately left blank
     problems: DataFrame   # report_id, item_id, problem: any row blocks the import
 
@@ -23,13 +24,13 @@ class GoldImport(NamedTuple):
 def import_gold(sheet: DataFrame, rubric: DataFrame) -> GoldImport:
     """All or nothing per report: full -> kept, blank -> excluded, anything else -> problem.
 
-    ``sheet`` has text cells and ``row_no``; ``rubric`` gives item_id and max_score.
+    ``sheet`` has text cells and ``row_no``, and ``file`` where it has several; of repeated rows the last one counts. ``rubric``
+    gives item_id and max_score. A sheet without a single complete report is refused: problem ``no_complete_report``.
     """
-    limits = rubric.agg(
-        F.count("*").alias("rubric_size"),
-        F.collect_list(F.struct("item_id", F.col("max_score").cast(SCORE).alias("max_score"))).alias("items")
-    ).select("rubric_size", F.inline("items"))
-    cells = sheet.select("row_no", *[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in (
+    own = Window.partitionBy(*(["rubric_id"] if "rubric_id" in rubric.columns else [F.lit(0)]))
+    limits = rubric.select("item_id", F.col("max_score").cast(SCORE).alias("max_score"), F.count("*").over(own).alias("rubric_size"))
+    place = F.struct(*[F.col(c) for c in ("file", "row_no") if c in sheet.columns])
+    cells = sheet.select(place.alias("_place"), *[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in (
         "report_id", "item_id", "score", "verdict", "evidence", "note")])
     cells = cells.where((F.col("report_id") != "") & (F.col("item_id") != "")).join(limits, "item_id", "left")
     cells = cells.withColumn("value", F.expr("try_cast(score as decimal(9,2))"))
@@ -45,15 +46,17 @@ def import_gold(sheet: DataFrame, rubric: DataFrame) -> GoldImport:
     state = cells.groupBy("report_id").agg(
         filled.alias("filled"), F.count_if("blank").alias("blanks"), F.max("rubric_size").alias("rubric_size"))
     partial = (F.col("filled") > 0) & (F.col("filled") < F.col("rubric_size"))
-    full = state.where(F.col("filled") == F.col("rubric_size")).select("report_id")
-    items = first_row(cells.where(good), ["report_id", "item_id"], [F.desc("row_no")])
+    whole = F.coalesce(F.col("filled") == F.col("rubric_size"), F.lit(False))
+    items = first_row(cells.where(good), ["report_id", "item_id"], [F.desc("_place")]).join(
+        state.where(whole).select("report_id"), "report_id", "left_semi").select(
+        "report_id", "item_id", F.col("value").alias("score"), "verdict", "evidence", "note")
+    none = state.agg(F.count_if(whole).alias("n")).where("n = 0")
     return GoldImport(
-        items.join(full, "report_id", "left_semi").select(
-            "report_id", "item_id", F.col("value").alias("score"), "verdict", "evidence", "note"),
+        items, items.groupBy("report_id").agg(F.bround(F.sum("score"), 1).alias("total")),
         state.where((F.col("filled") == 0) & (F.col("blanks") > 0)).select("report_id"),
         cells.where(F.col("problem").isNotNull()).select("report_id", "item_id", "problem").unionByName(
-            state.where(partial).select("report_id", F.lit("").alias("item_id"),
-                                        F.lit("partly_filled").alias("problem"))))
+            state.where(partial).select("report_id", F.lit("").alias("item_id"), F.lit("partly_filled").alias("problem"))).unionByName(
+            none.select(F.lit("").alias("report_id"), F.lit("").alias("item_id"), F.lit("no_complete_report").alias("problem"))))
 
 
 def check_seal(seal: DataFrame) -> DataFrame:
@@ -67,19 +70,71 @@ def check_seal(seal: DataFrame) -> DataFrame:
     return rows.select("dataset_id", "key", problem.alias("problem")).where("problem is not null")
 
 
-def score_fingerprint(gold_items: DataFrame) -> DataFrame:
-    """(reports, fingerprint): changes with any score, and with nothing else.
+def _number_text(c: Column) -> Column:
+    """A number as the published fingerprint writes it: 15.0, 7.5."""
+    return F.coalesce(c.cast("double").cast("string"), F.lit("None"))
 
-    One hash per report over its sorted items (bounded by the rubric), then an order-independent
-    exact sum of the report hashes, so no task ever holds the whole set.
+
+def _score_lines(gold_items: DataFrame, totals: DataFrame | None) -> DataFrame:
+    """(dataset_id, report_id, line): ``report:total|report/item=score|...`` with the items in order; one report's items at a time."""
+    sets = ["dataset_id"] if "dataset_id" in gold_items.columns else []
+    report = F.col("report_id").cast("string")
+    per_report = gold_items.groupBy(*sets, "report_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("item_id").cast("string").alias("id"), _number_text(F.col("score")).alias("s")))).alias("items"),
+        F.bround(F.sum("score"), 1).alias("total"))
+    if totals is not None:
+        per_report = per_report.drop("total").join(totals.select(*sets, "report_id", "total"), [*sets, "report_id"], "left")
+    items = F.transform("items", lambda i: F.concat(report, F.lit("/"), i["id"], F.lit("="), i["s"]))
+    head = F.concat(report, F.lit(":"), _number_text(F.col("total")))
+    return per_report.select(*(sets or [F.lit("").alias("dataset_id")]), report.alias("report_id"), F.concat_ws("|", head, F.array_join(items, "|")).alias("line"))
+
+
+def score_fingerprint(gold_items: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, reports, fingerprint): changes with any score or total, and with nothing else; for sets of any size.
+
+    A tree of digests over sorted ranges: reports are leaves in the order of the digest of their id, whose first six and then
+    three hex digits are the ranges of the two levels above. No node has more than 4096 children but those of the lowest level,
+    which grow by one for every 16.7 million reports; no order or partitioning of the input shows in the root.
+    """
+    place, line = F.sha2(F.col("report_id"), 256), F.sha2(F.col("line"), 256)
+    level = _score_lines(gold_items, totals).select("dataset_id", F.lit(1).cast("bigint").alias("n"), place.alias("at"), line.alias("digest"))
+    for digits in (6, 3, 0):
+        level = level.groupBy("dataset_id", F.left("at", F.lit(digits)).alias("range")).agg(
+            F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "digest"))).alias("parts")).select(
+            "dataset_id", "n", F.col("range").alias("at"), F.sha2(F.array_join(F.transform("parts", lambda p: p["digest"]), ""), 256).alias("digest"))
+    return level.select("dataset_id", F.col("n").alias("reports"), F.left("digest", F.lit(16)).alias("fingerprint"))
+
+
+def published_fingerprint(gold_items: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """(dataset_id, reports, fingerprint): the published value, a hash over the lines of a whole set in the order of report ids.
+
+    Such a hash can only be taken in sequence. Each set is hashed by one task that reads its sorted lines as a stream, so
+    memory is bounded by a batch whatever the set; many sets are hashed side by side. Use ``score_fingerprint`` for huge sets.
     """
-    per_report = gold_items.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(
-        "=", "item_id", F.col("score").cast("string")))), "|").alias("line"))
-    digest = F.sha2(F.concat_ws(":", F.col("report_id").cast("string"), "line"), 256)
-    number = F.conv(F.left(digest, F.lit(15)), 16, 10).cast("decimal(20,0)")
-    return per_report.agg(F.count("*").alias("reports"), F.sum(number).cast("decimal(38,0)").alias("_s")).select(
-        "reports", F.left(F.sha2(F.coalesce(F.col("_s"), F.lit(0)).cast("string"), 256), F.lit(16))
-        .alias("fingerprint"))
+    lines = _score_lines(gold_items, totals)
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        done: list[tuple] = []
+        now, n, digest = None, 0, hashlib.sha256()
+        for batch in batches:
+            for dataset, line in zip(batch.column("dataset_id").to_pylist(), batch.column("line").to_pylist()):
+                if n and dataset != now:
+                    done.append((now, n, digest.hexdigest()[:16]))
+                    n, digest = 0, hashlib.sha256()
+                digest.update((("|" if n else "") + line).encode())
+                now, n = dataset, n + 1
+        if n:
+            done.append((now, n, digest.hexdigest()[:16]))
+        yield pa.RecordBatch.from_pydict({"dataset_id": pa.array([d for d, _, _ in done], kind), "reports": pa.array([n for _, n, _ in done], pa.int64()),
+                                          "fingerprint": pa.array([h for _, _, h in done], pa.string())})
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    kind = to_arrow_type(lines.schema["dataset_id"].dataType)
+    ordered = lines.repartition("dataset_id").sortWithinPartitions("dataset_id", "report_id")
+    return ordered.select("dataset_id", "line").mapInArrow(run, f"dataset_id {dict(lines.dtypes)['dataset_id']}, reports long, fingerprint string")
 
 
 def gold_diff(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as X
+from ..functions.numbering import running_ids
 from ..functions.rows import once
 
 _PII = tuple((label, X.unicode_regex(p), to, K.PII_ANCHORS.get(label, ())) for label, p, to in K.PII_PATTERNS)
@@ -70,32 +71,46 @@ def residual_pii(df: DataFrame, text: str = "redacted") -> DataFrame:
     return df.select("report_id", F.inline_outer(counts)).where("n > 0")
 
 
-def running_ids(df: DataFrame, order: str, block: Column, name: str = "running_id") -> DataFrame:
-    """1, 2, 3, ... in the order of ``order`` without one global sort.
+def residual_findings(text: Column) -> Column:
+    """Label -> count of what still looks like personal data; empty when nothing does."""
+    counts = F.array(*[F.struct(F.lit(label).alias("key"), _count(text, X.unicode_regex(p), K.PII_ANCHORS.get(label, ())).cast("int").alias("value"))
+                       for label, p in K.RESIDUAL_CHECKERS])
+    return F.map_from_entries(F.filter(counts, lambda e: e["value"] > 0))
 
-    ``block`` is a coarse, order-preserving bucket of ``order`` (e.g. id div 100000): rows are numbered
-    inside their block and the few block counts are accumulated separately.
+
+def _report_length(least: int) -> tuple[Column, Column]:
+    text = F.coalesce("raw_text", F.lit(""))
+    return F.length(text), F.length(X.strip(text)) >= least
+
+
+def rejected_reports(reports: DataFrame, least: int = K.MIN_CORPUS_CHARS) -> DataFrame:
+    """(report_id, original, chars, reason) of the texts that ``anonymize_corpus`` leaves out; a missing text has 0 characters."""
+    chars, long_enough = _report_length(least)
+    return reports.where(~long_enough).select("report_id", _original(reports), chars.alias("chars"), F.lit("too_short").alias("reason"))
+
+
+def _original(reports: DataFrame) -> Column:
+    """What the report was called: the file's name without folders, else ``name``, else the id."""
+    file = [F.nullif(F.regexp_extract("path", r"([^/\\]*)$", 1), F.lit(""))] if "path" in reports.columns else []
+    name = [F.col("name")] if "name" in reports.columns else []
+    return F.coalesce(*file, *name, F.col("report_id").cast("string")).alias("original")
+
+
+def anonymize_corpus(reports: DataFrame, names: Sequence[str] = (), least: int = K.MIN_CORPUS_CHARS) -> DataFrame:
+    """Redact all texts that are long enough to be reports and give them running anonymous ids in the order of ``report_id``.
+
+    (report_id, anonymous_id, original, chars, hits, residual, redacted); ``residual`` counts what still looks like personal
+    data after redaction. Ids of any type will do. ``rejected_reports`` lists the others.
     """
-    blocked = df.withColumn("_block", block)
-    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
-    before = counts.select("_block", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_block"))
-                                      - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(order))
-    return blocked.withColumn("_i", inside).join(before, "_block").withColumn(
-        name, (F.col("_before") + F.col("_i")).cast("bigint")).drop("_block", "_i", "_before")
-
-
-def anonymize_corpus(reports: DataFrame, names: Sequence[str] = (), block_size: int = 100_000) -> DataFrame:
-    """Drop texts too short to be reports, redact the rest and give them running anonymous ids."""
-    long_enough = reports.where(F.length(X.strip(F.coalesce("raw_text", F.lit("")))) >= K.MIN_CORPUS_CHARS)
+    _, long_enough = _report_length(least)
+    kept = reports.where(long_enough)
     # ids are assigned on the narrow key column; texts meet them again by key
-    ids = running_ids(long_enough.select("report_id"), "report_id", F.floor(F.col("report_id") / block_size))
-    tagged = ids.withColumn("anonymous_id", F.concat(
-        F.lit("S"), F.when(F.col("running_id") < 100, F.lpad(F.col("running_id").cast("string"), 2, "0"))
-        .otherwise(F.col("running_id").cast("string"))))
-    clean = redact(long_enough, "raw_text", names)
-    return clean.join(tagged.select("report_id", "anonymous_id"), "report_id").select(
-        "report_id", "anonymous_id", F.length("redacted").alias("chars"), "hits", "redacted")
+    ids = running_ids(kept.select("report_id"), "report_id")
+    tag = F.concat(F.lit("S"), F.when(F.col("running_id") < 100, F.lpad(F.col("running_id").cast("string"), 2, "0"))
+                   .otherwise(F.col("running_id").cast("string"))).alias("anonymous_id")
+    clean = redact(kept.withColumn("_original", _original(reports)), "raw_text", names).join(ids.select("report_id", tag), "report_id")
+    return clean.select("report_id", "anonymous_id", F.col("_original").alias("original"), F.length("redacted").alias("chars"), "hits",
+                        residual_findings(F.col("redacted")).alias("residual"), "redacted")
 
 
 def hygiene_scan(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

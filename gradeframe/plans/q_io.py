@@ -84,16 +84,20 @@ def s3(t):
 
 @query("s4_read_gold_sheet", """
 SELECT CAST(doc_id AS VARCHAR) AS report_id, 'quality' AS item_id, CAST(quality AS VARCHAR) AS score,
-       CASE WHEN quality = 1 THEN 'hit' ELSE 'miss' END AS verdict, CASE WHEN toxic = 1 THEN 'toxic, flagged' ELSE '' END AS note
+       CASE WHEN quality = 1 THEN 'hit' ELSE 'miss' END AS verdict, CASE WHEN toxic = 1 THEN 'toxic, flagged' ELSE '' END AS note,
+       1 + row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id, quality, toxic) AS row_no
 FROM labels""")
 def s4(t):
+    """Four sheets, each sorted, written as CSV and read back in splits with the line of every row."""
     path = scratch(t.spark, "sheet")
-    t.raw("labels").select(
-        F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("report_id"), F.lit("quality ").alias("item_id"),
-        F.concat(F.lit(" "), F.col("quality").cast("string"), F.lit(" ")).alias("score"),
+    cells = t.raw("labels").select(
+        (F.col("doc_id") % 4).alias("sheet"), "doc_id", "quality", "toxic", F.concat(F.lit(" "), F.col("doc_id").cast("string")).alias("report_id"),
+        F.lit("quality ").alias("item_id"), F.concat(F.lit(" "), F.col("quality").cast("string"), F.lit(" ")).alias("score"),
         F.when(F.col("quality") == 1, "hit").otherwise("miss").alias("verdict"), F.lit("").alias("evidence"),
-        F.when(F.col("toxic") == 1, "toxic, flagged").otherwise("").alias("note")).write.option("header", True).csv(path)
-    return readers.read_gold_sheet(t.spark, path).select("report_id", "item_id", "score", "verdict", "note")
+        F.when(F.col("toxic") == 1, "toxic, flagged").otherwise("").alias("note"))
+    dealt = cells.repartition("sheet").sortWithinPartitions("sheet", "doc_id", "quality", "toxic")
+    dealt.drop("doc_id", "quality", "toxic").write.partitionBy("sheet").option("header", True).csv(path)
+    return readers.read_gold_sheet(t.spark, f"{path}/*").select("report_id", "item_id", "score", "verdict", "note", "row_no")
 
 
 @query("s5_read_seal", """

@@ -64,7 +64,10 @@ SELECT 'item' AS kind, CAST(m.report_id AS VARCHAR) AS report_id, m.item_id, m.s
 FROM marked m JOIN state USING (report_id) WHERE filled = 5
 UNION ALL SELECT 'excluded', CAST(report_id AS VARCHAR), '', '' FROM state WHERE filled = 0 AND blanks > 0
 UNION ALL SELECT 'problem', CAST(report_id AS VARCHAR), item_id, problem FROM marked WHERE problem IS NOT NULL
-UNION ALL SELECT 'problem', CAST(report_id AS VARCHAR), '', 'partly_filled' FROM state WHERE filled BETWEEN 1 AND 4""")
+UNION ALL SELECT 'problem', CAST(report_id AS VARCHAR), '', 'partly_filled' FROM state WHERE filled BETWEEN 1 AND 4
+UNION ALL SELECT 'total', CAST(report_id AS VARCHAR), '', CAST(sum(CAST(m.score AS INTEGER)) AS VARCHAR)
+          FROM marked m JOIN state USING (report_id) WHERE filled = 5 GROUP BY report_id
+UNION ALL SELECT 'problem', '', '', 'no_complete_report' FROM state HAVING count(*) FILTER (filled = 5) = 0""")
 def m1(t):
     got = M.import_gold(t.sheet, t.one_rubric)
     items = got.items.select(F.lit("item").alias("kind"), "report_id", "item_id", F.concat_ws(
@@ -72,7 +75,8 @@ def m1(t):
     excluded = got.excluded.select(F.lit("excluded").alias("kind"), "report_id", F.lit("").alias("item_id"),
                                    F.lit("").alias("info"))
     problems = got.problems.select(F.lit("problem").alias("kind"), "report_id", "item_id", F.col("problem").alias("info"))
-    return items.unionByName(excluded).unionByName(problems)
+    totals = got.totals.select(F.lit("total").alias("kind"), "report_id", F.lit("").alias("item_id"), F.col("total").cast("int").cast("string").alias("info"))
+    return items.unionByName(excluded).unionByName(problems).unionByName(totals)
 
 
 @query("m2_check_seal", """
@@ -95,16 +99,30 @@ def m2(t):
     return M.check_seal(seal)
 
 
-@query("m3_score_fingerprint", """
-WITH per_report AS (
-  SELECT doc_id, sha256(doc_id || ':' || 'quality=' || quality || '|toxic=' || toxic) AS h FROM labels)
-SELECT count(*) AS reports,
-       left(sha256(CAST(sum(CAST(('0x' || left(h, 15)) AS BIGINT)) AS VARCHAR)), 16) AS fingerprint FROM per_report""")
+GOLD_LINES = """lines AS (
+  SELECT doc_id % 7 AS dataset_id, CAST(doc_id AS VARCHAR) AS rid, doc_id || ':' || CAST(CAST(quality + toxic AS DOUBLE) AS VARCHAR) || '|' || doc_id || '/quality='
+         || CAST(CAST(quality AS DOUBLE) AS VARCHAR) || '|' || doc_id || '/toxic=' || CAST(CAST(toxic AS DOUBLE) AS VARCHAR) AS line FROM labels)"""
+
+
+def _gold_sets(t):
+    """The labels as gold items of seven sets."""
+    return t.raw("labels").select((F.col("doc_id") % 7).alias("dataset_id"), F.col("doc_id").alias("report_id"), F.inline(F.array(
+        F.struct(F.lit("toxic").alias("item_id"), F.col("toxic").cast("decimal(9,2)").alias("score")),
+        F.struct(F.lit("quality").alias("item_id"), F.col("quality").cast("decimal(9,2)").alias("score")))))
+
+
+@query("m3_score_fingerprint", with_(GOLD_LINES, """leaves AS (SELECT dataset_id, sha256(rid) AS place, sha256(line) AS d FROM lines),
+low AS (SELECT dataset_id, left(place, 6) AS place, count(*) AS n, sha256(string_agg(d, '' ORDER BY place)) AS d FROM leaves GROUP BY dataset_id, left(place, 6)),
+high AS (SELECT dataset_id, left(place, 3) AS place, sum(n) AS n, sha256(string_agg(d, '' ORDER BY place)) AS d FROM low GROUP BY dataset_id, left(place, 3))""") + """
+SELECT dataset_id, CAST(sum(n) AS BIGINT) AS reports, left(sha256(string_agg(d, '' ORDER BY place)), 16) AS fingerprint FROM high GROUP BY dataset_id""")
 def m3(t):
-    items = t.raw("labels").select(F.col("doc_id").alias("report_id"), F.inline(F.array(
-        F.struct(F.lit("quality").alias("item_id"), F.col("quality").alias("score")),
-        F.struct(F.lit("toxic").alias("item_id"), F.col("toxic").alias("score")))))
-    return M.score_fingerprint(items)
+    return M.score_fingerprint(_gold_sets(t))
+
+
+@query("m3_published_fingerprint", with_(GOLD_LINES) + """
+SELECT dataset_id, count(*) AS reports, left(sha256(string_agg(line, '|' ORDER BY rid)), 16) AS fingerprint FROM lines GROUP BY dataset_id""")
+def m3b(t):
+    return M.published_fingerprint(_gold_sets(t))
 
 
 @query("m4_gold_diff", """

@@ -329,14 +329,36 @@ def r4(t):
     return R.residual_pii(t.reports.withColumn("redacted", spiked))
 
 
-@query("r5_anonymize_corpus", rf"""
-SELECT doc_id AS report_id,
-       CASE WHEN row_number() OVER (ORDER BY doc_id) < 100 THEN 'S' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 2, '0')
-            ELSE 'S' || row_number() OVER (ORDER BY doc_id) END AS anonymous_id,
-       length({squeezed(f"regexp_replace(text, '{EMAIL}', '【邮箱】', 'g')")}) AS chars
-FROM documents WHERE length(trim(text, {WS})) >= 100""")
+# ids are text; every fifth text ends in a student number of one character, which redaction leaves and the residual scan finds
+CORPUS = """corpus AS (
+  SELECT 'r' || doc_id AS report_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || '学号: X' ELSE text END AS raw, doc_id % 5 = 0 AS spiked
+  FROM documents)"""
+
+
+def _corpus(t):
+    raw = F.when(F.col("report_id") % 5 == 0, F.concat("raw_text", F.lit("\n学号: X"))).otherwise(F.col("raw_text"))
+    return t.reports.select(F.concat(F.lit("r"), F.col("report_id").cast("string")).alias("report_id"), raw.alias("raw_text"),
+                            F.concat(F.lit("/in/"), "class_id", F.lit("/"), F.col("report_id").cast("string"), F.lit(".txt")).alias("path"))
+
+
+@query("r5_anonymize_corpus", with_(CORPUS, f"long_ AS (SELECT *, row_number() OVER (ORDER BY report_id) AS i FROM corpus WHERE length(trim(raw, {WS})) >= 100)") + rf"""
+SELECT report_id, CASE WHEN i < 100 THEN 'S' || lpad(CAST(i AS VARCHAR), 2, '0') ELSE 'S' || i END AS anonymous_id,
+       substr(report_id, 2) || '.txt' AS original, length({squeezed(f"regexp_replace(raw, '{EMAIL}', '【邮箱】', 'g')")}) AS chars,
+       len(regexp_extract_all(raw, '{EMAIL}')) AS mails, CASE WHEN spiked THEN 1 ELSE 0 END AS residual
+FROM long_""")
 def r5(t):
-    return R.anonymize_corpus(t.reports, block_size=64).select("report_id", "anonymous_id", "chars")
+    def count(column, label):
+        return F.coalesce(F.try_element_at(column, F.lit(label)), F.lit(0))
+
+    return R.anonymize_corpus(_corpus(t)).select(
+        "report_id", "anonymous_id", "original", "chars", count("hits", "邮箱").alias("mails"), count("residual", "疑似真姓名行").alias("residual"))
+
+
+@query("r5_rejected_reports", with_(CORPUS) + f"""
+SELECT report_id, substr(report_id, 2) || '.txt' AS original, length(raw) AS chars, 'too_short' AS reason
+FROM corpus WHERE length(trim(raw, {WS})) < 100""")
+def r5b(t):
+    return R.rejected_reports(_corpus(t))
 
 
 TOKEN = K.HYGIENE_PATTERNS[0][1]

@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -121,13 +121,31 @@ def _colon(schema: str) -> str:
 SHEET_COLUMNS = ("report_id", "item_id", "score", "verdict", "evidence", "note")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): every line of the text files below ``path`` with its exact number, counted from 1.
+
+    Files are read in splits of any size. A split knows the byte at which it starts, and its lines come in order; so a line's
+    number is its place in the split plus the lines of the file's earlier splits, of which there is one count each.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), "value", F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_start")) - F.col("_n")
+    splits = splits.select("file", "_start", "_first", before.alias("_before"))
+    numbered = lines.join(splits, ["file", "_start"])
+    return numbered.select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
+
+
 def read_gold_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A score sheet exported as CSV with a header; every cell trimmed, rows without report or item dropped."""
+    """A score sheet exported as CSV with a header in each file; every cell trimmed, rows without report or item dropped.
+
+    ``file`` and ``row_no`` (the line in it) are the sheet's own order, whatever the splits; a row is one line.
+    """
     schema = ", ".join(f"{c} string" for c in SHEET_COLUMNS)
-    sheet = spark.read.schema(schema).option("header", True).option("multiLine", False).csv(path)
-    cells = sheet.select(*[X.strip(F.coalesce(c, F.lit(""))).alias(c) for c in SHEET_COLUMNS])
-    return cells.where((F.col("report_id") != "") & (F.col("item_id") != "")).withColumn(
-        "row_no", F.monotonically_increasing_id())
+    lines = numbered_lines(spark, path).where("line_no > 1")
+    parsed = lines.select("file", F.col("line_no").alias("row_no"), F.from_csv("value", F.lit(schema)).alias("c"))
+    cells = parsed.select("file", "row_no", *[X.strip(F.coalesce(f"c.{c}", F.lit(""))).alias(c) for c in SHEET_COLUMNS])
+    return cells.where((F.col("report_id") != "") & (F.col("item_id") != ""))
 
 
 def parse_seal(files: DataFrame, key: str = "dataset_id", content: str = "value") -> DataFrame:
