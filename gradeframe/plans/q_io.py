@@ -290,16 +290,37 @@ def w1(t):
     return _by_day(intake.stream_class_stats(_records(t.raw("events"))))
 
 
-@query("w1_class_stats_stream", with_(RECORDS) + f"""
+def _stream(t):
+    source = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    path = scratch(t.spark, "stream")
+    return _records(source), path
+
+
+@query("w1_closed_windows", with_(RECORDS) + f"""
 SELECT {RECORD_COLUMNS} FROM stats WHERE closes <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def w1b(t):
     """The same statistics from a stream of the events file: windows the watermark has closed."""
-    source = t.spark.readStream.schema(t.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
-    path = scratch(t.spark, "stream")
-    intake.run_available(intake.stream_class_stats(_records(source)), f"{path}/out", f"{path}/state")
+    records, path = _stream(t)
+    intake.run_available(intake.stream_class_stats(records), f"{path}/out", f"{path}/state")
     return _by_day(t.spark.read.parquet(f"{path}/out"))
 
 
+@query("w1_class_stats_stream", with_(RECORDS) + f"SELECT {RECORD_COLUMNS} FROM stats")
+def w1c(t):
+    """The statistics of the whole stream, its last windows included: the same rows as from the batch."""
+    records, path = _stream(t)
+    intake.run_intake(records, path)
+    return _by_day(intake.intake_stats(t.spark, path))
+
+
+@query("w1_rejected_records", "SELECT event_id AS record_id, 'repeated' AS status FROM events WHERE event_id % 4 = 0")
+def w1d(t):
+    """Every record of the stream that did not count: here the second copies."""
+    records, path = _stream(t)
+    intake.run_intake(records, path)
+    return intake.rejected_records(t.spark, path).select("record_id", "status")
+
+
 @query("w2_daily_quota", """
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, user_id AS session_id, count(*) AS used,
        greatest(3 - count(*), 0) AS remaining, count(*) >= 3 AS exhausted
