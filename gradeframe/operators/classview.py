@@ -2,7 +2,8 @@
 
 Inputs, one or many classes at once:
   details(class_id, report_id, pos, item_id, item_name, verdict, score, max_score, confidence,
-          needs_review, system_error, ...)      one row per judgement, ``pos`` = place in the report's list
+          needs_review, system_error, ...)      one row per judgement, ``pos`` = place in the report's list, and
+          ``report_ord`` = the report's place in its batch where there is one
   results(class_id, report_id, name, total, total_incomplete, coverage, ...)   one row per report
 Per-class outputs come from hash aggregates with map-side combine; only already aggregated rows
 (a handful of items per class) are ranked in full windows.
@@ -20,13 +21,39 @@ _BIN_LABELS = tuple(
     for i, (lo, hi) in enumerate(zip(K.HISTOGRAM_EDGES, K.HISTOGRAM_EDGES[1:])))
 
 
+#: Room for ``pos`` below a report's place in a packed key.
+_POSITIONS = "10000000000000000000"
+
+
+def place_key(details: DataFrame) -> Column:
+    """The place of a judgement in its batch as one comparable value: the report's place (``report_ord``, else its id), then ``pos``.
+
+    Numbers are packed into a decimal, which aggregates keep in fixed-width buffers; only text ids without ``report_ord``
+    need a struct.
+    """
+    report = "report_ord" if "report_ord" in details.columns else "report_id"
+    if dict(details.dtypes)[report] in ("tinyint", "smallint", "int", "bigint"):
+        return (F.col(report).cast("decimal(19,0)") * F.lit(_POSITIONS).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("pos").cast("decimal(19,0)")
+    return F.struct(report, "pos")
+
+
+def _by_first_sighting(per_name: DataFrame, *figures: Column) -> DataFrame:
+    """Rows per (class, item, item_name) with ``seen`` become one row per item, named as first seen, in first-seen order.
+
+    Names are few, so they are ranked after the figures have been aggregated by them.
+    """
+    item = Window.partitionBy("class_id", "item_id")
+    named = per_name.select("class_id", "item_id", "item_name", F.min("seen").over(item).alias("_seen"), *figures,
+                            F.row_number().over(item.orderBy("seen", "item_name")).alias("_rank")).where("_rank = 1")
+    order = Window.partitionBy("class_id").orderBy("_seen", "item_id")
+    return named.withColumn("item_ord", F.row_number().over(order)).drop("_seen", "_rank")
+
+
 def class_items(details: DataFrame) -> DataFrame:
-    """Item dictionary of each class in first-seen order (class_id, item_id, item_name, item_ord)."""
-    seen = details.groupBy("class_id", "item_id").agg(
-        F.min(F.struct("report_id", "pos", F.coalesce("item_name", "item_id").alias("item_name"))).alias("first"))
-    order = Window.partitionBy("class_id").orderBy("first.report_id", "first.pos", "item_id")
-    return seen.select("class_id", "item_id", F.col("first.item_name").alias("item_name"),
-                       F.row_number().over(order).alias("item_ord"))
+    """Item dictionary of each class in the order of its batch (class_id, item_id, item_name, item_ord)."""
+    name = F.coalesce("item_name", "item_id").alias("item_name")
+    seen = details.groupBy("class_id", "item_id", name).agg(F.min(place_key(details)).alias("seen"))
+    return _by_first_sighting(seen).select("class_id", "item_id", "item_name", "item_ord")
 
 
 def first_judgement(details: DataFrame) -> DataFrame:
@@ -53,19 +80,23 @@ def class_item_stats(details: DataFrame, exclude_recall_miss: bool = False) -> D
     ok = counts_for_student(exclude_recall_miss)
     has_max = ok & F.col("max_score").isNotNull()
     scored = F.when(has_max, F.coalesce("score", F.lit(0)))
-    n, h = F.count_if(ok), F.count_if(ok & (F.col("verdict") == "hit"))
-    p = F.count_if(ok & (F.col("verdict") == "partial"))
-    per_item = first_judgement(details).groupBy("class_id", "item_id").agg(
-        F.min(F.struct("report_id", "pos", F.coalesce("item_name", "item_id").alias("item_name"))).alias("first"),
-        n.alias("counted"), h.alias("hit"), p.alias("partial"),
-        F.sum(scored).alias("score_sum"), F.sum(F.when(has_max, F.col("max_score"))).alias("max_sum"),
-        mean(scored).alias("avg_score"), F.min_by("max_score", F.when(has_max, F.col("report_id"))).alias("max_score"),
-        F.count_if(ok & F.col("needs_review")).alias("needs_review"))
-    order = Window.partitionBy("class_id").orderBy("first.report_id", "first.pos", "item_id")
+    place = place_key(details)
+    per_name = first_judgement(details).groupBy("class_id", "item_id", F.coalesce("item_name", "item_id").alias("item_name")).agg(
+        F.min(place).alias("seen"), F.count_if(ok).alias("counted"), F.count_if(ok & (F.col("verdict") == "hit")).alias("hit"),
+        F.count_if(ok & (F.col("verdict") == "partial")).alias("partial"), F.sum(scored).alias("score_sum"), F.count(scored).alias("n_scored"),
+        F.sum(F.when(has_max, F.col("max_score"))).alias("max_sum"), F.min(F.when(has_max, place)).alias("max_seen"),
+        F.min_by("max_score", F.when(has_max, place)).alias("max_score"), F.count_if(ok & F.col("needs_review")).alias("needs_review"))
+    item = Window.partitionBy("class_id", "item_id")
+    first_max = F.first("max_score", ignorenulls=True).over(item.orderBy(F.asc_nulls_last("max_seen")).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing))
+    per_item = _by_first_sighting(
+        per_name, first_max.alias("max_score"),
+        *[F.sum(c).over(item).alias(c) for c in ("counted", "hit", "partial", "score_sum", "n_scored", "max_sum", "needs_review")]).withColumn(
+        "avg_score", ratio(F.col("score_sum"), F.col("n_scored")))
     counted, weak = F.col("counted"), F.col("counted") - F.col("hit")
     miss = weak - F.col("partial")
     return per_item.select(
-        "class_id", F.row_number().over(order).alias("item_ord"), "item_id", F.col("first.item_name").alias("item_name"),
+        "class_id", "item_ord", "item_id", "item_name",
         "counted", "hit", "partial", miss.alias("miss"), weak.alias("weak"),
         F.coalesce(ratio(weak, counted), F.lit(0.0)).alias("weak_ratio"),
         F.coalesce(ratio(miss, counted), F.lit(0.0)).alias("miss_ratio"),

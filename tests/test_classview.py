@@ -103,3 +103,19 @@ def test_fingerprint_follows_scores_only(spark):
         return M.score_fingerprint(spark.createDataFrame(rows, "report_id string, item_id string, score decimal(9,2)")).first().fingerprint
     base = [("a", "r1", D(1)), ("a", "r2", D(2)), ("b", "r1", D(3))]
     assert fp(base) == fp(base[::-1]) != fp(base[:2] + [("b", "r1", D(4))])
+
+
+def test_items_in_the_order_of_the_batch(spark):
+    """Reports out of id order, items renamed later, text ids with and without a place."""
+    rows = [("z", 0, 5, "i2", "Second"), ("z", 0, 9, "i1", "First"), ("a", 1, 0, "i3", "Third"), ("a", 1, 1, "i2", "Renamed"), ("m", 2, 0, "i0", None)]
+    schema = "report_id string, report_ord int, pos long, item_id string, item_name string"
+    df = spark.createDataFrame(rows, schema).selectExpr("'c' AS class_id", "*", "'hit' AS verdict", "CAST(3 AS DECIMAL(9,2)) AS score",
+                                                        "CAST(report_ord + 4 AS DECIMAL(9,2)) AS max_score", "false AS needs_review", "'' AS system_error").repartition(4)
+    want = [("i2", "Second"), ("i1", "First"), ("i3", "Third"), ("i0", "i0")]
+    assert [(r.item_id, r.item_name) for r in C.class_items(df).orderBy("item_ord").collect()] == want
+    stats = C.class_item_stats(df).orderBy("item_ord").collect()
+    assert [(r.item_id, r.item_name) for r in stats] == want and stats[0].counted == 2 and float(stats[0].max_score) == 4
+    by_id = C.class_items(df.drop("report_ord")).orderBy("item_ord").collect()
+    assert [r.item_id for r in by_id] == ["i3", "i2", "i0", "i1"] and by_id[1].item_name == "Renamed"
+    for out in (C.class_items(df), C.class_item_stats(df)):
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
