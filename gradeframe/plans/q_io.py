@@ -65,6 +65,31 @@ def s2(t):
         "system_error", F.coalesce("total", F.lit(-1.0)).alias("total"))
 
 
+@query("s2_rejected_batches", with_(DETAILS, RESULTS) + """
+SELECT CASE WHEN r.report_id % 50 = 0 THEN 'unreadable' WHEN d.report_id IS NULL THEN 'no_judgements' ELSE 'taken' END AS outcome, count(*) AS documents
+FROM results r LEFT JOIN (SELECT DISTINCT report_id FROM details) d USING (report_id) GROUP BY 1""")
+def s2b(t):
+    """Every document of the folder, by what became of it."""
+    path = scratch(t.spark, "batches")
+    _batch_lines(t).select("line").write.text(path)
+    documents = readers.batch_documents(t.spark, path, one_per_line=True)
+    return documents.groupBy(F.coalesce("reject", F.lit("taken")).alias("outcome")).agg(F.count("*").alias("documents"))
+
+
+@query("s3_rejected_presets", with_(DETAILS, FIRST) + """
+SELECT CASE WHEN report_id % 40 = 0 THEN 'not json' ELSE '{"report_id":"' || report_id || '"}' END AS value,
+       CASE WHEN report_id % 40 = 0 THEN 'unreadable' ELSE 'no_judgements' END AS reason
+FROM (SELECT DISTINCT report_id FROM firsts) WHERE report_id % 40 = 0 OR report_id % 7 = 0""")
+def s3b(t):
+    """Stored results that hold no judgements or are no JSON, each with its whole text."""
+    report = F.col("report_id")
+    whole = F.to_json(F.struct(report.cast("string").alias("report_id"), F.array(F.struct(F.lit("r1").alias("rubric_item_id"))).alias("judgements")))
+    line = F.when(report % 40 == 0, "not json").when(report % 7 == 0, F.to_json(F.struct(report.cast("string").alias("report_id")))).otherwise(whole)
+    path = scratch(t.spark, "presets")
+    C.first_judgement(t.details).select("report_id").distinct().select(line.alias("line")).write.text(path)
+    return readers.rejected_presets(t.spark, path, one_per_line=True).select("value", "reason")
+
+
 @query("s3_read_preset_results", with_(DETAILS, FIRST) + """
 SELECT CAST(report_id AS VARCHAR) AS report_id, CASE WHEN report_id % 2 = 0 THEN 'model' ELSE '' END AS engine,
        sum(score_c) / 100.0 AS total, count(*) AS judgements FROM firsts WHERE report_id % 40 <> 0 GROUP BY report_id""")

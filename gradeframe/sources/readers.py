@@ -50,14 +50,18 @@ def _documents(spark: SparkSession, path: str, one_per_line: bool) -> DataFrame:
         F.col("value"))
 
 
-def read_graded_batches(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """One row per report of every graded batch document.
+#: Why a document is not taken. Every document of a folder is either taken or listed under one of these.
+UNREADABLE, NO_REPORTS, NO_JUDGEMENTS = "unreadable", "no_reports", "no_judgements"
+_CORRUPT = "_corrupt_record"
 
-    Takes the list under results, reports or details (or a bare list), the course from config before the
-    top level, verdicts written as ``v``, numbers written as text. Unreadable documents and documents
-    without any judgement are left out.
+
+def batch_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """One row per graded batch document, taken or not: its text, what was read from it, and ``reject`` (NULL: taken).
+
+    ``read_graded_batches`` and ``rejected_batches`` are the two halves of this table; write it once, by ``reject``, to have both
+    from one reading. A file of no bytes at all is no document.
     """
-    docs = _documents(spark, path, one_per_line)
+    docs = _documents(spark, path, one_per_line).where(F.trim("value") != "" if one_per_line else F.lit(True))
     bare = F.startswith(F.ltrim("value"), F.lit("["))
 
     def content(p: Column) -> Column:
@@ -65,12 +69,30 @@ def read_graded_batches(spark: SparkSession, path: str, one_per_line: bool = Fal
         filled = [F.when(F.size(c) > 0, c) for c in (b["results"], b["reports"], b["details"], p["list"])]
         return F.struct(b["created_at"].alias("created_at"), b["engine"].alias("engine"),
                         F.coalesce(F.nullif(b["config"]["course"], F.lit("")), b["course"], F.lit("")).alias("course"),
-                        F.coalesce(*filled).alias("reports"))
+                        F.coalesce(*filled).alias("reports"), (p["bare"] & p["list"].isNull() | b[_CORRUPT].isNotNull()).alias("broken"))
 
-    document = F.struct(F.when(~bare, F.from_json("value", BATCH_SCHEMA)).alias("b"),
+    document = F.struct(bare.alias("bare"), F.when(~bare, F.from_json("value", f"{BATCH_SCHEMA}, {_CORRUPT} string")).alias("b"),
                         F.when(bare, F.from_json("value", f"array<{_REPORT}>")).alias("list"))
-    rows = once(docs, "_c", X.bind(document, content)).select("file", "modified_at", "_c.*")
-    usable = rows.where(F.exists("reports", lambda r: F.size(r["details"]) > 0))
+    rows = once(docs, "_c", X.bind(document, content)).select("file", "modified_at", "value", "_c.*")
+    judged = F.exists("reports", lambda r: F.coalesce(F.size(r["details"]), F.lit(0)) > 0)
+    broken = F.coalesce("broken", F.lit(True)) | (F.trim("value") == "")
+    return rows.withColumn("reject", F.when(F.coalesce(judged, F.lit(False)), F.lit(None)).when(broken, UNREADABLE).when(
+        F.col("reports").isNull(), NO_REPORTS).otherwise(NO_JUDGEMENTS)).drop("broken")
+
+
+def rejected_batches(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """(file, reason, value) of every document that ``read_graded_batches`` does not take, with its whole text."""
+    return batch_documents(spark, path, one_per_line).where(F.col("reject").isNotNull()).select("file", F.col("reject").alias("reason"), "value")
+
+
+def read_graded_batches(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """One row per report of every graded batch document.
+
+    Takes the list under results, reports or details (or a bare list), the course from config before the
+    top level, verdicts written as ``v``, numbers written as text. Unreadable documents and documents
+    without any judgement are listed by ``rejected_batches``; a report without judgements beside others stays, without details.
+    """
+    usable = batch_documents(spark, path, one_per_line).where(F.col("reject").isNull())
     one = usable.select("file", "modified_at", "created_at", "engine", "course",
                         F.posexplode_outer("reports").alias("report_ord", "r"))
     return one.select(
@@ -96,16 +118,28 @@ def batch_details(batches: DataFrame, class_key: str = "file") -> DataFrame:
         F.coalesce("d.dropped", F.array().cast("array<string>")).alias("dropped_quotes"))
 
 
-def read_preset_results(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
-    """Stored results, wrapped with ``_meta`` or flat; documents that cannot be read are skipped."""
-    docs = _documents(spark, path, one_per_line)
+def preset_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """One row per stored result, taken or not: file, value, engine, full_text, the result ``r`` and ``reject`` (NULL: taken)."""
+    docs = _documents(spark, path, one_per_line).where(F.trim("value") != "" if one_per_line else F.lit(True))
     wrapped = F.from_json("value", f"_meta struct<engine:string,full_text:string,source_file:string>, "
-                                   f"engine string, full_text string, result struct<{_colon(_RESULT)}>")
+                                   f"engine string, full_text string, result struct<{_colon(_RESULT)}>, {_CORRUPT} string")
     flat = F.from_json("value", _RESULT)
-    rows = once(docs, "_d", F.struct(wrapped.alias("w"), flat.alias("f"))).select("file", "_d.w", "_d.f").select(
-        "file", F.coalesce("w._meta.engine", "w.engine").alias("engine"),
-        F.coalesce("w._meta.full_text", "w.full_text").alias("full_text"), F.coalesce("w.result", "f").alias("r"))
-    return rows.where(F.col("r.judgements").isNotNull()).select(
+    rows = once(docs, "_d", F.struct(wrapped.alias("w"), flat.alias("f"))).select("file", "value", "_d.w", "_d.f").select(
+        "file", "value", F.coalesce("w._meta.engine", "w.engine").alias("engine"),
+        F.coalesce("w._meta.full_text", "w.full_text").alias("full_text"), F.coalesce("w.result", "f").alias("r"),
+        (F.col(f"w.{_CORRUPT}").isNotNull() | F.col("w").isNull() | (F.trim("value") == "")).alias("broken"))
+    return rows.withColumn("reject", F.when(F.col("r.judgements").isNotNull(), F.lit(None)).when(F.col("broken"), UNREADABLE).otherwise(NO_JUDGEMENTS)).drop("broken")
+
+
+def rejected_presets(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """(file, reason, value) of every document that ``read_preset_results`` does not take, with its whole text."""
+    return preset_documents(spark, path, one_per_line).where(F.col("reject").isNotNull()).select("file", F.col("reject").alias("reason"), "value")
+
+
+def read_preset_results(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Stored results, wrapped with ``_meta`` or flat; documents that cannot be read are listed by ``rejected_presets``."""
+    rows = preset_documents(spark, path, one_per_line)
+    return rows.where(F.col("reject").isNull()).select(
         "file", "engine", "full_text", "r.report_id", F.col("r.total").try_cast(SCORE).alias("total"),
         F.col("r.ai_total").try_cast(SCORE).alias("ai_total"),
         F.coalesce("r.total_incomplete", F.lit(False)).alias("total_incomplete"), "r.model",

@@ -153,3 +153,27 @@ def test_public_cases_are_checked_as_written(spark, tmp_path):
     assert not (tmp_path / "p" / "manifest").exists() and not (tmp_path / "p" / "cases").exists()
     sinks.write_public_cases(cases.limit(1), str(tmp_path / "p"), "a")
     assert [r.report_id for r in spark.read.json(str(tmp_path / "p" / "manifest")).collect()] == ["a"]
+
+
+def test_every_document_is_taken_or_listed(spark, tmp_path):
+    texts = {"good.json": '{"reports": [{"report_id": "a", "details": [{"id": "r1", "v": "hit"}]}, {"report_id": "b"}]}', "list.json": '[{"report_id": "c", "details": [{"id": "r1"}]}]',
+             "broken.json": '{"reports": [', "badlist.json": "[1, 2", "none.json": '{"version": "v1"}', "empty.json": " \n", "blank.json": '{"results": [{"report_id": "x", "details": []}]}',
+             "other.json": '{"reports": "text"}'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    rejected = {r.file.rsplit("/", 1)[1]: (r.reason, r.value) for r in readers.rejected_batches(spark, str(tmp_path)).collect()}
+    assert {k: v[0] for k, v in rejected.items()} == {"broken.json": "unreadable", "badlist.json": "unreadable", "none.json": "no_reports", "empty.json": "unreadable",
+                                                      "blank.json": "no_judgements", "other.json": rejected["other.json"][0]}
+    assert all(v[1] == texts[k] for k, v in rejected.items())
+    taken = {r.file.rsplit("/", 1)[1] for r in readers.read_graded_batches(spark, str(tmp_path)).collect()}
+    assert taken == {"good.json", "list.json"} and taken | set(rejected) == set(texts)
+    assert [r.report_id for r in readers.read_graded_batches(spark, str(tmp_path)).where("details IS NULL").collect()] == ["b"]
+
+
+def test_every_stored_result_is_taken_or_listed(spark, tmp_path):
+    lines = ['{"report_id": "a", "judgements": []}', '{"_meta": {"engine": "m"}, "result": {"report_id": "b", "judgements": [{"rubric_item_id": "r1"}]}}',
+             '{"report_id": "c"}', "{", "no", '{"_meta": {}, "result": {"report_id": "d"}}']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\n\n")
+    got = {r.report_id for r in readers.read_preset_results(spark, str(tmp_path), one_per_line=True).collect()}
+    rejected = {r.value: r.reason for r in readers.rejected_presets(spark, str(tmp_path), one_per_line=True).collect()}
+    assert got == {"a", "b"} and rejected == {lines[2]: "no_judgements", "{": "unreadable", "no": "unreadable", lines[5]: "no_judgements"}
