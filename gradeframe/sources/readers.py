@@ -61,7 +61,7 @@ def batch_documents(spark: SparkSession, path: str, one_per_line: bool = False)
     ``read_graded_batches`` and ``rejected_batches`` are the two halves of this table; write it once, by ``reject``, to have both
     from one reading. A file of no bytes at all is no document.
     """
-    docs = _documents(spark, path, one_per_line).where(F.trim("value") != "" if one_per_line else F.lit(True))
+    docs = _documents(spark, path, one_per_line).where(X.strip(F.col("value")) != "" if one_per_line else F.lit(True))
     bare = F.startswith(F.ltrim("value"), F.lit("["))
 
     def content(p: Column) -> Column:
@@ -75,7 +75,7 @@ def batch_documents(spark: SparkSession, path: str, one_per_line: bool = False)
                         F.when(bare, F.from_json("value", f"array<{_REPORT}>")).alias("list"))
     rows = once(docs, "_c", X.bind(document, content)).select("file", "modified_at", "value", "_c.*")
     judged = F.exists("reports", lambda r: F.coalesce(F.size(r["details"]), F.lit(0)) > 0)
-    broken = F.coalesce("broken", F.lit(True)) | (F.trim("value") == "")
+    broken = F.coalesce("broken", F.lit(True)) | (X.strip(F.col("value")) == "")
     return rows.withColumn("reject", F.when(F.coalesce(judged, F.lit(False)), F.lit(None)).when(broken, UNREADABLE).when(
         F.col("reports").isNull(), NO_REPORTS).otherwise(NO_JUDGEMENTS)).drop("broken")
 
@@ -120,14 +120,14 @@ def batch_details(batches: DataFrame, class_key: str = "file") -> DataFrame:
 
 def preset_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """One row per stored result, taken or not: file, value, engine, full_text, the result ``r`` and ``reject`` (NULL: taken)."""
-    docs = _documents(spark, path, one_per_line).where(F.trim("value") != "" if one_per_line else F.lit(True))
+    docs = _documents(spark, path, one_per_line).where(X.strip(F.col("value")) != "" if one_per_line else F.lit(True))
     wrapped = F.from_json("value", f"_meta struct<engine:string,full_text:string,source_file:string>, "
                                    f"engine string, full_text string, result struct<{_colon(_RESULT)}>, {_CORRUPT} string")
     flat = F.from_json("value", _RESULT)
     rows = once(docs, "_d", F.struct(wrapped.alias("w"), flat.alias("f"))).select("file", "value", "_d.w", "_d.f").select(
         "file", "value", F.coalesce("w._meta.engine", "w.engine").alias("engine"),
         F.coalesce("w._meta.full_text", "w.full_text").alias("full_text"), F.coalesce("w.result", "f").alias("r"),
-        (F.col(f"w.{_CORRUPT}").isNotNull() | F.col("w").isNull() | (F.trim("value") == "")).alias("broken"))
+        (F.col(f"w.{_CORRUPT}").isNotNull() | F.col("w").isNull() | (X.strip(F.col("value")) == "")).alias("broken"))
     return rows.withColumn("reject", F.when(F.col("r.judgements").isNotNull(), F.lit(None)).when(F.col("broken"), UNREADABLE).otherwise(NO_JUDGEMENTS)).drop("broken")
 
 
