@@ -42,74 +42,104 @@ def vocabulary(profile: Column) -> Column:
     return F.coalesce(F.try_element_at(table, profile), F.try_element_at(table, F.lit(K.GENERAL)))
 
 
-def slots_by_title(sections: Column, vocab: Column) -> Column:
-    """Body of the first section whose title holds a word of the slot, without its own title; NULL when none."""
+def keyword_index(text: Column, sections: Column, words: Column) -> Column:
+    """Where each word first occurs: the lines of the text, (w, at) of words in short lines and (w, at) of words in titles.
 
-    def body(s: Column) -> Column:
-        def without_title(p: Column) -> Column:
-            own = (p["title"] != "") & F.startswith(p["text"], p["title"])
-            return F.when(own, X.strip(F.substring(p["text"], F.length(p["title"]) + 1, F.length(p["text"])))).otherwise(p["text"])
-        return F.when(s.isNotNull(), X.bind(
-            F.struct(X.strip(s["title"]).alias("title"), X.strip(s["text"]).alias("text")), without_title))
-
-    return F.transform(vocab, lambda kw: X.bind(
-        F.get(F.filter(sections, lambda s: X.contains_any(s["title"], kw)), F.lit(0)), body))
-
-
-def _body_after(lines: Column, at: Column, stop_words: Column) -> Column:
-    """Text below a heading line: ends at a line that looks like another heading; 40 lines / 2000 characters at most."""
-
-    def step(acc: Column, line: Column) -> Column:
-        def decide(cur: Column) -> Column:
-            heading = (F.length(cur).between(2, K.HEADING_MAX_CHARS)
-                       & ~X.ends_with_any(cur, K.LINE_HEADING_BAD_END))
-            stop = heading & (acc["any"] | X.contains_any(cur, stop_words))
-            used = acc["used"] + F.length(cur)
-            return F.when(acc["done"], acc).when(stop, acc.withField("done", F.lit(True))).otherwise(F.struct(
-                F.array_append(acc["out"], F.when(cur == "", "").otherwise(line)).alias("out"),
-                used.cast("int").alias("used"), (acc["any"] | (cur != "")).alias("any"),
-                (used >= 2000).alias("done")))
-        return X.bind(X.strip(line), decide)
+    Most words occur nowhere, which one search of the whole text tells; only the others are looked for line by line.
+    """
+    def places(words_: Column, texts: Column) -> Column:
+        first = F.transform(words_, lambda w: F.struct(w.alias("w"), F.get(F.filter(texts, lambda c: F.contains(c["s"], w)), F.lit(0))["i"].alias("at")))
+        return F.filter(first, lambda e: e["at"].isNotNull())
 
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("used"),
-                    F.lit(False).alias("any"), F.lit(False).alias("done"))
-    return F.aggregate(F.slice(lines, at + 2, 40), zero, step, lambda acc: F.array_join(acc["out"], "\n"))
+    def of_lines(lines: Column) -> Column:
+        short = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), X.strip(line).alias("s"))),
+                         lambda c: F.length(c["s"]).between(2, K.HEADING_MAX_CHARS))
+        titles = F.transform(sections, lambda s, i: F.struct(i.alias("i"), s["title"].alias("s")))
+        return X.bind(F.struct(short.alias("short"), F.filter(words, lambda w: F.contains(text, w)).alias("there")), lambda p: F.struct(
+            lines.alias("lines"), places(p["there"], p["short"]).alias("line_at"), X.bind(titles, lambda ts: places(words, ts)).alias("title_at")))
 
+    return X.bind(X.lines_of(text), of_lines)
 
-def slots_by_line(text: Column, vocab: Column, found: Column) -> Column:
-    """Fill the slots titles did not give: first 2-30 character line with a word, then the text below it."""
 
-    def fill(lines: Column, stop_words: Column) -> Column:
-        short = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), X.strip(line).alias("s"))),
-                         lambda c: F.length(c["s"]).between(2, K.HEADING_MAX_CHARS))
+def _first_at(places: Column, keywords: Column) -> Column:
+    return F.array_min(F.transform(F.filter(places, lambda e: F.array_contains(keywords, e["w"])), lambda e: e["at"]))
 
-        def with_candidates(cand: Column) -> Column:
-            def one(body: Column, kw: Column) -> Column:
-                first = F.get(F.filter(cand, lambda c: X.contains_any(c["s"], kw)), F.lit(0))
-                return F.when(body.isNotNull(), body).otherwise(X.bind(first, lambda hit: F.when(
-                    hit.isNotNull(), _body_after(lines, hit["i"], stop_words))))
-            return F.zip_with(found, vocab, one)
 
-        return X.bind(short, with_candidates)
+def _section_body(s: Column) -> Column:
+    """Text of a section without its own title."""
+    def without_title(p: Column) -> Column:
+        own = (p["title"] != "") & F.startswith(p["text"], p["title"])
+        return F.when(own, X.strip(F.substring(p["text"], F.length(p["title"]) + 1, F.length(p["text"])))).otherwise(p["text"])
 
-    # both bound once: the fold below a heading asks for the words at every line
-    return X.bind(X.lines_of(text), lambda lines: X.bind(F.flatten(vocab), lambda stop_words: fill(lines, stop_words)))
+    return X.bind(F.struct(X.strip(s["title"]).alias("title"), X.strip(s["text"]).alias("text")), without_title)
 
 
-def map_slots(reports: DataFrame, by_line: bool = True) -> DataFrame:
-    """Add ``slots``: eight bodies in slot order, NULL where the report has no such part."""
-    # sections and words are bound: a planner that copies their expressions into the per-slot lambda
-    # would cut the report into sections once per slot
-    def slots(vocab: Column) -> Column:
-        titled = X.bind(F.col("sections"), lambda ss: slots_by_title(ss, vocab))
-        return X.bind(titled, lambda found: slots_by_line(F.col("raw_text"), vocab, found)) if by_line else titled
+def _body_after(lines: Column, at: Column, stop_words: Column, most_lines: int, most_chars: int) -> Column:
+    """(body, cut): text below a heading line up to a line that looks like another heading, within the limits.
 
-    return reports.withColumn("slots", X.bind(vocabulary(F.col("profile")), slots))
+    The end is found first and the lines are sliced once; ``cut`` says that a limit ended the body while lines were left.
+    """
+    window = F.transform(F.slice(lines, at + 2, most_lines), lambda line, i: F.struct(line.alias("line"), X.strip(line).alias("cur"), i.alias("i")))
+
+    def step(acc: Column, l: Column) -> Column:
+        cur = l["cur"]
+        heading = F.length(cur).between(2, K.HEADING_MAX_CHARS) & ~X.ends_with_any(cur, K.LINE_HEADING_BAD_END)
+        stop = heading & (acc["any"] | X.contains_any(cur, stop_words))
+        used = acc["used"] + F.length(cur)
+        return F.when(acc["end"] >= 0, acc).when(stop, acc.withField("end", l["i"])).otherwise(F.struct(
+            used.cast("int").alias("used"), (acc["any"] | (cur != "")).alias("any"),
+            F.when(used >= most_chars, l["i"] + 1).otherwise(-1).cast("int").alias("end"), (used >= most_chars).alias("full")))
+
+    zero = F.struct(F.lit(0).alias("used"), F.lit(False).alias("any"), F.lit(-1).alias("end"), F.lit(False).alias("full"))
+
+    def body(window_: Column) -> Column:
+        def upto(acc: Column) -> Column:
+            end = F.when(acc["end"] >= 0, acc["end"]).otherwise(F.size(window_))
+            kept = F.transform(F.slice(window_, F.lit(1), end), lambda l: F.when(l["cur"] == "", "").otherwise(l["line"]))
+            return F.struct(F.array_join(kept, "\n").alias("body"),
+                            ((acc["full"] | (acc["end"] < 0)) & (at + 1 + end < F.size(lines))).alias("cut"))
+        return X.bind(F.aggregate(window_, zero, step), upto)
+
+    return X.bind(window, body)
+
+
+def slots_from(index: Column, sections: Column, vocab: Column, by_line: bool = True, most_lines: int = K.SLOT_LINES,
+               most_chars: int = K.SLOT_CHARS) -> Column:
+    """Eight (body, cut) in slot order, NULL where the report has no such part: the first section whose title holds a word of the
+    slot, else the text below the first short line with one."""
+    def fill(stop_words: Column) -> Column:
+        def one(kw: Column) -> Column:
+            titled = X.bind(_first_at(index["title_at"], kw), lambda at: F.when(at.isNotNull(), F.struct(
+                _section_body(F.get(sections, at)).alias("body"), F.lit(False).alias("cut"))))
+            if not by_line:
+                return titled
+            below = X.bind(_first_at(index["line_at"], kw), lambda at: F.when(
+                at.isNotNull(), _body_after(index["lines"], at, stop_words, most_lines, most_chars)))
+            return X.bind(titled, lambda t: F.when(t.isNotNull(), t).otherwise(below))
+        return F.transform(vocab, one)
+
+    # a stop word ends a body only in a short line, so those that no short line holds need not be asked for
+    there = F.transform(index["line_at"], lambda e: e["w"])
+    return X.bind(F.filter(F.flatten(vocab), lambda w: F.array_contains(there, w)), fill)
+
+
+def map_slots(reports: DataFrame, by_line: bool = True, most_lines: int = K.SLOT_LINES, most_chars: int = K.SLOT_CHARS) -> DataFrame:
+    """Add ``slots``, eight bodies in slot order (NULL where the report has no such part), and ``slots_cut``: ended by a limit."""
+    rows = once(reports, "_vocab", vocabulary(F.col("profile")))
+    rows = once(rows, "_index", keyword_index(F.col("raw_text"), F.col("sections"), F.array_distinct(F.flatten("_vocab"))))
+    return _with_slots(rows, F.col("_vocab"), by_line, most_lines, most_chars).drop("_vocab", "_index")
+
+
+def _with_slots(rows: DataFrame, vocab: Column, by_line: bool = True, most_lines: int = K.SLOT_LINES, most_chars: int = K.SLOT_CHARS) -> DataFrame:
+    rows = once(rows, "_slots", slots_from(F.col("_index"), F.col("sections"), vocab, by_line, most_lines, most_chars))
+    return rows.withColumns({"slots": F.transform("_slots", lambda s: s["body"]),
+                             "slots_cut": F.transform("_slots", lambda s: F.coalesce(s["cut"], F.lit(False)))}).drop("_slots")
 
 
 def slot_rows(mapped: DataFrame) -> DataFrame:
-    """(report_id, slot, body) for the slots found."""
-    named = F.zip_with(X.words(K.SECTION_SLOTS), F.col("slots"), lambda n, b: F.struct(n.alias("slot"), b.alias("body")))
+    """(report_id, slot, body, cut) for the slots found."""
+    named = F.zip_with(F.arrays_zip(X.words(K.SECTION_SLOTS).alias("slot"), F.col("slots").alias("body")), F.col("slots_cut"), lambda n, c: F.struct(
+        n["slot"].alias("slot"), n["body"].alias("body"), c.alias("cut")))
     return mapped.select("report_id", F.inline_outer(named)).where("body is not null")
 
 
@@ -291,7 +321,7 @@ def rule_check(reports: DataFrame) -> DataFrame:
 
 
 def profile_matrix(reports: DataFrame) -> DataFrame:
-    """(report_id, one total per profile, distinct_totals): does the discipline change the outcome?
+    """(report_id, one total per profile, distinct_totals, tied): does the discipline change the outcome, and which are equal?
 
     What no profile changes is scored once per report: precision, figures and references, and the table, step and unit rules
     of all profiles but the computing one. Each profile then adds its slots, structure and purpose on the same row, the
@@ -308,20 +338,27 @@ def profile_matrix(reports: DataFrame) -> DataFrame:
     fixed, varied, own = ["有效数字", "图表规范", "引用与格式"], ["步骤可复现性", "原始数据表", "单位与量纲"], ["结构与完整性", "实验目的"]
     every = sum(K.CHECK_ITEMS[name][0] for name in RULE_ITEMS)
     rows = reports.drop("profile").withColumns({"profile": F.lit(K.GENERAL), "slots": F.array().cast("array<string>")})
-    rows = once(rows, "_fixed", X.bind(X.lines_of(text), lambda ls: scores([check_digits(ls), check_figures(ls), check_references(text)])))
-    rows = once(rows, "_varied", X.bind(X.lines_of(text), lambda ls: scores([check_steps(text, ls), check_data(text, ls), check_units(text)])))
+    # one index of all words of all profiles; each profile only looks its own up
+    every_word = sorted({w for slots in K.PROFILE_KEYWORDS.values() for words in slots for w in words})
+    rows = once(rows, "_index", keyword_index(text, F.col("sections"), X.words(every_word)))
+    lines = F.col("_index")["lines"]                     # cut once for all rules of all profiles
+    rows = once(rows, "_fixed", scores([check_digits(lines), check_figures(lines), check_references(text)]))
+    rows = once(rows, "_varied", scores([check_steps(text, lines), check_data(text, lines), check_units(text)]))
     totals = []
     for i, profile in enumerate(K.PROFILES, 1):
-        rows = map_slots(rows.drop("slots").withColumn("profile", F.lit(profile)))
-        rows = once(rows, f"_own{i}", X.bind(X.lines_of(text), lambda ls: scores([check_structure(), check_purpose(ls)])))
+        rows = _with_slots(rows.drop("slots", "slots_cut").withColumn("profile", F.lit(profile)), vocabulary(F.lit(profile)))
+        rows = once(rows, f"_own{i}", scores([check_structure(), check_purpose(lines)]))
         varied_here = "_varied"
         if profile == K.COMPUTING:
             varied_here = "_computing"
-            rows = once(rows, varied_here, X.bind(X.lines_of(text), lambda ls: scores([check_steps(text, ls), check_data(text, ls), check_units(text)])))
+            rows = once(rows, varied_here, scores([check_steps(text, lines), check_data(text, lines), check_units(text)]))
         top = weighted(own, f"_own{i}") + weighted(varied, varied_here) + weighted(fixed, "_fixed")
         totals.append(F.when(blank, 0.0).otherwise(F.round(ratio(top, F.lit(every)), 1)).alias(f"p{i}"))
     each = rows.select("report_id", *totals)
-    return each.withColumn("distinct_totals", F.size(F.array_distinct(F.array(*[f"p{i}" for i in range(1, len(K.PROFILES) + 1)]))).cast("long"))
+    scored = F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"p{i}").alias("total")) for i, name in enumerate(K.PROFILES, 1)])
+    distinct = F.array_distinct(F.array(*[f"p{i}" for i in range(1, len(K.PROFILES) + 1)]))
+    tied = F.filter(F.transform(distinct, lambda t: F.transform(F.filter(scored, lambda p: p["total"] == t), lambda p: p["name"])), lambda g: F.size(g) > 1)
+    return each.withColumns({"distinct_totals": F.size(distinct).cast("long"), "tied": tied})
 
 
 # ---- model items, totals, comparisons ----------------------------------------------

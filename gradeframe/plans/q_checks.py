@@ -74,7 +74,7 @@ def k1(t):
 
 @query("k2_map_slots", MAPPED + "SELECT report_id, slot, body FROM slots")
 def k2(t):
-    return C.slot_rows(_mapped(t))
+    return C.slot_rows(_mapped(t)).drop("cut")
 
 
 _AND = f"PARTITION BY c.report_id, c.slot ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND"
@@ -106,7 +106,7 @@ every_slot AS (
 
 @query("k3_map_slots_by_line", BY_LINE + "SELECT report_id, slot, body FROM every_slot")
 def k3(t):
-    return C.slot_rows(C.map_slots(t.lab))
+    return C.slot_rows(C.map_slots(t.lab)).drop("cut")
 
 
 @query("k4_check_structure", MAPPED + """
@@ -376,11 +376,15 @@ totals AS (
     + {WEIGHT['单位与量纲']} * CASE WHEN u_ >= 5 THEN 100 WHEN u_ >= 1 THEN 60 ELSE 20 END
     + {WEIGHT['图表规范']} * CASE WHEN figures > 0 AND bare = 0 THEN 100 WHEN figures > 0 THEN 50 ELSE 0 END
     + {WEIGHT['引用与格式']} * CASE WHEN refs >= 3 OR (refs >= 1 AND cites > 0) THEN 100 WHEN refs > 0 OR cites > 0 THEN 60 ELSE 0 END
-  ) / {sum(WEIGHT[i] for i in C.RULE_ITEMS)}::DOUBLE, 1) AS total FROM mm)
-SELECT report_id, """ + ", ".join(f"max(total) FILTER (no = {i}) AS p{i}" for i in range(1, len(K.PROFILES) + 1)) + """,
-       count(DISTINCT total) AS distinct_totals FROM totals GROUP BY report_id""")
+  ) / {sum(WEIGHT[i] for i in C.RULE_ITEMS)}::DOUBLE, 1) AS total FROM mm),
+ties AS (
+  SELECT report_id, string_agg({list(K.PROFILES)!r}[no], '=' ORDER BY no) AS g, min(no) AS m FROM totals GROUP BY report_id, total HAVING count(*) > 1),
+tied_names AS (SELECT report_id, string_agg(g, '|' ORDER BY m) AS tied FROM ties GROUP BY report_id)
+SELECT report_id, coalesce(any_value(tied), '') AS tied, """ + ", ".join(f"max(total) FILTER (no = {i}) AS p{i}" for i in range(1, len(K.PROFILES) + 1)) + """,
+       count(DISTINCT total) AS distinct_totals FROM totals LEFT JOIN tied_names USING (report_id) GROUP BY report_id""")
 def k20(t):
-    return C.profile_matrix(t.lab.select("report_id", "raw_text", "sections"))
+    out = C.profile_matrix(t.lab.select("report_id", "raw_text", "sections"))
+    return out.withColumn("tied", F.array_join(F.transform("tied", lambda g: F.array_join(g, "=")), "|"))
 
 
 # ---- history -----------------------------------------------------------------------

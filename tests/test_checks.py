@@ -180,3 +180,22 @@ def test_page_text(spark):
     assert got.index("第 1 页 OCR 转录\n\n（本页无可转录文字）") < got.index("第 2 页 OCR 转录\n\n程序运行结果如下。\n[表格] 输出：Hello\n（转录说明：模糊）")
     stats = O.page_stats(pages).first()
     assert (stats.pages_read, stats.cached_hits, stats.images, stats.failed) == (2, 1, 1, 1)
+
+
+def test_cut_bodies_are_marked_and_limits_are_parameters(spark):
+    long = "实验结论\n" + "\n".join(f"this line number {i} goes on for more than thirty characters" for i in range(60))
+    df = lab(spark, long)
+    got = {r.slot: r for r in C.slot_rows(C.map_slots(df)).collect()}
+    assert got["结论与讨论"].cut and got["结论与讨论"].body.count("\n") < 45
+    whole = {r.slot: r for r in C.slot_rows(C.map_slots(df, most_lines=100, most_chars=10 ** 6)).collect()}
+    assert not whole["结论与讨论"].cut and whole["结论与讨论"].body.count("\n") == 59
+    short = {r.slot: r for r in C.slot_rows(C.map_slots(lab(spark, "实验结论\nwell, it worked as we had hoped it would do\n"))).collect()}
+    assert not short["结论与讨论"].cut
+
+
+def test_tied_profiles_are_named(spark):
+    row = C.profile_matrix(lab(spark, "nothing in here").drop("profile")).first()
+    assert row.distinct_totals >= 1 and sum(len(g) for g in row.tied) <= len(K.PROFILES)
+    totals = [row[f"p{i}"] for i in range(1, len(K.PROFILES) + 1)]
+    want = [[n for n, t in zip(K.PROFILES, totals) if t == x] for x in dict.fromkeys(totals)]
+    assert row.tied == [g for g in want if len(g) > 1]
