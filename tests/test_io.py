@@ -177,3 +177,9 @@ def test_every_stored_result_is_taken_or_listed(spark, tmp_path):
     got = {r.report_id for r in readers.read_preset_results(spark, str(tmp_path), one_per_line=True).collect()}
     rejected = {r.value: r.reason for r in readers.rejected_presets(spark, str(tmp_path), one_per_line=True).collect()}
     assert got == {"a", "b"} and rejected == {lines[2]: "no_judgements", "{": "unreadable", "no": "unreadable", lines[5]: "no_judgements"}
+
+
+def test_a_nul_byte_anywhere_keeps_a_text_out(spark):
+    rows = [("a.txt", 9000, bytearray(b"x" * 8000 + b"\x00" + b"y")), ("b.txt", 5, bytearray(b"plain")), ("c.md", 0, bytearray(b"")), ("d.pdf", 9, bytearray(b"%PDF-1\x00"))]
+    got = {r.path: r.admitted for r in readers.admit_files(spark.createDataFrame(rows, "path string, length long, content binary")).collect()}
+    assert got == {"a.txt": False, "b.txt": True, "c.md": True, "d.pdf": True}
