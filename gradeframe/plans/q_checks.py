@@ -14,7 +14,7 @@ from ..operators import sections as S
 from ..operators import transcripts as O
 from .catalog import query
 from .fixtures import CHECKS, DETAILS, FIRST, HISTORY, ITEM_MAX, LAB, canonical_cte, with_
-from .q_text import LINES, SECTIONS, WS
+from .q_text import LINES, SECTIONS, WS, located
 
 NW = r"[^\p{L}\p{N}_]"
 
@@ -551,7 +551,15 @@ def o4(t):
     return O.enrich_reports(t.reports, O.normalize_pages(t.pages)).select("report_id", "raw_text", "added_chars")
 
 
-@query("o4_enriched_sections")
+ENRICHED = f"""enriched AS (
+  SELECT doc_id, CASE WHEN transcript IS NULL THEN d.text ELSE rtrim(d.text, {WS}) || chr(10) || chr(10) || transcript END AS text
+  FROM documents d LEFT JOIN transcripts t ON t.report_id = d.doc_id)"""
+WHOLE = "enriched_raw AS (SELECT doc_id AS report_id, text AS raw FROM enriched)"
+
+
+@query("o4_enriched_sections", with_(PAGES, ENRICHED, LINES.replace("FROM documents)", "FROM enriched)"), SECTIONS, WHOLE, located("sections", "enriched_raw", "raw")).replace(
+    "WITH ", "WITH RECURSIVE ", 1) + """
+SELECT s.report_id, s.section_ord, section_id, title, level, a AS char_start, a + n AS char_end FROM sections s JOIN loc USING (report_id, section_ord)""")
 def o4b(t):
     return S.split_sections(O.enrich_reports(t.reports, O.normalize_pages(t.pages))).drop("text")
 
