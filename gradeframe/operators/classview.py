@@ -148,10 +148,11 @@ def student_rows(details: DataFrame, results: DataFrame) -> DataFrame:
     weak = F.col("verdict").isin(*K.WEAK_VERDICTS)
     score, top = F.coalesce("score", F.lit(0)), F.col("max_score")
     share = F.try_divide(score.cast("double"), F.greatest(F.coalesce(top, F.lit(1)).cast("double"), F.lit(1e-9)))
-    weakest = F.min(F.when(weak, F.struct(
+    # a report's weak judgements are rubric items at most: a short list costs less than an aggregate that sorts all details
+    weakest = F.array_min(F.collect_list(F.when(weak, F.struct(
         share.alias("share"), F.col("pos").alias("pos"),
         F.coalesce("item_name", "item_id").alias("name"),
-        (F.coalesce(top, F.lit(0)) - score).cast("double").alias("gap"))))
+        (F.coalesce(top, F.lit(0)) - score).cast("double").alias("gap")))))
     per_report = judged.groupBy("class_id", "report_id").agg(
         F.count_if("needs_review").alias("needs_review"), F.count_if(F.col("verdict") == "miss").alias("miss_count"),
         weakest.alias("weakest"))
@@ -175,52 +176,79 @@ def rank_weak_items(stats: DataFrame) -> DataFrame:
     return stats.where(F.col("counted") > 0).withColumn("weak_rank", F.row_number().over(order))
 
 
-def _action(rule_ord: int, kind: str, **values: Column) -> list[Column]:
-    """One shape for all four rules; figures a rule does not use stay NULL."""
+def _action(rule_ord: int, kind: str, condition: Column, **values: Column) -> Column:
+    """One shape for all four rules, NULL where the rule finds nothing; figures a rule does not use stay NULL."""
     shape = {"item_id": "string", "item_name": "string", "sort_key": "double", "item_ord": "int",
              "counted": "bigint", "hit": "bigint", "weak": "bigint", "miss": "bigint", "weak_ratio": "double",
              "miss_ratio": "double", "avg_score": "double", "max_score": "double", "pending": "bigint"}
-    return [F.col("class_id"), F.lit(rule_ord).alias("rule_ord"), F.lit(kind).alias("type")] + [
-        values.get(c, F.lit(None)).cast(t).alias(c) for c, t in shape.items()]
+    return F.when(condition, F.struct(F.lit(rule_ord).alias("rule_ord"), F.lit(kind).alias("type"), *[
+        values.get(c, F.lit(None)).cast(t).alias(c) for c, t in shape.items()]))
 
 
 def _cols(*names: str) -> dict[str, Column]:
     return {n: F.col(n) for n in names}
 
 
+def _teaching() -> Column:
+    return _action(1, "teaching", (F.col("counted") > 0) & (F.col("weak_ratio") >= K.WEAK_RATIO_ALERT), sort_key=-F.col("weak_ratio"), **_cols(
+        "item_id", "item_name", "item_ord", "counted", "weak", "miss", "weak_ratio", "avg_score", "max_score"))
+
+
+def _brief() -> Column:
+    return _action(2, "brief", (F.col("counted") > 0) & (F.col("miss_ratio") >= K.WEAK_RATIO_ALERT), **_cols(
+        "item_id", "item_name", "item_ord", "counted", "miss", "miss_ratio"))
+
+
+def _rubric() -> Column:
+    enough = F.greatest(F.lit(3), F.floor(F.col("n_scored") / 2))
+    everyone = (F.col("counted") > 0) & (F.col("hit") == F.col("counted")) & (F.col("counted") >= enough)
+    return _action(3, "rubric", everyone, **_cols("item_id", "item_name", "item_ord", "counted", "hit"))
+
+
+def _review() -> Column:
+    return _action(4, "review", F.col("needs_review_total") > 0, pending=F.col("needs_review_total"))
+
+
+def _found(df: DataFrame, *rules: Column) -> DataFrame:
+    """The actions that the rules find in each row, from one pass over ``df``."""
+    return df.select("class_id", F.inline(F.array_compact(F.array(*rules))))
+
+
 def actions_teaching(stats: DataFrame) -> DataFrame:
     """Items at least half of the class did not fully get, worst first."""
-    found = stats.where((F.col("counted") > 0) & (F.col("weak_ratio") >= K.WEAK_RATIO_ALERT))
-    return found.select(*_action(1, "teaching", sort_key=-F.col("weak_ratio"), **_cols(
-        "item_id", "item_name", "item_ord", "counted", "weak", "miss", "weak_ratio", "avg_score", "max_score")))
+    return _found(stats, _teaching())
 
 
 def actions_brief(stats: DataFrame) -> DataFrame:
     """Items at least half of the class left out entirely."""
-    found = stats.where((F.col("counted") > 0) & (F.col("miss_ratio") >= K.WEAK_RATIO_ALERT))
-    return found.select(*_action(2, "brief", **_cols(
-        "item_id", "item_name", "item_ord", "counted", "miss", "miss_ratio")))
+    return _found(stats, _brief())
 
 
 def actions_rubric(stats: DataFrame, totals: DataFrame) -> DataFrame:
     """Items everyone got in full: no power to tell reports apart."""
-    enough = F.greatest(F.lit(3), F.floor(F.col("n_scored") / 2))
-    found = stats.join(totals.select("class_id", "n_scored"), "class_id").where(
-        (F.col("counted") > 0) & (F.col("hit") == F.col("counted")) & (F.col("counted") >= enough))
-    return found.select(*_action(3, "rubric", **_cols("item_id", "item_name", "item_ord", "counted", "hit")))
+    return _found(stats.join(totals.select("class_id", "n_scored"), "class_id"), _rubric())
 
 
 def actions_review(totals: DataFrame) -> DataFrame:
     """Judgements still waiting for a human."""
-    return totals.where(F.col("needs_review_total") > 0).select(
-        *_action(4, "review", pending=F.col("needs_review_total")))
+    return _found(totals, _review())
 
 
 def class_actions(stats: DataFrame, totals: DataFrame) -> DataFrame:
-    """All four rules for classes with scored reports; order by (class_id, rule_ord, sort_key, item_ord)."""
-    found = (actions_teaching(stats).unionByName(actions_brief(stats))
-             .unionByName(actions_rubric(stats, totals)).unionByName(actions_review(totals)))
-    return found.join(totals.where(F.col("n_scored") > 0).select("class_id"), "class_id", "left_semi")
+    """All four rules for classes with scored reports; order by (class_id, rule_ord, sort_key, item_ord).
+
+    ``totals`` with ``needs_review_total`` says how many judgements wait; without that column they are summed from ``stats``,
+    which are then computed once for everything.
+    """
+    scored = totals.where(F.col("n_scored") > 0)
+    if "needs_review_total" in totals.columns:
+        rows = scored.select("class_id", "n_scored", "needs_review_total").join(stats, "class_id", "left")
+    else:
+        rows = scored.select("class_id", "n_scored").join(stats, "class_id", "left").withColumn(
+            "needs_review_total", F.sum("needs_review").over(Window.partitionBy("class_id")))
+    # the review action belongs to the class: the row of its first item carries it, or its only row where no item was judged
+    first = F.coalesce("item_ord", F.lit(1)) == 1
+    return _found(rows, _teaching(), _brief(), _rubric(), F.when(first, _review()))
 
 
 def class_notes(totals: DataFrame) -> DataFrame:
@@ -253,12 +281,13 @@ def exemplars(students: DataFrame, limit: int = K.EXEMPLAR_LIMIT) -> DataFrame:
 
 def attention_list(students: DataFrame, fallback: int = K.ATTENTION_FALLBACK) -> DataFrame:
     """Everyone below the pass mark, incomplete or awaiting review; for a class with none, the lowest few."""
-    needs = (F.coalesce(F.col("total") < K.PASS_SCORE, F.lit(False)) | F.col("incomplete")
-             | (F.col("needs_review") > 0))
-    flagged = students.where(needs)
-    lowest = top_k(students, ["class_id"], [F.asc_nulls_last("total"), F.asc("report_id")], fallback)
-    quiet = lowest.join(flagged.select("class_id").distinct(), "class_id", "left_anti")
-    return flagged.withColumn("flagged", F.lit(True)).unionByName(quiet.withColumn("flagged", F.lit(False)))
+    needs = F.coalesce(F.col("total") < K.PASS_SCORE, F.lit(False)) | F.coalesce("incomplete", F.lit(False)) | (
+        F.coalesce("needs_review", F.lit(0)) > 0)
+    # whoever is flagged comes first, so the first few of a class also tell whether it has any
+    few = top_k(students.withColumn("flagged", needs), ["class_id"], [F.desc("flagged"), F.asc_nulls_last("total"), F.asc("report_id")], fallback)
+    any_ = F.max("flagged").over(Window.partitionBy("class_id"))
+    quiet = few.withColumn("_any", any_).where(~F.col("_any")).drop("_any")
+    return students.withColumn("flagged", needs).where("flagged").unionByName(quiet)
 
 
 def build_cohort(stored: DataFrame, fresh: DataFrame, engine: str = "model",

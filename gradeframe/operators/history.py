@@ -4,10 +4,11 @@ history(sid, archive_key, name, saved_at, seq, entry_id, total, ...); ``sid`` is
 Stored partitioned by ``sid`` bucket it prunes to one visitor; every function also works on the whole table.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.numbering import scan_groups
 from ..functions.rows import first_row, top_k
 from .redact import safe_name
 
@@ -18,12 +19,12 @@ SID_SHAPE = "^[0-9a-f]{8,64}$"
 def append_history(entries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Entries ready to append: clean archive key, and a sequence number among entries of one instant.
 
-    Nothing is ever overwritten: numbers continue after those already stored for the same instant.
-    An instant of one archive holds the few saves of one millisecond, so the window stays tiny.
+    Nothing is ever overwritten: numbers continue after those already stored for the same instant. They follow ``entry_id``.
+    A bulk import may put any number of entries at one instant: its entries are numbered by many tasks.
     """
     keyed = entries.withColumn("archive_key", safe_name(F.col("name")))
     instant = ARCHIVE + ["saved_at"]
-    numbered = keyed.withColumn("seq", F.row_number().over(Window.partitionBy(*instant).orderBy("entry_id")))
+    numbered = scan_groups(keyed, instant, ["entry_id"], "seq").withColumn("seq", F.col("seq").cast("int"))
     if stored is None:
         return numbered
     taken = stored.groupBy(*instant).agg(F.max("seq").alias("_taken"))
@@ -48,21 +49,15 @@ def history_index(history: DataFrame) -> DataFrame:
         *ARCHIVE, F.coalesce("_last.name", "archive_key").alias("name"), F.col("_last.saved_at").alias("saved_at"), "entries")
 
 
-def trend(history: DataFrame, bucket: str = "hour") -> DataFrame:
-    """Every total with the change since the entry before it.
+def trend(history: DataFrame) -> DataFrame:
+    """Every total with the change since the entry before it; a missing total counts as 0.
 
-    Steps are taken inside time buckets; the first row of a bucket continues from the last row of the
-    bucket before. So no task ever sorts a whole archive, however large one archive is.
+    Steps are taken inside sorted ranges, and the last total of a range is carried into the next: neither an archive nor an
+    hour or instant of it is ever one task. Entries without a time come first.
     """
-    slot = ARCHIVE + ["_slot"]
-    rows = history.select(*ARCHIVE, "saved_at", "seq", F.coalesce("total", F.lit(0)).alias("total"),
-                          F.date_trunc(bucket, "saved_at").alias("_slot"))
-    ends = rows.groupBy(*slot).agg(F.max(F.struct("saved_at", "seq", "total"))["total"].alias("_end"))
-    carried = ends.select(*slot, F.lag("_end").over(Window.partitionBy(*ARCHIVE).orderBy("_slot")).alias("_carried"))
-    w = Window.partitionBy(*slot).orderBy("saved_at", "seq")
-    stepped = rows.withColumns({"_inside": F.lag("total").over(w), "_first": F.row_number().over(w) == 1})
-    before = F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_inside"))
-    return stepped.join(carried, slot).select(*ARCHIVE, "saved_at", "seq", "total", (F.col("total") - before).alias("step"))
+    rows = history.select(*ARCHIVE, "saved_at", "seq", F.coalesce("total", F.lit(0)).alias("total"))
+    return scan_groups(rows, ARCHIVE, ["saved_at", "seq"], previous={"_last": "total"}).select(
+        *ARCHIVE, "saved_at", "seq", "total", (F.col("total") - F.col("_last")).alias("step"))
 
 
 def trend_change(history: DataFrame) -> DataFrame:

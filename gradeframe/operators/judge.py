@@ -187,13 +187,14 @@ def export_rows(effective: DataFrame, rubric: DataFrame) -> DataFrame:
         (F.col("confidence") if "confidence" in effective.columns else F.lit(None)).cast("double").alias("confidence"),
         (F.coalesce("reason", F.lit("")) if "reason" in effective.columns else F.lit("")).alias("reason"),
         F.array_join("evidence", " | ").alias("evidence"))
-    totals = lines.groupBy("report_id").agg(
-        F.sum("ai_score").cast(SCORE).alias("ai_score"), F.sum("final_score").cast(SCORE).alias("final_score")).select(
-        "report_id", F.lit(0).alias("item_ord"), F.lit("total").alias("name"), F.lit("").alias("verdict"),
-        "ai_score", "final_score", F.lit(100).cast(SCORE).alias("top"), F.lit("").alias("needs_review"),
-        F.lit("").alias("system_error"), F.lit("").alias("override_reason"), F.lit(None).cast("double").alias("confidence"),
-        F.lit("").alias("reason"), F.lit("").alias("evidence"))
-    return lines.unionByName(totals)
+    # lines of a report are rubric items; gathered once, they give the total too
+    columns = [c for c in lines.columns if c != "report_id"]
+    gathered = lines.groupBy("report_id").agg(F.collect_list(F.struct(*columns)).alias("lines"), F.sum("ai_score").cast(SCORE).alias("ai"),
+                                              F.sum("final_score").cast(SCORE).alias("final"))
+    total = {"item_ord": F.lit(0), "name": F.lit("total"), "ai_score": F.col("ai"), "final_score": F.col("final"),
+             "top": F.lit(100).cast(SCORE), "confidence": F.lit(None).cast("double")}
+    return gathered.select("report_id", F.inline(F.concat("lines", F.array(F.struct(*[
+        total.get(c, F.lit("")).alias(c) for c in columns])))))
 
 
 # ---- the rule engine ---------------------------------------------------------------

@@ -258,10 +258,12 @@ def sorted_totals(results: DataFrame) -> DataFrame:
 
 def batch_matrix(judgements: DataFrame, item_ids: list[str], results: DataFrame,
                  gold: DataFrame | None = None, rubric_is_fixed: bool = True) -> DataFrame:
-    """Report rows with one score column per item, review count, total and, for the fixed rubric, the gold gap."""
+    """Report rows with the length of the report (``chars``, null where the results have none), one score column per item,
+    review count, total and, for the fixed rubric, the gold gap."""
     scores = [F.max(F.when(F.col("item_id") == i, F.col("score"))).alias(i) for i in item_ids]
     wide = judgements.groupBy("report_id").agg(F.count_if("needs_review").alias("needs_review"), *scores)
-    out = results.select("report_id", "total").join(wide, "report_id", "left")
+    chars = F.col("chars").cast("long") if "chars" in results.columns else F.lit(None).cast("long")
+    out = results.select("report_id", chars.alias("chars"), "total").join(wide, "report_id", "left")
     if gold is None:
         return out
     if not rubric_is_fixed:

@@ -6,7 +6,7 @@ that details and results of one report always fall into the same class.
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import CHECK_ITEMS, GENERAL, MISSING, PASSED, UNTESTED, WEAK
@@ -14,7 +14,7 @@ from ..functions import text as X
 from ..functions.numbers import SCORE
 from ..functions.rows import first_row, literal_table, once
 from ..functions.text import words
-from ..operators.history import append_history
+from ..operators.redact import safe_name
 from ..operators.rubric import RUBRIC_SCHEMA
 from ..operators.sections import parse_reports
 from ..operators.transcripts import IMAGES
@@ -218,15 +218,20 @@ class Tables:
             F.when(n % 3 == 0, "unknown").otherwise(PASSED).alias("status"), F.array_repeat(issue, (n % 6).cast("int")).alias("issues"))
 
     @cached_property
-    def history(self) -> DataFrame:
+    def entries(self) -> DataFrame:
         """A visitor's space per ten users, an archive per user; times cut to the hour so that instants repeat."""
         user = F.col("user_id")
         sid = F.when(user % 30 == 7, "NOT-HEX!").otherwise(F.lpad(F.hex((user / 10).cast("int")), 8, "0"))
-        base = self.raw("events").select(
+        return self.raw("events").select(
             F.lower(sid).alias("sid"), F.concat(F.lit("report "), user.cast("string")).alias("name"),
             F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("saved_at"), F.col("event_id").alias("entry_id"),
             F.least(F.lit(100), F.floor(F.col("value"))).cast("bigint").alias("total"))
-        return append_history(base)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        """The entries as stored, numbered inside each instant."""
+        instant = Window.partitionBy("sid", "name", "saved_at").orderBy("entry_id")
+        return self.entries.select("*", safe_name(F.col("name")).alias("archive_key"), F.row_number().over(instant).alias("seq"))
 
     # ---- page transcripts (conversations) -------------------------------------------
     @cached_property
@@ -249,6 +254,12 @@ class Tables:
                 for course in COURSES for i, (item, s) in enumerate(SIGNALS.items())]
         return literal_table(self.spark, RUBRIC_SCHEMA, rows)
 
+    @cached_property
+    def varied_rubric(self) -> DataFrame:
+        """The rubrics of the courses with other maxima each: five points more from course to course."""
+        step = F.array_position(words(COURSES), F.col("rubric_id")) - 1
+        return self.rubric.withColumn("max_score", F.col("max_score") + 5 * step)
+
     @cached_property
     def one_rubric(self) -> DataFrame:
         """The five items of one course, for judgements that carry no rubric_id."""

@@ -400,7 +400,7 @@ def _stamped(df, *names):
 @query("h1_append_history", HIST + f"""
 SELECT sid, archive_key, {STAMP.format('saved_at')} AS saved_at, seq, entry_id FROM history""")
 def h1(t):
-    return _stamped(t.history, "saved_at").select("sid", "archive_key", "saved_at", "seq", "entry_id")
+    return _stamped(H.append_history(t.entries), "saved_at").select("sid", "archive_key", "saved_at", "seq", "entry_id")
 
 
 @query("h2_load_history", HIST + f"""
@@ -420,7 +420,7 @@ def h3(t):
 SELECT sid, archive_key, {STAMP.format('saved_at')} AS saved_at, seq, total,
        coalesce(total - lag(total) OVER (PARTITION BY sid, archive_key ORDER BY saved_at, seq), -999) AS step FROM history""")
 def h4(t):
-    return _stamped(H.trend(t.history, "day"), "saved_at").withColumn("step", F.coalesce("step", F.lit(-999)))
+    return _stamped(H.trend(t.history), "saved_at").withColumn("step", F.coalesce("step", F.lit(-999)))
 
 
 @query("h4_trend_change", HIST + """

@@ -223,7 +223,7 @@ def c16(t):
 SELECT a.* FROM actions a JOIN totals USING (class_id) WHERE n_scored > 0""")
 def c17(t):
     stats = C.class_item_stats(_small(t.details))
-    totals = C.class_totals(_small(t.results), stats)
+    totals = C.class_totals(_small(t.results))
     figure = (F.when(F.col("rule_ord") == 1, F.col("weak")).when(F.col("rule_ord") == 2, F.col("miss"))
               .when(F.col("rule_ord") == 3, F.col("hit")).otherwise(F.col("pending")))
     return C.class_actions(stats, totals).select(

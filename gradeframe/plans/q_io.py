@@ -11,6 +11,7 @@ from ..sources import readers, sinks
 from ..streaming import intake
 from .catalog import query
 from .fixtures import DETAILS, FIRST, HISTORY, RESULTS, TEXTS, with_
+from .q_classview import ITEMS, REVIEWS, STATS, TOTALS
 from .q_text import EMAIL
 
 
@@ -190,8 +191,13 @@ def s8b(t):
     return t.spark.read.schema("report_id bigint, note string").option("header", True).option("escape", '"').csv(path)
 
 
-@query("s9_export_class_json", with_(DETAILS, RESULTS) + """
-SELECT class_id, 'student' AS part, count(*) AS lines FROM results GROUP BY class_id
+@query("s9_export_class_json", with_(DETAILS, FIRST, ITEMS, STATS, RESULTS, TOTALS, REVIEWS) + """
+, actions AS (
+  SELECT class_id, count(*) FILTER (weak_ratio >= 0.5) + count(*) FILTER (miss_ratio >= 0.5)
+           + count(*) FILTER (hit = counted AND counted >= greatest(3, n_scored // 2)) + any_value(CAST(needs_review_total > 0 AS INTEGER)) AS n
+  FROM stats JOIN full_totals USING (class_id) WHERE n_scored > 0 GROUP BY class_id)
+SELECT class_id, 'action' AS part, CAST(n AS BIGINT) AS lines FROM actions WHERE n > 0
+UNION ALL SELECT class_id, 'student' AS part, count(*) AS lines FROM results GROUP BY class_id
 UNION ALL SELECT class_id, 'item', count(DISTINCT item_id) FROM details GROUP BY class_id
 UNION ALL SELECT DISTINCT class_id, 'aggregate', 1 FROM results""")
 def s9(t):
@@ -201,7 +207,7 @@ def s9(t):
     path = scratch(t.spark, "class-json")
     sinks.write_class_json(lines, path)
     back = t.spark.read.schema("class_id string, part string").json(path)
-    return back.where("part <> 'action'").groupBy("class_id", "part").agg(F.count("*").alias("lines"))
+    return back.groupBy("class_id", "part").agg(F.count("*").alias("lines"))
 
 
 @query("s10_admit_files", r"""

@@ -11,7 +11,7 @@ from ..functions.rows import literal_table
 from ..operators import sections as S
 from ..sources import tables
 from .catalog import query
-from .fixtures import (ATTEMPTS, DETAILS, FIRST, ITEM_MAX, OVERRIDES, RESOLVED, RESULTS, SIGNALS, TEXTS, VERIFIED,
+from .fixtures import (ATTEMPTS, COURSES, DETAILS, FIRST, ITEM_MAX, OVERRIDES, RESOLVED, RESULTS, SIGNALS, TEXTS, VERIFIED,
                        with_)
 
 RESOLVE = with_(TEXTS, ATTEMPTS, VERIFIED, RESOLVED)
@@ -67,6 +67,11 @@ def _limits(t):
     return literal_table(t.spark, "item_id string, ord int, name string, max_score double", rows)
 
 
+def _course(df):
+    """Reports dealt to the courses, whose rubrics have other maxima each."""
+    return df.withColumn("rubric_id", X.words(COURSES)[F.pmod("report_id", F.lit(len(COURSES))).cast("int")])
+
+
 def _rule(t):
     return J.rule_judge(t.texts, t.rubric)
 
@@ -80,7 +85,7 @@ def _joined(df, *names):
 
 
 @query("j2_normalize_judgements", with_(DETAILS, """raw AS (
-  SELECT report_id, item_id, pos, CASE WHEN item_id > 'r5' THEN 10000 ELSE max_c END AS max_c,
+  SELECT report_id, item_id, pos, CASE WHEN item_id > 'r5' THEN 10000 ELSE max_c + 500 * (report_id % 4) END AS max_c,
          CASE WHEN pos % 11 = 0 THEN 'unsure' ELSE verdict END AS verdict,
          CASE WHEN pos % 13 = 0 THEN NULL ELSE score_c * (CASE WHEN pos % 7 = 0 THEN 9 ELSE 1 END) END AS score_c,
          CASE WHEN pos % 17 = 0 THEN NULL WHEN pos % 5 = 0 THEN 500 ELSE conf_c END AS conf_c
@@ -104,14 +109,14 @@ SELECT report_id, item_id, pos, v AS verdict, s / 100.0 AS score,
 FROM banded""")
 def j2(t):
     pos = F.col("pos")
-    raw = t.details.select(
-        "report_id", "item_id", "pos",
+    raw = _course(t.details).select(
+        "report_id", "rubric_id", "item_id", "pos",
         F.when(pos % 11 == 0, "unsure").otherwise(F.col("verdict")).alias("verdict"),
         F.when(pos % 13 == 0, "n/a").otherwise(
             (F.col("score") * F.when(pos % 7 == 0, 9).otherwise(1)).cast("string")).alias("score"),
         F.when(pos % 17 == 0, "high").when(pos % 5 == 0, "5").otherwise(F.col("confidence").cast("string")).alias("confidence"),
         F.array().cast("array<string>").alias("evidence"))
-    out = J.normalize_judgements(raw, t.one_rubric)
+    out = J.normalize_judgements(raw, t.varied_rubric)
     return _joined(_doubles(out, "score"), "notes").select(
         "report_id", "item_id", "pos", "verdict", "score", "confidence", "needs_review", "notes")
 
@@ -339,14 +344,14 @@ def j18b(t):
 @query("j19_audit_results", with_(DETAILS, FIRST, RESULTS, """sums AS (
   SELECT report_id, sum(score_c) AS s FROM firsts GROUP BY report_id)""") + """
 SELECT report_id, item_id, 'unknown_item' AS problem FROM firsts WHERE item_id > 'r5'
-UNION ALL SELECT report_id, item_id, 'over_maximum' FROM firsts WHERE item_id <= 'r5' AND score_c > 1500 + 1
+UNION ALL SELECT report_id, item_id, 'over_maximum' FROM firsts WHERE item_id <= 'r5' AND score_c > 500 * (report_id % 4) + 1000 + 1
 UNION ALL SELECT r.report_id, '', 'total_is_not_sum' FROM results r LEFT JOIN sums USING (report_id)
           WHERE abs(10 * total_d - coalesce(s, 0)) > 5
 UNION ALL SELECT f.report_id, item_id, 'rule_row_not_flagged' FROM firsts f JOIN results r USING (report_id)
           WHERE NOT needs_review AND engine = 'rule'""")
 def j19(t):
-    rubric = t.one_rubric.withColumn("max_score", F.lit(15.0))
-    return J.audit_results(t.results, _first(t).drop("max_score"), rubric)
+    first_item = t.varied_rubric.withColumn("max_score", F.col("max_score") - F.element_at(F.array(*map(F.lit, ITEM_MAX)), F.col("ord")) + 10)
+    return J.audit_results(t.results, _course(_first(t)).drop("max_score"), first_item)
 
 
 @query("j19_audit_quotes", OFFLINE + """

@@ -249,7 +249,7 @@ def m13b(t):
 
 
 @query("m14_batch_matrix", with_(DETAILS, FIRST, RESULTS, GOLD) + """
-SELECT r.report_id, coalesce(total_d / 10.0, -1) AS total, coalesce(nr, -1) AS needs_review,
+SELECT r.report_id, length(name) AS chars, coalesce(total_d / 10.0, -1) AS total, coalesce(nr, -1) AS needs_review,
        """ + ", ".join(f"coalesce(r{k} / 100.0, -1) AS r{k}" for k in range(1, 8)) + """,
        coalesce(CAST(gold AS DOUBLE), -1) AS gold, coalesce((total_d - 10 * gold) / 10.0, -999) AS diff
 FROM results r LEFT JOIN (
@@ -258,8 +258,8 @@ FROM results r LEFT JOIN (
   FROM firsts GROUP BY report_id) w USING (report_id) LEFT JOIN gold USING (report_id)""")
 def m14(t):
     items = [f"r{k}" for k in range(1, len(ITEM_MAX) + 1)]
-    out = _doubles(M.batch_matrix(_first(t), items, t.results, t.gold_totals), "total", "gold", "diff", *items)
-    return out.select("report_id", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("total", "gold", *items)],
+    out = _doubles(M.batch_matrix(_first(t), items, t.results.withColumn("chars", F.length("name")), t.gold_totals), "total", "gold", "diff", *items)
+    return out.select("report_id", "chars", *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("total", "gold", *items)],
                       F.coalesce("needs_review", F.lit(-1)).alias("needs_review"),
                       F.coalesce("diff", F.lit(-999.0)).alias("diff"))
 

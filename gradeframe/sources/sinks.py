@@ -79,7 +79,9 @@ def export_class_json(totals: DataFrame, stats: DataFrame, actions: DataFrame, s
 
 
 def write_class_json(lines: DataFrame, path: str) -> None:
-    lines.select("class_id", "line").write.mode("errorifexists").partitionBy("class_id").text(path)
+    """One folder per class. Lines are rebalanced by class first: a class is one file, or one per advisory partition size if it
+    is larger, however many tasks made its lines."""
+    lines.hint("rebalance", "class_id").select("class_id", "line").write.mode("errorifexists").partitionBy("class_id").text(path)
 
 
 def export_bundle(history: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradeframe.operators import classview as C
 from gradeframe.operators import metrics as M
+from gradeframe.sources import sinks
 
 MAX = {"r1": 15, "r2": 20, "r3": 25, "r4": 20, "r5": 20}
 DETAIL = ("class_id string, report_id string, pos int, item_id string, item_name string, verdict string, score decimal(9,2), "
@@ -119,3 +121,35 @@ def test_items_in_the_order_of_the_batch(spark):
     assert [r.item_id for r in by_id] == ["i3", "i2", "i0", "i1"] and by_id[1].item_name == "Renamed"
     for out in (C.class_items(df), C.class_item_stats(df)):
         assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_actions_with_and_without_given_review_counts(spark):
+    rows = [("a", "r1", "hit", 15, "", True), ("b", "r1", "hit", 15), ("c", "r1", "hit", 15), ("a", "r2", "miss", 0), ("b", "r2", "miss", 0), ("c", "r2", "hit", 20)]
+    stats, res = C.class_item_stats(details(spark, rows)), results(spark, {"a": 40, "b": 50, "c": 90})
+    want = {("teaching", "r2", None), ("brief", "r2", None), ("rubric", "r1", None), ("review", None, 1)}
+    for totals in (C.class_totals(res), C.class_totals(res, stats)):
+        got = C.class_actions(stats, totals).collect()
+        assert {(r.type, r.item_id, r.pending) for r in got} == want and len(got) == 4
+    none = C.class_actions(stats, C.class_totals(results(spark, {"a": 40}, a=True)))
+    assert none.count() == 0
+    # a class without judged items still has its pending reviews listed once
+    alone = C.class_totals(res).withColumn("needs_review_total", F.lit(7))
+    assert [(r.type, r.pending) for r in C.class_actions(stats.limit(0), alone).collect()] == [("review", 7)]
+
+
+def test_class_export_writes_few_files_per_class(spark, tmp_path):
+    many = spark.range(4000, numPartitions=16).select(
+        F.format_string("c%d", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20)).alias("class_id"), F.lit("line").alias("line"))
+    lines = many.unionByName(many).unionByName(many)
+    sinks.write_class_json(lines, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"))
+    files = back.select("class_id", F.input_file_name().alias("f")).distinct().groupBy("class_id").count().collect()
+    assert back.count() == 12000 and len(files) == 20 and max(r["count"] for r in files) <= 2
+
+
+def test_matrix_has_the_length_of_reports(spark):
+    judged = details(spark, [("a", "r1", "hit", 15), ("b", "r1", "miss", 0)])
+    res = results(spark, {"a": 15, "b": 0})
+    got = {r.report_id: (r.chars, r.r1) for r in M.batch_matrix(judged, ["r1"], res.withColumn("chars", F.lit(123))).collect()}
+    assert got == {"a": (123, 15), "b": (123, 0)}
+    assert {r.chars for r in M.batch_matrix(judged, ["r1"], res).collect()} == {None}

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gradeframe.functions.numbering import running_ids
+from gradeframe.functions.numbering import running_ids, scan_groups
+from gradeframe.operators import history as H
 from gradeframe.operators import redact as R
 
 
@@ -61,3 +62,35 @@ def test_record_of_an_anonymised_corpus(spark):
     assert rejected == [("c", "c", 13, "too_short"), ("d", "d.md", 0, "too_short")]
     named = spark.createDataFrame([(7, "seven", "short")], "report_id long, name string, raw_text string")
     assert R.rejected_reports(named).first().original == "seven"
+
+
+def test_groups_are_scanned_across_ranges(spark, many_ranges):
+    rng = random.Random(3)
+    rows = [("hot", i, rng.randrange(9)) for i in range(3000)] + [(f"k{i % 40}", i, i) for i in range(300)] + [(None, i, i) for i in range(5)] + [("one", 1, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, n int, v int").repartition(5)
+    got = sorted(((r.k or "", r.n, r.v, r.i, r.before) for r in scan_groups(df, ["k"], ["n"], "i", {"before": "v"}).collect()))
+    want, last = [], {}
+    for k, n, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        i, before = last.get(k, (0, None))
+        want.append((k or "", n, v, i + 1, before))
+        last[k] = (i + 1, v)
+    assert got == want
+    assert scan_groups(df.limit(0), ["k"], ["n"], "i", {"before": "v"}).count() == 0
+
+
+def test_one_instant_of_one_archive_is_many_tasks(spark, many_ranges):
+    """A bulk import at one instant is numbered, and its trend taken, without a task that holds it all."""
+    n = 40_000
+    entries = spark.range(n, numPartitions=6).select(
+        F.lit("aaaaaaaa").alias("sid"), F.lit("r").alias("name"), F.timestamp_seconds(F.lit(0)).alias("saved_at"),
+        (n - F.col("id")).alias("entry_id"), (F.col("id") % 101).alias("total"))
+    stored = H.append_history(entries)
+    assert stored.agg(F.min("seq"), F.max("seq"), F.count_distinct("seq"), F.count_if(F.col("seq") != F.col("entry_id"))).first()[:] == (1, n, n, 0)
+    steps = H.trend(stored)
+    sizes = [r["count"] for r in stored.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < n / 2
+    first = steps.where("seq = 1").first()
+    assert first.step is None
+    wrong = steps.where("seq > 1").where("total - step <> pmod(total + 1, 101)")
+    assert steps.count() == n and wrong.count() == 0 and steps.where("step IS NULL").count() == 1
