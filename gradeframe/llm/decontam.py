@@ -3,10 +3,12 @@
 An item is contained in a document if the document has at least ``threshold`` of the item's distinct shingles of five words
 (lower case, words parted by ASCII white space). MinHash estimates of Jaccard similarity are blind here, as a document may
 have a thousand times an item's shingles; so items are partitioned by size, and each keeps a bottom-k MinHash sketch whose
-length fits its partition: with at most u shingles, k = floor((1 - threshold) u) + 1 least hashes. A document that lacks at
-most (1 - threshold) of an item's shingles has one of those k, so looking up the documents' shingles in the sketches finds
-every contained item; candidates are then verified by counting shared shingles exactly. Documents need no sketch, no hash
-functions and no windows, and nothing is shuffled but hits.
+length fits its partition: with at most u shingles, k = floor((1 - threshold) u) + 1 of them, those that the fewest items
+have first and the least hashes among these. A document that lacks at most (1 - threshold) of an item's shingles has one of
+any k, so looking up the documents' shingles in the sketches finds every contained item. Rare ones first keep the wording
+that many items share out of the sketches, so it makes no candidates unless it is most of an item. Each candidate pair is then
+verified by itself: the item's shingles meet that document's, and shared ones are counted exactly. Documents need no sketch,
+no hash functions and no windows, and nothing is shuffled but hits and the shingles of candidates that some item has.
 
 All steps are DataFrame functions. Edge cases: null texts and texts without words contain nothing and are contained in
 nothing; a text of fewer than five words is one shingle of all its words, so a shorter item is found only as a whole text;
@@ -51,7 +53,9 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     most = F.pow(F.lit(2.0), F.ceil(F.log2("size")))
     k = F.least(F.floor((1 - threshold) * most + 1e-9).cast("int") + 1, F.col("size"))
     all_, _ = staged(own.select("item", "item_id", "size", F.explode("hs").alias("h")), "items")
-    least, _ = staged(own.select("item", F.explode(F.slice("hs", F.lit(1), k)).alias("h")), "item-sketches")
+    having = all_.groupBy("h").agg(F.count("*").alias("having"))
+    ranked = all_.join(having, "h").groupBy("item", "size").agg(F.array_sort(F.collect_list(F.struct("having", "h"))).alias("rare"))
+    least, _ = staged(ranked.select("item", F.explode(F.slice("rare", F.lit(1), k)["h"]).alias("h")), "item-sketches")
     return all_, least
 
 
@@ -59,16 +63,16 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     """One row per document and item that it contains: doc_id, item_id, n_shared, n_shingles (of the item), and ``row``, the key of
     the document row (hash of id and text)."""
     all_, least = sketches(items, threshold)
-    bound = least.agg(F.max("h")).first()[0]
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
-    # search: only hashes up to the largest one in any sketch can hit
-    probes = keyed.select("row", F.explode(shingles_of(F.col("text"))).alias("h")).where(F.col("h") <= F.lit(bound).cast("long"))
+    probes = keyed.select("row", F.explode(F.array_distinct(shingles_of(F.col("text")))).alias("h"))
     found, _ = staged(probes.join(least, "h").select("row", "item").distinct(), "leak-candidates")
-    # verification: all distinct shingles of the candidates' texts against all shingles of their items
-    texts = keyed.join(found.select("row").distinct(), "row")
-    had = texts.select("row", "doc_id", F.explode(F.array_distinct(shingles_of(F.col("text")))).alias("h")).join(all_, "h").distinct()
-    shared = had.groupBy("row", "doc_id", "item", "item_id", "size").agg(F.count("*").alias("n_shared"))
-    return shared.where(F.col("n_shared") >= threshold * F.col("size") - 1e-9).join(found, ["row", "item"], "left_semi").select(
+    # verification: the shingles of a candidate's item against those of its own document, pair by pair
+    texts = keyed.join(found.select("row").distinct(), "row", "left_semi")
+    had = texts.select("row", "doc_id", F.explode(F.array_distinct(shingles_of(F.col("text")))).alias("h")).join(
+        all_.select("h").distinct(), "h", "left_semi").distinct()
+    wanted = found.join(all_, "item")
+    shared = wanted.join(had, ["row", "h"]).groupBy("row", "doc_id", "item", "item_id", "size").agg(F.count("*").alias("n_shared"))
+    return shared.where(F.col("n_shared") >= threshold * F.col("size") - 1e-9).select(
         "doc_id", "item_id", "n_shared", F.col("size").cast("long").alias("n_shingles"), "row")
 
 

@@ -57,3 +57,17 @@ def test_decontaminate(docs, empty, table):
     assert 5 in leaks and left.count() == docs.count() - len(leaks)
     assert decontam.decontaminate(empty, items).count() == 0
     assert decontam.decontaminate(docs, items.where("false")).count() == docs.count()
+
+
+def test_shared_wording_of_items_makes_no_candidates(spark, table):
+    """Items and documents of one question template: candidates grow with the documents, not with documents times items."""
+    template = [f"t{j}" for j in range(20)]
+    items = [(k, " ".join(template + [f"i{k}w{j}" for j in range(14)])) for k in range(120)]
+    docs = [(d, " ".join([f"d{d}x{j}" for j in range(10)] + template + [f"d{d}y{j}" for j in range(10)])) for d in range(150)]
+    docs += [(1000 + k, f"before {text} after") for k, text in items[:7]]
+    docs, items = table(docs, "doc_id long, text string"), table(items, "item_id long, text string")
+    _, least = decontam.sketches(items)
+    probes = docs.selectExpr("doc_id", "text").withColumn("h", decontam.shingles_of(decontam.F.col("text"))).selectExpr("doc_id", "explode(h) AS h")
+    assert probes.join(least, "h").select("doc_id", "item").distinct().count() == 7
+    got = decontam.contained_items(docs, items)
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1000 + k, k) for k in range(7)]
