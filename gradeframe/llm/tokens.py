@@ -6,7 +6,7 @@ numbers of tokens, the coded bits, and the bit offset of every CHECKPOINT-th tok
 its checkpoints at once, with one table look-up per token. Blocks are numbered inside numbered parts; parts ascend as well.
 
 Edge cases: a null text is the empty text, which has the end id only; rows that repeat a doc_id follow each other in the order
-of their ids; null doc_ids come first; a text longer than a block makes a block of its own; extra columns are ignored; an
+of a hash of their ids; doc_ids are of any ordered type, and null ones come first; a text longer than a block makes a block of its own; extra columns are ignored; an
 empty table makes a data set without blocks. An id that never occurs has no code.
 """
 
@@ -243,12 +243,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encode all documents and write a data set to the new folder ``path``.
 
     Ids are written once in input order; the counts of all ids (one number per id of the vocabulary) give the code; then the
-    ids are dealt by doc_id ranges, sorted and coded. Ranges come from quantiles of doc_id, so no text is tokenized twice.
+    ids are dealt by ranges of doc_id and a hash of the ids, sorted and coded, so no text is tokenized twice and the rows of one
+    doc_id (or of none) may make many parts. A part is a range; small ranges are put together by their bytes.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     width = Encoder(tokenizer, end_id, slots=1).dtype
-    ids, _ = staged(encode_texts(docs, tokenizer, end_id), "token-ids")
+    # cut points of ranges are sampled from the keys alone
+    ids, _ = staged(encode_texts(docs, tokenizer, end_id).withColumn("tie", F.xxhash64("ids")), "token-ids")
 
     def tally(batches):
         count = np.zeros(0, np.int64)
@@ -264,13 +266,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()), end_id)], "lengths binary, end_id int").coalesce(1).write.parquet(f"{path}/codebook")
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
-    cuts = sorted(set(cuts or []))
-    part = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)) if len(cuts) < 8 else F.coalesce(
-        F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))), F.lit(0))
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int")
-
     def code(batches):
         codes, block = canonical_codes(lengths), 0
         for batch in batches:
@@ -286,7 +281,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                     "checkpoints": pa.array([marks.astype(np.int64).tolist()], pa.list_(pa.int64())), "bits": pa.array([bits], pa.binary())})
                 block += 1
 
-    dealt = ids.withColumn("part", part).repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
+    dealt = ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids", F.spark_partition_id().alias("part"))
     dealt.mapInArrow(code, f"part int, block int, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, checkpoints array<long>, "
                      "bits binary").write.parquet(f"{path}/blocks")
 

@@ -65,3 +65,14 @@ def test_digests(docs, empty):
     order = [(-1 if r.doc_id is None else r.doc_id) for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order)
     assert tokens.token_digests(empty, PATH).count() == 0
+
+
+def test_text_ids_and_many_rows_of_one_id(spark, empty):
+    texts = [r[1] for r in make_docs()]
+    rows = [(f"s{k % 7}/é{k}" if k % 3 else "hot", t) for k, t in enumerate(texts)] + [(None, "none"), (None, "none at all"), ("", "empty id")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    got = sorted(tokens.token_digests(docs, PATH).collect(), key=lambda r: r.start)
+    want = [(d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for (d, _), i in zip(rows, ids_of([t for _, t in rows]))]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got)
+    order = [b"" if r.doc_id is None else b"x" + r.doc_id.encode() for r in got]
+    assert order == sorted(order) and [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
