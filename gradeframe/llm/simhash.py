@@ -336,13 +336,13 @@ def simhash_dedup(docs: DataFrame, like: Likeness = NEAR_COPY) -> DataFrame:
     """The rows of ``docs`` with one row of each component: of those with the smallest doc_id, the one with the least hash of
     doc_id and text.
 
-    Rows that share a doc_id and differ in their texts are documents of their own. Of documents without a doc_id none can be
-    named; they stay. Texts are shuffled once, by that hash.
+    Rows that share a doc_id and differ in their texts are documents of their own. A document without a doc_id counts like any
+    other; it stays only where its component has none with a doc_id. Texts are shuffled once, by that hash.
     """
-    least = _grouped(docs, like).where("doc_id IS NOT NULL").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("least"))
+    least = _grouped(docs, like).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("least"))
     kept, number = spare(docs, "_kept"), spare(docs, "_number")
     mine = docs.withColumn(kept, row_key())
     keep = least.select(F.col("least.row").alias(kept))
     order = Window.partitionBy(kept).orderBy(kept)
     one = mine.join(keep, kept, "left_semi").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
-    return one.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return one.select(*docs.columns)

@@ -97,7 +97,8 @@ def test_dedup_keeps_one_of_each(docs, empty):
     comps = simhash.simhash_components(docs, simhash.NEAR_COPY).where("doc_id IS NOT NULL").select("component_id").distinct()
     named = kept.where("doc_id IS NOT NULL")
     assert sorted(r[0] for r in named.select("doc_id").collect()) == sorted(r[0] for r in comps.collect())
-    assert kept.where("doc_id IS NULL").count() == 2
+    unnamed = {r.text for r in kept.where("doc_id IS NULL").collect()}
+    assert unnamed == {r.text for r in docs.where("doc_id IS NULL").collect()} - {r.text for r in docs.where("doc_id IS NOT NULL").collect()}
     assert simhash.simhash_components(empty).count() == 0 and simhash.simhash_dedup(empty).count() == 0
 
 
@@ -182,3 +183,11 @@ def test_rows_of_one_id_with_unlike_texts(table):
     rows = [(1, a), (1, b), (1, b), (2, b + " "), (2, c), (3, c), (0, a)]
     got = sorted((r.doc_id, r.text) for r in simhash.simhash_dedup(table(rows, "doc_id long, text string")).collect())
     assert got == sorted([(0, a), (1, b), (2, c)])
+
+
+def test_documents_without_an_id_are_deduplicated_too(table):
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choice([f"w{i}" for i in range(900)]) for _ in range(60)) for _ in range(3))
+    rows = [(None, a), (4, a), (None, a), (None, b), (None, b), (7, c)]
+    got = sorted(((r.doc_id, r.text) for r in simhash.simhash_dedup(table(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted([(4, a), (7, c), (None, b)], key=repr)
