@@ -34,11 +34,12 @@ WINDOW = 24
 #: Fixed patterns, in the order of kinds.
 BASE = (
     Pattern("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Pattern("access", r"(AKIA[A-Z0-9]+)", 1, 18),
-    Pattern("hex", r"([0-9a-f]+)", 1, 16),
+    # shorter runs of these two hold no later match either: their least length may stand in the pattern
+    Pattern("access", r"(AKIA[A-Z0-9]{14,})", 1, 18),
+    Pattern("hex", r"([0-9a-f]{16,})", 1, 16),
 )
 #: Known not to be secrets: placeholders and runs of the alphabet or of one character. One group at most is in all of them.
-ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme", r"(?i)01234567|abcdefgh", r"(.)\1{7,}")
+ALLOWED = (r"(?i)example|sample|dummy|placeholder|changeme", r"(?i)01234567|abcdefgh", r"(.)\1{7}")
 
 
 class Charset(NamedTuple):
@@ -70,14 +71,30 @@ _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
 def _starts(text: Column, regex: str, hits: Column) -> Column:
-    """Start of each hit: the lengths of the gaps and hits before it."""
+    """Start of each hit (there is one at least): the lengths of the gaps and hits before it.
+
+    Sums run inside rows of about the root of the number of hits and over the rows, as an array that grows hit by hit is copied
+    at each of them.
+    """
     gaps = F.transform(F.split(text, regex, -1), F.length)
-    steps = F.arrays_zip(gaps.alias("gap"), F.transform(hits, F.length).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(
-        F.slice(steps, F.lit(1), F.size(hits)), start,
-        lambda acc, s: F.struct((acc["at"] + s["gap"] + s["hit"]).alias("at"), F.array_append(acc["out"], acc["at"] + s["gap"]).alias("out")),
-        lambda acc: acc["out"])
+    steps = F.slice(F.arrays_zip(gaps.alias("gap"), F.transform(hits, F.length).alias("hit")), F.lit(1), F.size(hits))
+
+    def running(items: Column, first: Column, before, size) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(items, start, lambda acc, s: F.struct(
+            (acc["at"] + size(s)).alias("at"), F.array_append(acc["out"], acc["at"] + before(s)).alias("out")), lambda acc: acc["out"])
+
+    def by_rows(s: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(s))).cast("int")
+        count = F.ceil(F.size(s) / width).cast("int")
+        return bind(F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(s, k * width + 1, width)), in_rows)
+
+    def in_rows(rows: Column) -> Column:
+        sizes = F.transform(rows, lambda r: F.aggregate(r, F.lit(0), lambda n, s: n + s["gap"] + s["hit"]))
+        firsts = running(sizes, F.lit(0), lambda n: F.lit(0), lambda n: n)
+        return F.flatten(F.zip_with(rows, firsts, lambda r, first: running(r, first, lambda s: s["gap"], lambda s: s["gap"] + s["hit"])))
+
+    return bind(steps, by_rows)
 
 
 def _matches(text: Column, p: Pattern, number: int) -> Column:

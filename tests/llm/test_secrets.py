@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -50,6 +51,18 @@ def test_spans_and_digests(table, docs, empty):
     assert secrets.secret_digests(empty).count() == 0
 
 
+def test_many_hits_in_long_texts(table):
+    """Texts with thousands of hits of each kind, and prose around one long run."""
+    rng = random.Random(4)
+    prose = [rng.choice(["bead", "face", "plain", "word", "AKIA", "a", "decade", "é"]) for _ in range(20000)]
+    key = "".join(rng.choice("0123456789abcdef") for _ in range(64))
+    many = " ".join(f"token={rng.getrandbits(60):015x} x{k}" if k % 2 else f"{rng.getrandbits(90):x} AKIA{'Z' * (k % 30)}" for k in range(3000))
+    texts = [" ".join(prose[:9000] + [key] + prose[9000:]), many, "0" * 50000 + key]
+    rows = secrets.secret_spans(table(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [tuple(s) for s in r.found if s.kind < 3] for r in rows}
+    assert got == {k: [s for s in brute(t) if s[1] < 3] for k, t in enumerate(texts)} and len(got[1]) > 3000
+
+
 def test_no_python_on_the_plan(docs):
     plan = secrets.secret_digests(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
