@@ -10,7 +10,8 @@ cut is selective; there, ``tables`` keys of ``key_bits`` bits each are drawn, an
 a chance of 1 - (1 - (1 - d / n) ** key_bits) ** tables. A bucket is compared with bit planes: bit k of 64
 fingerprints is one machine word, a query's distances to all 64 grow at once in carry-save counters, and a block of 64 is
 abandoned as soon as each lane is beyond the radius. Buckets over ``tile`` rows are cut into tiles, which are compared
-in pairs by different tasks. Only the edges of a spanning forest leave a task, never all pairs.
+in pairs by different tasks. Only the edges of a spanning forest leave a task, never all pairs. Of
+sampled keys the first few tables are contracted: the others compare all rows, and add edges between components only.
 
 Where ``similarity`` is set, the links are candidates only. The distinct texts (word sequences) of a group of linked fingerprints
 meet with their shingle sets, and those of Jaccard similarity ``similarity`` or more are linked, whatever their distance; the
@@ -55,6 +56,8 @@ class Likeness(NamedTuple):
 NEAR_COPY = Likeness(shingle=5, longs=2, radius=30, tables=64, key_bits=14, similarity=0.8)
 #: Most texts and shingles of a tile in which exact similarities are taken.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Tables of sampled keys whose components are contracted before the other tables are compared.
+FIRST_TABLES = 4
 
 
 def shingled(text: bytes, shingle: int) -> tuple[list[bytes], list[bytes]]:
@@ -185,19 +188,42 @@ def bucket_edges(fps: np.ndarray, side: np.ndarray, group: np.ndarray, radius: i
     return moved, root[moved]
 
 
+def merged(edges, most: int = 1 << 20):
+    """Edges that connect what batches of edges (a, b) connect; ``most`` of them are gathered before they are handed on."""
+    a, b, n = [], [], 0
+
+    def flush():
+        ids, place = np.unique(np.concatenate(a + b), return_inverse=True)
+        half = len(place) // 2
+        root = forest(len(ids), [(place[:half], place[half:])])
+        moved = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_pydict({"a": pa.array(ids[moved]), "b": pa.array(ids[root[moved]])})
+
+    for x, y in edges:
+        apart = x != y
+        a.append(x[apart])
+        b.append(y[apart])
+        n += len(a[-1])
+        if n > most:
+            yield flush()
+            a, b, n = [], [], 0
+    if n:
+        yield flush()
+
+
 def _edges_of(longs: int, radius: int):
     names = _names(longs)
 
-    def run(batches):
+    def linked(batches):
         for table in whole_groups(batches, ("part", "key", "tile")):
             fps = np.stack([table.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("part", "key", "tile")])
             group = np.concatenate(([0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))))
             a, b = bucket_edges(fps, table.column("side").to_numpy(), group, radius)
-            node = table.column("id").to_numpy()
-            yield pa.RecordBatch.from_pydict({"a": pa.array(node[a]), "b": pa.array(node[b])})
+            label = table.column("label").to_numpy()
+            yield label[a], label[b]
 
-    return run
+    return lambda batches: merged(linked(batches))
 
 
 def _bucket_keys(like: Likeness) -> list[Column]:
@@ -219,24 +245,46 @@ def _bucket_keys(like: Likeness) -> list[Column]:
     return keys
 
 
-def near_edges(fps: DataFrame, like: Likeness = Likeness(), tile: int = 1 << 15) -> DataFrame:
-    """Edges (a, b) of ids that connect all distinct rows (id, f0, f1, ...) within the radius (a forest per bucket, not all pairs)."""
+def near_edges(fps: DataFrame, like: Likeness = Likeness(), tile: int = 1 << 15, tables: slice = slice(None)) -> DataFrame:
+    """Edges (a, b) that connect all distinct rows (id, f0, f1, ...) within the radius (a forest per bucket, merged in each task).
+
+    Rows with a ``label`` are told by it instead of their id: rows of one label are connected already, and buckets that hold one
+    label only are left out. ``tables`` chooses among the keys.
+    """
     names = _names(like.longs)
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), k.alias("key")) for i, k in enumerate(_bucket_keys(like))])
-    cells = fps.select("id", *names, F.inline(keys))
-    size = cells.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    keys = F.array(*[F.struct(F.lit(i).alias("part"), k.alias("key")) for i, k in list(enumerate(_bucket_keys(like)))[tables]])
+    label = F.col("label" if "label" in fps.columns else "id").alias("label")
+    cells = fps.select(label, *names, F.inline(keys))
+    size = cells.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    placed = cells.join(size, ["part", "key"]).withColumn("tiles", tiles).withColumn(
-        "own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("tiles")).cast("int"))
-    tiled = placed.select("id", *names, "part", "key", "own", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    placed = cells.join(size.select("part", "key", "n"), ["part", "key"]).withColumn("tiles", tiles).withColumn(
+        "own", F.pmod(F.xxhash64(*names, F.lit(7)), F.col("tiles")).cast("int"))
+    tiled = placed.select("label", *names, "part", "key", "own", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     dealt = tiled.select(
-        "id", *names, "part", "key", (lo * F.col("tiles").cast("long") + hi).alias("tile"),
+        "label", *names, "part", "key", (lo * F.col("tiles").cast("long") + hi).alias("tile"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"))
     return dealt.repartition("part", "key", "tile").sortWithinPartitions("part", "key", "tile").mapInArrow(
         _edges_of(like.longs, like.radius), "a long, b long")
 
 
+def near_roots(fps: DataFrame, like: Likeness = Likeness()) -> DataFrame:
+    """(node, root) of the rows (id, f0, f1, ...) within the radius of others, directly or through others; root is the least id.
+
+    Of sampled keys the first FIRST_TABLES connect most of what is near, and their components are the labels for the others, whose
+    buckets then add what connects two components. All rows meet in all tables; a large group makes a few edges a row, not one
+    for each table.
+    """
+    if like.tables <= FIRST_TABLES:
+        return components(near_edges(fps, like), "simhash-links")
+    for tables in (slice(FIRST_TABLES), slice(FIRST_TABLES, None)):
+        roots = components(near_edges(fps, like, tables=tables), "simhash-links").withColumnRenamed("node", "label")
+        before = fps if "label" in fps.columns else fps.withColumn("label", F.col("id"))
+        after = before.join(roots, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+        fps, _ = staged(after, "simhash-labels")
+    return fps.select(F.col("id").alias("node"), F.col("label").alias("root"))
+
+
 def alike_rows(flat: np.ndarray, at: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row numbers) that connect all sets of Jaccard similarity ``similarity`` or more; set i is flat[at[i]:at[i + 1]].
 
@@ -316,7 +364,7 @@ def _grouped(docs: DataFrame, like: Likeness) -> DataFrame:
     key = F.col("f0") if like.longs == 1 else F.xxhash64(*names)
     fps = fps.withColumn("id", key)
     firsts = fps.groupBy(*names).agg(F.min("doc_id").alias("first")).withColumn("id", key)
-    roots = components(near_edges(firsts.select("id", *names), like), "simhash-links")
+    roots = near_roots(firsts.select("id", *names), like)
     node = "id"
     if like.similarity:
         node, firsts = "said", fps.groupBy("said").agg(F.min("doc_id").alias("first"))

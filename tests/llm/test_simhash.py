@@ -191,3 +191,43 @@ def test_documents_without_an_id_are_deduplicated_too(table):
     rows = [(None, a), (4, a), (None, a), (None, b), (None, b), (7, c)]
     got = sorted(((r.doc_id, r.text) for r in simhash.simhash_dedup(table(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == sorted([(4, a), (7, c), (None, b)], key=repr)
+
+
+def test_contraction_changes_no_component(spark, table):
+    """Large and small groups of near copies: contracting the first tables gives the components of all tables at once, by few edges."""
+    from gradeframe.llm.graph import components
+    rng = random.Random(5)
+    rows = []
+    for members in [400] + [3] * 40 + [1] * 100:
+        base = rng.getrandbits(128)
+        for _ in range(members):
+            f = base
+            for b in rng.sample(range(128), rng.randint(0, 14)):
+                f ^= 1 << b
+            rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (f & (1 << 64) - 1, f >> 64)))
+    fps = spark.createDataFrame([(k, *r) for k, r in enumerate(sorted(set(rows)))], "id long, f0 long, f1 long").cache()
+    like = simhash.NEAR_COPY
+    want = {r.node: r.root for r in components(simhash.near_edges(fps, like, tile=64)).collect()}
+    got = {r.node: r.root for r in simhash.near_roots(fps, like).collect()}
+    assert got == {k: want.get(k, k) for k in range(fps.count())} and len(set(got.values())) < len(got) // 2
+    rooted = fps.join(spark.createDataFrame(list(got.items()), "id long, label long"), "id")
+    assert simhash.near_edges(rooted, like, tables=slice(simhash.FIRST_TABLES, None)).count() == 0
+
+
+def test_merged_edges_connect_the_same():
+    rng = np.random.default_rng(1)
+    batches = [(rng.integers(0, 400, 50), rng.integers(0, 400, 50)) for _ in range(6)]
+
+    def groups(edges):
+        root = {k: k for k in range(400)}
+        for a, b in edges:
+            x, y = root[a], root[b]
+            for k, r in root.items():
+                root[k] = min(x, y) if r in (x, y) else r
+        return root
+
+    flat = [(int(a), int(b)) for x, y in batches for a, b in zip(x, y)]
+    for most in (1, 120, 1 << 20):
+        out = [(a, b) for batch in simhash.merged(iter(batches), most) for a, b in zip(*batch.to_pydict().values())]
+        assert groups(out) == groups(flat) and len(out) <= len(flat)
+    assert list(simhash.merged(iter([]))) == []
