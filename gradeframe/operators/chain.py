@@ -17,7 +17,7 @@ from .. import constants as K
 from ..functions import text as X
 from ..functions.numbers import SCORE, ratio
 from ..functions.rows import once
-from .evidence import is_traceable, no_quotes
+from .evidence import is_traceable, no_quotes, tidy_quote
 from .sections import injection_labels, injection_snippet, section_at
 
 
@@ -42,12 +42,12 @@ def gather_answers(attempts: DataFrame) -> DataFrame:
 
 
 def verified(answers: Column, text: Column) -> Column:
-    """Answers with canonical quotes, split into ``evidence`` and ``dropped_quotes``, and ``valid``; a miss carries no quotes."""
+    """Answers with tidy quotes, split into ``evidence`` and ``dropped_quotes``, and ``valid``; a miss carries no quotes."""
     def check(a: Column) -> Column:
         def split(quotes: Column) -> Column:
             return F.struct(F.filter(quotes, lambda q: is_traceable(q, text)).alias("good"), F.filter(quotes, lambda q: ~is_traceable(q, text)).alias("bad"))
 
-        tidy = F.transform(a["evidence"], lambda q: X.canonical(F.coalesce(q, F.lit(""))))
+        tidy = F.transform(a["evidence"], lambda q: tidy_quote(q, text))
         miss = F.coalesce(a["verdict"] == "miss", F.lit(False))
         return X.bind(X.bind(tidy, split), lambda s: a.withField("evidence", F.when(miss, no_quotes()).otherwise(s["good"])).withField(
             "dropped_quotes", F.when(miss, no_quotes()).otherwise(s["bad"])).withField("valid", miss | (F.size(s["good"]) > 0)))

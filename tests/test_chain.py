@@ -40,6 +40,14 @@ def as_set(df, *columns):
     return sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
+def test_verbatim_quote_that_looks_letter_spaced_is_kept(spark):
+    quote = "A A A A A A i"
+    texts = spark.createDataFrame([("a", "We saw A A A A A A in, twice and then nothing else.")], "report_id string, full_text string")
+    attempts = spark.createDataFrame([("a", "i0", 1, 1, "hit", 5.0, 0.5, [quote], "", "", False, 1, False)], ATTEMPT)
+    got = CH.judgement_rows(CH.judge_reports(texts, attempts)).first()
+    assert got.outcome == "first" and got.evidence == [quote] and got.dropped_quotes == []
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_same_results_as_on_flat_tables(spark, texts, seed):
     attempts = spark.createDataFrame(answers(seed), ATTEMPT)

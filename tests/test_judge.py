@@ -34,6 +34,14 @@ def test_quote_rules(spark, quote, kept):
     assert got.valid is kept and (len(got.evidence) == 1) is kept and (len(got.dropped_quotes) == 0) is kept
 
 
+def test_verbatim_quote_that_looks_letter_spaced_is_kept(spark):
+    text, quote = "We saw A A A A A A in, twice and then nothing else.", "A A A A A A i"
+    got = verified(spark, [row(evidence=[quote])], text).first()
+    assert got.valid and got.evidence == [quote]
+    flat = spark.createDataFrame([(1, quote), (1, "A A A A A A x"), (1, None)], "report_id int, quote string")
+    assert {(r.quote, r.kept) for r in EV.verify_quotes(flat, texts(spark, text)).collect()} == {(quote, True), ("AAAAAAx", False), ("", False)}
+
+
 def test_partly_good_evidence_stays_valid_and_miss_carries_none(spark):
     rows = [row(evidence=["取款金额超过余额", "编造的一句话"]), row(item="r2", verdict="miss", evidence=["编造的一句话"]), row(item="r3")]
     got = {r.item_id: r for r in verified(spark, rows).collect()}
