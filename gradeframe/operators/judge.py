@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..functions.numbers import SCORE, clamp, ratio
-from ..functions.rows import first_row, top_k
+from ..functions.rows import first_row, once, top_k
 from .evidence import KEY, flag, is_traceable, no_quotes, with_texts
 from .sections import coverage_of, with_rubric
 
@@ -339,24 +339,42 @@ def audit_results(results: DataFrame, judgements: DataFrame, rubric: DataFrame,
     Checks: every quote verbatim, total = sum, rule-engine rows flagged, item known, score within its maximum.
     """
     stored = results.select("report_id", "total", "engine")
-    rows = (_join_rubric(judgements, rubric, "left", _max())
-            .join(stored.select("report_id", "engine"), "report_id", "left"))
-    checks = [
-        F.when(F.col("max_score").isNull(), "unknown_item"),
-        F.when(F.col("score") > F.col("max_score") + F.lit(0.01).cast(SCORE), "over_maximum"),
-        F.when(~F.col("needs_review") & (F.col("engine") == "rule"), "rule_row_not_flagged")]
+    rows = _join_rubric(judgements, rubric, "left", _max())
+
+    def problems(r, *more: Column) -> list[Column]:
+        return [F.when(r["max_score"].isNull(), "unknown_item"),
+                F.when(r["score"] > r["max_score"] + F.lit(0.01).cast(SCORE), "over_maximum"),
+                F.when(~r["needs_review"] & (F.col("engine") == "rule"), "rule_row_not_flagged"), *more]
+
+    wrong_total = F.abs(F.col("total") - F.coalesce("_sum", F.lit(0))) > F.lit(0.05).cast(SCORE)
     if texts is not None:
-        rows = with_texts(rows, texts)
-        text = F.coalesce("full_text", F.lit(""))
-        checks.append(F.when(F.exists("evidence", lambda q: (q != "") & ~F.contains(text, q)), "quote_not_in_text"))
-    per_row = rows.select(*KEY, F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+        return _audit_with_texts(rows, stored, texts, problems, wrong_total)
+    named = {n: F.col(n) for n in ("max_score", "score", "needs_review")}
+    rows = rows.join(stored.select("report_id", "engine"), "report_id", "left")
+    per_row = rows.select(*KEY, F.explode(F.array_compact(F.array(*problems(named)))).alias("problem"))
     sums = judgements.groupBy("report_id").agg(F.sum("score").alias("_sum"))
-    wrong = stored.join(sums, "report_id", "left").where(
-        F.abs(F.col("total") - F.coalesce("_sum", F.lit(0))) > F.lit(0.05).cast(SCORE)).select(
+    wrong = stored.join(sums, "report_id", "left").where(wrong_total).select(
         "report_id", F.lit("").alias("item_id"), F.lit("total_is_not_sum").alias("problem"))
     return per_row.unionByName(wrong)
 
 
+def _audit_with_texts(rows: DataFrame, stored: DataFrame, texts: DataFrame, problems, wrong_total: Column) -> DataFrame:
+    """The audit on one row per report (rubric items of it), so judgements are read and each text is met once."""
+    row = F.struct("item_id", "max_score", "score", "needs_review", F.coalesce("evidence", no_quotes()).alias("evidence"))
+    reports = rows.groupBy("report_id").agg(F.sum("score").alias("_sum"), F.collect_list(row).alias("_rows")).join(stored, "report_id", "full")
+    reports = with_texts(reports, texts)
+    text = F.coalesce("full_text", F.lit(""))
+
+    def of_row(r: Column) -> Column:
+        altered = F.when(F.exists(r["evidence"], lambda q: (q != "") & ~F.contains(text, q)), "quote_not_in_text")
+        return F.transform(F.array_compact(F.array(*problems(r, altered))), lambda p: F.struct(r["item_id"].alias("item_id"), p.alias("problem")))
+
+    of_report = F.struct(F.lit("").alias("item_id"), F.lit("total_is_not_sum").alias("problem"))
+    found = F.concat(F.coalesce(F.flatten(F.transform("_rows", of_row)), F.array().cast("array<struct<item_id:string,problem:string>>")),
+                     F.when(wrong_total, F.array(of_report)).otherwise(F.array().cast("array<struct<item_id:string,problem:string>>")))
+    return once(reports, "_found", found).select("report_id", F.inline("_found"))
+
+
 def as_records(judgements: DataFrame, rubric: DataFrame, results: DataFrame) -> DataFrame:
     """Nested batch records, items in rubric order; name and maximum come from the rubric.
 
