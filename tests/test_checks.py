@@ -52,6 +52,20 @@ def test_catalogue():
     assert sum(w for w, _ in K.CHECK_ITEMS.values()) == 100 and len(K.CHECK_ITEMS) == 12
 
 
+def test_slots_of_cut_reports_are_those_of_parsed_ones(spark):
+    text = PHYSICS.replace("\n", "\r\n").replace("用单摆", "J a v a: 1 . 5 用单摆")
+    df = spark.createDataFrame([(1, text, K.GENERAL), (2, "no heading", K.GENERAL)], "report_id int, raw_text string, profile string")
+    for by_line in (True, False):
+        cut, parsed = (sorted(map(tuple, C.slot_rows(C.map_slots(d, by_line)).collect())) for d in (S.cut_reports(df), S.parse_reports(df, keep_raw=True)))
+        assert cut == parsed and any("Java: 1.5" in row[2] for row in cut)
+
+
+def test_prefiltered_lines_give_the_same_counts(spark):
+    lines = F.array(*map(F.lit, ("图 1", "see Figure 2: the setup", "截图3", "no mark 4", "1.5 and 2.25", "٣.٥ and 1.125", "3.5")))
+    got = spark.range(1).select(C.figure_counts(lines).alias("c"), C.decimal_places(lines).alias("p")).first()
+    assert (got.c.figures, got.c.uncaptioned, got.p) == (3, 2, [1, 2, 3])
+
+
 def test_good_report(spark):
     got = items(spark, PHYSICS)
     assert list(got) == C.RULE_ITEMS
