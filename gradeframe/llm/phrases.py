@@ -53,8 +53,8 @@ class Gathered:
     def __init__(self, parts: list[tuple], langs: list[str]):
         sizes = np.cumsum([0] + [len(p[0]) for p in parts])
         self.data = np.concatenate([p[0] for p in parts])
-        self.start = np.concatenate([p[1] + base for p, base in zip(parts, sizes)])
-        self.end = np.concatenate([p[2] + base for p, base in zip(parts, sizes)])
+        wide = np.int32 if sizes[-1] < 1 << 31 else np.int64
+        self.start, self.end = (np.concatenate([p[k] + wide(base) for p, base in zip(parts, sizes)]) for k in (1, 2))
         self.hash, self.lang, self.follows = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
         self.langs = langs
 
@@ -106,11 +106,13 @@ def gather(batches, window: int = WINDOW) -> Iterator[Gathered]:
                 follows = np.zeros(len(doc), bool)
                 follows[:-1] = (doc[1:] == doc[:-1]) & (piece[1:] == piece[:-1])
                 lang = codes[lo + doc]
-                parts.append((t.data, t.start, t.end, mix(t.word_hashes() ^ salts[lang]), lang, follows))
+                place = np.int32 if len(t.data) < 1 << 31 else np.int64
+                parts.append((t.data, t.start.astype(place), t.end.astype(place), mix(t.word_hashes() ^ salts[lang]), lang, follows))
                 n += len(doc)
             if n >= window:
-                yield Gathered(parts, langs)
-                parts, n = [], 0
+                whole, parts, n = Gathered(parts, langs), [], 0         # nothing of a window is held while the next one is gathered
+                yield whole
+                del whole
             lo = hi
     if parts:
         yield Gathered(parts, langs)
@@ -183,8 +185,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, m
     def hashes(n, shared):
         def count(batches):
             for g in gather(batches):
-                *_, (_, h) = _sequences(g, [f.value for f in shared], n)
+                for _, h in _sequences(g, [f.value for f in shared], n):
+                    pass
                 yield from _tally(h)
+                del g, h
 
         return count
 
@@ -206,12 +210,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, m
                     at, h = at[ok], h[ok]
                 _, first, c = np.unique(h, return_index=True, return_counts=True)
                 place = at[first]
-                for lo in range(0, len(place), 1 << 15):
-                    some = place[lo: lo + (1 << 15)]
+                for lo in range(0, len(place), 1 << 13):
+                    some = place[lo: lo + (1 << 13)]
                     depth = np.full(len(some), n, np.int32)
                     lang = pa.DictionaryArray.from_arrays(pa.array(g.lang[some]), pa.array(g.langs, pa.string())).cast(pa.string())
                     yield pa.RecordBatch.from_pydict({"lang": lang, "phrase": g.texts(some, depth), "depth": pa.array(depth),
-                                                      "c": pa.array(c[lo: lo + (1 << 15)])})
+                                                      "c": pa.array(c[lo: lo + (1 << 13)])})
+            del g, at, h, first, c, place
 
     counted = texts.mapInArrow(phrases, "lang string, phrase string, depth int, c long")
     return counted.groupBy("lang", "phrase", "depth").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("depth") == 0))

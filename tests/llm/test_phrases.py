@@ -97,3 +97,22 @@ def test_empty_and_unusual_tables(table):
     rows = [(r[0], r[1], None) for r in make_docs()]
     assert run(table(rows, SCHEMA), least=3) == brute(rows, 3)
     assert run(table(rows, SCHEMA), least=3, longest=2) == brute(rows, 3, longest=2)
+
+
+def test_no_window_is_held_while_the_next_is_gathered():
+    import weakref
+
+    import pyarrow as pa
+    batches = [pa.RecordBatch.from_pydict({"text": [f"a b{i} c d"], "lang": ["en"]}) for i in range(4)]
+    seen = []
+
+    def watched():
+        for b in batches:
+            assert all(ref() is None for ref in seen)
+            yield b
+
+    for g in phrases.gather(watched(), window=1):
+        assert g.start.dtype == g.end.dtype == "int32"
+        seen.append(weakref.ref(g.data))
+        del g
+    assert len(seen) == 4
