@@ -33,8 +33,14 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality_stage), ("simhash near-dedup", dedup_stage), ("benchmark decontamination", decontamination_stage),
-          ("source mixing", mixing_stage), ("token output", token_stage)]
+def _tuned(stage):
+    """The stage under the session defaults, also when it is called apart from ``run``."""
+    return lambda spark, docs, sf_dir: stage(tune(spark), docs, sf_dir)
+
+
+STAGES = [(name, _tuned(stage)) for name, stage in (
+    ("quality rules", quality_stage), ("simhash near-dedup", dedup_stage), ("benchmark decontamination", decontamination_stage),
+    ("source mixing", mixing_stage), ("token output", token_stage))]
 
 #: SQL states neither the rolling-hash rules nor the graph closure, the Newton steps or the tokenizer.
 ORACLE_SQL = None
@@ -42,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, one after another."""
-    docs = tune(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs, _ = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

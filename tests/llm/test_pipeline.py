@@ -49,3 +49,27 @@ def test_stages_one_after_another(spark, tmp_path_factory):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_stages_hand_python_small_batches(spark):
+    """A stage called by itself bounds the bytes that a Python worker holds of wide rows."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    wide = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes])})
+
+    got = [r.n for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 40_000_000 and max(got) < 8_000_000
+
+
+def test_cache_of_segments_is_small():
+    import public_tokenizers
+
+    from gradeframe.llm import tokens
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert e.key.nbytes + e.at.nbytes + e.n.nbytes + e.most * e.ids.itemsize <= 50 << 20
