@@ -123,3 +123,16 @@ def test_injection(spark, text, labels):
     assert [r.labels for r in got] == ([labels] if labels else [])
     if labels:
         assert text[-4:] in got[0].snippet and len(got[0].snippet) <= len(text) + 40
+
+
+@pytest.mark.parametrize("raw", [
+    "a b c d", "ab c d e", "a b c de", "a b c d e", "xa b c d", "x a b c d-", "中 文", "中 a", "a 中", "中  文 字", "1 . 2", "1. 2", "1 .2",
+    "1.2", "x. 2", "1. x", "٣ . ٤", "1 . 2 . 3", "A B C D e f g h", "1 2 3 4 . 5", "", "plain prose. It ends.", None,
+])
+def test_cheap_tests_find_all_that_the_rewrites_change(one, raw):
+    """A text for which no test holds is not rewritten, so each test must hold wherever its rewrite finds something."""
+    t = F.lit(raw).cast("string")
+    got = one(gap=F.coalesce(t.rlike(X._CJK_GAP), F.lit(False)), pair=F.coalesce(t.rlike(X._CJK_PAIR), F.lit(False)),
+              run=F.coalesce(t.rlike(X._SPELLED_RUN), F.lit(False)), hint=F.coalesce(t.rlike(X._SPELLED_HINT), F.lit(False)),
+              dot=F.coalesce((F.regexp_replace(t, X._DOT_GAP, ".") != t), F.lit(False)), dots=F.coalesce(t.rlike(X._DOT_PAIR), F.lit(False)))
+    assert got["gap"] == got["pair"] and (got["hint"] or not got["run"]) and got["dot"] == got["dots"]
