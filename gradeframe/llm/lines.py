@@ -1,15 +1,17 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 Lines are normalised (lower case, ASCII marks and blanks become single spaces); equal normal forms are one distinct line. Each has a
-64-bit SimHash of its words: bit j is set if more than half of the words' hashes have it. The 64 counts of a line are kept in 22
-longs, three counters of 21 bits in each, so that a word adds to all of them with 22 additions. Two
-distinct lines link if their SimHashes differ in RADIUS bits or fewer and the edit similarity of their word sequences
+64-bit SimHash of its words: bit j is set if more than half of the words' hashes have it. The 64 counts of a line are kept in 10
+longs, seven counters of 9 bits in each, so that a word adds to all of them with 10 additions; lines over 510 words are counted in
+their row with 21 bits a counter. Two distinct lines link if their SimHashes differ in RADIUS bits or fewer and the edit similarity of their word sequences
 (1 - word edits / words of the longer one) reaches SIMILARITY. Of all lines in one connected group the first stays.
 
 Candidates meet in pigeonhole blocks: a SimHash is cut into RADIUS + 2 pieces, and values within the radius agree on two of
 them. In a block every value is compared with the block's least one; only values that are far from it are compared
-with the rest, and so are values whose lines are near it but fail the edit test. So a block of a thousand variants of one line costs
+with the rest. So a block of a thousand variants of one line costs
 about a thousand comparisons, and no link is lost: two lines that both pass with the common one are in its group anyway.
+Lines of values near one whose line failed the edit test are compared once more, with all lines near them that have one of their
+rare pairs of neighbouring words: lines that one frequent word makes near (``the`` in most places) meet no others for that.
 
 Edge cases: null and empty texts have no lines; lines of marks and blanks alone are never removed and never counted; texts are
 ordered by doc_id (nulls first) and lines by number, so ties between equal lines go to the first text; repeated rows are texts
@@ -19,39 +21,56 @@ have up to two million words.
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import once
 from .graph import components, spare, staged
 
 RADIUS, SIMILARITY, BITS = 3, 0.8, 64
-LANE = 21
-_LANES = 1 | 1 << LANE | 1 << 2 * LANE
+#: Bits of a counter of short and of long lines: 510 and two million words.
+LANE, LONG_LANE = 9, 21
+#: ASCII characters that are no letter or digit, one by one: a table look-up in the regex engine, which ranges are not.
+_MARKS = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 #: One character per word for the edit test; unlike words share one once in 20 480 times.
 _ALPHABET = "".join(map(chr, range(0x4E00, 0x4E00 + 20480)))
 
 
 def line_words(line: Column) -> Column:
     """Words of the normal form in lower case: runs of characters other than ASCII marks, blanks and control characters."""
-    return F.array_remove(F.split(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    return F.array_remove(F.split(F.lower(line), _MARKS), "")
 
 
-def bit_counts(h: Column) -> list[Column]:
-    """Sums of the bits of a hash column: long k counts bits k, k + 21 and k + 42, the last one bit 63."""
-    return [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(_LANES if k < LANE else 1)).alias(f"c{k}") for k in range(LANE + 1)]
+def _counters(h: Column, width: int) -> list[Column]:
+    """What a word adds: counter k counts bits k, k + width, ... below 63 in lanes of ``width`` bits, the last one bit 63."""
+    return [F.shiftrightunsigned(h, k).bitwiseAND(_lanes(width)) for k in range(width)] + [F.shiftrightunsigned(h, 63)]
 
 
-def majority() -> Column:
-    """The bits whose count is over half of ``n``."""
-    out = F.lit(0).cast("long")
-    for bit in range(BITS):
-        k, lane = (bit % LANE, bit // LANE) if bit < 3 * LANE else (LANE, 0)
-        count = F.shiftrightunsigned(f"c{k}", LANE * lane).bitwiseAND((1 << LANE) - 1)
-        out = out.bitwiseOR(F.shiftleft((2 * count > F.col("n")).cast("long"), bit))
+def _majority(counters: list[Column], n: Column, width: int) -> Column:
+    """The bits whose count is over half of ``n``: a lane plus what half of n lacks of its top bit carries into that bit."""
+    lack = F.lit((1 << width - 1) - 1).cast("long") - F.shiftright(n, 1).cast("long")
+    out = F.shiftleft(F.shiftrightunsigned(counters[width] + lack, width - 1), 63)
+    for k in range(width):
+        over = F.shiftrightunsigned(counters[k] + lack * F.lit(_lanes(width)), width - 1).bitwiseAND(_lanes(width))
+        out = out.bitwiseOR(F.shiftleft(over, k))
     return out
 
 
+def _lanes(width: int) -> int:
+    return sum(1 << width * lane for lane in range(63 // width))
+
+
+def long_simhash(words: Column, width: int = LONG_LANE) -> Column:
+    """SimHash of one row's words, without rows of their own."""
+    start = F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(width + 1)])
+
+    def add(sums, h):
+        return F.struct(*[(sums[f"c{k}"] + c).alias(f"c{k}") for k, c in enumerate(_counters(h, width))])
+
+    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), start, add,
+                       lambda sums: _majority([sums[f"c{k}"] for k in range(width + 1)], F.size(words), width))
+
+
 def symbols(words: Column) -> Column:
     """One character per word, so that string edits are word edits."""
     letters = F.split(F.lit(_ALPHABET), "")
@@ -65,13 +84,19 @@ def _lines_of(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """text_no, doc_id, pos, line (64-bit hash of the normal form) and sim of every line with a word."""
-    texts = docs.select(F.monotonically_increasing_id().alias("text_no"), "doc_id", "text")
+    """text_no, text_key (64-bit hash of the text), doc_id, pos, line (64-bit hash of the normal form) and sim of every line with a word."""
+    texts = docs.select(F.monotonically_increasing_id().alias("text_no"), F.xxhash64("text").alias("text_key"), "doc_id", "text")
+    key = ["text_no", "text_key", "doc_id", "pos", "line"]
     # the hash of a line is made before its words become rows, not once for each of them
-    hashed = once(_lines_of(texts, "text_no", "doc_id"), "line", F.xxhash64(F.array_join("words", " ")))
-    said = hashed.select("text_no", "doc_id", "pos", "line", F.explode("words").alias("word"))
-    counted = said.groupBy("text_no", "doc_id", "pos", "line").agg(F.count("*").alias("n"), *bit_counts(F.xxhash64("word")))
-    return counted.select("text_no", "doc_id", "pos", "line", majority().alias("sim"))
+    hashed = once(_lines_of(texts, "text_no", "text_key", "doc_id"), "line", F.xxhash64("words"))
+    # words of a line that small lanes can count become rows; a longer line is one row with its SimHash
+    short = F.size("words") <= (1 << LANE) - 2
+    rows = hashed.withColumn("whole", F.when(~short, long_simhash(F.col("words")))).select(
+        *key, "whole", F.explode_outer(F.when(short, F.col("words"))).alias("word"))
+    sums = [F.sum(c).alias(f"c{k}") for k, c in enumerate(_counters(F.xxhash64("word"), LANE))]
+    counted = rows.groupBy(*key).agg(F.max("whole").alias("whole"), F.count("*").alias("n"), *sums)
+    sim = F.coalesce("whole", _majority([F.col(f"c{k}") for k in range(LANE + 1)], F.col("n"), LANE))
+    return counted.select(*key, sim.alias("sim"))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -79,7 +104,7 @@ def _apart(a: str, b: str) -> Column:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect all distinct ``lines`` (line, sim) near each other, verified on the lines of ``docs``."""
+    """Links (a, b) that connect all distinct ``lines`` (line, sim, place) near each other, verified on the lines of ``docs``."""
     count = radius + 2
     edge = [BITS * k // count for k in range(count + 1)]
     piece = [F.shiftrightunsigned("sim", edge[k]).bitwiseAND((1 << (edge[k + 1] - edge[k])) - 1) for k in range(count)]
@@ -88,8 +113,8 @@ def near_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, similari
     # blocks of SimHash values: each value once, whatever number of lines has it
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = lines.select("sim").distinct().select("sim", F.explode(F.array(*keys)).alias("key")).repartition(parts, "key")
-    heads = cells.groupBy("key").agg(F.min("sim").alias("head"), F.max("sim").alias("last")).where("head <> last").drop("last")
-    members, _ = staged(cells.join(heads, "key").where("sim <> head").withColumn("near", _apart("sim", "head") <= radius), "line-blocks")
+    headed = cells.withColumn("head", F.min("sim").over(Window.partitionBy("key"))).where("sim <> head")
+    members, _ = staged(headed.withColumn("near", _apart("sim", "head") <= radius), "line-blocks")
     other = members.select("key", F.col("sim").alias("sim2"), F.col("near").alias("near2"))
     close = _apart("sim", "sim2") <= radius
     to_head = members.where("near").select(F.col("sim").alias("a"), F.col("head").alias("b"))
@@ -103,40 +128,70 @@ def near_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, similari
         speaker.withColumnsRenamed({"sim": "b", "speaker": "lb"}), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     pairs, _ = staged(same.unionByName(apart), "line-pairs")
 
-    # words of the lines of all values that have a candidate; equal lines are fetched once
+    # words of the lines of all values that have a candidate, each from one place where it stands; other lines are not cut into words
     held = pairs.select(F.col("a").alias("line")).unionByName(pairs.select(F.col("b").alias("line"))).distinct()
     values = lines.join(held, "line", "left_semi").select("sim").distinct()
-    wanted = lines.join(values, "sim", "left_semi").select("line")
-    spelled = _lines_of(docs).select(F.xxhash64(F.array_join("words", " ")).alias("line"), symbols(F.col("words")).alias("spelled"))
-    texts, _ = staged(spelled.join(wanted, "line", "left_semi").groupBy("line").agg(F.any_value("spelled").alias("spelled")), "line-words")
+    wanted = lines.join(values, "sim", "left_semi").select("place.text_key", F.struct("place.pos", "line").alias("at"))
+    wanted = wanted.groupBy("text_key").agg(F.collect_list("at").alias("places"))
+    keyed = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key").withColumn("said", F.split("text", "\n", -1))
+    spelled = keyed.select(F.explode(F.expr("transform(places, p -> struct(p.line AS line, said[p.pos] AS said))")).alias("p")).select("p.*")
+    texts, _ = staged(spelled.dropDuplicates(["line"]).select("line", symbols(line_words(F.col("said"))).alias("spelled")), "line-words")
 
     def verified(candidates: DataFrame) -> DataFrame:
         a = texts.select(F.col("line").alias("a"), F.col("spelled").alias("sa"))
         b = texts.select(F.col("line").alias("b"), F.col("spelled").alias("sb"))
-        met = candidates.join(a, "a").join(b, "b")
-        allowed = F.floor((1 - similarity) * F.greatest(F.length("sa"), F.length("sb")) + 1e-9).cast("int")
+        met = candidates.join(a, "a").join(b, "b").withColumn(
+            "allowed", F.floor((1 - similarity) * F.greatest(F.length("sa"), F.length("sb")) + 1e-9).cast("int"))
         # lengths further apart than the allowed edits settle it without the distance
-        alike = (F.abs(F.length("sa") - F.length("sb")) <= allowed) & (F.levenshtein("sa", "sb") <= allowed)
+        alike = (F.abs(F.length("sa") - F.length("sb")) <= F.col("allowed")) & (F.expr("levenshtein(sa, sb, allowed)") >= 0)
         return met.select("a", "b", alike.alias("alike"))
 
     tested, _ = staged(verified(pairs), "line-tested")
-    # values with a line that failed: all their lines against all lines of all values near them
+    # values with a line that failed: their lines meet all lines of values near them that share one of their rare word pairs
     sims = lines.select("line", "sim")
     failed = tested.where("NOT alike").select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    mixed = sims.join(failed, sims["line"] == failed["a"], "left_semi").select("sim").distinct()
+    mixed = sims.join(failed, sims["line"] == failed["a"], "left_semi").select(F.col("sim").alias("sim2")).distinct()
     cell = members.select("key", "sim").unionByName(members.select("key", F.col("head").alias("sim")).distinct())
-    around = cell.join(mixed, "sim", "left_semi").join(cell.withColumnRenamed("sim", "sim2"), "key").where(close).select("sim", "sim2").unionByName(
-        mixed.select("sim", F.col("sim").alias("sim2"))).distinct()
-    again = around.join(sims, "sim").join(sims.withColumnsRenamed({"line": "line2", "sim": "sim2"}), "sim2").where("line <> line2").select(
-        F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
+    cores = cell.join(mixed, cell["sim"] == mixed["sim2"], "left_semi").select(F.col("key").alias("key2"), F.col("sim").alias("sim2"))
+    around = cell.join(cores, (F.col("key") == F.col("key2")) & close, "left_semi").select("sim").unionByName(
+        mixed.select(F.col("sim2").alias("sim"))).distinct()
+    crowd = sims.join(around, "sim", "left_semi").join(mixed.select(F.col("sim2").alias("sim"), F.lit(True).alias("core")), "sim", "left")
+    crowd, _ = staged(crowd.join(texts, "line").select("line", "sim", F.coalesce("core", F.lit(False)).alias("core"), "spelled"), "line-crowd")
+    rare = rare_pairs(crowd, similarity)
+    again, _ = staged(rare.join(rare.select("gram", *[F.col(c).alias(c + "2") for c in ("line", "sim", "core")]), "gram").where(
+        "line < line2 AND (core OR core2)").where(close).select(F.col("line").alias("a"), F.col("line2").alias("b")).distinct(), "line-again")
     return tested.where("alike").select("a", "b").unionByName(verified(again).where("alike").select("a", "b"))
 
 
+def rare_pairs(lines: DataFrame, similarity: float) -> DataFrame:
+    """The rarest pairs of neighbouring words (gram, a hash) of each line (line, sim, core, spelled): lines alike have one in common.
+
+    Pairs are numbered by how often the line has them, and the first word is a pair with the line's start, so a line of L words has
+    L of them. An edit changes two at most. Lines alike are edits <= (1 - similarity) / similarity * L apart, so
+    among the 2 * edits + 1 that come first in one order of all pairs both have at least one that the other has, too.
+    """
+    letters = F.split(F.concat(F.lit("^"), "spelled"), "")
+    pairs = F.expr("transform(sequence(1, size(letters) - 1), i -> xxhash64(letters[i - 1], letters[i]))")
+    edits = F.floor((1 - similarity) / similarity * F.length("spelled") + 1e-9)
+    counted = once(lines.select("line", "spelled"), "letters", letters).select("line", F.explode(pairs).alias("pair")).groupBy("line", "pair").agg(
+        F.count("*").alias("times"))
+    grams, _ = staged(counted.select("line", "pair", F.explode(F.expr("sequence(1L, times)")).alias("nth")).select(
+        "line", F.when(F.col("nth") > 1, F.xxhash64("pair", "nth")).otherwise(F.col("pair")).alias("gram")), "line-grams")
+    # a pair of words that no other line has links nothing, but it takes its place among the first
+    common = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    held = grams.join(common, "gram").join(lines.select("line", "sim", "core", (2 * edits + 1 - F.length("spelled")).alias("spare")), "line")
+    mine = Window.partitionBy("line")
+    held = held.withColumn("place", F.row_number().over(mine.orderBy("n", "gram"))).withColumn("shared", F.count("*").over(mine))
+    held, _ = staged(held.where("place <= spare + shared").select("line", "sim", "core", "gram"), "line-rare")
+    return held
+
+
 def line_groups(docs: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """text_no, doc_id, pos, line, group_id (least line hash of its group) and removed, for every line with a word."""
     said, _ = staged(occurrences(docs), "lines")
-    lines, _ = staged(said.groupBy("line").agg(F.max("sim").alias("sim"), F.count("*").alias("n")), "distinct-lines")
-    roots = components(near_lines(docs, lines.drop("n"), radius, similarity), "line-links")
+    place = F.min(F.struct("text_key", "pos")).alias("place")
+    lines, _ = staged(said.groupBy("line").agg(F.max("sim").alias("sim"), F.count("*").alias("n"), place), "distinct-lines")
+    roots = components(near_lines(docs, lines, radius, similarity), "line-links")
     grouped, _ = staged(lines.join(roots.withColumnRenamed("node", "line"), "line", "left").select(
         "line", "n", F.coalesce("root", "line").alias("group_id")), "line-groups")
     whole = grouped.groupBy("group_id").agg(F.sum("n").alias("said")).where("said > 1")

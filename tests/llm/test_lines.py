@@ -89,3 +89,32 @@ def test_report_and_texts(docs, empty):
 def test_no_python_on_the_plan(docs):
     plan = lines.occurrences(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_bit_of_the_simhash(table):
+    """Bits 0 to 63, of lines on both sides of what the small counters hold."""
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(n))) for k, n in enumerate((1, 2, 3, 8, 33, 127, 509, 510, 511, 512, 3000))]
+    rows += [(50, "same " * 510), (51, "same " * 511), (52, "a b " * 255)]
+    got = {r.doc_id: r.sim % (1 << 64) for r in lines.occurrences(table(rows, "doc_id long, text string")).collect()}
+    assert got == {d: simhash(norm(text)) for d, text in rows}
+
+
+def test_lines_near_in_simhash_only_are_not_compared_with_each_other(table, monkeypatch):
+    """Lines that one frequent word makes near: the tests of the second step do not grow with the square of their number,
+    and links among them, in long and short lines, are those of all pairs."""
+    rows = [(k, " ".join(f"the {x}{k}" for x in "pqrstuvw") + " the the") for k in range(150)]
+    rows += [(200 + k, " ".join([f"u{k}", f"t{k}"] + ["the"] * 4 + [f"s{k}"] * 4 + ["the"] * 12)) for k in range(60)]
+    rows += [(300 + k, " ".join(["the"] * 6 + [f"a{k // 2}b{i}" if i % 8 or k % 2 else "other" for i in range(5)] + ["the"] * 10)) for k in range(60)]
+    rows += [(400 + k, "the " * (k + 1)) for k in range(12)]
+    rows += [(500 + k, " ".join(f"{x}{k // 2}" for x in "abcdefghij"[:: -1 if k % 2 else 1])) for k in range(40)]
+    sizes, kept = {}, lines.staged
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    got = lines.line_groups(table(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.pos)) for r in got if r.removed) == brute(rows)[0]
+    assert sizes["line-crowd"] > 0 and sizes["line-again"] < 16000         # all pairs are over 50 000
