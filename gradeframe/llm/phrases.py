@@ -33,8 +33,8 @@ from .graph import discard, staged
 from .words import CHUNK, LOWER, Texts, buffers, mix
 
 LEAST, LONGEST, TOP, SHARE = 100, 5, 2000, 100
-#: Words that a task gathers before it hands on their distinct counts.
-WINDOW = 1 << 20
+#: Words that a task gathers before it hands on their distinct counts, and rows of counts that it merges over its windows.
+WINDOW, MERGED = 1 << 20, 1 << 19
 MAX_BITS, BITS_PER_ENTRY = 1 << 28, 16
 #: Sequences of up to so many words are counted by hash first; each such pass saves the text of what is not frequent.
 FILTERED = 3
@@ -175,6 +175,27 @@ def _sequences(g: Gathered, filters: list, longest: int) -> Iterator[tuple[np.nd
         begins[at] = True
 
 
+def merged(batches: Iterator[pa.RecordBatch], most: int = MERGED) -> Iterator[pa.RecordBatch]:
+    """The counts of a task's windows summed by their text, so that a phrase comes once for many windows; no more than ``most`` rows
+    and one batch are held, and what stays over three quarters of that is handed on."""
+    def sums():
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase", "depth"], use_threads=False).aggregate([("c", "sum")])
+        return table.select(["lang", "phrase", "depth", "c_sum"]).rename_columns(["lang", "phrase", "depth", "c"]).to_batches(1 << 13)
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            held = sums()
+            n = sum(b.num_rows for b in held)
+            if 4 * n > 3 * most:
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from sums()
+
+
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, max_bits: int = MAX_BITS) -> DataFrame:
     """(lang, phrase, depth, c): every sequence of 1 to ``longest`` words that occurs ``least`` times or more in its language,
     and with depth 0 the empty phrase, which counts all words of the language."""
@@ -218,7 +239,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, m
                                                       "c": pa.array(c[lo: lo + (1 << 13)])})
             del g, at, h, first, c, place
 
-    counted = texts.mapInArrow(phrases, "lang string, phrase string, depth int, c long")
+    counted = texts.mapInArrow(lambda batches: merged(phrases(batches)), "lang string, phrase string, depth int, c long")
     return counted.groupBy("lang", "phrase", "depth").agg(F.sum("c").alias("c")).where((F.col("c") >= least) | (F.col("depth") == 0))
 
 

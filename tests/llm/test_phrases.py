@@ -116,3 +116,19 @@ def test_no_window_is_held_while_the_next_is_gathered():
         seen.append(weakref.ref(g.data))
         del g
     assert len(seen) == 4
+
+
+def test_a_task_hands_on_a_phrase_once_for_many_windows():
+    import pyarrow as pa
+    window = [("en", "a", 1, 2), ("en", "a b", 2, 1), ("fr", "a", 1, 3), ("en", "", 0, 9)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("lang", "phrase", "depth", "c"), r)) for r in window],
+                                       pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("depth", pa.int32()), ("c", pa.int64())]))
+    for most in (1000, 20, 5, 1):
+        out = list(phrases.merged(iter([batch] * 50), most))
+        assert all(b.schema == batch.schema for b in out)
+        total = Counter()
+        for r in (r for b in out for r in b.to_pylist()):
+            total[r["lang"], r["phrase"], r["depth"]] += r["c"]
+        assert total == {r[:3]: 50 * r[3] for r in window}
+        assert sum(b.num_rows for b in out) == (4 if most > 5 else 4 * 25 if most == 5 else 4 * 50)
+    assert list(phrases.merged(iter([]))) == []
