@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import once
-from .graph import components, spare, staged
+from .graph import components, discard, spare, staged
 
 RADIUS, SIMILARITY, BITS = 3, 0.8, 64
 #: Bits of a counter of short and of long lines: 510 and two million words.
@@ -158,8 +158,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, radius: int = RADIUS, similari
     crowd = sims.join(around, "sim", "left_semi").join(mixed.select(F.col("sim2").alias("sim"), F.lit(True).alias("core")), "sim", "left")
     crowd, _ = staged(crowd.join(texts, "line").select("line", "sim", F.coalesce("core", F.lit(False)).alias("core"), "spelled"), "line-crowd")
     rare = rare_pairs(crowd, similarity)
-    again, _ = staged(rare.join(rare.select("gram", *[F.col(c).alias(c + "2") for c in ("line", "sim", "core")]), "gram").where(
-        "line < line2 AND (core OR core2)").where(close).select(F.col("line").alias("a"), F.col("line2").alias("b")).distinct(), "line-again")
+    again, _ = staged(rare.join(rare.select("gram", *[F.col(c).alias(c + "2") for c in ("line", "sim", "core", "size")]), "gram").where(
+        "line < line2 AND (core OR core2)").where(close & (F.abs(F.col("size") - F.col("size2")) <= F.floor(
+            (1 - similarity) * F.greatest("size", "size2") + 1e-9))).select(F.col("line").alias("a"), F.col("line2").alias("b")).distinct(), "line-again")
     return tested.where("alike").select("a", "b").unionByName(verified(again).where("alike").select("a", "b"))
 
 
@@ -175,14 +176,15 @@ def rare_pairs(lines: DataFrame, similarity: float) -> DataFrame:
     edits = F.floor((1 - similarity) / similarity * F.length("spelled") + 1e-9)
     counted = once(lines.select("line", "spelled"), "letters", letters).select("line", F.explode(pairs).alias("pair")).groupBy("line", "pair").agg(
         F.count("*").alias("times"))
-    grams, _ = staged(counted.select("line", "pair", F.explode(F.expr("sequence(1L, times)")).alias("nth")).select(
+    grams, path = staged(counted.select("line", "pair", F.explode(F.expr("sequence(1L, times)")).alias("nth")).select(
         "line", F.when(F.col("nth") > 1, F.xxhash64("pair", "nth")).otherwise(F.col("pair")).alias("gram")), "line-grams")
     # a pair of words that no other line has links nothing, but it takes its place among the first
     common = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    held = grams.join(common, "gram").join(lines.select("line", "sim", "core", (2 * edits + 1 - F.length("spelled")).alias("spare")), "line")
+    held = grams.join(common, "gram").join(lines.select("line", "sim", "core", F.length("spelled").alias("size"), (2 * edits + 1 - F.length("spelled")).alias("spare")), "line")
     mine = Window.partitionBy("line")
     held = held.withColumn("place", F.row_number().over(mine.orderBy("n", "gram"))).withColumn("shared", F.count("*").over(mine))
-    held, _ = staged(held.where("place <= spare + shared").select("line", "sim", "core", "gram"), "line-rare")
+    held, _ = staged(held.where("place <= spare + shared").select("line", "sim", "core", "size", "gram"), "line-rare")
+    discard(lines.sparkSession, path)
     return held
 
 
