@@ -257,7 +257,8 @@ def near_edges(fps: DataFrame, like: Likeness = Likeness(), tile: int = 1 << 15,
     cells = fps.select(label, *names, F.inline(keys))
     size = cells.groupBy("part", "key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    placed = cells.join(size.select("part", "key", "n"), ["part", "key"]).withColumn("tiles", tiles).withColumn(
+    # Spark sizes cells and buckets by the rows before the keys are dealt out, tens of times too low: neither is to be broadcast
+    placed = cells.join(size.select("part", "key", "n").hint("merge"), ["part", "key"]).withColumn("tiles", tiles).withColumn(
         "own", F.pmod(F.xxhash64(*names, F.lit(7)), F.col("tiles")).cast("int"))
     tiled = placed.select("label", *names, "part", "key", "own", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")

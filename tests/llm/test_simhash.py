@@ -214,6 +214,16 @@ def test_contraction_changes_no_component(spark, table):
     assert simhash.near_edges(rooted, like, tables=slice(simhash.FIRST_TABLES, None)).count() == 0
 
 
+def test_cells_are_never_broadcast(spark, table):
+    """Spark sizes the cells of all tables of keys like the rows that they are dealt out of: a small table is no reason to collect them."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "-1b")
+    path = table([(k, k * 7919, k * 104729) for k in range(50)], "id long, f0 long, f1 long")
+    labelled = path.select("id", "f0", "f1", (path["id"] % 40).alias("label"))
+    for fps, like in ((labelled, simhash.NEAR_COPY), (path, simhash.Likeness())):
+        plan = simhash.near_edges(fps, like)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_merged_edges_connect_the_same():
     rng = np.random.default_rng(1)
     batches = [(rng.integers(0, 400, 50), rng.integers(0, 400, 50)) for _ in range(6)]
