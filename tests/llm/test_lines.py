@@ -118,3 +118,36 @@ def test_lines_near_in_simhash_only_are_not_compared_with_each_other(table, monk
     got = lines.line_groups(table(rows, "doc_id long, text string")).collect()
     assert sorted(repr((r.doc_id, r.pos)) for r in got if r.removed) == brute(rows)[0]
     assert sizes["line-crowd"] > 0 and sizes["line-again"] < 16000         # all pairs are over 50 000
+
+
+def _counts(monkeypatch):
+    sizes, kept = {}, lines.staged
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes[name] = out[0].count()
+        return out
+
+    monkeypatch.setattr(lines, "staged", counted)
+    return sizes
+
+
+def test_near_lines_of_unlike_lengths_are_no_candidates(table, monkeypatch):
+    """Lines that are near in SimHash but differ too much in their numbers of words are neither read again nor tested."""
+    rows = [(k, "the " * n) for k, n in enumerate((1, 2, 4, 7, 12, 20, 33, 60, 100, 160, 600))]
+    rows += [(100 + k, " ".join(["of"] * n + [f"z{k}"])) for k, n in enumerate((3, 8, 15, 25, 40))]
+    sizes = _counts(monkeypatch)
+    got = lines.line_groups(table(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and not any(r.removed for r in got) and brute(rows)[0] == []
+    assert sizes["line-tested"] == sizes["line-again"] == 0
+
+
+def test_linked_lines_do_not_meet_again(table, monkeypatch):
+    """One line that fails with the common one sends its value to the second test, where only lines of different groups meet."""
+    rows = [(k, " ".join(["the"] * 20 + [f"a{k}"])) for k in range(40)]
+    rows += [(100 + k, " ".join(["the"] * 12 + [f"z{k}y{i}" for i in range(9)])) for k in range(2)]
+    rows += [(200 + k, " ".join(["the"] * 12 + [f"z0y{i}" for i in range(8)] + [f"x{k}"])) for k in range(3)]
+    sizes = _counts(monkeypatch)
+    got = lines.line_groups(table(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.pos)) for r in got if r.removed) == brute(rows)[0]
+    assert sizes["line-crowd"] == len(rows) and sizes["line-again"] < 300      # all pairs are 990
